@@ -19,11 +19,17 @@ _BOOKKEEPING = (T.StructField("writer", T.StringType()), T.StructField("batch",
 
 
 class KeyedTables:
-    """The tables of ``schema.TABLES`` below one folder."""
+    """Tables below one folder, by default those of ``schema.TABLES``.
 
-    def __init__(self, spark: SparkSession, path: str):
+    ``tables`` maps a name to (schema, key). The tables in ``by_column`` are
+    filled by several writers, each with columns of its own.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, tables=None, by_column=("agg_events",)):
         self.spark = spark
         self.path = path.rstrip("/")
+        self.tables = tables or schema.TABLES
+        self.by_column = by_column
 
     # -- folders -----------------------------------------------------------
 
@@ -58,13 +64,13 @@ class KeyedTables:
 
     def init(self) -> None:
         """Create the tables that do not exist yet."""
-        for name in schema.TABLES:
+        for name in self.tables:
             if self._generation(name) < 0:
                 self._write_base(name, 0, self._empty(name))
 
     def reset(self) -> None:
         """Truncate all tables."""
-        for name in schema.TABLES:
+        for name in self.tables:
             self._write_base(name, self._generation(name) + 1, self._empty(name))
 
     def drop(self, name: str) -> None:
@@ -72,45 +78,46 @@ class KeyedTables:
         self._fs().delete(self._path(f"{self.path}/{name}"), True)
 
     def _empty(self, name: str) -> DataFrame:
-        return self.spark.createDataFrame([], schema.TABLES[name][0])
+        return self.spark.createDataFrame([], self.tables[name][0])
 
     def _write_base(self, name: str, generation: int, rows: DataFrame) -> None:
-        self._write(rows, name, f"{self.path}/{name}/generation={generation}/writer=base/batch=-1")
+        """The whole table in key order. Ranges over all key columns, so that a
+        device with a large share of the rows is spread over several files."""
+        key = self.tables[name][1]
+        folder = f"{self.path}/{name}/generation={generation}/writer=base/batch=-1"
+        self._write(rows.repartitionByRange(*key), name, folder)
 
     def _write(self, rows: DataFrame, name: str, folder: str) -> None:
-        """Rows in key order. Ranges over the whole key, so that a device with
-        a large share of the rows is spread over several files."""
-        full, key = schema.TABLES[name]
+        """Each file in key order; the partitions stay as the query made them."""
+        full, key = self.tables[name]
         typed = rows.select(
             *[
                 (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                 for f in full
             ]
         )
-        ordered = typed.repartitionByRange(*key).sortWithinPartitions(*key)
-        ordered.write.mode("overwrite").parquet(folder)
+        typed.sortWithinPartitions(*key).write.mode("overwrite").parquet(folder)
 
     # -- rows ----------------------------------------------------------------
 
     def write(self, name: str, rows: DataFrame, writer: str, batch: int = 0) -> None:
-        """Upsert ``rows``: columns they lack stay as they are. A key may occur
-        several times only in ``raw_events`` and ``debug``."""
-        key = schema.TABLES[name][1]
+        """Upsert ``rows``; columns they lack are NULL."""
+        key = self.tables[name][1]
         self._write(
             upsert.require_keys(rows, key), name, f"{self._folder(name)}/writer={writer}/batch={batch}"
         )
 
     def log(self, name: str) -> DataFrame:
         """All writes, with ``writer`` and ``batch``."""
-        full = T.StructType([*schema.TABLES[name][0], *_BOOKKEEPING])
+        full = T.StructType([*self.tables[name][0], *_BOOKKEEPING])
         return self.spark.read.schema(full).parquet(self._folder(name))
 
     def read(self, name: str) -> DataFrame:
-        """The current rows. The later batch wins per key and column, in
-        ``raw_events`` and ``debug`` per key and row."""
-        full, key = schema.TABLES[name]
+        """The current rows. The later batch wins, per key and row or, for the
+        tables in ``by_column``, per key and column."""
+        full, key = self.tables[name]
         log = self.log(name)
-        if name == "agg_events":
+        if name in self.by_column:
             rows = upsert.merge_columns(log.drop("writer"), key, "batch")
         else:
             rows = upsert.latest(log, key, ["batch", "writer"])
@@ -123,7 +130,7 @@ class KeyedTables:
 
     def counts(self) -> DataFrame:
         """Rows per table."""
-        return count_tables({name: self.read(name) for name in schema.TABLES})
+        return count_tables({name: self.read(name) for name in self.tables})
 
 
 def count_tables(tables: dict[str, DataFrame]) -> DataFrame:

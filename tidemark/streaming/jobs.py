@@ -132,3 +132,17 @@ def with_idle_watermark(
         .filter(F.col("event_time").isNull())
     )
     return watermarked(events, delay_ms).unionByName(beat)
+
+
+def changelog_sums(messages: DataFrame, mode: str = "ingestion", delay_ms: int = 0,
+                   measure=PLAIN) -> DataFrame:
+    """Last copy per message and window, then the sums, in append mode: the
+    sums see each message once, after its window has closed."""
+    events = watermarked(with_time(events_of(messages), mode), delay_ms)
+    rest = ["device_id", "category", "measure1", "measure2"]
+    last = (
+        events.groupBy("message_id", tw.window_of(F.col("event_time")).alias("window"))
+        .agg(F.max(F.struct("arrival", *rest)).alias("_row"))
+        .select("window", *[f"_row.{c}" for c in rest])
+    )
+    return aggregate.window_sums(last, None, measure)
