@@ -29,23 +29,30 @@ def encode_events(df: DataFrame) -> Column:
     return encode_payload(*[F.col(name) for name in PAYLOAD_FIELDS])
 
 
+def _once(value: Column) -> Column:
+    """Evaluate an expression a single time per row.
+
+    Catalyst copies the definition of a column into every later filter that
+    uses it, so one test on a parsed field would split the line again for each
+    field. It does not move filters below a generator.
+    """
+    return F.explode(F.array(value))
+
+
 def parse_payload(df: DataFrame, value: str = "value") -> DataFrame:
     """Add the typed event columns and ``reason``.
 
     ``reason`` is NULL for a good line and otherwise names the first fault, so
     a bad line neither stops the job nor vanishes. Other columns are kept.
     """
-    parts = F.split(F.col(value), r"\|", -1)
-    keep = [F.col(c) for c in df.columns if c != value]
+    keep = list(df.columns)
 
     def field(i: int) -> Column:
         return F.try_element_at(F.col("_parts"), F.lit(i + 1))
 
     millis = field(2).try_cast("bigint")
-    typed = df.withColumn("_parts", parts).select(
-        F.col(value),
-        *keep,
-        F.size("_parts").alias("_n"),
+    typed = F.struct(
+        F.size("_parts").alias("n"),
         field(0).alias("message_id"),
         field(1).alias("device_id"),
         F.when(millis.between(tw.MIN_MS, tw.MAX_MS), millis).alias("device_ms"),
@@ -55,22 +62,25 @@ def parse_payload(df: DataFrame, value: str = "value") -> DataFrame:
     )
     reason = (
         F.when(F.col(value).isNull(), "empty value")
-        .when(F.col("_n") < len(PAYLOAD_FIELDS), "too few fields")
-        .when(F.col("device_ms").isNull(), "bad timestamp")
-        .when(F.col("measure1").isNull(), "bad measure1")
-        .when(F.col("measure2").isNull(), "bad measure2")
+        .when(F.col("_event.n") < len(PAYLOAD_FIELDS), "too few fields")
+        .when(F.col("_event.device_ms").isNull(), "bad timestamp")
+        .when(F.col("_event.measure1").isNull(), "bad measure1")
+        .when(F.col("_event.measure2").isNull(), "bad measure2")
     )
-    return typed.select(
-        F.col(value),
-        *keep,
-        "message_id",
-        "device_id",
-        "device_ms",
-        tw.to_timestamp(F.col("device_ms")).alias("event_time"),
-        "category",
-        "measure1",
-        "measure2",
-        reason.alias("reason"),
+    return (
+        df.select(*keep, _once(F.split(F.col(value), r"\|", -1)).alias("_parts"))
+        .select(*keep, _once(typed).alias("_event"))
+        .select(
+            *keep,
+            "_event.message_id",
+            "_event.device_id",
+            "_event.device_ms",
+            tw.to_timestamp(F.col("_event.device_ms")).alias("event_time"),
+            "_event.category",
+            "_event.measure1",
+            "_event.measure2",
+            reason.alias("reason"),
+        )
     )
 
 

@@ -7,12 +7,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions import timewin as tw
 from tidemark.functions.measures import PLAIN
 from tidemark.operators import aggregate, dedup, feed as feeds, lateness, reconcile
+from tidemark.session import work_dir
 from tidemark.sources.tables import KeyedTables
 from tidemark.streaming import jobs, replay, sinks
 
 MODES = ("event", "processing", "ingestion", "microbatch")
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Write a frame that is read several times, and read it back."""
+    folder = work_dir(df.sparkSession, "staged")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def raw_events(feed: DataFrame) -> DataFrame:
     """The sender's own log of what it sent."""
     return feed.select(
@@ -48,6 +56,7 @@ def run_scenario(tables: KeyedTables, feed: DataFrame, mode: str, measure=PLAIN)
     """
     tables.init()
     tables.reset()
+    feed = staged(feed)
     send(tables, feed, measure)
     events, _ = feeds.from_payload(feeds.to_payload(feed))
     tables.write("agg_events", sinks.downstream(batch_job(events, mode, measure)), mode)
@@ -68,6 +77,7 @@ def run_stream_scenario(
     """The same with the job as a stream over the replayed feed."""
     tables.init()
     tables.reset()
+    feed = staged(feed)
     send(tables, feed, measure)
     messages = feeds.to_payload(feed)
     if mode == "microbatch":
