@@ -1,0 +1,76 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import rows
+from tidemark.functions import timewin as tw
+from tidemark.operators import dedup
+
+COLUMNS = ["message_id", "device_id", "device_ms", "category", "measure1", "measure2", "send_ms"]
+
+
+@pytest.fixture(scope="module")
+def data():
+    """Copies that agree, copies that differ, and one id with a third of all rows."""
+    rng = random.Random(5)
+    out = []
+    for i in range(900):
+        message = "hot" if i % 3 == 0 else f"m{rng.randrange(120)}"
+        send = 1_000_000 + rng.randrange(40_000)
+        device = send - rng.choice([0, 0, 0, 3000, 9000])
+        out.append((message, f"d{rng.randrange(3)}", device, f"c{rng.randrange(2)}",
+                    rng.randrange(100), rng.randrange(1000) / 100, send))
+    return out
+
+
+def brute(data, key, last):
+    """Order by arrival and then by the other fields in column order."""
+    best = {}
+    for r in data:
+        named = dict(zip(COLUMNS, r))
+        rest = tuple(named[c] for c in COLUMNS if c not in ("message_id", "send_ms"))
+        order = (named["send_ms"], *rest)
+        k = key(named)
+        if k not in best or (order > best[k][0] if last else order < best[k][0]):
+            best[k] = (order, r)
+    return sorted(r for _, r in best.values())
+
+
+def test_first_per_window(make_events, data):
+    got = dedup.first_per_window(make_events(data), tw.to_timestamp(F.col("device_ms")))
+    assert rows(got.select(*COLUMNS)) == brute(data, lambda r: (r["message_id"], r["device_ms"] // 5000), False)
+
+
+def test_last_per_window(make_events, data):
+    got = dedup.last_per_window(make_events(data), tw.to_timestamp(F.col("send_ms")))
+    assert rows(got.select(*COLUMNS)) == brute(data, lambda r: (r["message_id"], r["send_ms"] // 5000), True)
+
+
+def test_last_per_batch(make_events, data):
+    got = dedup.last_per_batch(make_events(data), tw.floor_ms(F.col("send_ms"), 7000))
+    assert rows(got.select(*COLUMNS)) == brute(data, lambda r: (r["message_id"], r["send_ms"] // 7000), True)
+
+
+def test_first_per_id(make_events, data):
+    got = dedup.first_per_id(make_events(data))
+    assert rows(got.select(*COLUMNS)) == brute(data, lambda r: r["message_id"], False)
+
+
+def test_kept_row_does_not_depend_on_input_order(make_events, data):
+    shuffled = list(data)
+    random.Random(1).shuffle(shuffled)
+    at = tw.to_timestamp(F.col("device_ms"))
+    a = dedup.first_per_window(make_events(data).repartition(5), at)
+    b = dedup.first_per_window(make_events(shuffled).coalesce(1), at)
+    assert rows(a.drop("window")) == rows(b.drop("window"))
+
+
+def test_distinct_rows(make_events, data):
+    assert dedup.distinct_rows(make_events(data + data)).count() == len(set(data))
+
+
+def test_copies_are_combined_before_the_shuffle(make_events, data):
+    got = dedup.first_per_window(make_events(data), tw.to_timestamp(F.col("device_ms")))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_min") == 1 and plan.count("Exchange") == 1

@@ -1,0 +1,93 @@
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import rows
+from tidemark import schema
+from tidemark.functions import timewin as tw
+from tidemark.functions.measures import CENTS
+from tidemark.operators import aggregate, feed as feeds, reconcile
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def feed(spark):
+    return feeds.build_feed(spark.read.parquet(f"{SF}/events.parquet"))
+
+
+def wide_of(feed):
+    return reconcile.reconcile(feed, aggregate.event_time_parts(feed, measure=CENTS), CENTS)
+
+
+def test_flagship_has_seven_exceptions(feed):
+    wide = wide_of(feed)
+    assert tuple(reconcile.counts(wide, CENTS).first()) == (7, 209, "7 exceptions out of 209")
+    assert reconcile.exceptions(wide, CENTS).count() == 7
+
+
+def test_no_late_rows_no_exceptions(spark):
+    plan = feeds.FeedPlan(late_permille=0)
+    feed = feeds.build_feed(spark.read.parquet(f"{SF}/events.parquet"), plan)
+    assert feed.filter("patterncode = 're'").count() == 50
+    deltas = reconcile.with_deltas(wide_of(feed), CENTS)
+    assert deltas.filter(reconcile.is_exception()).count() == 0
+    assert deltas.filter(~F.col("delta_m2_sum_downstream_ingestdevice").eqNullSafe(0.0)).count() == 0
+
+
+def test_exceptions_lie_in_windows_of_late_originals(spark, feed):
+    touched = feed.filter("patterncode = 'late'").select(tw.label_end(F.col("device_ms")).alias("w"))
+    bad = reconcile.exceptions(wide_of(feed), CENTS)
+    assert bad.join(touched, F.col("window_time") == F.col("w"), "left_anti").count() == 0
+
+
+def test_merge_of_stored_sides_equals_the_one_pass_form(feed):
+    """Three writers merged afterwards, and all sums in one grouping."""
+    down = reconcile.as_side(aggregate.event_time_sums(feed, measure=CENTS), "downstream")
+    merged = reconcile.merge_sides(
+        reconcile.truth(feed, "ingest_devicetime", CENTS),
+        reconcile.truth(feed, "ingest_sendtime", CENTS),
+        down,
+    )
+    wide = wide_of(feed)
+    assert rows(merged.select(*wide.columns)) == rows(wide)
+
+
+@pytest.fixture(scope="module")
+def one_sided(spark):
+    data = [
+        ("w1", "d", "c", None, 5, 5, None, 1.0, 1.0),
+        ("w2", "d", "c", 1, 5, 6, None, 1.0, 1.5),
+        ("w3", "d", "c", 1, 5, None, None, 1.0, None),
+        ("w4", "d", "c", 1, None, 5, None, None, 1.0),
+        ("w5", "d", "c", 1, None, None, 2.0, None, None),
+    ]
+    return spark.createDataFrame(data, schema.AGG_EVENTS)
+
+
+def test_a_missing_side_is_an_exception(one_sided):
+    got = [r.window_time for r in reconcile.exceptions(one_sided).orderBy("window_time").collect()]
+    assert got == ["w2", "w3", "w4", "w5"]
+    assert reconcile.counts(one_sided).first().summary == "4 exceptions out of 5"
+
+
+def test_text_sums_are_read_as_numbers(one_sided):
+    as_text = one_sided.withColumns(
+        {c: F.col(c).cast("string") for c in ("m1_sum_downstream", "m2_sum_downstream")}
+    )
+    assert rows(reconcile.exceptions(as_text).select("window_time", "delta_m1_sum_downstream_ingestdevice")) == rows(
+        reconcile.exceptions(one_sided).select("window_time", "delta_m1_sum_downstream_ingestdevice")
+    )
+
+
+def test_report_order_and_columns(feed):
+    report = reconcile.report(wide_of(feed), CENTS)
+    assert tuple(report.columns) == reconcile.REPORT
+    keys = [(r.device_id, r.category, r.window_time) for r in report.collect()]
+    assert keys == sorted(keys) and len(keys) == 209
+
+
+def test_reconcile_plan(feed):
+    """One read of the events for both truths, no join of the truths."""
+    plan = wide_of(feed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan and "Cartesian" not in plan
+    assert plan.count("Generate explode") == 1
