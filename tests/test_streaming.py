@@ -10,6 +10,7 @@ from test_lateness import make
 from tidemark.functions import timewin as tw
 from tidemark.functions.measures import CENTS
 from tidemark.operators import aggregate, feed as feeds, lateness
+from tidemark.plans import scenarios
 from tidemark.session import session_conf, work_dir
 from tidemark.sources.stream import event_sink, event_source
 from tidemark.sources.tables import KeyedTables
@@ -74,7 +75,7 @@ def test_append_emits_closed_windows_once(spark, folder):
 
 
 def test_update_emits_each_change(spark, folder):
-    got = run(spark, folder, jobs.window_sums, "update")
+    got = run(spark, folder, lambda m: jobs.window_sums(m, emit="update"), "update")
     assert short(got) == [("11:02:00", 1), ("11:02:15", 4), ("11:02:15", 20), ("11:02:45", 32)]
 
 
@@ -84,7 +85,8 @@ def test_complete_mode_keeps_duplicates_and_late_rows(spark, folder):
 
 
 def test_sliding_windows(spark, folder):
-    got = run(spark, folder, lambda m: jobs.window_sums(m, slide_ms=2500), "update")
+    job = lambda m: jobs.window_sums(m, emit="update", slide_ms=2500)
+    got = run(spark, folder, job, "update")
     last = {r[0][11:]: r[3] for batch in got for r in batch}
     # 01:56.326 | 02:11 and 02:12 | 02:40, each in two windows.
     assert last == {
@@ -93,8 +95,40 @@ def test_sliding_windows(spark, folder):
     }
 
 
+def test_append_keeps_the_earliest_of_differing_copies(spark, messages):
+    """Two copies in one micro-batch with other values: the first to arrive."""
+    t = KeyedTables(spark, work_dir(spark, "copies"))
+    t.init()
+    lines = spark.createDataFrame(
+        [("a|d|1000|c|9|1.0", 2002), ("a|d|1000|c|5|1.0", 2001), ("a|d|1000|c|7|1.0", 2003)],
+        "value string, ms bigint",
+    ).selectExpr("value", "timestamp_millis(ms) AS arrival")
+    for name, want in (("first", 5), ("last", 7)):
+        job = jobs.changelog_sums if name == "last" else lambda m: jobs.window_sums(m, "ingestion")
+        write = sinks.upsert_into(t, "agg_events", name, sinks.downstream)
+        replay.replay(spark, lines, 1, job, "append", write, scenarios.closing_message(spark))
+        got = t.log("agg_events").filter(F.col("writer") == name)
+        assert [r.m1_sum_downstream for r in got.collect()] == [want]
+
+
+def test_hot_message_id(spark, tmp_path):
+    """A third of all rows are copies of one message."""
+    lines = [A] * 300 + [f"m{i}|d|1472209317000|c1|1|0.5" for i in range(600)]
+    write_files(f"{tmp_path}/in", [lines, lines[:500], [FILES[4][0]], [FILES[4][0]]])
+    for emit in ("append", "update"):
+        got = run(spark, f"{tmp_path}/in", lambda m: jobs.window_sums(m, emit=emit), emit)
+        sums = {r[0][-8:]: r[3] for batch in got for r in batch}
+        assert sums["11:02:00"] == 601, emit
+
+
+def test_copies_are_combined_before_the_shuffle_in_append_mode(spark, folder, capsys):
+    jobs.window_sums(text_stream(spark, folder)).explain()
+    plan = capsys.readouterr().out
+    assert "partial_min" in plan and "StreamingDeduplicate" not in plan
+
+
 def test_without_deduplication(spark, folder):
-    got = run(spark, folder, lambda m: jobs.window_sums(m, deduplicate=False, label="start"), "append")
+    got = run(spark, folder, lambda m: jobs.window_sums(m, "event", "append", deduplicate=False, label="start"), "append")
     assert short(got)[0] == ("11:01:55", 2)
 
 
@@ -124,7 +158,7 @@ def test_dedup_within_watermark_spans_windows(spark, tmp_path):
 
 def test_processing_time_counts_now(spark, folder):
     before = int(time.time() * 1000)
-    got = run(spark, folder, lambda m: jobs.window_sums(m, "processing"), "update")
+    got = run(spark, folder, lambda m: jobs.window_sums(m, "processing", "update"), "update")
     now = int(time.time() * 1000)
     labels = {r[0] for batch in got for r in batch}
     ends = {
@@ -141,7 +175,7 @@ def test_unknown_time_mode(spark, messages):
 def test_restart_from_the_checkpoint(spark, tmp_path):
     """Two runs over one checkpoint give the same table as a single run."""
     def job(stream):
-        return jobs.window_sums(stream)
+        return jobs.window_sums(stream, emit="update")
 
     tables = {}
     for name, parts in (("one", [FILES]), ("two", [FILES[:2], FILES[2:]])):
@@ -286,7 +320,8 @@ def test_resumed_feed_equals_batch(spark):
     t.init()
     write = sinks.upsert_into(t, "agg_events", "job", sinks.downstream)
     replay.replay(
-        spark, feeds.to_payload(feed), 5, lambda m: jobs.window_sums(m, measure=CENTS), "update", write
+        spark, feeds.to_payload(feed), 5,
+        lambda m: jobs.window_sums(m, emit="update", measure=CENTS), "update", write,
     )
     low, high = feed.agg(F.min("send_ms"), F.max("send_ms")).first()
     sliced = feed.withColumn("slice", replay.slice_of(F.col("send_ms"), low, high, 5))

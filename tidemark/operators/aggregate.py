@@ -76,6 +76,19 @@ def event_time_sums(feed: DataFrame, rule=lateness.DEFAULT, measure=PLAIN, label
     return labelled(sums, measure, label)
 
 
+def event_time_rows(feed: DataFrame, rule=lateness.DEFAULT, size_ms: int = tw.WINDOW_MS,
+                    watermarks: DataFrame | None = None) -> DataFrame:
+    """The rows behind the event-time sums: on time, first copy per window, with
+    ``window``. See ``lateness.late_rows`` about ``watermarks``."""
+    if watermarks is None:
+        watermarks = lateness.batch_watermarks(feed, rule)
+    extra = ["device_ms"] + [rule.arrival] * (rule.arrival != "send_ms")
+    first = dedup.first_per_window(
+        _summed_columns(feed, *extra), tw.to_timestamp(F.col("device_ms")), size_ms
+    )
+    return lateness.drop_late(first.withColumn("batch", rule.batch()), watermarks)
+
+
 def arrival_time_sums(feed: DataFrame, measure=PLAIN, label: str = "end",
                       size_ms: int = tw.WINDOW_MS) -> DataFrame:
     """Processing- and ingestion-time mode: windows of arrival, nothing is late.

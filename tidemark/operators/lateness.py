@@ -103,11 +103,16 @@ def drop_late(df: DataFrame, watermarks: DataFrame) -> DataFrame:
     return df.join(watermarks, "batch", "left").filter(~is_late(end_ms)).drop("watermark_ms")
 
 
-def late_rows(feed: DataFrame, rule: LateRule = DEFAULT, size_ms: int = tw.WINDOW_MS) -> DataFrame:
-    """The rows an event-time stream drops, with the watermark that did it."""
-    marked = feed.withColumn("batch", rule.batch()).join(
-        batch_watermarks(feed, rule), "batch", "left"
-    )
+def late_rows(feed: DataFrame, rule: LateRule = DEFAULT, size_ms: int = tw.WINDOW_MS,
+              watermarks: DataFrame | None = None) -> DataFrame:
+    """The rows an event-time stream drops, with the watermark that did it.
+
+    This joins every row. Pass staged ``watermarks`` for a large feed: with a
+    known small size they are broadcast and the feed is not shuffled.
+    """
+    if watermarks is None:
+        watermarks = batch_watermarks(feed, rule)
+    marked = feed.withColumn("batch", rule.batch()).join(watermarks, "batch", "left")
     end_ms = tw.floor_ms(F.col("device_ms"), size_ms) + size_ms
     return marked.filter(is_late(end_ms)).select(
         *feed.columns, end_ms.alias("window_end_ms"), "watermark_ms"

@@ -299,7 +299,7 @@ ORACLES: dict[str, str] = {
             FROM (SELECT CAST(l_orderkey AS BIGINT) * 8 + l_linenumber AS k FROM lineitem)))""",
     # streams
     "stream_event_time": sums(SLICED_ON_TIME, first_per_window("ontime", "device_ms")),
-    "stream_event_time_append": sums(SLICED_ON_TIME, first_per_window("ontime", "device_ms")),
+    "stream_event_time_update": sums(SLICED_ON_TIME, first_per_window("ontime", "device_ms")),
     "stream_ingestion_time": sums(FEED, first_per_window("feed", "send_ms")),
     "stream_complete": sums(FEED, "SELECT *, device_ms // 5000 AS w FROM feed", "w * 5000"),
     "stream_changelog": sums(FEED, last_per_window("feed", "send_ms // 5000")),

@@ -17,7 +17,7 @@ from tidemark.operators import (
     aggregate, dedup, feed as feeds, lateness, numeric, reconcile as recon, text, upsert,
 )
 from tidemark.plans import scenarios
-from tidemark.session import work_dir
+from tidemark.session import staged, work_dir
 from tidemark.sources.tables import KeyedTables
 from tidemark.streaming import jobs, replay, sinks
 
@@ -48,8 +48,8 @@ def _feed(spark, sf_dir) -> DataFrame:
     return feeds.build_feed(table(spark, sf_dir, "events"))
 
 
-def _tables(spark, purpose="tables", **kwargs) -> KeyedTables:
-    tables = KeyedTables(spark, work_dir(spark, purpose), **kwargs)
+def _tables(spark, **kwargs) -> KeyedTables:
+    tables = KeyedTables(spark, work_dir(spark, "tables"), **kwargs)
     tables.init()
     return tables
 
@@ -273,7 +273,9 @@ def debug_window_rows(spark, sf_dir):
 
 @query
 def late_dropped(spark, sf_dir):
-    return lateness.late_rows(_feed(spark, sf_dir)).select(
+    feed = _feed(spark, sf_dir)
+    watermarks = staged(lateness.batch_watermarks(feed))
+    return lateness.late_rows(feed, watermarks=watermarks).select(
         "message_id", "send_ms", "device_ms", "patterncode", "window_end_ms", "watermark_ms"
     )
 
@@ -334,7 +336,7 @@ def scan_raw_events(spark, sf_dir):
 
 @query
 def table_counts(spark, sf_dir):
-    tables = _tables(spark)
+    tables = KeyedTables(spark, work_dir(spark, "tables"))
     scenarios.run_scenario(tables, _feed(spark, sf_dir), "event", CENTS)
     return tables.counts()
 
@@ -363,7 +365,8 @@ def reconcile_counts(spark, sf_dir):
 
 def _scenario(mode: str) -> Query:
     def run(spark, sf_dir):
-        return scenarios.run_scenario(_tables(spark), _feed(spark, sf_dir), mode, CENTS)
+        tables = KeyedTables(spark, work_dir(spark, "tables"))
+        return scenarios.run_scenario(tables, _feed(spark, sf_dir), mode, CENTS)
 
     return run
 
@@ -432,47 +435,33 @@ def _stored(tables: KeyedTables) -> DataFrame:
     )
 
 
-def _stream_sums(spark, sf_dir, job, mode: str, closing: bool = False) -> DataFrame:
+def _stream_sums(spark, sf_dir, job, mode: str) -> DataFrame:
     messages = feeds.to_payload(_feed(spark, sf_dir))
     tables = _tables(spark)
     write = sinks.upsert_into(tables, "agg_events", "job", sinks.downstream)
-    last = closing_messages(spark) if closing else None
-    replay.replay(spark, messages, SLICES, job, mode, write, last)
+    closing = scenarios.closing_message(spark) if mode == "append" else None
+    replay.replay(spark, messages, SLICES, job, mode, write, closing)
     return _stored(tables)
 
 
-# 2100-01-01, after every event. The window of the closing
-# message itself stays open, so it is in no result.
-CLOSING_MS = 4102444800000
-
-
-def closing_messages(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(
-        codec.encode_payload(
-            F.lit("closing"), F.lit("closing"), F.lit(CLOSING_MS), F.lit(""), F.lit(0), F.lit(0.0)
-        ).alias("value"),
-        tw.to_timestamp(F.lit(CLOSING_MS)).alias("arrival"),
-    )
-
-
 @query
 def stream_event_time(spark, sf_dir):
-    """Update mode with an upsert."""
-    return _stream_sums(spark, sf_dir, lambda m: jobs.window_sums(m, measure=CENTS), "update")
+    """Append mode: each window once, when it closes."""
+    return _stream_sums(spark, sf_dir, lambda m: jobs.window_sums(m, measure=CENTS), "append")
 
 
 @query
-def stream_event_time_append(spark, sf_dir):
-    """Append mode: each window once, when it closes."""
+def stream_event_time_update(spark, sf_dir):
+    """Update mode with an upsert: every change of a window."""
     return _stream_sums(
-        spark, sf_dir, lambda m: jobs.window_sums(m, measure=CENTS), "append", closing=True
+        spark, sf_dir, lambda m: jobs.window_sums(m, emit="update", measure=CENTS), "update"
     )
 
 
 @query
 def stream_ingestion_time(spark, sf_dir):
     return _stream_sums(
-        spark, sf_dir, lambda m: jobs.window_sums(m, "ingestion", measure=CENTS), "update"
+        spark, sf_dir, lambda m: jobs.window_sums(m, "ingestion", measure=CENTS), "append"
     )
 
 
@@ -483,9 +472,7 @@ def stream_complete(spark, sf_dir):
 
 @query
 def stream_changelog(spark, sf_dir):
-    return _stream_sums(
-        spark, sf_dir, lambda m: jobs.changelog_sums(m, measure=CENTS), "append", closing=True
-    )
+    return _stream_sums(spark, sf_dir, lambda m: jobs.changelog_sums(m, measure=CENTS), "append")
 
 
 @query
@@ -545,6 +532,7 @@ def wordcount_stream(spark, sf_dir):
 
 @query
 def stream_scenario_event(spark, sf_dir):
+    tables = KeyedTables(spark, work_dir(spark, "tables"))
     return scenarios.run_stream_scenario(
-        spark, _tables(spark), _feed(spark, sf_dir), SLICES, "event", CENTS
+        spark, tables, _feed(spark, sf_dir), SLICES, "event", CENTS
     )

@@ -4,23 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.functions import timewin as tw
+from tidemark.functions import codec, timewin as tw
 from tidemark.functions.measures import PLAIN
-from tidemark.operators import aggregate, dedup, feed as feeds, lateness, reconcile
-from tidemark.session import work_dir
+from tidemark.operators import aggregate, feed as feeds, lateness, reconcile
+from tidemark.session import staged
 from tidemark.sources.tables import KeyedTables
 from tidemark.streaming import jobs, replay, sinks
 
 MODES = ("event", "processing", "ingestion", "microbatch")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write a frame that is read several times, and read it back."""
-    folder = work_dir(df.sparkSession, "staged")
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def raw_events(feed: DataFrame) -> DataFrame:
     """The sender's own log of what it sent."""
     return feed.select(
@@ -31,15 +24,22 @@ def raw_events(feed: DataFrame) -> DataFrame:
     )
 
 
-def batch_job(events: DataFrame, mode: str, measure=PLAIN) -> DataFrame:
+def run_batch_job(tables: KeyedTables, events: DataFrame, mode: str, measure=PLAIN) -> None:
     """One of the jobs as a batch over parsed events with their arrival time."""
     if mode == "event":
-        return aggregate.event_time_sums(events, measure=measure)
-    if mode in ("processing", "ingestion"):
-        return aggregate.arrival_time_sums(events, measure)
-    if mode == "microbatch":
-        return aggregate.microbatch_sums(events, measure)
-    raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
+        # The debug rows and the sums come from the same deduplicated rows.
+        rows = staged(
+            aggregate.event_time_rows(events, watermarks=staged(lateness.batch_watermarks(events)))
+        )
+        tables.write("debug", aggregate.debug_rows(rows), mode)
+        sums = aggregate.window_sums(rows, None, measure)
+    elif mode in ("processing", "ingestion"):
+        sums = aggregate.arrival_time_sums(events, measure)
+    elif mode == "microbatch":
+        sums = aggregate.microbatch_sums(events, measure)
+    else:
+        raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
+    tables.write("agg_events", sinks.downstream(sums), mode)
 
 
 def send(tables: KeyedTables, feed: DataFrame, measure=PLAIN) -> None:
@@ -54,28 +54,35 @@ def run_scenario(tables: KeyedTables, feed: DataFrame, mode: str, measure=PLAIN)
 
     Returns the report; the tables hold everything else.
     """
-    tables.init()
     tables.reset()
     feed = staged(feed)
     send(tables, feed, measure)
     events, _ = feeds.from_payload(feeds.to_payload(feed))
-    tables.write("agg_events", sinks.downstream(batch_job(events, mode, measure)), mode)
-    if mode == "event":
-        windowed = dedup.first_per_window(events)
-        on_time = lateness.drop_late(
-            windowed.withColumn("batch", lateness.DEFAULT.batch()),
-            lateness.batch_watermarks(events),
-        )
-        tables.write("debug", aggregate.debug_rows(on_time), mode)
+    run_batch_job(tables, events, mode, measure)
     return reconcile.report(tables.read("agg_events"), measure)
 
 
+# 2100-01-01, after every event. The window of the closing
+# message itself stays open, so it is in no result.
+CLOSING_MS = 4102444800000
+
+
+def closing_message(spark: SparkSession) -> DataFrame:
+    """A message that pushes the watermark of a replay past all windows. A live
+    stream uses ``jobs.with_idle_watermark`` instead."""
+    return spark.range(1).select(
+        codec.encode_payload(
+            F.lit("closing"), F.lit("closing"), F.lit(CLOSING_MS), F.lit(""), F.lit(0), F.lit(0.0)
+        ).alias("value"),
+        tw.to_timestamp(F.lit(CLOSING_MS)).alias("arrival"),
+    )
+
+
 def run_stream_scenario(
     spark: SparkSession, tables: KeyedTables, feed: DataFrame, slices: int, mode: str = "event",
     measure=PLAIN,
 ) -> DataFrame:
     """The same with the job as a stream over the replayed feed."""
-    tables.init()
     tables.reset()
     feed = staged(feed)
     send(tables, feed, measure)
@@ -86,8 +93,8 @@ def run_stream_scenario(
     else:
         write = sinks.upsert_into(tables, "agg_events", mode, sinks.downstream)
         replay.replay(
-            spark, messages, slices,
-            lambda stream: jobs.window_sums(stream, mode, measure=measure), "update", write,
+            spark, messages, slices, lambda stream: jobs.window_sums(stream, mode, measure=measure),
+            "append", write, closing_message(spark),
         )
     return reconcile.report(tables.read("agg_events"), measure)
 

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_BASE: list[str] = []
 
@@ -45,6 +45,15 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Write a frame that several readers need to the shared folder and read it
+    back. It outlives executors, cuts the lineage, and its size is known to the
+    planner, which then broadcasts it only if it is small."""
+    folder = work_dir(df.sparkSession, "staged")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 @contextmanager
 def session_conf(spark: SparkSession, **settings: str):
     """Set SQL options for the duration of a block and put the old ones back.

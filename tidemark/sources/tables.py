@@ -66,26 +66,28 @@ class KeyedTables:
         """Create the tables that do not exist yet."""
         for name in self.tables:
             if self._generation(name) < 0:
-                self._write_base(name, 0, self._empty(name))
+                self._write_empty(name, 0)
 
     def reset(self) -> None:
         """Truncate all tables."""
         for name in self.tables:
-            self._write_base(name, self._generation(name) + 1, self._empty(name))
+            self._write_empty(name, self._generation(name) + 1)
 
     def drop(self, name: str) -> None:
         """Delete one table if it exists."""
         self._fs().delete(self._path(f"{self.path}/{name}"), True)
 
-    def _empty(self, name: str) -> DataFrame:
-        return self.spark.createDataFrame([], self.tables[name][0])
+    def _base(self, name: str, generation: int) -> str:
+        return f"{self.path}/{name}/generation={generation}/writer=base/batch=-1"
+
+    def _write_empty(self, name: str, generation: int) -> None:
+        self._write(self.spark.range(0), name, self._base(name, generation))
 
     def _write_base(self, name: str, generation: int, rows: DataFrame) -> None:
         """The whole table in key order. Ranges over all key columns, so that a
         device with a large share of the rows is spread over several files."""
         key = self.tables[name][1]
-        folder = f"{self.path}/{name}/generation={generation}/writer=base/batch=-1"
-        self._write(rows.repartitionByRange(*key), name, folder)
+        self._write(rows.repartitionByRange(*key), name, self._base(name, generation))
 
     def _write(self, rows: DataFrame, name: str, folder: str) -> None:
         """Each file in key order; the partitions stay as the query made them."""

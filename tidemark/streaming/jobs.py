@@ -44,24 +44,62 @@ def watermarked(events: DataFrame, delay_ms: int = 1000) -> DataFrame:
     return events.withWatermark("event_time", tw.duration(delay_ms))
 
 
-def first_per_window(
+# First-level groups a message id is spread over in ``first_seen``.
+SPREAD = 8
+
+
+def one_per_window(
+    events: DataFrame, size_ms: int = tw.WINDOW_MS, slide_ms: int | None = None, last: bool = False
+) -> DataFrame:
+    """First (or last) record per message id and window of a watermarked stream,
+    emitted with ``window`` when the window closes. For append mode.
+
+    A grouped aggregate: copies are combined before the shuffle, so a message
+    id that floods the stream reaches its state partition as one row per task.
+    The earliest arrival wins, ties go by the payload.
+    """
+    rest = [c for c in ("arrival", *codec.PAYLOAD_FIELDS[1:]) if c in events.columns]
+    pick = F.max if last else F.min
+    return (
+        events.groupBy("message_id", tw.window_of(F.col("event_time"), size_ms, slide_ms).alias("window"))
+        .agg(pick(F.struct(*rest)).alias("_row"))
+        .select("message_id", "window", *[f"_row.{c}" for c in rest])
+    )
+
+
+def _spread(events: DataFrame) -> DataFrame:
+    """``_salt`` by input task and arrival: the same again when a task is run
+    again, and different for the copies of a flooding message id."""
+    seed = [F.spark_partition_id()] + [F.col("arrival")] * ("arrival" in events.columns)
+    return events.withColumn("_salt", F.pmod(F.xxhash64(*seed), F.lit(SPREAD)))
+
+
+def first_seen(
     events: DataFrame, size_ms: int = tw.WINDOW_MS, slide_ms: int | None = None
 ) -> DataFrame:
-    """First record per message id and window of a watermarked stream; adds
-    ``window``. The state of a closed window is dropped."""
+    """The record per message id and window that arrives first, passed on at
+    once with ``window``. For update mode, or append without waiting.
+
+    ``dropDuplicates`` on a stream shuffles every copy, so it is applied twice:
+    per salt, which splits a hot id, and on what is left. Among copies in one
+    micro-batch any may be taken.
+    """
     windowed = events.withColumn("window", tw.window_of(F.col("event_time"), size_ms, slide_ms))
-    return windowed.dropDuplicates(["message_id", "window"])
+    salted = _spread(windowed).dropDuplicates(["message_id", "window", "_salt"])
+    return salted.drop("_salt").dropDuplicates(["message_id", "window"])
 
 
 def first_within_watermark(events: DataFrame) -> DataFrame:
     """One record per message id whatever its window, remembered for the
     watermark delay. Make windows after it: it allows one event-time column."""
-    return events.dropDuplicatesWithinWatermark(["message_id"])
+    salted = _spread(events).dropDuplicatesWithinWatermark(["message_id", "_salt"])
+    return salted.drop("_salt").dropDuplicatesWithinWatermark(["message_id"])
 
 
 def window_sums(
     messages: DataFrame,
     mode: str = "event",
+    emit: str = "append",
     delay_ms: int = 1000,
     deduplicate: bool = True,
     measure=PLAIN,
@@ -69,14 +107,15 @@ def window_sums(
     size_ms: int = tw.WINDOW_MS,
     slide_ms: int | None = None,
 ) -> DataFrame:
-    """The main job. Append emits a window once it is closed; update emits each
-    change and goes with an upsert; complete needs a bounded key space."""
+    """The main job. ``emit`` is the output mode it will run in: append emits a
+    window once it is closed, update emits each change and goes with an upsert."""
     events = watermarked(with_time(events_of(messages), mode), delay_ms)
-    return sums_of(events, deduplicate, measure, label, size_ms, slide_ms)
+    return sums_of(events, emit, deduplicate, measure, label, size_ms, slide_ms)
 
 
 def sums_of(
     events: DataFrame,
+    emit: str = "append",
     deduplicate: bool = True,
     measure=PLAIN,
     label: str = "end",
@@ -84,10 +123,12 @@ def sums_of(
     slide_ms: int | None = None,
 ) -> DataFrame:
     """The same from a stream that already has its watermark."""
-    if deduplicate:
-        windowed = first_per_window(events, size_ms, slide_ms)
-        return aggregate.window_sums(windowed, None, measure, label)
-    return aggregate.window_sums(events, "event_time", measure, label, size_ms, slide_ms)
+    if emit not in ("append", "update"):
+        raise ValueError(f"emit must be 'append' or 'update', not {emit!r}")
+    if not deduplicate:
+        return aggregate.window_sums(events, "event_time", measure, label, size_ms, slide_ms)
+    single = one_per_window if emit == "append" else first_seen
+    return aggregate.window_sums(single(events, size_ms, slide_ms), None, measure, label)
 
 
 def complete_sums(messages: DataFrame, measure=PLAIN) -> DataFrame:
@@ -99,7 +140,7 @@ def complete_sums(messages: DataFrame, measure=PLAIN) -> DataFrame:
 def debug_rows(messages: DataFrame, mode: str = "event", delay_ms: int = 1000) -> DataFrame:
     """Each deduplicated event with its window as debug text."""
     events = watermarked(with_time(events_of(messages), mode), delay_ms)
-    return aggregate.debug_rows(first_per_window(events))
+    return aggregate.debug_rows(first_seen(events))
 
 
 def word_count(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -139,10 +180,4 @@ def changelog_sums(messages: DataFrame, mode: str = "ingestion", delay_ms: int =
     """Last copy per message and window, then the sums, in append mode: the
     sums see each message once, after its window has closed."""
     events = watermarked(with_time(events_of(messages), mode), delay_ms)
-    rest = ["device_id", "category", "measure1", "measure2"]
-    last = (
-        events.groupBy("message_id", tw.window_of(F.col("event_time")).alias("window"))
-        .agg(F.max(F.struct("arrival", *rest)).alias("_row"))
-        .select("window", *[f"_row.{c}" for c in rest])
-    )
-    return aggregate.window_sums(last, None, measure)
+    return aggregate.window_sums(one_per_window(events, last=True), None, measure)
