@@ -62,3 +62,24 @@ def test_payload_round_trip(spark):
     columns = [*codec.PAYLOAD_FIELDS, "send_ms"]
     assert rows(good.select(*columns)) == rows(feed.select(*columns))
     assert quarantine.count() == 0
+
+
+def test_json_field_forms(spark):
+    """The pattern for the plain form and the JSON parser give the same."""
+    forms = [
+        '{"k": 7}', '{"k":-12}', ' { "k" : 0 } ', '{"k": 007}', '{"a": 1, "k": 5}', '{"k": "9"}',
+        '{"x": {"k": 1}}', '{}', "", None, '{"k": 123456789012345678}',
+    ]
+    df = spark.createDataFrame([(f,) for f in forms], "props string")
+    got = df.select(
+        feeds._k(F.col("props")).alias("fast"), F.get_json_object("props", "$.k").cast("bigint").alias("json")
+    ).collect()
+    assert all(r.fast == r.json for r in got)
+    assert [r.fast for r in got][:3] == [7, -12, 0] and got[4].fast == 5 and got[6].fast is None
+
+
+def test_resend_of_derived_rows_equals_the_feed(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    originals = feeds.mark_late(feeds.base_feed(feeds.readings(events)))
+    copies = feeds.build_feed(events).filter("patterncode = 're'")
+    assert rows(feeds.resend(originals)) == rows(copies)
