@@ -268,6 +268,26 @@ def test_idle_watermark_closes_the_last_window(spark, tmp_path):
     assert out.batches == [[(label, "d", "c", 7, 2.0)]]
 
 
+def test_print_stream(spark, folder):
+    query = sinks.print_stream(text_stream(spark, folder))
+    query.processAllAvailable()
+    query.stop()
+    assert sum(p["numInputRows"] for p in query.recentProgress) == sum(map(len, FILES))
+    assert "Console" in query.lastProgress["sink"]["description"]
+
+
+def test_files_per_micro_batch_are_bounded(spark, folder):
+    t = KeyedTables(spark, work_dir(spark, "files"))
+    t.init()
+    write = sinks.upsert_into(t, "agg_events", "job", sinks.downstream, files=1)
+    with sinks.stream_settings(spark, state_partitions=4):
+        stream = text_stream(spark, folder)
+        job = jobs.window_sums(stream, emit="update")
+        sinks.run_available(job, "update", work_dir(spark, "cp"), write)
+    files = t.log("agg_events").select("batch", F.input_file_name().alias("file")).distinct()
+    assert files.groupBy("batch").count().filter("count > 1").count() == 0 and files.count() > 1
+
+
 def test_settings_are_put_back(spark):
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)

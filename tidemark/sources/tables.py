@@ -102,9 +102,16 @@ class KeyedTables:
 
     # -- rows ----------------------------------------------------------------
 
-    def write(self, name: str, rows: DataFrame, writer: str, batch: int = 0) -> None:
-        """Upsert ``rows``; columns they lack are NULL."""
+    def write(self, name: str, rows: DataFrame, writer: str, batch: int = 0,
+              files: int | None = None) -> None:
+        """Upsert ``rows``; columns they lack are NULL.
+
+        ``files`` bounds the files of the batch. A stream needs it: adaptive
+        execution does not merge its partitions, one per state partition.
+        """
         key = self.tables[name][1]
+        if files is not None:
+            rows = rows.repartition(files, *key)
         self._write(
             upsert.require_keys(rows, key), name, f"{self._folder(name)}/writer={writer}/batch={batch}"
         )

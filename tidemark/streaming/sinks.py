@@ -31,11 +31,12 @@ def stream_settings(spark: SparkSession, idle: bool = False, state_partitions: i
 
 
 def upsert_into(tables: KeyedTables, name: str, writer: str,
-                shape: Callable[[DataFrame], DataFrame] = lambda df: df):
-    """``foreachBatch`` function. A repeated batch replaces its own rows."""
+                shape: Callable[[DataFrame], DataFrame] = lambda df: df, files: int = 8):
+    """``foreachBatch`` function. A repeated batch replaces its own rows.
+    ``files`` is the number of files per micro-batch."""
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        tables.write(name, shape(rows), writer, batch_id)
+        tables.write(name, shape(rows), writer, batch_id, files)
 
     return write
 
@@ -45,7 +46,7 @@ def downstream(rows: DataFrame) -> DataFrame:
 
 
 def microbatch_into(tables: KeyedTables, writer: str, measure=PLAIN,
-                    batch_time: Callable[[int], int] | None = None):
+                    batch_time: Callable[[int], int] | None = None, files: int = 8):
     """``foreachBatch`` function of the micro-batch job: last copy per message
     inside the batch, sums per device and category, labelled with the time of
     the batch. Copies that arrive in different batches count each time.
@@ -69,7 +70,7 @@ def microbatch_into(tables: KeyedTables, writer: str, measure=PLAIN,
             F.col("m1").alias("m1_sum"),
             measure.unpack(F.col("m2")).alias("m2_sum"),
         )
-        tables.write("agg_events", downstream(rows), writer, batch_id)
+        tables.write("agg_events", downstream(rows), writer, batch_id, files)
 
     return write
 
@@ -96,3 +97,8 @@ def run_forever(query: DataFrame, mode: str, checkpoint: str, write, every: str
         .foreachBatch(write)
         .start()
     )
+
+
+def print_stream(stream: DataFrame):
+    """Print a stream, for instance the messages of a topic as they come."""
+    return stream.writeStream.outputMode("append").format("console").option("truncate", False).start()
