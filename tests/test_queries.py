@@ -4,10 +4,12 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle
+from tidemark.plans.oracles import ORACLES
+from tidemark.plans.queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = REGISTRY
+SQL = ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +27,10 @@ def test_only_the_unordered_limit_has_no_sql():
     assert set(QUERIES) - set(SQL) == {"limit_n"} and set(SQL) <= set(QUERIES)
 
 
+def test_entry_offers_them_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 7
 
