@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from typing import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, url_filter
+from tidemark.llm import byte_bpe, exact_dedup, language_id, license_scan, token_counts, url_filter
 from tidemark.llm.common import table
 from tidemark.llm.oracles import ORACLES  # noqa: F401
 from tidemark.session import staged
@@ -26,6 +27,29 @@ def op2_url_filter(spark, sf_dir):
     return url_filter.judge(pages, listed)
 
 
+@query
+def op3_license_scan(spark, sf_dir):
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_byte_bpe(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 @query
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(language_id.learnable(docs)))
+
+
+@query
+def op9_token_counts(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.by_section(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
