@@ -7,10 +7,10 @@ from typing import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, exact_dedup, language_id, license_scan, token_counts, url_filter
+from tidemark.llm import byte_bpe, exact_dedup, language_id, license_scan, token_counts, token_files, url_filter
 from tidemark.llm.common import table
 from tidemark.llm.oracles import ORACLES  # noqa: F401
-from tidemark.session import staged
+from tidemark.session import staged, work_dir
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -43,6 +43,12 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_token_files(spark, sf_dir):
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return token_files.write_and_check(spark, table(spark, sf_dir, "documents"), work_dir(spark, "tokens"), vocabulary)
+
+
 @query
 def op8_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
