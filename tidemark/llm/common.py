@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Rows of an Arrow batch sent to Python at most. Texts of a hundred kB then take a hundred MB at most.
 BATCH_ROWS = 1000
@@ -29,3 +29,26 @@ def clean_text(text: str | Column = "text") -> Column:
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def hashed_sample(rows: DataFrame, key: str, each: int, keys: int, *order: str) -> DataFrame:
+    """Up to ``each`` rows of every value of ``key``, by a hash of ``doc_id``, for at
+    most ``keys`` values, the most frequent ones. Adds ``sample_rank`` and
+    ``sample_total``, the rows that the value has in all. ``order`` breaks ties.
+
+    A threshold on the hash leaves about twice the wanted rows of a value, so that
+    the ranking never holds a large group."""
+    marked = rows.withColumn("sample_hash", F.xxhash64("doc_id", F.lit("sample")))
+    totals = {
+        r[0]: r[1]
+        for r in marked.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        .orderBy(F.desc("n"), key).limit(keys).collect()
+    }
+    share, total = F.lit(0.0), F.lit(0).cast("bigint")
+    for value, n in totals.items():
+        share = F.when(F.col(key) == value, F.lit(min(1.0, 2 * each / n))).otherwise(share)
+        total = F.when(F.col(key) == value, F.lit(n).cast("bigint")).otherwise(total)
+    place = F.pmod(F.col("sample_hash"), F.lit(1 << 30)) / float(1 << 30)
+    near = marked.withColumn("sample_total", total).where((F.col("sample_total") > 0) & (place < share))
+    first = Window.partitionBy(key).orderBy("sample_hash", *order)
+    return near.withColumn("sample_rank", F.row_number().over(first)).where(F.col("sample_rank") <= each).drop("sample_hash")

@@ -22,9 +22,9 @@ from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.llm.common import bounded_batches
+from tidemark.llm.common import bounded_batches, hashed_sample
 
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 1200
@@ -52,21 +52,11 @@ def fit(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS)
     """Dictionaries from rows with ``doc_id, text, lang``. At most ``MAX_LANGUAGES``
     languages and ``docs`` rows of each come to the driver."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
-        "doc_id", "lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id", F.lit("sample")).alias("h")
+        "doc_id", "lang", F.substring("text", 1, chars).alias("text")
     )
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
-        return {}
-    # A hash threshold leaves about twice the wanted rows of each language; the order by hash cuts the rest.
-    limits = {lang: min(1.0, 2 * docs / n) for lang, n in counts.items()}
-    share = F.lit(0.0)
-    for lang, limit in limits.items():
-        share = F.when(F.col("lang") == lang, F.lit(limit)).otherwise(share)
-    place = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)
-    first = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
-    sample = rows.where(place <= share).withColumn("k", F.row_number().over(first)).where(F.col("k") <= docs)
+    sample = hashed_sample(rows, "lang", docs, MAX_LANGUAGES, "doc_id", "text")
     found: dict[str, list[bytes]] = {}
-    for row in sorted(sample.collect(), key=lambda r: (r.lang, r.k)):
+    for row in sorted(sample.collect(), key=lambda r: (r.lang, r.sample_rank)):
         found.setdefault(row.lang, []).append(letters_of(row.text))
     return {lang: b" ".join(dict.fromkeys(texts))[:DICTIONARY_BYTES] for lang, texts in sorted(found.items())}
 

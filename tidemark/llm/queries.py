@@ -7,7 +7,7 @@ from typing import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, exact_dedup, language_id, license_scan, token_counts, token_files, url_filter
+from tidemark.llm import byte_bpe, embedding_dedup, exact_dedup, language_id, license_scan, source_mixing, token_counts, token_files, url_filter
 from tidemark.llm.common import table
 from tidemark.llm.oracles import ORACLES  # noqa: F401
 from tidemark.session import staged, work_dir
@@ -20,6 +20,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op2_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
@@ -59,3 +64,9 @@ def op8_language_id(spark, sf_dir):
 def op9_token_counts(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return token_counts.by_section(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query
+def op10_source_mixing(spark, sf_dir):
+    labels = source_mixing.domains_of(table(spark, sf_dir, "labels"))
+    return source_mixing.mix(table(spark, sf_dir, "documents"), labels)
