@@ -7,7 +7,7 @@ from typing import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, embedding_dedup, exact_dedup, language_id, license_scan, source_mixing, token_counts, token_files, url_filter
+from tidemark.llm import byte_bpe, embedding_dedup, exact_dedup, language_id, license_scan, ngram_join, source_mixing, token_counts, token_files, url_filter
 from tidemark.llm.common import table
 from tidemark.llm.oracles import ORACLES  # noqa: F401
 from tidemark.session import staged, work_dir
@@ -54,6 +54,11 @@ def op6_token_files(spark, sf_dir):
     return token_files.write_and_check(spark, table(spark, sf_dir, "documents"), work_dir(spark, "tokens"), vocabulary)
 
 
+@query
+def op7_ngram_join(spark, sf_dir):
+    return ngram_join.members(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
