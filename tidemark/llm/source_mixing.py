@@ -41,7 +41,7 @@ EPOCHS = 400
 PENALTY = 1e-4
 DECIMALS = 2
 STEPS = 200
-TOLERANCE = 1e-5
+TOLERANCE = 1e-4
 UPPER = bytes(range(65, 91))
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
