@@ -1,0 +1,26 @@
+"""Small documents with the cases that every operator must survive."""
+
+DDL = "doc_id bigint, text string, lang string, source string, digest string, ids int, kept boolean, n_tokens int"
+
+LONG = " ".join(f"word{i % 997} thing{i}" for i in range(30_000))
+BASE = "the quick brown fox jumps over the lazy dog while seven green birds sing near an old stone bridge at dawn"
+TEXTS = [
+    (1, BASE), (2, BASE.replace(" ", "\t\n ")), (3, BASE + " again"), (4, BASE.upper()), (5, None), (6, ""), (7, "   \n"),
+    (8, "one two three"), (9, "One  two three"), (10, LONG), (11, LONG + " end"), (12, "Grüße aus Köln, 123 – déjà vu 😀"),
+    (13, "Licensed under the MIT License. SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only"),
+    (None, "a row without a number"), (None, None), (14, "one two three"), (14, "one two three"), (15, "!!! ??? 12 34"),
+    (16, "a" * 5000), (17, "\u00a0\u2003x\u0085y"),
+]
+
+
+def documents(spark, texts=TEXTS):
+    """With extra columns whose names clash with results of the operators."""
+    return spark.createDataFrame([(i, t, "en" if i else None, "s", "x", 7, False, 3) for i, t in texts], DDL)
+
+
+def empty(spark):
+    return spark.createDataFrame([], DDL)
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=lambda r: tuple((v is not None, str(type(v)), v) for v in r))

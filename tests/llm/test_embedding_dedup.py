@@ -1,0 +1,107 @@
+from collections import Counter
+
+import numpy as np
+import pytest
+from fixtures import rows
+from tidemark.llm import embedding_dedup as near
+from tidemark.llm.components import components
+
+DDL = "vec_id bigint, embedding array<float>, label int, kept string, n_links int"
+
+
+def frame(spark, held):
+    return spark.createDataFrame([(i, None if e is None else [None if v is None else float(v) for v in e], l, "x", 1) for i, e, l in held], DDL)
+
+
+def brute(held, threshold=0.93):
+    good = [
+        k for k, (i, e, l) in enumerate(held)
+        if i is not None and l is not None and e is not None and all(v is not None and np.isfinite(v) for v in e) and any(e)
+    ]
+    x = {k: np.array(np.array(held[k][1], np.float32), float) for k in good}
+    x = {k: v / np.linalg.norm(v) for k, v in x.items()}
+    links = {k: [m for m in good if m != k and held[m][2] == held[k][2] and len(x[m]) == len(x[k]) and x[m] @ x[k] >= threshold] for k in good}
+    out = []
+    for k, (i, _, _) in enumerate(held):
+        seen, todo = {k}, [k]
+        while todo:
+            for m in links.get(todo.pop(), []):
+                if m not in seen:
+                    seen.add(m)
+                    todo.append(m)
+        least = min((held[m][0] for m in seen if held[m][0] is not None), default=None)
+        out.append((i, len(links.get(k, [])), least, i == least))
+    return sorted(out, key=lambda r: tuple((v is not None, v) for v in r))
+
+
+def clouds(n, groups, seed=5, spread=0.05, d=16):
+    rnd = np.random.default_rng(seed)
+    centers = rnd.normal(size=(groups, d))
+    return [(int(i), centers[i % groups] + spread * rnd.normal(size=d), int(i % groups % 3)) for i in rnd.permutation(n)]
+
+
+def test_cases(spark):
+    one = [1.0, 2.0, 3.0]
+    held = [
+        (5, one, 1), (4, one, 1), (9, [2.0, 4.0, 6.0], 1), (3, one, 2), (6, one, None), (7, None, 1), (8, [0.0, 0.0, 0.0], 1),
+        (10, [1.0, float("nan"), 3.0], 1), (11, [1.0, None, 3.0], 1), (12, [float("inf"), 2.0, 3.0], 1), (13, [], 1), (14, [1.0, 2.0], 1),
+        (None, one, 1), (5, one, 1), (20, [1e-30, 0.0, 0.0], 3), (21, [1e30, 0.0, 0.0], 3), (22, [1.0, 0.38, 0.0], 3), (23, [1.0, 0.42, 0.0], 3),
+    ]
+    assert rows(near.dedup(frame(spark, held))) == rows_of(brute(held))
+
+
+def rows_of(found):
+    return sorted(found, key=lambda r: tuple((v is not None, str(type(v)), v) for v in r))
+
+
+@pytest.mark.parametrize("block, cell_rows", [(1024, 512), (7, 20)])
+def test_clouds(spark, block, cell_rows):
+    """Many cells, and cells of many blocks."""
+    held = clouds(600, 40) + clouds(100, 100, seed=9, spread=1.0)
+    held = [(k, e, l) for k, (_, e, l) in enumerate(held)]
+    assert rows(near.dedup(frame(spark, held), block=block, cell_rows=cell_rows)) == rows_of(brute(held))
+
+
+def test_recall_of_cells_at_the_threshold(spark):
+    """Pairs just above the threshold are found across cells."""
+    rnd = np.random.default_rng(1)
+    held = []
+    for k in range(300):
+        a = rnd.normal(size=64)
+        a /= np.linalg.norm(a)
+        b = rnd.normal(size=64)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        held += [(2 * k, a, 0), (2 * k + 1, 0.935 * a + np.sqrt(1 - 0.935**2) * b, 0)]
+    got = near.dedup(frame(spark, held), cell_rows=20).collect()
+    assert sum(r.n_links for r in got) >= 0.99 * 600
+
+
+def test_a_hot_vector(spark):
+    """A third of all rows are one vector; they are one class and no pairs."""
+    held = [(i, [1.0, 1.0, 0.0] if i % 3 == 0 else [1.0, float(i), 0.5], 0) for i in range(900)]
+    assert rows(near.dedup(frame(spark, held), block=50)) == rows_of(brute(held))
+
+
+def test_empty(spark):
+    assert near.dedup(frame(spark, [])).count() == 0
+    assert rows(near.dedup(frame(spark, [(1, None, 1)]))) == [(1, 0, 1, True)]
+
+
+def test_components(spark):
+    rnd = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rnd.integers(0, 400, size=(250, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2100)] + [(7, 7), (3, 4), (4, 3)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
+    assert got == {x: find(x) for x in parent}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    assert Counter(got.values())[2000] == 100
