@@ -56,12 +56,15 @@ def test_strict_parsing_fails_even_when_no_checked_column_is_used(spark, message
 FIELD = st.text(alphabet=st.characters(blacklist_characters="|", blacklist_categories=("Cs", "Cc")), max_size=8)
 
 
+NAME = FIELD.filter(bool)
+
+
 @settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
 @given(
     st.lists(
         st.tuples(
-            FIELD, FIELD, st.integers(tw.MIN_MS, tw.MAX_MS), FIELD,
-            st.integers(-(2**63), 2**63 - 1), st.floats(allow_nan=False),
+            NAME, NAME, st.integers(tw.MIN_MS, tw.MAX_MS), NAME,
+            st.integers(-(2**63), 2**63 - 1), st.floats(allow_nan=False, allow_infinity=False),
         ),
         min_size=1, max_size=20,
     )
@@ -140,3 +143,40 @@ def test_window_key_text(spark):
 def test_lateness(spark):
     got = spark.range(1).select(tw.lateness_seconds(F.lit(5000), F.lit(2500))).first()[0]
     assert got == 2.5
+
+
+def test_faults_are_quarantined_and_nothing_is_lost(spark):
+    lines = [
+        "a|d|1000|c|1|1.5", "|d|1000|c|1|1.0", "|d|1001|c|2|1.0", "a||1002|c|4|1.0", "a|d|1002||4|1.0", "||1002||4|1.0",
+        "a|d|1|c|1|NaN", "a|d|1|c|1|Infinity", "a|d|1|c|1|-Infinity", "a|d|1|c|1|1e300", "a|d|1|c|1|0.125",
+    ]
+    parsed = codec.parse_payload(spark.createDataFrame([(line,) for line in lines], "value string"), scale=2)
+    good, quarantine = codec.split_valid(parsed)
+    assert [r.measure2 for r in good.collect()] == [1.5]
+    reasons = {r.value: r.reason for r in quarantine.collect()}
+    assert len(reasons) == 10 and reasons["|d|1001|c|2|1.0"] == "empty message_id" and reasons["a||1002|c|4|1.0"] == "empty device_id"
+    assert reasons["a|d|1002||4|1.0"] == "empty category"
+    assert [reasons[line] for line in lines[6:11]] == ["bad measure2"] * 5
+    plain = codec.split_valid(codec.parse_payload(spark.createDataFrame([(lines[10],)], "value string")))[0]
+    assert plain.first().measure2 == 0.125
+
+
+def test_finer_readings_fail_and_are_not_rounded(spark):
+    from tidemark.functions.measures import CENTS
+
+    values = spark.createDataFrame([(0.07,), (123456789.13,), (None,), (-1e9,)], "v double")
+    assert values.agg(F.sum(CENTS.pack(F.col("v")))).first()[0] == 7 + 12345678913 - 10**11
+    with pytest.raises(Exception, match="more than 2 decimals"):
+        spark.createDataFrame([(0.125,)], "v double").select(CENTS.pack(F.col("v"))).collect()
+
+
+def test_a_property_that_is_no_number_reaches_the_quarantine(spark):
+    from tidemark.operators import feed as feeds
+
+    events = spark.createDataFrame(
+        [(0, 1, "c", '{"k": "x"}', 1.0), (1, 1, "c", '{"k": 5}', float("nan")), (2, 1, "c", '{"k": 5}', 1.0)],
+        "event_id bigint, user_id bigint, event_type string, props string, value double",
+    )
+    good, quarantine = feeds.from_payload(feeds.to_payload(feeds.build_feed(events)), 2)
+    assert {r.reason for r in quarantine.collect()} == {"bad measure1", "bad measure2"}
+    assert {r.message_id for r in good.collect()} == {"dev-1-2"}

@@ -3,14 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from tidemark.functions.measures import CENTS
 from tidemark.operators import aggregate, dedup, feed as feeds, lateness, reconcile
+from tidemark.plans.queries import REGISTRY
 from tidemark.session import session_conf, staged
 
 SF = "/root/testdata/sf0.001"
 STORED = ("stream_", "scenario_", "wordcount_stream", "dedup_within", "raw_", "scan_", "table_")
-BATCH = [n for n in entry.queries() if not n.startswith(STORED)]
+BATCH = [n for n in REGISTRY if not n.startswith(STORED)]
 
 
 def plan_of(df) -> str:
@@ -24,7 +24,7 @@ def feed(spark):
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_cross_join_and_no_python(spark, name):
-    plan = plan_of(entry.queries()[name](spark, SF))
+    plan = plan_of(REGISTRY[name](spark, SF))
     for word in ("Cartesian", "NestedLoop", "Python", "Pandas", "Arrow"):
         assert word not in plan
 

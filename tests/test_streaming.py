@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import LINES, rows
-from test_lateness import make
 from tidemark.functions import timewin as tw
 from tidemark.functions.measures import CENTS
 from tidemark.operators import aggregate, feed as feeds, lateness
@@ -217,36 +216,6 @@ def test_microbatch_label_defaults_to_the_clock(spark, messages):
     assert len(label) == 1 and int(label[0][0][-2:]) % 5 == 0
 
 
-def test_stream_equals_batch_with_look_back_two(spark, tmp_path, make_events):
-    """Every micro-batch carries data, so late rows are dropped by the watermark
-    of two batches before; one batch before gives another result here."""
-    first = {}
-    data = []
-    for r in sorted(make(9), key=lambda r: r[6]):
-        if r[6] < 1_030_000:  # copies of a message agree, as in the event contract
-            data.append((*first.setdefault(r[0], r)[:6], r[6]))
-    low = min(r[6] for r in data) // 5000
-    files = {}
-    for m, d, ms, c, m1, m2, send in data:
-        files.setdefault(send // 5000 - low, []).append(f"{m}|{d}|{ms}|{c}|{m1}|{m2}")
-    assert sorted(files) == list(range(len(files)))
-    closing = [[f"x{i}|closing|{4102444800000 + i * 100000}|c|0|0.0"] for i in range(3)]
-    write_files(f"{tmp_path}/in", [files[i] for i in sorted(files)] + closing)
-    got = run(spark, f"{tmp_path}/in", lambda m: jobs.window_sums(m, measure=CENTS), "append")
-    stream = sorted((r[0], r[1], r[2], r[3]) for b in got for r in b if r[1] != "closing")
-    by_look_back = {
-        k: sorted(
-            (r[0], r[1], r[2], r[3])
-            for r in rows(
-                aggregate.event_time_sums(make_events(data), lateness.LateRule(look_back=k), CENTS)
-            )
-        )
-        for k in (1, 2)
-    }
-    assert [k[:3] for k in stream] == [k[:3] for k in by_look_back[2]]
-    assert stream == by_look_back[2] != by_look_back[1]
-
-
 def test_idle_watermark_closes_the_last_window(spark, tmp_path):
     """Live timestamps and no further events: the clock closes the window."""
     now = int(time.time() * 1000)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import timewin as tw
+from tidemark.functions.measures import has_decimals
 
 # Field order and separator of the message payload.
 SEPARATOR = "|"
@@ -39,11 +40,18 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def parse_payload(df: DataFrame, value: str = "value") -> DataFrame:
+def finite(measure: Column) -> Column:
+    """The measure, NULL if it is infinite or not a number. NaN is above infinity."""
+    return F.when(F.abs(measure) < float("inf"), measure)
+
+
+def parse_payload(df: DataFrame, value: str = "value", scale: int | None = None) -> DataFrame:
     """Add the typed event columns and ``reason``.
 
     ``reason`` is NULL for a good line and otherwise names the first fault, so
-    a bad line neither stops the job nor vanishes. Other columns are kept.
+    a bad line neither stops the job nor vanishes. With ``scale``, a second
+    measure of more decimals, or too large to count in them, is a fault. Other
+    columns are kept.
     """
     keep = list(df.columns)
 
@@ -58,14 +66,19 @@ def parse_payload(df: DataFrame, value: str = "value") -> DataFrame:
         F.when(millis.between(tw.MIN_MS, tw.MAX_MS), millis).alias("device_ms"),
         field(3).alias("category"),
         field(4).try_cast("bigint").alias("measure1"),
-        field(5).try_cast("double").alias("measure2"),
+        finite(field(5).try_cast("double")).alias("measure2"),
     )
+    blank = {name: F.coalesce(F.col(f"_event.{name}"), F.lit("")) == "" for name in PAYLOAD_FIELDS}
+    finer = F.lit(False) if scale is None else ~has_decimals(F.col("_event.measure2"), scale)
     reason = (
         F.when(F.col(value).isNull(), "empty value")
         .when(F.col("_event.n") < len(PAYLOAD_FIELDS), "too few fields")
+        .when(blank["message_id"], "empty message_id")
+        .when(blank["device_id"], "empty device_id")
         .when(F.col("_event.device_ms").isNull(), "bad timestamp")
+        .when(blank["category"], "empty category")
         .when(F.col("_event.measure1").isNull(), "bad measure1")
-        .when(F.col("_event.measure2").isNull(), "bad measure2")
+        .when(F.col("_event.measure2").isNull() | finer, "bad measure2")
     )
     return (
         df.select(*keep, _once(F.split(F.col(value), r"\|", -1)).alias("_parts"))
@@ -91,9 +104,9 @@ def split_valid(parsed: DataFrame, value: str = "value") -> tuple[DataFrame, Dat
     return good, quarantine
 
 
-def parse_strict(df: DataFrame, value: str = "value") -> DataFrame:
+def parse_strict(df: DataFrame, value: str = "value", scale: int | None = None) -> DataFrame:
     """Parse and fail the job on the first bad line."""
-    parsed = parse_payload(df, value)
+    parsed = parse_payload(df, value, scale)
     fault = F.raise_error(F.concat(F.col("reason"), F.lit(": "), F.coalesce(value, F.lit("NULL"))))
     # A filter, because an unused checked column would be pruned.
     passed = F.when(F.col("reason").isNull(), F.lit(True)).otherwise(fault.cast("boolean"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions import codec, timewin as tw
 from tidemark.functions.measures import PLAIN
 from tidemark.operators import dedup, lateness
+from tidemark.session import staged
 
 KEYS = ("device_id", "category")
 
@@ -19,9 +20,11 @@ def _summed_columns(feed: DataFrame, *also: Column | str) -> DataFrame:
 
 def sum_by(df: DataFrame, keys: list[str], measure=PLAIN) -> DataFrame:
     """Packed sums ``m1`` and ``m2``: partial per task, then final."""
-    return df.groupBy(*keys).agg(
-        F.sum("measure1").alias("m1"), F.sum(measure.pack(F.col("measure2"))).alias("m2")
-    )
+    return df.groupBy(*keys).agg(*_sums(measure))
+
+
+def _sums(measure) -> list[Column]:
+    return [F.sum("measure1").alias("m1"), F.sum(measure.pack(F.col("measure2"))).alias("m2")]
 
 
 def labelled(sums: DataFrame, measure=PLAIN, label: str = "end") -> DataFrame:
@@ -50,8 +53,17 @@ def window_sums(
     return labelled(sum_by(df, ["window", *KEYS], measure), measure, label)
 
 
+def _first_copies(feed: DataFrame, rule, size_ms: int) -> DataFrame:
+    """First copy per message and window in the rule's order of arrival, with ``batch``."""
+    extra = ["device_ms"] + [rule.arrival] * (rule.arrival != "send_ms")
+    first = dedup.first_per_window(
+        _summed_columns(feed, *extra), tw.to_timestamp(F.col("device_ms")), size_ms, arrival=rule.arrival
+    )
+    return first.withColumn("batch", rule.batch())
+
+
 def event_time_parts(feed: DataFrame, rule=lateness.DEFAULT, measure=PLAIN,
-                     size_ms: int = tw.WINDOW_MS) -> DataFrame:
+                     size_ms: int = tw.WINDOW_MS, copies_agree: bool = True) -> DataFrame:
     """Deduplicated on-time sums per (batch, window, device, category), packed.
 
     Copies of a message in one window share its end, and the watermark only
@@ -59,13 +71,19 @@ def event_time_parts(feed: DataFrame, rule=lateness.DEFAULT, measure=PLAIN,
     is on time. Deduplicating first is therefore the same as dropping late rows
     first, and whether a row is late depends on (batch, window) alone. The
     watermark is thus joined to these sums and not to the events.
+
+    Where the copies of a message in one window have one device time, as the
+    event contract says, a later copy can't raise the watermark. It then follows
+    from the sums, which are staged, and the feed is read once. Otherwise pass
+    ``copies_agree=False``, and the feed is read once more for it.
     """
-    extra = ["device_ms"] + [rule.arrival] * (rule.arrival != "send_ms")
-    first = dedup.first_per_window(
-        _summed_columns(feed, *extra), tw.to_timestamp(F.col("device_ms")), size_ms
-    )
-    per_batch = sum_by(first.withColumn("batch", rule.batch()), ["batch", "window", *KEYS], measure)
-    return lateness.drop_late(per_batch, lateness.batch_watermarks(feed, rule))
+    first = _first_copies(feed, rule, size_ms)
+    keys = ["batch", "window", *KEYS]
+    if not copies_agree:
+        return lateness.drop_late(sum_by(first, keys, measure), lateness.batch_watermarks(feed, rule))
+    per_batch = staged(first.groupBy(*keys).agg(*_sums(measure), F.max("device_ms").alias("high")))
+    watermarks = lateness.running_watermarks(per_batch.groupBy("batch").agg(F.max("high").alias("high")), rule)
+    return lateness.drop_late(per_batch.drop("high"), watermarks)
 
 
 def event_time_sums(feed: DataFrame, rule=lateness.DEFAULT, measure=PLAIN, label: str = "end",
@@ -82,11 +100,7 @@ def event_time_rows(feed: DataFrame, rule=lateness.DEFAULT, size_ms: int = tw.WI
     ``window``. See ``lateness.late_rows`` about ``watermarks``."""
     if watermarks is None:
         watermarks = lateness.batch_watermarks(feed, rule)
-    extra = ["device_ms"] + [rule.arrival] * (rule.arrival != "send_ms")
-    first = dedup.first_per_window(
-        _summed_columns(feed, *extra), tw.to_timestamp(F.col("device_ms")), size_ms
-    )
-    return lateness.drop_late(first.withColumn("batch", rule.batch()), watermarks)
+    return lateness.drop_late(_first_copies(feed, rule, size_ms), watermarks)
 
 
 def arrival_time_sums(feed: DataFrame, measure=PLAIN, label: str = "end",

@@ -28,6 +28,7 @@ class FeedPlan:
 
 DEFAULT = FeedPlan()
 
+# The columns of a feed.
 FEED_COLUMNS = (
     "s", "message_id", "device_id", "category", "measure1", "measure2",
     "send_ms", "device_ms", "patterncode",
@@ -40,11 +41,11 @@ def _mixed(s: Column, factor: int, modulus: int) -> Column:
 
 
 def _k(props: Column) -> Column:
-    """Field ``k`` of a JSON object. An object that holds nothing else is read
+    """Field ``k`` of a JSON object, NULL if it is no whole number. An object that holds nothing else is read
     by a pattern, at a quarter of the cost; all others go to the JSON parser."""
     only_k = F.regexp_extract(props, r'^\s*\{\s*"k"\s*:\s*(0|-?[1-9]\d{0,17})\s*\}\s*$', 1)
     return F.coalesce(
-        F.when(only_k != "", only_k.cast("bigint")), F.get_json_object(props, "$.k").cast("bigint")
+        F.when(only_k != "", only_k.cast("bigint")), F.get_json_object(props, "$.k").try_cast("bigint")
     )
 
 
@@ -55,7 +56,7 @@ def readings(events: DataFrame, plan: FeedPlan = DEFAULT, keep: tuple[str, ...]
         F.concat(F.lit("dev-"), (F.col("user_id") % plan.devices).cast("string")).alias("device_id"),
         F.col("event_type").alias("category"),
         _k(F.col("props")).alias("measure1"),
-        F.col("value").alias("measure2"),
+        codec.finite(F.col("value")).alias("measure2"),
         *keep,
     )
 
@@ -135,7 +136,7 @@ def to_payload(feed: DataFrame) -> DataFrame:
     )
 
 
-def from_payload(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def from_payload(messages: DataFrame, scale: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(events with ``send_ms`` taken from the arrival time, quarantine)."""
-    good, quarantine = codec.split_valid(codec.parse_payload(messages))
+    good, quarantine = codec.split_valid(codec.parse_payload(messages, scale=scale))
     return good.withColumn("send_ms", F.unix_millis("arrival")), quarantine

@@ -22,20 +22,14 @@ class LateRule:
     """``arrival`` is the column that orders arrival, cut into batches of
     ``batch_ms``; with 1 its values are the batch numbers themselves.
 
-    ``look_back`` 1 is the ideal watermark, of the batch right before. 2 is a
-    Spark stream with chained stateful operators whose micro-batches all carry
-    data: late rows are dropped by a watermark that is one batch older.
+    The watermark is that of the batch right before, as in a stream that settles
+    between deliveries.
     """
 
     delay_ms: int = 1000
     batch_ms: int = 5000
-    look_back: int = 1
     arrival: str = "send_ms"
 
-    def __post_init__(self):
-        if self.look_back not in (1, 2):
-            raise ValueError("look_back must be 1 or 2")
-
     def batch(self) -> Column:
         return tw.floor_ms(F.col(self.arrival), self.batch_ms)
 
@@ -44,46 +38,28 @@ DEFAULT = LateRule()
 
 
 def batch_watermarks(feed: DataFrame, rule: LateRule = DEFAULT) -> DataFrame:
-    """(batch, watermark_ms), one row per arrival batch; NULL = none yet.
+    """(batch, watermark_ms), one row per arrival batch; NULL = none yet."""
+    return running_watermarks(
+        feed.groupBy(rule.batch().alias("batch")).agg(F.max("device_ms").alias("high")), rule
+    )
+
+
+def running_watermarks(highs: DataFrame, rule: LateRule = DEFAULT) -> DataFrame:
+    """The same from (batch, high), the highest device time of each batch.
 
     The running maximum is taken per block of batches and then over the block
     maxima. Only the second window is unpartitioned; its rows are bounded by
     the calendar (6 a year with 5 s batches), not by the volume of events.
     """
-    batches = (
-        feed.groupBy(rule.batch().alias("batch"))
-        .agg(F.max("device_ms").alias("high"))
-        .withColumn("block", tw.floor_ms(F.col("batch"), rule.batch_ms * BLOCK))
-    )
-    in_block = Window.partitionBy("block").orderBy("batch")
-    scanned = batches.withColumns(
-        {
-            "before": F.max("high").over(
-                in_block.rowsBetween(Window.unboundedPreceding, -rule.look_back)
-            ),
-            "but_last": F.max("high").over(in_block.rowsBetween(Window.unboundedPreceding, -1)),
-            "position": F.row_number().over(in_block),
-        }
-    )
-    blocks = scanned.groupBy("block").agg(
-        F.max("high").alias("high"), F.max_by("but_last", "batch").alias("but_last")
-    )
-    over_blocks = Window.orderBy("block")
-    all_before = F.max("high").over(over_blocks.rowsBetween(Window.unboundedPreceding, -1))
-    # What the first batch of a block sees when the batch right before it, the
-    # last of the previous block, does not count yet.
-    one_older = F.greatest(
-        F.max("high").over(over_blocks.rowsBetween(Window.unboundedPreceding, -2)),
-        F.lag("but_last").over(over_blocks),
-    )
-    carried = blocks.select(
-        "block",
-        all_before.alias("carry"),
-        (all_before if rule.look_back == 1 else one_older).alias("carry_first"),
+    batches = highs.withColumn("block", tw.floor_ms(F.col("batch"), rule.batch_ms * BLOCK))
+    before = Window.partitionBy("block").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    scanned = batches.withColumn("before", F.max("high").over(before))
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = scanned.groupBy("block").agg(F.max("high").alias("high")).select(
+        "block", F.max("high").over(earlier).alias("carry")
     )
-    carry = F.when(F.col("position") == 1, F.col("carry_first")).otherwise(F.col("carry"))
     return scanned.join(carried, "block", "left").select(
-        "batch", (F.greatest("before", carry) - rule.delay_ms).alias("watermark_ms")
+        "batch", (F.greatest("before", "carry") - rule.delay_ms).alias("watermark_ms")
     )
 
 

@@ -112,6 +112,7 @@ def is_exception():
     return ~F.col("delta_m1_sum_downstream_ingestdevice").eqNullSafe(F.lit(0))
 
 
+# Columns of the report and of the list of exceptions, in their order.
 REPORT = (
     "category", "window_time", "m1_sum_ingest_devicetime", "m1_sum_downstream",
     "delta_m1_sum_downstream_ingestdevice", "m1_sum_ingest_sendtime",

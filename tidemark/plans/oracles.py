@@ -20,7 +20,7 @@ FEED = """
 base AS (
   SELECT event_id AS s, 'dev-' || (user_id % 4) || '-' || event_id AS message_id,
          'dev-' || (user_id % 4) AS device_id, event_type AS category,
-         CAST(json_extract_string(props, '$.k') AS BIGINT) AS measure1, value AS measure2,
+         TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS measure1, value AS measure2,
          1704067200000 + event_id * 50 AS send_ms
   FROM events),
 orig AS (
@@ -160,11 +160,27 @@ ORACLES: dict[str, str] = {
                              '|x|' || CAST(measure2 AS VARCHAR)
                  WHEN 3 THEN message_id || '|' || device_id || '|' || device_ms || '|' || category ||
                              '|' || measure1 || '|'
-                 ELSE NULL END AS value,
+                 WHEN 4 THEN NULL
+                 WHEN 5 THEN '|' || device_id || '|' || device_ms || '|' || category || '|' ||
+                             measure1 || '|' || CAST(measure2 AS VARCHAR)
+                 WHEN 6 THEN message_id || '||' || device_ms || '|' || category || '|' ||
+                             measure1 || '|' || CAST(measure2 AS VARCHAR)
+                 WHEN 7 THEN message_id || '|' || device_id || '|' || device_ms || '||' ||
+                             measure1 || '|' || CAST(measure2 AS VARCHAR)
+                 ELSE message_id || '|' || device_id || '|' || device_ms || '|' || category || '|' ||
+                      measure1 || '|' || CASE s % 40 WHEN 8 THEN 'NaN' WHEN 9 THEN '-Infinity' ELSE '0.125' END
+               END AS value,
                CASE s % 40
                  WHEN 0 THEN 'too few fields' WHEN 1 THEN 'bad timestamp' WHEN 2 THEN 'bad measure1'
-                 WHEN 3 THEN 'bad measure2' ELSE 'empty value' END AS reason
-        FROM lines WHERE s % 40 < 5""",
+                 WHEN 4 THEN 'empty value' WHEN 5 THEN 'empty message_id' WHEN 6 THEN 'empty device_id'
+                 WHEN 7 THEN 'empty category' ELSE 'bad measure2' END AS reason
+        FROM lines WHERE s % 40 < 11""",
+    "damaged_sums": f"""WITH {FEED}
+        SELECT COUNT(*) AS lines, COUNT(*) FILTER (WHERE s % 40 >= 11) AS good,
+               COUNT(*) FILTER (WHERE s % 40 < 11) AS quarantined,
+               CAST(SUM(measure1) FILTER (WHERE s % 40 >= 11) AS BIGINT) AS m1_sum,
+               CAST(SUM(CAST(measure2 AS DECIMAL(18,2))) FILTER (WHERE s % 40 >= 11) AS DOUBLE) AS m2_sum
+        FROM feed""",
     "render_event": f"""WITH {FEED}
         SELECT send_ms,
                message_id || chr(9) || device_id || chr(9) || device_ms || chr(9) || category ||

@@ -87,6 +87,12 @@ def damaged(feed: DataFrame) -> DataFrame:
         .when(kind == 2, F.regexp_replace(line, r"\|\d+\|([^|]*)$", "|x|$1"))
         .when(kind == 3, F.regexp_replace(line, r"\|[^|]*$", "|"))
         .when(kind == 4, F.lit(None))
+        .when(kind == 5, F.regexp_replace(line, r"^[^|]*", ""))
+        .when(kind == 6, F.regexp_replace(line, r"^([^|]*)\|[^|]*", "$1|"))
+        .when(kind == 7, F.regexp_replace(line, r"^([^|]*\|[^|]*\|[^|]*)\|[^|]*", "$1|"))
+        .when(kind == 8, F.regexp_replace(line, r"\|[^|]*$", "|NaN"))
+        .when(kind == 9, F.regexp_replace(line, r"\|[^|]*$", "|-Infinity"))
+        .when(kind == 10, F.regexp_replace(line, r"\|[^|]*$", "|0.125"))
         .otherwise(line)
         .alias("value")
     )
@@ -95,7 +101,19 @@ def damaged(feed: DataFrame) -> DataFrame:
 @query
 def quarantine_malformed(spark, sf_dir):
     lines = damaged(_feed(spark, sf_dir))
-    return codec.split_valid(codec.parse_payload(lines))[1]
+    return codec.split_valid(codec.parse_payload(lines, scale=CENTS.scale))[1]
+
+
+@query
+def damaged_sums(spark, sf_dir):
+    """Sums of a feed with damaged lines; good and quarantined lines are all lines."""
+    parsed = codec.parse_payload(damaged(_feed(spark, sf_dir)), scale=CENTS.scale)
+    good = F.col("reason").isNull()
+    return parsed.agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(good).alias("good"), F.count_if(~good).alias("quarantined"),
+        F.sum(F.when(good, F.col("measure1"))).alias("m1_sum"),
+        CENTS.unpack(F.sum(CENTS.pack(F.when(good, F.col("measure2"))))).alias("m2_sum"),
+    )
 
 
 @query
@@ -231,7 +249,7 @@ def agg_processing_time(spark, sf_dir):
 @query
 def agg_ingestion_time(spark, sf_dir):
     """From the payload and the arrival time the broker noted."""
-    events, _ = feeds.from_payload(feeds.to_payload(_feed(spark, sf_dir)))
+    events, _ = feeds.from_payload(feeds.to_payload(_feed(spark, sf_dir)), CENTS.scale)
     return aggregate.arrival_time_sums(events, CENTS)
 
 

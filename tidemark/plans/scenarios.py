@@ -57,7 +57,7 @@ def run_scenario(tables: KeyedTables, feed: DataFrame, mode: str, measure=PLAIN)
     tables.reset()
     feed = staged(feed)
     send(tables, feed, measure)
-    events, _ = feeds.from_payload(feeds.to_payload(feed))
+    events, _ = feeds.from_payload(feeds.to_payload(feed), measure.scale)
     run_batch_job(tables, events, mode, measure)
     return reconcile.report(tables.read("agg_events"), measure)
 

@@ -1,4 +1,5 @@
-"""Schemas of the event contract and of the three stored tables."""
+"""Schemas of the event contract and of the three stored tables. Column names and
+order are fixed values."""
 
 from __future__ import annotations
 

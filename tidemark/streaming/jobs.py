@@ -15,14 +15,14 @@ from tidemark.operators import aggregate, text
 TIME_MODES = ("event", "ingestion", "processing")
 
 
-def events_of(messages: DataFrame) -> DataFrame:
+def events_of(messages: DataFrame, scale: int | None = None) -> DataFrame:
     """Good events of a message stream."""
-    return codec.split_valid(codec.parse_payload(messages))[0]
+    return codec.split_valid(codec.parse_payload(messages, scale=scale))[0]
 
 
-def quarantine_of(messages: DataFrame) -> DataFrame:
+def quarantine_of(messages: DataFrame, scale: int | None = None) -> DataFrame:
     """Bad lines of a message stream, for a second query of their own."""
-    return codec.split_valid(codec.parse_payload(messages))[1]
+    return codec.split_valid(codec.parse_payload(messages, scale=scale))[1]
 
 
 def with_time(events: DataFrame, mode: str = "event") -> DataFrame:
@@ -109,7 +109,7 @@ def window_sums(
 ) -> DataFrame:
     """The main job. ``emit`` is the output mode it will run in: append emits a
     window once it is closed, update emits each change and goes with an upsert."""
-    events = watermarked(with_time(events_of(messages), mode), delay_ms)
+    events = watermarked(with_time(events_of(messages, measure.scale), mode), delay_ms)
     return sums_of(events, emit, deduplicate, measure, label, size_ms, slide_ms)
 
 
@@ -134,7 +134,7 @@ def sums_of(
 def complete_sums(messages: DataFrame, measure=PLAIN) -> DataFrame:
     """No watermark and no deduplication, start labels: the state is never
     dropped, so use it on bounded input and in complete mode."""
-    return aggregate.window_sums(events_of(messages), "event_time", measure, "start")
+    return aggregate.window_sums(events_of(messages, measure.scale), "event_time", measure, "start")
 
 
 def debug_rows(messages: DataFrame, mode: str = "event", delay_ms: int = 1000) -> DataFrame:
@@ -179,5 +179,5 @@ def changelog_sums(messages: DataFrame, mode: str = "ingestion", delay_ms: int =
                    measure=PLAIN) -> DataFrame:
     """Last copy per message and window, then the sums, in append mode: the
     sums see each message once, after its window has closed."""
-    events = watermarked(with_time(events_of(messages), mode), delay_ms)
+    events = watermarked(with_time(events_of(messages, measure.scale), mode), delay_ms)
     return aggregate.window_sums(one_per_window(events, last=True), None, measure)

@@ -61,7 +61,7 @@ def microbatch_into(tables: KeyedTables, writer: str, measure=PLAIN,
 
     def write(messages: DataFrame, batch_id: int) -> None:
         at = (batch_time or clock)(batch_id)
-        events = jobs.events_of(messages).withColumn("send_ms", F.unix_millis("arrival"))
+        events = jobs.events_of(messages, measure.scale).withColumn("send_ms", F.unix_millis("arrival"))
         last = dedup.last_per_batch(events.drop("event_time", "arrival"), F.lit(at))
         sums = aggregate.sum_by(last, ["batch", *aggregate.KEYS], measure)
         rows = sums.select(
