@@ -23,8 +23,8 @@ def test_query(spark, con, name):
     assert not result.startswith("FAIL"), result
 
 
-def test_only_the_unordered_limit_has_no_sql():
-    assert set(QUERIES) - set(SQL) == {"limit_n"} and set(SQL) <= set(QUERIES)
+def test_all_have_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry_offers_them_all():

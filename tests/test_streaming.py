@@ -105,7 +105,7 @@ def test_append_keeps_the_earliest_of_differing_copies(spark, messages):
     for name, want in (("first", 5), ("last", 7)):
         job = jobs.changelog_sums if name == "last" else lambda m: jobs.window_sums(m, "ingestion")
         write = sinks.upsert_into(t, "agg_events", name, sinks.downstream)
-        replay.replay(spark, lines, 1, job, "append", write, scenarios.closing_message(spark))
+        replay.replay(spark, lines, replay.SLICE_MS, job, "append", write, scenarios.closing_message(spark))
         got = t.log("agg_events").filter(F.col("writer") == name)
         assert [r.m1_sum_downstream for r in got.collect()] == [want]
 
@@ -202,10 +202,10 @@ def test_microbatch_job(spark, tmp_path):
         ],
         "value string, ms bigint",
     ).selectExpr("value", "timestamp_millis(ms) AS arrival")
-    write = sinks.microbatch_into(t, "micro", batch_time=lambda i: i * 5000)
-    replay.replay(spark, messages, 2, lambda stream: stream, "append", write)
+    write = sinks.microbatch_into(t, "micro", slice_ms=5000)
+    replay.replay(spark, messages, 5000, lambda stream: stream, "append", write)
     got = t.read("agg_events").select("window_time", "m1_sum_downstream", "m2_sum_downstream")
-    assert rows(got) == [("1970-01-01 00:00:00", 15, 2.5), ("1970-01-01 00:00:05", 7, 1.0)]
+    assert rows(got) == [("1970-01-01 00:00:05", 15, 2.5), ("1970-01-01 00:00:10", 7, 1.0)]
 
 
 def test_microbatch_label_defaults_to_the_clock(spark, messages):
@@ -245,18 +245,6 @@ def test_print_stream(spark, folder):
     assert "Console" in query.lastProgress["sink"]["description"]
 
 
-def test_files_per_micro_batch_are_bounded(spark, folder):
-    t = KeyedTables(spark, work_dir(spark, "files"))
-    t.init()
-    write = sinks.upsert_into(t, "agg_events", "job", sinks.downstream, files=1)
-    with sinks.stream_settings(spark, state_partitions=4):
-        stream = text_stream(spark, folder)
-        job = jobs.window_sums(stream, emit="update")
-        sinks.run_available(job, "update", work_dir(spark, "cp"), write)
-    files = t.log("agg_events").select("batch", F.input_file_name().alias("file")).distinct()
-    assert files.groupBy("batch").count().filter("count > 1").count() == 0 and files.count() > 1
-
-
 def test_settings_are_put_back(spark):
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
@@ -267,9 +255,20 @@ def test_settings_are_put_back(spark):
     assert spark.conf.get(key) == before
 
 
-def test_slices_cover_all_rows(spark, messages):
-    got = replay.with_slice(messages, 3).groupBy("slice").count().orderBy("slice").collect()
-    assert [r["slice"] for r in got] == [0, 1, 2] and sum(r["count"] for r in got) == len(LINES)
+def test_slices_are_as_long_in_any_feed(spark, messages):
+    got = replay.with_slice(messages, 4).groupBy("slice").count().collect()
+    assert all(r["slice"] % 4 == 0 for r in got) and sum(r["count"] for r in got) == len(LINES) and len(got) >= 2
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    t = KeyedTables(spark, work_dir(spark, "late"))
+    t.init()
+    lines = spark.createDataFrame(
+        [("a|d|1000|c|1|1.0", 1), ("b|d|60000|c|1|1.0", 5001), ("c|d|1000|c|1|1.0", 10001), ("d|d|70000|c|1|1.0", 10002)], "value string, ms bigint"
+    ).selectExpr("value", "timestamp_millis(ms) AS arrival")
+    write = sinks.upsert_into(t, "agg_events", "job", sinks.downstream)
+    progress = replay.replay(spark, lines, 5000, jobs.window_sums, "append", write)
+    assert sinks.dropped_by_watermark(progress) == 1
 
 
 def test_file_sinks_and_sources(spark, messages, tmp_path, capsys):
@@ -309,13 +308,10 @@ def test_resumed_feed_equals_batch(spark):
     t.init()
     write = sinks.upsert_into(t, "agg_events", "job", sinks.downstream)
     replay.replay(
-        spark, feeds.to_payload(feed), 5,
+        spark, feeds.to_payload(feed), 10_000,
         lambda m: jobs.window_sums(m, emit="update", measure=CENTS), "update", write,
     )
-    low, high = feed.agg(F.min("send_ms"), F.max("send_ms")).first()
-    sliced = feed.withColumn("slice", replay.slice_of(F.col("send_ms"), low, high, 5))
-    rule = lateness.LateRule(batch_ms=1, arrival="slice")
-    want = aggregate.event_time_sums(sliced, rule, CENTS)
+    want = aggregate.event_time_sums(feed, lateness.LateRule(batch_ms=10_000), CENTS)
     got = t.read("agg_events").select(
         "window_time", "device_id", "category", "m1_sum_downstream", "m2_sum_downstream"
     )

@@ -94,16 +94,22 @@ def test_later_batch_wins_and_a_repeated_batch_replaces_itself(spark, tables):
     assert tables.read("agg_events").first().m1_sum_downstream == 4
 
 
-def test_compact_keeps_the_rows(spark, tables):
-    for batch in range(3):
-        rows_ = [(f"w{i}", "d", "c", batch * 10 + i, 0.5) for i in range(batch, 5)]
-        tables.write("agg_events", agg(spark, *rows_), "job", batch)
-    before = rows(tables.read("agg_events"))
-    tables.compact("agg_events")
-    assert rows(tables.read("agg_events")) == before
-    assert tables.log("agg_events").count() == len(before)
-    tables.write("agg_events", agg(spark, ("w0", "d", "c", 99, 9.0)), "job", 3)
-    assert 99 in [r.m1_sum_downstream for r in tables.read("agg_events").collect()]
+@pytest.mark.parametrize("order", [("job", "other"), ("other", "job")])
+def test_the_last_write_wins_whoever_wrote_it(spark, tables, order):
+    """Batch numbers are each writer's own and don't order writers."""
+    for name, batch, value in zip(order, (5, 0), (1, 2)):
+        tables.write("agg_events", agg(spark, ("w", "d", "c", value, 1.0)), name, batch)
+        tables.write("debug", spark.createDataFrame([("1", f"by {name}")], schema.DEBUG), name, batch)
+    assert tables.read("agg_events").first().m1_sum_downstream == 2
+    assert tables.read("debug").first().message == f"by {order[1]}"
+
+
+def test_a_write_leaves_the_files_of_others_alone(spark, tables):
+    tables.write("debug", spark.createDataFrame([("1", "a")], schema.DEBUG), "t", 0)
+    before = {r.f for r in spark.read.parquet(f"{tables.path}/debug").select(F.input_file_name().alias("f")).collect()}
+    tables.write("debug", spark.createDataFrame([("1", "b")], schema.DEBUG), "t", 0)
+    assert tables.read("debug").first().message == "b" and tables.log("debug").count() == 1
+    assert spark.read.parquet(*before).count() == 1
 
 
 def test_reset_and_drop(spark, tables):
@@ -121,8 +127,7 @@ def test_reset_and_drop(spark, tables):
 def test_stored_order(spark, tables):
     data = [(f"w{i % 7}", f"d{i % 3}", f"c{i}", i, 0.0) for i in range(50)]
     tables.write("agg_events", agg(spark, *data).repartition(3), "job")
-    tables.compact("agg_events")
-    stored = tables.log("agg_events").withColumn("file", F.input_file_name())
+    stored = spark.read.parquet(f"{tables.path}/agg_events").withColumn("file", F.input_file_name())
     for file in {r.file for r in stored.select("file").collect()}:
         part = spark.read.parquet(file).select(*schema.AGG_EVENTS_KEY).collect()
         assert [tuple(r) for r in part] == sorted(tuple(r) for r in part)

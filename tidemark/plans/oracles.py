@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-SLICES = 3
+# As in the replay: arrival time of one delivery.
+SLICE_MS = 360_000
 
 
 def label(ms: str) -> str:
@@ -52,9 +53,7 @@ ontime AS (
   WHERE wm.wm_ms IS NULL OR (f.device_ms // 5000 + 1) * 5000 > wm.wm_ms)"""
 
 SLICED = FEED + f""",
-sliced AS (
-  SELECT feed.*, ((send_ms - lo) * {SLICES}) // (hi - lo + 1) AS b
-  FROM feed, (SELECT MIN(send_ms) AS lo, MAX(send_ms) AS hi FROM feed) AS span)"""
+sliced AS (SELECT feed.*, send_ms // {SLICE_MS} AS b FROM feed)"""
 
 # The same rule with the slices of a replay as arrival batches.
 SLICED_ON_TIME = SLICED + """,
@@ -301,6 +300,8 @@ ORACLES: dict[str, str] = {
         SELECT window_time, device_id, category, m2_sum_ingest_devicetime, m2_sum_ingest_sendtime,
                m2_sum_downstream
         FROM wide WHERE category = 'view' ORDER BY category, device_id, window_time LIMIT 100""",
+    "limit_n": f"""WITH {FEED}, rows AS ({first_per_window("feed", "device_ms")})
+        SELECT LEAST(COUNT(*), 100) AS n_taken, LEAST(COUNT(*), 100) AS n_found FROM rows""",
     "wordcount": WORD_COUNT,
     "time_spine": f"""
         SELECT i, at_ms, 'user_id:' || i || ';' || {label("at_ms")} || ';event_number_' || i AS value
@@ -318,8 +319,21 @@ ORACLES: dict[str, str] = {
     "stream_event_time_update": sums(SLICED_ON_TIME, first_per_window("ontime", "device_ms")),
     "stream_ingestion_time": sums(FEED, first_per_window("feed", "send_ms")),
     "stream_complete": sums(FEED, "SELECT *, device_ms // 5000 AS w FROM feed", "w * 5000"),
-    "stream_changelog": sums(FEED, last_per_window("feed", "send_ms // 5000")),
-    "stream_microbatch": sums(SLICED, last_per_window("sliced", "b"), "w * 1000"),
+    "stream_changelog": f"""WITH {SLICED_ON_TIME},
+        rows AS (
+          SELECT message_id, device_ms // 5000 AS w, MIN(b) AS b, ARG_MIN(device_id, send_ms) AS device_id,
+                 ARG_MIN(category, send_ms) AS category, ARG_MIN(measure1, send_ms) AS measure1,
+                 ARG_MIN(measure2, send_ms) AS measure2
+          FROM ontime GROUP BY 1, 2),
+        steps AS (
+          SELECT w, device_id, category, b, SUM(measure1) AS m1, SUM(CAST(measure2 AS DECIMAL(18,2))) AS m2
+          FROM rows GROUP BY ALL)
+        SELECT {label("(w + 1) * 5000")} AS window_time, device_id, category,
+               row_number() OVER so_far AS version, CAST(SUM(m1) OVER so_far AS BIGINT) AS m1_sum,
+               CAST(SUM(m2) OVER so_far AS DOUBLE) AS m2_sum
+        FROM steps WINDOW so_far AS (PARTITION BY w, device_id, category ORDER BY b)""",
+    "stream_last_copy": sums(FEED, last_per_window("feed", "send_ms // 5000")),
+    "stream_microbatch": sums(SLICED, last_per_window("sliced", "b"), f"(w + 1) * {SLICE_MS}"),
     "stream_debug_rows": f"""WITH {SLICED_ON_TIME}, rows AS ({first_per_window("ontime", "device_ms")})
         SELECT {DEBUG} FROM rows""",
     "dedup_within_watermark": f"WITH {FEED} SELECT DISTINCT {EVENT_COLUMNS} FROM feed",

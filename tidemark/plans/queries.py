@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidemark import schema
 from tidemark.functions import codec, timewin as tw
@@ -23,7 +23,6 @@ from tidemark.streaming import jobs, replay, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-SLICES = 3
 REGISTRY: dict[str, Query] = {}
 
 
@@ -313,16 +312,17 @@ def upsert_full(spark, sf_dir):
 
 @query
 def upsert_partial(spark, sf_dir):
-    """Three writers fill the columns of one table one after the other."""
+    """Three writers fill the columns of one table; one grouping merges them."""
     feed = _feed(spark, sf_dir)
-    rows = spark.createDataFrame([], schema.AGG_EVENTS)
-    for new in (
+    writes = (
         recon.truth(feed, "ingest_devicetime", CENTS),
         recon.truth(feed, "ingest_sendtime", CENTS),
         sinks.downstream(aggregate.event_time_sums(feed, measure=CENTS)),
-    ):
-        rows = upsert.upsert_partial(rows, new, schema.AGG_EVENTS_KEY)
-    return rows
+    )
+    log = spark.createDataFrame([], T.StructType([*schema.AGG_EVENTS, T.StructField("written", T.IntegerType())]))
+    for written, rows in enumerate(writes):
+        log = log.unionByName(rows.withColumn("written", F.lit(written)), allowMissingColumns=True)
+    return upsert.merge_columns(log, schema.AGG_EVENTS_KEY, "written")
 
 
 def _raw_columns(rows: DataFrame) -> DataFrame:
@@ -397,8 +397,11 @@ for _mode in scenarios.MODES:
 
 @query
 def filter_sort_limit(spark, sf_dir):
-    """The first 100 keys of one category."""
-    wide = _wide(_feed(spark, sf_dir)).filter(F.col("category") == "view")
+    """The first 100 keys of one category, from the stored table. The filter on
+    the key reaches the scan."""
+    tables = _tables(spark)
+    tables.write("agg_events", _wide(_feed(spark, sf_dir)), "all")
+    wide = tables.read("agg_events").filter(F.col("category") == "view")
     return (
         wide.select(
             "window_time", "device_id", "category",
@@ -411,8 +414,14 @@ def filter_sort_limit(spark, sf_dir):
 
 @query
 def limit_n(spark, sf_dir):
-    """Any 100 debug rows."""
-    return debug_window_rows(spark, sf_dir).limit(100)
+    """How many of any 100 rows of the stored debug table are there and are its rows."""
+    tables = _tables(spark)
+    tables.write("debug", debug_window_rows(spark, sf_dir), "job")
+    taken = tables.read("debug").limit(100)
+    theirs = debug_window_rows(spark, sf_dir).withColumn("there", F.lit(True))
+    return taken.join(theirs, ["id", "message"], "left").agg(
+        F.count(F.lit(1)).alias("n_taken"), F.count("there").alias("n_found")
+    )
 
 
 @query
@@ -443,7 +452,7 @@ def pi_estimate(spark, sf_dir):
     return numeric.pi_from_points(points, F.lit(PI_RADIUS).cast("bigint"))
 
 
-# -- streams: the feed is replayed in three arrival slices ---------------------------
+# -- streams: the feed is replayed in slices of arrival time -------------------------
 
 def _stored(tables: KeyedTables) -> DataFrame:
     rows = tables.read("agg_events")
@@ -458,7 +467,7 @@ def _stream_sums(spark, sf_dir, job, mode: str) -> DataFrame:
     tables = _tables(spark)
     write = sinks.upsert_into(tables, "agg_events", "job", sinks.downstream)
     closing = scenarios.closing_message(spark) if mode == "append" else None
-    replay.replay(spark, messages, SLICES, job, mode, write, closing)
+    replay.replay(spark, messages, replay.SLICE_MS, job, mode, write, closing)
     return _stored(tables)
 
 
@@ -490,16 +499,31 @@ def stream_complete(spark, sf_dir):
 
 @query
 def stream_changelog(spark, sf_dir):
+    """Every version of every window that the job in update mode put out, numbered."""
+    tables = _tables(spark)
+    write = sinks.upsert_into(tables, "agg_events", "job", sinks.downstream)
+    job = lambda m: jobs.window_sums(m, emit="update", measure=CENTS)
+    replay.replay(spark, feeds.to_payload(_feed(spark, sf_dir)), replay.SLICE_MS, job, "update", write)
+    of_key = Window.partitionBy(*recon.KEYS).orderBy("batch")
+    return tables.log("agg_events").select(
+        *recon.KEYS, F.row_number().over(of_key).cast("bigint").alias("version"),
+        F.col("m1_sum_downstream").alias("m1_sum"), F.col("m2_sum_downstream").alias("m2_sum"),
+    )
+
+
+@query
+def stream_last_copy(spark, sf_dir):
+    """Windows of arrival where the last copy of a message counts, once they close."""
     return _stream_sums(spark, sf_dir, lambda m: jobs.changelog_sums(m, measure=CENTS), "append")
 
 
 @query
 def stream_microbatch(spark, sf_dir):
-    """The batch time is the number of the slice, as seconds after 1970."""
+    """A slice is a batch and its end the time of the batch."""
     messages = feeds.to_payload(_feed(spark, sf_dir))
     tables = _tables(spark)
-    write = sinks.microbatch_into(tables, "job", CENTS, batch_time=lambda batch_id: batch_id * 1000)
-    replay.replay(spark, messages, SLICES, lambda stream: stream, "append", write)
+    write = sinks.microbatch_into(tables, "job", CENTS, slice_ms=replay.SLICE_MS)
+    replay.replay(spark, messages, replay.SLICE_MS, lambda stream: stream, "append", write)
     return _stored(tables)
 
 
@@ -508,7 +532,7 @@ def stream_debug_rows(spark, sf_dir):
     messages = feeds.to_payload(_feed(spark, sf_dir))
     tables = _tables(spark)
     write = sinks.upsert_into(tables, "debug", "job")
-    replay.replay(spark, messages, SLICES, jobs.debug_rows, "append", write)
+    replay.replay(spark, messages, replay.SLICE_MS, jobs.debug_rows, "append", write)
     return tables.log("debug").select("id", "message")
 
 
@@ -518,20 +542,24 @@ MESSAGES = T.StructType([f for f in schema.EVENT if f.name != "event_time"])
 @query
 def dedup_within_watermark(spark, sf_dir):
     """The log of everything the stream let through: one row per message id, as
-    the watermark delay of a year spans the feed."""
-    messages = feeds.to_payload(_feed(spark, sf_dir))
+    the watermark delay is the span of device times in the feed."""
+    feed = _feed(spark, sf_dir)
+    span_ms = feed.agg(F.max("device_ms") - F.min("device_ms")).first()[0] or 0
+    messages = feeds.to_payload(feed)
     tables = _tables(spark, tables={"messages": (MESSAGES, ("message_id",))}, by_column=())
 
     def job(stream):
-        events = jobs.watermarked(jobs.events_of(stream), 365 * 24 * 3600 * 1000)
+        events = jobs.watermarked(jobs.events_of(stream), span_ms + 1000)
         return jobs.first_within_watermark(events).drop("event_time", "arrival")
 
     replay.replay(
-        spark, messages, SLICES, job, "append", sinks.upsert_into(tables, "messages", "job")
+        spark, messages, replay.SLICE_MS, job, "append", sinks.upsert_into(tables, "messages", "job")
     )
     return tables.log("messages").select(*EVENT_COLUMNS)
 
 
+# Documents arrive half a second apart, so a slice holds the same number in any table.
+DOC_MS = 500
 WORDS = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 
 
@@ -539,11 +567,11 @@ WORDS = T.StructType([T.StructField("word", T.StringType()), T.StructField("n",
 def wordcount_stream(spark, sf_dir):
     """Running counts in update mode; the last count per word is the result."""
     lines = table(spark, sf_dir, "documents").select(
-        F.col("text").alias("value"), tw.to_timestamp(F.col("doc_id")).alias("arrival")
+        F.col("text").alias("value"), tw.to_timestamp(F.col("doc_id") * DOC_MS).alias("arrival")
     )
     tables = _tables(spark, tables={"words": (WORDS, ("word",))}, by_column=())
     replay.replay(
-        spark, lines, SLICES, jobs.word_count, "update", sinks.upsert_into(tables, "words", "job")
+        spark, lines, replay.SLICE_MS, jobs.word_count, "update", sinks.upsert_into(tables, "words", "job")
     )
     return tables.read("words")
 
@@ -552,5 +580,5 @@ def wordcount_stream(spark, sf_dir):
 def stream_scenario_event(spark, sf_dir):
     tables = KeyedTables(spark, work_dir(spark, "tables"))
     return scenarios.run_stream_scenario(
-        spark, tables, _feed(spark, sf_dir), SLICES, "event", CENTS
+        spark, tables, _feed(spark, sf_dir), replay.SLICE_MS, "event", CENTS
     )

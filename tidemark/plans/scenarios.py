@@ -72,14 +72,14 @@ def closing_message(spark: SparkSession) -> DataFrame:
     stream uses ``jobs.with_idle_watermark`` instead."""
     return spark.range(1).select(
         codec.encode_payload(
-            F.lit("closing"), F.lit("closing"), F.lit(CLOSING_MS), F.lit(""), F.lit(0), F.lit(0.0)
+            F.lit("closing"), F.lit("closing"), F.lit(CLOSING_MS), F.lit("closing"), F.lit(0), F.lit(0.0)
         ).alias("value"),
         tw.to_timestamp(F.lit(CLOSING_MS)).alias("arrival"),
     )
 
 
 def run_stream_scenario(
-    spark: SparkSession, tables: KeyedTables, feed: DataFrame, slices: int, mode: str = "event",
+    spark: SparkSession, tables: KeyedTables, feed: DataFrame, slice_ms: int, mode: str = "event",
     measure=PLAIN,
 ) -> DataFrame:
     """The same with the job as a stream over the replayed feed."""
@@ -89,11 +89,11 @@ def run_stream_scenario(
     messages = feeds.to_payload(feed)
     if mode == "microbatch":
         write = sinks.microbatch_into(tables, mode, measure)
-        replay.replay(spark, messages, slices, lambda stream: stream, "append", write)
+        replay.replay(spark, messages, slice_ms, lambda stream: stream, "append", write)
     else:
         write = sinks.upsert_into(tables, "agg_events", mode, sinks.downstream)
         replay.replay(
-            spark, messages, slices, lambda stream: jobs.window_sums(stream, mode, measure=measure),
+            spark, messages, slice_ms, lambda stream: jobs.window_sums(stream, mode, measure=measure),
             "append", write, closing_message(spark),
         )
     return reconcile.report(tables.read("agg_events"), measure)

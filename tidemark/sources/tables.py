@@ -1,21 +1,25 @@
-"""Keyed tables on plain parquet files.
-
-Writers append; a reader sees one row per key. Every write is one folder
-``writer=<name>/batch=<number>`` that is overwritten when the same batch is
-written again, so a micro-batch repeated after a failure does not count twice
-and a small batch never rewrites a large table. ``compact`` folds the writes
-into one folder under a new generation; the generation with a finished
-``_SUCCESS`` mark and the highest number is the one in use.
+"""Keyed tables as append-only logs of parquet.
+
+A write appends its rows with the time at which it began; nothing is rewritten,
+so a reader never meets a half-replaced table and a small batch stays small. Per
+key, or per key and column, the last write counts, whichever writer it came from.
+A micro-batch that is repeated after a failure is written again: of the attempts
+at one batch of a writer only the last is read.
 """
 
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark import schema
 from tidemark.operators import upsert
 
-_BOOKKEEPING = (T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType()))
+_BOOKKEEPING = T.StructType([
+    T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType()), T.StructField("written", T.LongType()),
+])
 
 
 class KeyedTables:
@@ -31,111 +35,69 @@ class KeyedTables:
         self.tables = tables or schema.TABLES
         self.by_column = by_column
 
-    # -- folders -----------------------------------------------------------
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _path(self, text: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
-
-    def _generation(self, name: str) -> int:
-        """Newest finished generation, -1 for a table that does not exist."""
-        fs, folder = self._fs(), self._path(f"{self.path}/{name}")
-        if not fs.exists(folder):
-            return -1
-        numbers = [-1]
-        for entry in fs.listStatus(folder):
-            label = entry.getPath().getName()
-            ready = self._path(f"{self.path}/{name}/{label}/writer=base/batch=-1/_SUCCESS")
-            if label.startswith("generation=") and fs.exists(ready):
-                numbers.append(int(label.split("=")[1]))
-        return max(numbers)
-
-    def _folder(self, name: str, generation: int | None = None) -> str:
-        number = self._generation(name) if generation is None else generation
-        if number < 0:
-            raise ValueError(f"table {name} does not exist; call init()")
-        return f"{self.path}/{name}/generation={number}"
-
     # -- table commands ------------------------------------------------------
 
+    def _schema(self, name: str) -> T.StructType:
+        return T.StructType([*self.tables[name][0], *_BOOKKEEPING])
+
+    def _empty(self, name: str, mode: str) -> None:
+        rows = self.spark.createDataFrame([], self._schema(name))
+        rows.write.mode(mode).parquet(f"{self.path}/{name}")
+
     def init(self) -> None:
         """Create the tables that do not exist yet."""
         for name in self.tables:
-            if self._generation(name) < 0:
-                self._write_empty(name, 0)
+            self._empty(name, "ignore")
 
     def reset(self) -> None:
         """Truncate all tables."""
         for name in self.tables:
-            self._write_empty(name, self._generation(name) + 1)
+            self._empty(name, "overwrite")
 
     def drop(self, name: str) -> None:
         """Delete one table if it exists."""
-        self._fs().delete(self._path(f"{self.path}/{name}"), True)
-
-    def _base(self, name: str, generation: int) -> str:
-        return f"{self.path}/{name}/generation={generation}/writer=base/batch=-1"
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    def _write_empty(self, name: str, generation: int) -> None:
-        self._write(self.spark.range(0), name, self._base(name, generation))
-
-    def _write_base(self, name: str, generation: int, rows: DataFrame) -> None:
-        """The whole table in key order. Ranges over all key columns, so that a
-        device with a large share of the rows is spread over several files."""
-        key = self.tables[name][1]
-        self._write(rows.repartitionByRange(*key), name, self._base(name, generation))
+    # -- rows ----------------------------------------------------------------
 
-    def _write(self, rows: DataFrame, name: str, folder: str) -> None:
-        """Each file in key order; the partitions stay as the query made them."""
+    def write(self, name: str, rows: DataFrame, writer: str, batch: int = 0) -> None:
+        """Upsert ``rows``; columns they lack are NULL. The partitions stay as the
+        query made them, each file in key order."""
         full, key = self.tables[name]
-        typed = rows.select(
+        checked = upsert.require_keys(rows, key)
+        typed = checked.select(
             *[
                 (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                 for f in full
-            ]
+            ],
+            F.lit(writer).alias("writer"),
+            F.lit(batch).cast("bigint").alias("batch"),
+            F.lit(time.time_ns()).alias("written"),
         )
-        typed.sortWithinPartitions(*key).write.mode("overwrite").parquet(folder)
+        typed.sortWithinPartitions(*key).write.mode("append").parquet(f"{self.path}/{name}")
 
-    # -- rows ----------------------------------------------------------------
-
-    def write(self, name: str, rows: DataFrame, writer: str, batch: int = 0,
-              files: int | None = None) -> None:
-        """Upsert ``rows``; columns they lack are NULL.
-
-        ``files`` bounds the files of the batch. A stream needs it: adaptive
-        execution does not merge its partitions, one per state partition.
-        """
-        key = self.tables[name][1]
-        if files is not None:
-            rows = rows.repartition(files, *key)
-        self._write(
-            upsert.require_keys(rows, key), name, f"{self._folder(name)}/writer={writer}/batch={batch}"
-        )
+    def _rows(self, name: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(self._schema(name)).parquet(f"{self.path}/{name}")
+        except AnalysisException as error:
+            raise ValueError(f"table {name} does not exist; call init()") from error
 
     def log(self, name: str) -> DataFrame:
-        """All writes, with ``writer`` and ``batch``."""
-        full = T.StructType([*self.tables[name][0], *_BOOKKEEPING])
-        return self.spark.read.schema(full).parquet(self._folder(name))
+        """All writes, with ``writer``, ``batch`` and ``written``, less attempts that
+        were repeated. The attempts are one short row per batch."""
+        rows = self._rows(name)
+        last = rows.groupBy("writer", "batch").agg(F.max("written").alias("written"))
+        return rows.join(last, ["writer", "batch", "written"], "left_semi")
 
     def read(self, name: str) -> DataFrame:
-        """The current rows. The later batch wins, per key and row or, for the
-        tables in ``by_column``, per key and column."""
+        """The current rows: the last write, per key and row or, for the tables in
+        ``by_column``, per key and column."""
         full, key = self.tables[name]
-        log = self.log(name)
-        if name in self.by_column:
-            rows = upsert.merge_columns(log.drop("writer"), key, "batch")
-        else:
-            rows = upsert.latest(log, key, ["batch", "writer"])
-        return rows.select(*full.fieldNames())
-
-    def compact(self, name: str) -> None:
-        """Fold all writes into the base of a new generation. Call it while no
-        writer is active; readers keep the old generation until it is done."""
-        self._write_base(name, self._generation(name) + 1, self.read(name))
+        log = self.log(name).drop("batch", "writer")
+        merge = upsert.merge_columns if name in self.by_column else upsert.latest
+        order = "written" if name in self.by_column else ["written"]
+        return merge(log, key, order).select(*full.fieldNames())
 
     def counts(self) -> DataFrame:
         """Rows per table."""

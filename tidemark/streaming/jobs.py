@@ -44,10 +44,6 @@ def watermarked(events: DataFrame, delay_ms: int = 1000) -> DataFrame:
     return events.withWatermark("event_time", tw.duration(delay_ms))
 
 
-# First-level groups a message id is spread over in ``first_seen``.
-SPREAD = 8
-
-
 def one_per_window(
     events: DataFrame, size_ms: int = tw.WINDOW_MS, slide_ms: int | None = None, last: bool = False
 ) -> DataFrame:
@@ -69,9 +65,11 @@ def one_per_window(
 
 def _spread(events: DataFrame) -> DataFrame:
     """``_salt`` by input task and arrival: the same again when a task is run
-    again, and different for the copies of a flooding message id."""
+    again, and different for the copies of a flooding message id. There are as
+    many salts as state partitions."""
+    spread = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seed = [F.spark_partition_id()] + [F.col("arrival")] * ("arrival" in events.columns)
-    return events.withColumn("_salt", F.pmod(F.xxhash64(*seed), F.lit(SPREAD)))
+    return events.withColumn("_salt", F.pmod(F.xxhash64(*seed), F.lit(spread)))
 
 
 def first_seen(

@@ -1,56 +1,75 @@
-"""Replay of a feed as a stream: arrival slices delivered one after another."""
+"""Replay of a feed as a stream: slices of arrival time delivered one after another."""
 
 from __future__ import annotations
 
+import time
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tidemark import schema
+from tidemark.functions import timewin as tw
 from tidemark.session import work_dir
 from tidemark.sources.stream import event_source
-from tidemark.streaming.sinks import run_available, stream_settings
+from tidemark.streaming.sinks import start, stream_settings
 
+# Arrival time that one delivery spans, whatever the size of the feed.
+SLICE_MS = 360_000
 
-def slice_of(arrival_ms: Column, low: int, high: int, n: int) -> Column:
-    """Number 0..n-1 of the equal part of [low, high] a time falls into."""
-    span = high - low + 1
-    scaled = (arrival_ms - F.lit(low)) * F.lit(n)
-    return ((scaled - F.pmod(scaled, F.lit(span))) / F.lit(span)).cast("bigint")
 
+def with_slice(messages: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
+    """Add ``slice``, the time at which a message's slice begins."""
+    return messages.withColumn("slice", tw.floor_ms(F.unix_millis("arrival"), slice_ms))
 
-def with_slice(messages: DataFrame, n: int) -> DataFrame:
-    """Add ``slice`` by arrival time; two numbers come to the driver."""
-    ms = F.unix_millis("arrival")
-    low, high = messages.agg(F.min(ms), F.max(ms)).first()
-    if low is None:
-        return messages.withColumn("slice", F.lit(0).cast("bigint"))
-    return messages.withColumn("slice", slice_of(ms, low, high, n))
+
+IDLE = "Waiting for data to arrive"
+
+
+def settle(query, seconds: float = 600) -> None:
+    """Wait until all data are processed, and the batch without data that a risen
+    watermark asks for too. The first call may be answered by a look at the files
+    that began before the last of them was there; the second can't be. Only the
+    status tells that no batch without data is left."""
+    query.processAllAvailable()
+    query.processAllAvailable()
+    end = time.monotonic() + seconds
+    while query.isActive and query.status["message"] != IDLE:
+        if time.monotonic() > end:
+            raise TimeoutError("the query does not come to rest")
+        time.sleep(0.01)
 
 
 def replay(
     spark: SparkSession,
     messages: DataFrame,
-    n: int,
+    slice_ms: int,
     job: Callable[[DataFrame], DataFrame],
     mode: str,
     write,
     closing: DataFrame | None = None,
-) -> str:
-    """Deliver ``messages`` (value, arrival) in ``n`` slices.
+) -> list[dict]:
+    """Deliver ``messages`` (value, arrival) in slices of ``slice_ms`` to one query.
 
-    After each slice the query runs until nothing is left and stops; the next
-    run resumes from the checkpoint. ``closing`` is one more delivery, for
-    events that push the watermark past the last window. Returns the folder.
+    A delivery is one file, so a micro-batch never sees part of it, and the next
+    one waits until the query has settled: late rows are judged by all deliveries
+    before. ``closing`` is one more delivery, for events that push the watermark
+    past the last window. Returns the progress of the query.
     """
     folder = work_dir(spark, "replay")
-    with_slice(messages, n).write.partitionBy("slice").parquet(f"{folder}/staged")
-    staged = spark.read.parquet(f"{folder}/staged")
-    deliveries = [staged.filter(F.col("slice") == i).drop("slice") for i in range(n)]
+    with_slice(messages, slice_ms).repartition("slice").write.partitionBy("slice").parquet(f"{folder}/staged")
+    full = T.StructType([*schema.PAYLOAD.fields, T.StructField("slice", T.LongType())])
+    staged = spark.read.schema(full).parquet(f"{folder}/staged")
+    slices = sorted(r[0] for r in staged.select("slice").distinct().collect())  # one number per slice
+    deliveries = [staged.filter(F.col("slice") == at).drop("slice") for at in slices]
     if closing is not None:
         deliveries.append(closing)
+    spark.createDataFrame([], schema.PAYLOAD).write.parquet(f"{folder}/in")
     with stream_settings(spark):
-        for part in deliveries:
-            part.select("value", "arrival").write.mode("append").parquet(f"{folder}/in")
-            stream = event_source(spark, "parquet", path=f"{folder}/in")
-            run_available(job(stream), mode, f"{folder}/checkpoint", write)
-    return folder
+        query = start(job(event_source(spark, "parquet", path=f"{folder}/in")), mode, f"{folder}/checkpoint", write)
+        try:
+            for part in deliveries:
+                part.select("value", "arrival").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+                settle(query)
+            return query.recentProgress
+        finally:
+            query.stop()

@@ -31,12 +31,11 @@ def stream_settings(spark: SparkSession, idle: bool = False, state_partitions: i
 
 
 def upsert_into(tables: KeyedTables, name: str, writer: str,
-                shape: Callable[[DataFrame], DataFrame] = lambda df: df, files: int = 8):
-    """``foreachBatch`` function. A repeated batch replaces its own rows.
-    ``files`` is the number of files per micro-batch."""
+                shape: Callable[[DataFrame], DataFrame] = lambda df: df):
+    """``foreachBatch`` function. A repeated batch replaces its own rows."""
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        tables.write(name, shape(rows), writer, batch_id, files)
+        tables.write(name, shape(rows), writer, batch_id)
 
     return write
 
@@ -46,13 +45,14 @@ def downstream(rows: DataFrame) -> DataFrame:
 
 
 def microbatch_into(tables: KeyedTables, writer: str, measure=PLAIN,
-                    batch_time: Callable[[int], int] | None = None, files: int = 8):
+                    batch_time: Callable[[int], int] | None = None, slice_ms: int | None = None):
     """``foreachBatch`` function of the micro-batch job: last copy per message
     inside the batch, sums per device and category, labelled with the time of
     the batch. Copies that arrive in different batches count each time.
 
     ``batch_time`` gives epoch milliseconds for a batch number; by default the
-    clock, cut to the window length.
+    clock, cut to the window length. With ``slice_ms``, a replay's arrival slice is
+    a batch, and its end is the time.
     """
 
     def clock(_: int) -> int:
@@ -60,9 +60,11 @@ def microbatch_into(tables: KeyedTables, writer: str, measure=PLAIN,
         return now - now % tw.WINDOW_MS
 
     def write(messages: DataFrame, batch_id: int) -> None:
-        at = (batch_time or clock)(batch_id)
+        at = F.lit((batch_time or clock)(batch_id))
+        if slice_ms is not None:
+            at = tw.floor_ms(F.col("send_ms"), slice_ms) + slice_ms
         events = jobs.events_of(messages, measure.scale).withColumn("send_ms", F.unix_millis("arrival"))
-        last = dedup.last_per_batch(events.drop("event_time", "arrival"), F.lit(at))
+        last = dedup.last_per_batch(events.drop("event_time", "arrival"), at)
         sums = aggregate.sum_by(last, ["batch", *aggregate.KEYS], measure)
         rows = sums.select(
             tw.ms_text(F.col("batch")).alias("window_time"),
@@ -70,7 +72,7 @@ def microbatch_into(tables: KeyedTables, writer: str, measure=PLAIN,
             F.col("m1").alias("m1_sum"),
             measure.unpack(F.col("m2")).alias("m2_sum"),
         )
-        tables.write("agg_events", downstream(rows), writer, batch_id, files)
+        tables.write("agg_events", downstream(rows), writer, batch_id)
 
     return write
 
@@ -88,6 +90,21 @@ def run_available(query: DataFrame, mode: str, checkpoint: str, write) -> None:
     running.awaitTermination()
 
 
+def start(query: DataFrame, mode: str, checkpoint: str, write):
+    """Start a query that takes what comes as soon as it comes."""
+    return (
+        query.writeStream.outputMode(mode)
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(write)
+        .start()
+    )
+
+
+def dropped_by_watermark(progress: list) -> int:
+    """Rows that the stateful operators of a query dropped as late."""
+    return sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"])
+
+
 def run_forever(query: DataFrame, mode: str, checkpoint: str, write, every: str = "5 seconds"):
     """Start a continuous query; the caller holds and stops it."""
     return (
