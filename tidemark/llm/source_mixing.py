@@ -92,9 +92,9 @@ class Classifier:
 
 def fit(docs: DataFrame, labelled: DataFrame) -> Classifier | None:
     """``labelled``: ``doc_id, domain``. At most ``SAMPLE_DOCS`` rows of each domain come to the driver."""
-    rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(
-        hashed_sample(labelled.select("doc_id", "domain"), "domain", SAMPLE_DOCS, MAX_DOMAINS, "doc_id"), "doc_id"
-    )
+    chosen = hashed_sample(labelled.select("doc_id", "domain"), "domain", SAMPLE_DOCS, MAX_DOMAINS, "doc_id")
+    # Ids of the sample: SAMPLE_DOCS * MAX_DOMAINS rows, some MB, at most.
+    rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id")
     sample = sorted(rows.collect(), key=lambda r: (r.domain, r.sample_rank, r.text or ""))
     if not sample:
         return None
