@@ -1,5 +1,7 @@
 """Properties of the physical plans that matter on a large cluster."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,16 @@ def test_hot_keys_leave_each_task_once(spark, feed):
         assert sum(r.message_id == "m" for r in df.collect()) == 1
         after, before = shuffled_rows(df)
     assert before == hot.count() and after <= others + 6 < before
+
+
+def test_event_time_sums_read_the_feed_once(spark):
+    """The watermark comes from the staged sums, so no plan reads the events for it."""
+    plan = plan_of(REGISTRY["agg_event_time"](spark, SF))
+    assert "events.parquet" not in plan and plan.count("FileScan parquet") <= 3
+    plan = plan_of(REGISTRY["reconcile"](spark, SF))
+    assert plan.count("events.parquet") == 1 and plan.count("FileScan parquet") <= 4
+
+
+def test_key_filter_reaches_the_stored_table(spark):
+    plan = plan_of(REGISTRY["filter_sort_limit"](spark, SF))
+    assert re.search(r"FileScan parquet [^\n]*DataFilters: \[[^\n]*category#\d+ = view", plan)
