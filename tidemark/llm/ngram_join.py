@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -79,11 +80,24 @@ def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return hashes[np.lexsort((hashes, common[bucket_of(hashes)]))[:size]] if n else hashes
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
+def bitmap(hashes: np.ndarray, bits: int = BITMAP_BITS) -> bytes:
     """Parity of the shingles that fall on each bit: a set and another differ in at
     least as many shingles as their bitmaps do in bits."""
-    bits = np.bincount((hashes & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def wide_bits(n: int) -> int:
+    """Bits of the wide bitmap of a set of n: four each at least, a power of two."""
+    return max(BITMAP_BITS, 1 << (4 * n - 1).bit_length())
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two bitmaps differ. The longer one is folded to the shorter:
+    a bit counts the shingles whose place agrees in the lower bits."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, size)) ^ np.bitwise_xor.reduce(y.reshape(-1, size))).sum())
 
 
 def linked(common: np.ndarray, n_a, n_b) -> np.ndarray:
@@ -91,45 +105,50 @@ def linked(common: np.ndarray, n_a, n_b) -> np.ndarray:
     return DENOMINATOR * common >= NUMERATOR * (n_a + n_b - common)
 
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """Shingles of all documents in each bucket; two MB whatever the input."""
+SKETCH = "doc_id bigint, n int, key binary, bitmap binary, wide binary, counts binary"
 
-    def count(batches):
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """One row per document: size and key of its set and its bitmaps. And one row
+    per task with ``counts``: shingles of its documents in each bucket, one MB."""
+
+    def describe(batches):
+        total = np.zeros(1 << BUCKET_BITS, np.uint32)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                np.add.at(total, bucket_of(shingles(text)), 1)
-        yield pa.RecordBatch.from_pydict({"counts": [total.tobytes()]})
+            found = [shingles(t) for t in batch.column("text").to_pylist()]
+            for hashes in found:
+                np.add.at(total, bucket_of(hashes), 1)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array([len(h) for h in found], pa.int32()),
+                pa.array([_key(h) for h in found], pa.binary()),
+                pa.array([bitmap(h) if len(h) else None for h in found], pa.binary()),
+                pa.array([bitmap(h, wide_bits(len(h))) if len(h) else None for h in found], pa.binary()),
+                pa.nulls(len(found), pa.binary()),
+            ], ["doc_id", "n", "key", "bitmap", "wide", "counts"])
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())), pa.array([total.tobytes()], pa.binary())],
+            ["doc_id", "n", "key", "bitmap", "wide", "counts"],
+        )
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), clean_text().alias("text")).mapInArrow(describe, SKETCH)
+
+
+def bucket_counts(sketched: DataFrame) -> np.ndarray:
+    """Shingles of all documents in each bucket; two MB whatever the input."""
 
     def add(batches):
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
             for held in batch.column("counts").to_pylist():
-                total += np.frombuffer(held, np.int64)
+                total += np.frombuffer(held, np.uint32)
         yield pa.RecordBatch.from_pydict({"counts": [total.tobytes()]})
 
-    partial = docs.select(clean_text().alias("text")).mapInArrow(count, "counts binary")
-    rows = partial.repartition(8).mapInArrow(add, "counts binary").collect()
+    rows = sketched.where("counts IS NOT NULL").select("counts").coalesce(8).mapInArrow(add, "counts binary").collect()
     return np.sum([np.frombuffer(r.counts, np.int64) for r in rows] or [np.zeros(1 << BUCKET_BITS, np.int64)], axis=0)
 
 
-def _keyed(batches, common: np.ndarray, once: bool):
-    """For each document with a set: batch number, row, key, set, prefix. ``once``:
-    skip sets that this task has seen, as far as it remembers."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        found = []
-        for row, text in enumerate(batch.column("text").to_pylist()):
-            hashes = shingles(text)
-            key = xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
-            if once:
-                if key is None or key in seen:
-                    continue
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                seen.add(key)
-            found.append((row, key, hashes, prefix(hashes, common)))
-        yield batch, found
+def _key(hashes: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
 
 
 def _group_of(hashes: np.ndarray, own: np.ndarray) -> int:
@@ -137,26 +156,9 @@ def _group_of(hashes: np.ndarray, own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes(), seed=len(hashes)) - (1 << 63)
 
 
-PROFILE = "doc_id bigint, n int, key binary, gid bigint, bitmap binary"
-
-
-def profiles(docs: DataFrame, common) -> DataFrame:
-    """One row per document: size and key of its set, its group and bitmap."""
-
-    def describe(batches):
-        for batch, found in _keyed(batches, common.value, once=False):
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(h) for _, _, h, _ in found], pa.int32()),
-                pa.array([k for _, k, _, _ in found], pa.binary()),
-                pa.array([_group_of(h, p) if k else None for _, k, h, p in found], pa.int64()),
-                pa.array([bitmap(h) if k else None for _, k, h, _ in found], pa.binary()),
-            ], ["doc_id", "n", "key", "gid", "bitmap"])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), clean_text().alias("text")).mapInArrow(describe, PROFILE)
-
-
 def lists_of(docs: DataFrame, common) -> DataFrame:
-    """``token, gid``: prefix shingles that two groups or more share.
+    """``token, gid, key``: prefix shingles that two groups or more share, ``key``
+    null; and the group of each set, ``token`` null.
 
     The one large shuffle of the join: 17 bytes for each prefix shingle. Rows come
     to a task in order of shingle, so it needs to hold only the last one to drop
@@ -165,33 +167,63 @@ def lists_of(docs: DataFrame, common) -> DataFrame:
     hot = 8 * int(common.value.mean()) + HOT
 
     def post(batches):
-        for _, found in _keyed(batches, common.value, once=True):
-            tokens = np.concatenate([p for *_, p in found]) if found else np.zeros(0, np.uint64)
-            groups = np.repeat(np.array([_group_of(h, p) for _, _, h, p in found], np.int64), [len(p) for *_, p in found])
-            spread = np.where(common.value[bucket_of(tokens)] > hot, 1 + (groups & (SPREAD - 1)), 0).astype(np.int8)
-            for at in range(0, len(tokens), 1 << 16):
+        seen: set[bytes] = set()
+        for batch in batches:
+            keys, groups, tokens, sizes = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                hashes = shingles(text)
+                key = _key(hashes)
+                if key is None or key in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(key)
+                own = prefix(hashes, common.value)
+                keys.append(key)
+                groups.append(_group_of(hashes, own))
+                tokens.append(own)
+                sizes.append(len(own))
+            if not keys:
+                continue
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(keys), pa.int64()), pa.array(groups, pa.int64()), pa.array(np.array(groups, np.int64).astype(np.int8)), pa.array(keys, pa.binary())],
+                ["token", "gid", "spread", "key"],
+            )
+            flat, owners = np.concatenate(tokens), np.repeat(np.array(groups, np.int64), sizes)
+            spread = np.where(common.value[bucket_of(flat)] > hot, 1 + (owners & (SPREAD - 1)), 0).astype(np.int8)
+            for at in range(0, len(flat), 1 << 16):
                 cut = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[cut].view(np.int64)), pa.array(groups[cut]), pa.array(spread[cut])], ["token", "gid", "spread"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat[cut].view(np.int64)), pa.array(owners[cut]), pa.array(spread[cut]), pa.nulls(len(flat[cut]), pa.binary())],
+                    ["token", "gid", "spread", "key"],
+                )
 
     def shared(batches):
-        token, group, hot_row, sent = None, None, None, False  # the last row
+        token, sent = None, False  # the last row so far, and whether it is out
+        names = ["token", "gid", "key"]
         for batch in batches:
+            grouped = pa.compute.is_null(batch.column("token"))
+            if grouped.true_count:
+                yield batch.filter(grouped).select(names)
+                batch = batch.filter(pa.compute.invert(grouped))
             if not batch.num_rows:
                 continue
-            tokens, groups, spread = (batch.column(c).to_numpy() for c in ("token", "gid", "spread"))
+            tokens, groups, spread = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "gid", "spread"))
             if token is not None:
-                tokens, groups, spread = np.append(token, tokens), np.append(group, groups), np.append(hot_row, spread)
+                tokens, groups, spread = np.append(token, tokens), np.append(group, groups), np.append(dealt, spread)
             same = tokens[1:] == tokens[:-1]
             keep = np.append(same, False) | np.append(False, same) | (spread > 0)
+            last = bool(keep[-1])
             if token is not None and sent:
                 keep[0] = False
-            last_sent = bool(keep[-1]) or (len(tokens) == 1 and sent)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(groups[keep])], ["token", "gid"])
-            token, group, hot_row, sent = tokens[-1:], groups[-1:], spread[-1:], last_sent
-
-    posted = docs.select(clean_text().alias("text")).mapInArrow(post, "token bigint, gid bigint, spread tinyint")
-    found = posted.repartition("token", "spread").sortWithinPartitions("token").mapInArrow(shared, "token bigint, gid bigint")
-    # Copies in different tasks gave equal rows; a group alone in its list leads nowhere.
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(groups[keep]), pa.nulls(int(keep.sum()), pa.binary())], names)
+            token, group, dealt, sent = tokens[-1:], groups[-1:], spread[-1:], last
+
+    posted = docs.select(clean_text().alias("text")).mapInArrow(post, "token bigint, gid bigint, spread tinyint, key binary")
+    # Nulls would all go to one task, so rows of groups are dealt by the group.
+    dealt_by = F.coalesce("token", "gid")
+    found = posted.repartition(dealt_by, "spread").sortWithinPartitions("token").mapInArrow(shared, "token bigint, gid bigint, key binary")
+    # Copies in different tasks gave equal rows.
     return found.distinct()
 
 
@@ -224,17 +256,17 @@ def first_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def passing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs that the bitmaps don't rule out."""
+    """The pairs that the wide bitmaps don't rule out."""
 
     @F.arrow_udf(T.BooleanType())
-    def may(map_a: pa.Array, map_b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
-        a, b = (np.frombuffer(b"".join(m.to_pylist()), np.uint64).reshape(len(m), -1) for m in (map_a, map_b))
+    def may(wide_a: pa.Array, wide_b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
         n, m = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (n_a, n_b))
-        return pa.array(linked((n + m - np.bitwise_count(a ^ b).sum(axis=1).astype(np.int64)) // 2, n, m))
+        apart = np.array([differing(a, b) for a, b in zip(wide_a.to_pylist(), wide_b.to_pylist())], np.int64)
+        return pa.array(linked((n + m - apart) // 2, n, m))
 
-    side = {s: classes.select(F.col("key").alias(s), F.col("bitmap").alias(f"map_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab"}
+    side = {s: classes.select(F.col("key").alias(s), F.col("wide").alias(f"wide_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab"}
     joined = pairs.join(side["a"], "a").join(side["b"], "b")
-    return joined.where(may("map_a", "map_b", "n_a", "n_b")).select("a", "b")
+    return joined.where(may("wide_a", "wide_b", "n_a", "n_b")).select("a", "b")
 
 
 def across(lists: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -251,80 +283,91 @@ def across(lists: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
     def compare(batches):
-        seen: set[tuple[bytes, bytes]] = set()
-
-        def pairs_of(rows: list[tuple]):
-            n = np.array([r[4] for r in rows], np.int64)
-            maps = np.frombuffer(b"".join(r[7] for r in rows), np.uint64).reshape(len(rows), -1)
-            numbers: dict[bytes, int] = {}
-            root = np.array([numbers.setdefault(r[6], len(numbers)) for r in rows])
-            block = np.array([r[3] for r in rows])
-            apart = rows[0][1] != rows[0][2]
-            ends = np.searchsorted(n, n * DENOMINATOR // NUMERATOR, side="right")  # rows come by size
-            for x in range(len(rows)):
-                ys = np.arange(x + 1, ends[x])
-                ys = ys[root[ys] != root[x]]
-                if apart:
-                    ys = ys[block[ys] != block[x]]
-                if not len(ys):
-                    continue
-                most = (n[x] + n[ys] - np.bitwise_count(maps[ys] ^ maps[x]).sum(axis=1).astype(np.int64)) // 2
-                for y in ys[linked(most, n[x], n[ys])]:
-                    pair = (min(rows[x][5], rows[y][5]), max(rows[x][5], rows[y][5]))
-                    if pair not in seen:
-                        if len(seen) >= REMEMBERED:
-                            seen.clear()
-                        seen.add(pair)
-                        yield pair
-
-        def batch_of(pairs):
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
-
-        held: list[tuple] = []
-        out: list[tuple[bytes, bytes]] = []
+        seen: set[bytes] = set()
+
+        def pairs_of(rows: pa.Table):
+            """Rows of whole groups in order: each meets the one that stands d rows on, for all d."""
+            size = rows.num_rows
+            token, i, j, block, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j", "block", "n"))
+            key, root, maps = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint64).reshape(size, -1) for c in ("key", "root", "bitmap"))
+            starts = np.append(True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+            begin = np.flatnonzero(starts)
+            end = np.append(begin[1:], size)[np.cumsum(starts) - 1]
+            x = np.arange(size)
+            for d in range(1, size):
+                x = x[(x + d < end[x])]
+                if not len(x):
+                    return
+                y = x + d
+                near = DENOMINATOR * n[x] >= NUMERATOR * n[y]  # rows of a group come by size
+                x = x[near]
+                y = x + d
+                meet = (root[x] != root[y]).any(axis=1) & ((i[x] == j[x]) | (block[x] != block[y]))
+                a, b = x[meet], y[meet]
+                for at in range(0, len(a), 1 << 14):
+                    p, q = a[at:at + (1 << 14)], b[at:at + (1 << 14)]
+                    most = (n[p] + n[q] - np.bitwise_count(maps[p] ^ maps[q]).sum(axis=1).astype(np.int64)) // 2
+                    good = linked(most, n[p], n[q])
+                    for one, two in zip(p[good].tolist(), q[good].tolist()):
+                        ends = sorted((key[one].tobytes(), key[two].tobytes()))
+                        pair = ends[0] + ends[1]
+                        if pair not in seen:
+                            if len(seen) >= REMEMBERED:
+                                seen.clear()
+                            seen.add(pair)
+                            yield pair
+
+        def sent(rows: pa.Table):
+            out = list(pairs_of(rows))
+            return pa.RecordBatch.from_arrays([pa.array([p[:16] for p in out], pa.binary()), pa.array([p[16:] for p in out], pa.binary())], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("token", "i", "j", "block", "n", "key", "root", "bitmap"))):
-                if held and held[0][:3] != row[:3]:
-                    out.extend(pairs_of(held))
-                    held = []
-                    if len(out) > 10_000:
-                        yield batch_of(out)
-                        out = []
-                held.append(row)
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 8192:
+                continue
+            rows = pa.Table.from_batches(held)
+            last = np.array([rows.column(c).to_numpy() for c in ("token", "i", "j")])
+            own = int(np.flatnonzero((last != last[:, -1:]).any(axis=0)).max(initial=-1)) + 1  # where the last group begins
+            if own:
+                yield sent(rows.slice(0, own))
+                held = rows.slice(own).to_batches()
         if held:
-            out.extend(pairs_of(held))
-        yield batch_of(out)
+            yield sent(pa.Table.from_batches(held))
 
     order = ["token", "i", "j", "n", "key"]
     return met.repartition("token", "i", "j").sortWithinPartitions(*order).mapInArrow(compare, "a binary, b binary").distinct()
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``key, hashes`` of the wanted classes, read again from one document each.
-    ``wanted``: ``key, doc_id``. A bounded Bloom filter keeps the other texts from
-    being shuffled or read by Python."""
+    """``key, hashes`` of the wanted classes and maybe a few others, read again from
+    one document each. ``wanted``: ``doc_id``. A bounded Bloom filter keeps the
+    other texts away from Python and from the shuffle."""
     blocks = bloom.blocks_for(wanted.count())
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), clean_text().alias("text"))
-    near = bloom.mark(plain, "doc_id", bloom.build(wanted, "doc_id", blocks), blocks, "hit").where("hit").drop("hit")
+    near = bloom.mark(plain, "doc_id", bloom.build(wanted, "doc_id", blocks), blocks, "hit").where("hit").select("text")
 
     def read(batches):
+        seen: set[bytes] = set()
         for batch in batches:
-            found = [shingles(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"),
-                pa.array([xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in found], pa.binary()),
-                pa.array([h.tobytes() for h in found], pa.binary()),
-            ], ["doc_id", "key", "hashes"])
+            found = {}
+            for text in batch.column("text").to_pylist():
+                hashes = shingles(text)
+                key = _key(hashes)
+                if key is not None and key not in seen:
+                    found[key] = hashes.tobytes()
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["key", "hashes"])
 
-    found = near.mapInArrow(read, "doc_id bigint, key binary, hashes binary")
-    exact = found.join(wanted, ["doc_id", "key"], "left_semi").select("key", "hashes")
-    return exact.groupBy("key").agg(F.first("hashes").alias("hashes"))
+    return near.mapInArrow(read, "key binary, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose whole sets link."""
     ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = staged(sets_of(docs, staged(classes.join(ends, "key", "left_semi").select("key", "doc_id"))))
+    sets = staged(sets_of(docs, staged(classes.join(ends, "key", "left_semi").select("doc_id"))))
 
     @F.arrow_udf(T.BooleanType())
     def link(sets_a: pa.Array, sets_b: pa.Array) -> pa.Array:
@@ -344,17 +387,19 @@ def members(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark, 500)
-    common = spark.sparkContext.broadcast(bucket_counts(docs))
-    described = staged(profiles(docs, common))
+    described = staged(sketches(docs))
+    common = spark.sparkContext.broadcast(bucket_counts(described))
+    described = described.where("counts IS NULL").select("doc_id", "n", "key", "bitmap", "wide")
+    posted = staged(lists_of(docs, common))
+    lists = posted.where("key IS NULL").select("token", "gid")
     classes = staged(
         described.where("key IS NOT NULL").groupBy("key").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("bitmap").alias("bitmap")
-        )
+            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide")
+        ).join(posted.where("key IS NOT NULL").select("key", "gid"), "key")
     )
-    lists = staged(lists_of(docs, common))
     one = staged(verified(staged(passing(first_pairs(lists, classes), classes)), docs, classes))
     roots = components(one)
-    two = staged(verified(staged(across(lists, classes, roots)), docs, classes))
+    two = staged(verified(staged(passing(across(lists, classes, roots), classes)), docs, classes))
     nodes = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(two)) if not two.isEmpty() else roots
     named = classes.select("key", "doc_id").join(nodes.select(F.col("node").alias("key"), "root"), "key")
     least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
