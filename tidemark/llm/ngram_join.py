@@ -9,9 +9,10 @@ their whole sets. Two rounds keep the pairs few without losing a link:
 
 1. Each group meets the first and the next smaller group of its lists, and each
    member the first of its group. Verified links give components.
-2. Where a list holds several components, every pair across components passes the
-   filters or not, and those that pass are verified. Pairs within a component are
-   connected already, so copies of copies are never multiplied out.
+2. Where a list holds several components, pairs across components that pass the
+   filters are verified: first one of any two components, then, with the components
+   that gives, all. Pairs within a component are connected already, so copies of
+   copies are never multiplied out.
 
 How common a shingle is comes from one count per bucket of hashes over all
 documents. That is one order for all, so it decides speed and never a result.
@@ -269,14 +270,16 @@ def passing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.where(may("wide_a", "wide_b", "n_a", "n_b")).select("a", "b")
 
 
-def across(lists: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Round 2: pairs of a list in different components that the filters don't rule out."""
+def across(lists: DataFrame, classes: DataFrame, roots: DataFrame, once: bool) -> DataFrame:
+    """Round 2: pairs of a list in different components that the filters don't rule
+    out. ``once``: a task gives one pair of any two components."""
     placed = classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
         "gid", "key", "n", F.coalesce("root", "key").alias("root")
     )
     groups = classes.groupBy("gid").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("gid").alias("token"), "gid")
-    rows = lists.unionByName(groups).join(placed, "gid").select("token", "key", "n", "root").distinct()
-    mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    rows = lists.unionByName(groups).join(placed, "gid").select("token", "key", "n", "root")
+    short = rows.select("token", F.xxhash64("root").alias("root"))
+    mixed = short.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     cut = _cut(rows.join(mixed, "token"), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = cut.join(classes.select("key", "bitmap"), "key").select(
         "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "key", "root", "bitmap"
@@ -309,12 +312,12 @@ def across(lists: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
                     most = (n[p] + n[q] - np.bitwise_count(maps[p] ^ maps[q]).sum(axis=1).astype(np.int64)) // 2
                     good = linked(most, n[p], n[q])
                     for one, two in zip(p[good].tolist(), q[good].tolist()):
-                        ends = sorted((key[one].tobytes(), key[two].tobytes()))
-                        pair = ends[0] + ends[1]
-                        if pair not in seen:
+                        pair = b"".join(sorted((key[one].tobytes(), key[two].tobytes())))
+                        known = b"".join(sorted((root[one].tobytes(), root[two].tobytes()))) if once else pair
+                        if known not in seen:
                             if len(seen) >= REMEMBERED:
                                 seen.clear()
-                            seen.add(pair)
+                            seen.add(known)
                             yield pair
 
         def sent(rows: pa.Table):
@@ -399,8 +402,12 @@ def members(docs: DataFrame) -> DataFrame:
     )
     one = staged(verified(staged(passing(first_pairs(lists, classes), classes)), docs, classes))
     roots = components(one)
-    two = staged(verified(staged(passing(across(lists, classes, roots), classes)), docs, classes))
-    nodes = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(two)) if not two.isEmpty() else roots
+    # First one pair of any two components, which joins most of those that belong together, then all that are left.
+    for once in (True, False):
+        found = staged(verified(staged(passing(across(lists, classes, roots, once), classes)), docs, classes))
+        if not found.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+    nodes = roots
     named = classes.select("key", "doc_id").join(nodes.select(F.col("node").alias("key"), "root"), "key")
     least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
     of_class = classes.select("key", "doc_id").join(named.join(least, "root").select("key", "least"), "key", "left").select(
