@@ -23,6 +23,7 @@ right. Other columns pass through; one named like the new column is replaced.
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -33,10 +34,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.llm.common import bounded_batches, clean_text
 
-PIECES = 200_000
+PIECES = 150_000
 PIECE_CHARS = 64
-STATES = 40_000
-PAIRS = 1 << 20
+STATES = 20_000
+PAIRS = 300_000
 ROOT = 0
 
 
@@ -53,16 +54,22 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], states: int = STATES, pairs: int = PAIRS):
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
         self.max_states, self.max_pairs = states, pairs
-        self.next_node: dict[int, int] = {}
+        self.children: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
         for token, number in ranks.items():
             node = ROOT
             for byte in token:
-                node = self.next_node.setdefault(node << 8 | byte, len(self.token_at))
-                if node == len(self.token_at):
+                after = self.children[node].get(byte)
+                if after is None:
+                    after = self.children[node][byte] = len(self.children)
+                    self.children.append({})
                     self.token_at.append(-1)
+                node = after
             self.token_at[node] = number
-        self.pairs: dict[tuple[int, int], bool] = {}
+        leaf: dict[int, int] = {}
+        self.children = [held or leaf for held in self.children]
+        self.pairs: dict[int, dict[int, bool]] = {}
+        self.known_pairs = 0
         self.states: dict[tuple, int] = {}
         self.sets: list[tuple] = []
         self.steps: dict[int, tuple[tuple[int, ...], int]] = {}
@@ -80,14 +87,17 @@ class Transducer:
         return [self.ranks[p] for p in parts]
 
     def _may_follow(self, last: int, token: int) -> bool:
-        key = (last, token)
-        known = self.pairs.get(key)
+        """Worked out once while it is remembered. ``last`` -1: at the start."""
+        known = self.pairs.get(last, {}).get(token)
         if known is None:
-            if len(self.pairs) >= self.max_pairs:
+            if self.known_pairs >= self.max_pairs:
                 self.pairs.clear()
+                self.known_pairs = 0
             wanted = [token] if last < 0 else [last, token]
-            data = b"".join(self.bytes_of[t] for t in wanted)
-            known = self.pairs[key] = self.merged(data) == wanted and (last < 0 or self._may_follow(-1, last) and self._may_follow(-1, token))
+            known = self.merged(b"".join(self.bytes_of[t] for t in wanted)) == wanted
+            known = known and (last < 0 or self._may_follow(-1, last) and self._may_follow(-1, token))
+            self.pairs.setdefault(last, {})[token] = known
+            self.known_pairs += 1
         return known
 
     def _number(self, readings: tuple) -> int:
@@ -101,23 +111,24 @@ class Transducer:
     def _read(self, readings, byte: int) -> list[tuple]:
         """The readings after one more byte: each goes on in its token, and ends it
         where the token is complete and may follow the last one."""
-        next_node, token_at, pairs = self.next_node, self.token_at, self.pairs
+        children, token_at = self.children, self.token_at
         found = []
         for pending, last, node in readings:
-            node = next_node.get(node << 8 | byte)
+            node = children[node].get(byte)
             if node is None:
                 continue
             found.append((pending, last, node))
             token = token_at[node]
             if token >= 0:
-                allowed = pairs.get((last, token))
-                if allowed or allowed is None and self._may_follow(last, token):
+                if self._may_follow(last, token):
                     found.append(((*pending, token), token, ROOT))
         return found
 
     def _step(self, state: int, byte: int) -> tuple[tuple[int, ...], int] | None:
         """Determinise one step: tokens that are certain after this byte, and the
         next state. None if the table of states has no room for it."""
+        if len(self.sets) >= self.max_states:
+            return None
         found = self._read(self.sets[state], byte)
         shared = found[-1][0]
         for pending, _, _ in found:
@@ -125,8 +136,6 @@ class Transducer:
                 shared = shared[:-1]
         cut = len(shared)
         readings = tuple((p[cut:], last, node) for p, last, node in found) if cut else tuple(found)
-        if len(self.sets) >= self.max_states and readings not in self.states:
-            return None
         result = self.steps[state << 8 | byte] = (shared, self._number(readings))
         return result
 
@@ -139,27 +148,48 @@ class Transducer:
         for at, byte in enumerate(piece):
             step = steps.get(state << 8 | byte) or self._step(state, byte)
             if step is None:
-                return (*ids, *self._simulated(self.sets[state], piece[at:]))
+                return (*ids, *self._undetermined(self.sets[state], piece[at:]))
             if step[0]:
                 ids.extend(step[0])
             state = step[1]
         return (*ids, *self.ends[state])
 
-    def _simulated(self, readings, rest: bytes) -> list[int]:
-        """From a state on without new states: the readings are carried along, and
-        what they share is emitted now and then, which bounds them too."""
-        ids: list[int] = []
-        for at, byte in enumerate(rest):
-            readings = self._read(readings, byte)
-            if at & 15 == 15:
-                shared = readings[-1][0]
-                for pending, _, _ in readings:
-                    while pending[:len(shared)] != shared:
-                        shared = shared[:-1]
-                if shared:
-                    ids.extend(shared)
-                    readings = [(p[len(shared):], last, node) for p, last, node in readings]
-        return [*ids, *next(pending for pending, _, node in readings if node == ROOT)]
+    def _undetermined(self, readings, rest: bytes) -> list[int]:
+        """Read on from a state without new states. Each place has one encoding of
+        what stands before it, so one step back per place says all."""
+        size = len(rest)
+        back, tokens, heads = [-1] * (size + 1), [-1] * (size + 1), {}
+        children, token_at, pairs, none = self.children, self.token_at, self.pairs, {}
+        starts = [(last, node, 0, -2, pending) for pending, last, node in readings]
+        at = 0
+        while True:
+            for last, node, start, source, head in starts:
+                after, below = pairs.get(last, none), children[node]
+                for place in range(start, size):
+                    node = below.get(rest[place])
+                    if node is None:
+                        break
+                    below = children[node]
+                    token = token_at[node]
+                    if token >= 0 and back[place + 1] == -1:
+                        allowed = after.get(token)
+                        if allowed is None:
+                            allowed = self._may_follow(last, token)
+                        if allowed:
+                            back[place + 1], tokens[place + 1] = source, token
+                            if head is not None:
+                                heads[place + 1] = head
+            at += 1
+            if at >= size:
+                break
+            starts = ((tokens[at], ROOT, at, at, None),) if back[at] != -1 else ()
+        ids = []
+        place = size
+        while back[place] != -2:
+            ids.append(tokens[place])
+            place = back[place]
+        ids.append(tokens[place])
+        return [*heads[place], *ids[::-1]]
 
 
 class _Pieces(dict):
@@ -184,9 +214,25 @@ class _Pieces(dict):
         return ids
 
 
+#: Characters for which the usual pattern can be said in classes that the standard module knows, at half the cost.
+PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ɏ]")
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+
+
+@lru_cache(maxsize=4)
+def _splitter(pattern: str):
+    """What cuts a text into pieces."""
+    full = regex.compile(pattern).findall
+    classes = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{LETTERS}0-9]").replace(r"\p{L}", f"[{LETTERS}]").replace(r"\p{N}", "[0-9]")
+    if "\\p" in classes or not set(re.findall(r"\\(.)", classes)) <= {"s", "S"}:
+        return full
+    plain = re.compile(classes).findall
+    return lambda text: full(text) if PLAIN.search(text) else plain(text)
+
+
 @lru_cache(maxsize=4)
 def _encoder(path: str, pattern: str):
-    return regex.compile(pattern).findall, _Pieces(Transducer(load_ranks(path)).encode)
+    return _splitter(pattern), _Pieces(Transducer(load_ranks(path)).encode)
 
 
 def encode_text(text: str, path: str, pattern: str) -> np.ndarray:
