@@ -55,6 +55,23 @@ def test_tags_and_notices():
     assert scan.scan("Licensed under CC BY-NC 4.0.")["labels"] == ["cc-by", "cc-by-nc"]
 
 
+def test_every_tag_is_read():
+    """Tags on one line, expressions of any length, tags broken over a line."""
+    found = scan.scan("SPDX-License-Identifier: MIT code here. SPDX-License-Identifier: GPL-3.0-only")
+    assert found["labels"] == ["gpl", "mit"] and found["expressions"] == ["MIT", "GPL-3.0-only"] and found["permissive"] is False
+    found = scan.scan("SPDX-License-Identifier: " + "MIT AND " * 200 + "GPL-3.0-only, see there")
+    assert found["labels"] == ["gpl", "mit"] and found["permissive"] is False and found["expressions"][0].count("MIT") == 200
+    found = scan.scan("// SPDX-License-\n// Identifier: GPL-2.0-only\nSPDX-License-Identifier:\n SPDX license identifier ISC\r\nMIT")
+    assert found["labels"] == ["gpl", "isc"] and found["permissive"] is False
+    assert scan.scan("SPDX-License-Identifier: MIT\nxspdx-license-identifier: GPL-2.0 spdx-license-identifiers: AGPL-3.0")["labels"] == ["mit"]
+
+
+def test_identifiers_of_nested_expressions():
+    polish = scan.parse("A OR (B WITH X AND (C OR D)) WITH Y AND E")
+    assert scan.identifiers(polish) == ["A", "B", "C", "D", "E"]
+    assert len(scan.identifiers(scan.parse("MIT OR (" * 50_000 + "ISC" + ")" * 50_000))) == 50_001
+
+
 def test_report(spark):
     got = scan.report(documents(spark))
     assert got.columns[:6] == ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]

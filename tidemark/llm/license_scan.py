@@ -2,8 +2,8 @@
 
 A text is lower-cased (A-Z), cut into words, and read once by an automaton of all
 phrases: base phrases, notice phrases and the identifier tag. Where a tag stands,
-the expression after it is parsed by the shunting-yard method: WITH binds most,
-then AND, then OR. An expression is permissive if its licenses are, either one
+the expression after it, up to the next tag or the end of the line, is parsed by
+the shunting-yard method: WITH binds most, then AND, then OR. An expression is permissive if its licenses are, either one
 for OR, both for AND; an exception after WITH makes no license permissive.
 
 A null text counts as empty and has no words and no labels. Malformed expressions
@@ -49,7 +49,10 @@ DOUBT = {"tag": 0.05, "base": 0.3, "notice": 0.5}
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
-EXPRESSION = re.compile(r"spdx[^a-z0-9\n\x80-\U0010ffff]+license[^a-z0-9\n\x80-\U0010ffff]+identifier[\s:]*([^\n\r]{0,1000})", re.I)
+#: The tag alone, as the automaton finds it: three whole words with anything but words between them.
+TAGS = re.compile(r"(?<![W])spdx[^W]++license[^W]++identifier(?![W])".replace("W", r"a-z0-9\x80-\U0010ffff"), re.I | re.A)
+GAP = re.compile(r"[\s:]*")
+LINE_END = re.compile(r"[\n\r]")
 PIECES = re.compile(r"[()]|[A-Za-z0-9.+\-]+|[^\s]")
 ORDER = {"or": 1, "and": 2, "with": 3}
 
@@ -71,7 +74,8 @@ def parse(expression: str) -> list[str] | None:
     out: list[str] = []
     held: list[str] = []
     operand = False
-    for piece in PIECES.findall(expression):
+    for found in PIECES.finditer(expression):
+        piece = found[0]
         name = piece.lower()
         if name in ORDER:
             if not operand:
@@ -118,14 +122,26 @@ def evaluate(polish: list[str]) -> bool | None:
 
 def identifiers(polish: list[str]) -> list[str]:
     """License identifiers, without operators and exceptions."""
-    stack: list[list[str]] = []
+    names: list[str] = []
+    starts: list[int] = []  # of each operand in names
     for piece in polish:
         if piece in ORDER:
-            right, left = stack.pop(), stack.pop()
-            stack.append(left if piece == "with" else left + right)
+            right = starts.pop()
+            if piece == "with":
+                del names[right:]
         else:
-            stack.append([piece])
-    return stack[0]
+            starts.append(len(names))
+            names.append(piece)
+    return names
+
+
+def tagged_expressions(text: str):
+    """What stands after each tag, up to the next tag or the end of the line."""
+    tags = [match.span() for match in TAGS.finditer(text)]
+    for (_, end), (following, _) in zip(tags, [*tags[1:], (len(text), 0)]):
+        start = GAP.match(text, end, following).end()
+        line_end = LINE_END.search(text, start, following)
+        yield text[start:line_end.start() if line_end else following]
 
 
 @lru_cache(maxsize=4)
@@ -162,10 +178,11 @@ def scan(text: str | None, base=BASE, notices=NOTICES) -> dict:
                 labels.add(label)
             tagged |= kind == "tag"
     if tagged:
-        for match in EXPRESSION.finditer(text):
-            polish = parse(match[1])
+        for expression in tagged_expressions(text):
+            polish = parse(expression)
             if polish is None:
-                labels.update(family(p) for p in PIECES.findall(match[1])[:1] if re.match(r"[A-Za-z0-9]", p))
+                first = PIECES.search(expression)
+                labels.update(family(p) for p in ([first[0]] if first else []) if re.match(r"[A-Za-z0-9]", p))
                 continue
             expressions.append(" ".join(polish))
             labels.update(family(name) for name in identifiers(polish))
