@@ -55,6 +55,30 @@ def test_sums_by_posterior_change_nothing(spark):
     assert np.abs(solved.achieved - solved.targets).max() < 1e-3
 
 
+def test_small_shares_count(spark):
+    """Half of a small target lies in shares below 0.005, as documents hold them; it is met nevertheless."""
+    rnd = np.random.default_rng(11)
+    small = rnd.uniform(0.0005, 0.0049, 900)
+    p = np.vstack([np.column_stack([0.99 - small, np.full(900, 0.01), small]), rnd.dirichlet([0.3, 1.0, 0.5], 100)])
+    tokens = rnd.integers(1, 100, 1000)
+    members = spark.createDataFrame([(x.tolist(), int(n)) for x, n in zip(p, tokens)], "posterior array<double>, n_tokens bigint")
+    solved = mixing.solve(members, np.array([0.94, 0.05, 0.01]))
+    mass = tokens / tokens.sum()
+    want = brute(p, mass, solved.targets, solved.step, solved.pace, len(solved.residuals))
+    assert np.allclose(solved.rates(p), want, atol=1e-9)
+    assert np.abs(p.T @ (mass * want) - solved.targets).max() < 1e-3 * solved.targets.min()
+
+
+def test_posteriors_are_whole(spark):
+    docs, labels = world(spark)
+    targets = {"good": 0.94, "low": 0.05, "toxic": 0.01}
+    got = mixing.mix(docs, labels, targets).collect()
+    p, t, r = (np.array([x[k] for x in got], float) for k in ("posterior", "n_tokens", "rate"))
+    assert np.abs(p.sum(axis=1) - 1).max() < 1e-12 and (p > 0).all()
+    reached = (r * t) @ p
+    assert np.abs(reached / reached.sum() - np.array([0.94, 0.05, 0.01])).max() < 0.01 * 0.01
+
+
 def test_steps_reach_the_least_squares_solution(spark):
     """Targets out of reach: no small move of any rate lowers the error."""
     p = np.array([[1.0, 0.0], [0.5, 0.5], [0.2, 0.8]])
