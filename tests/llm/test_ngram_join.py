@@ -71,6 +71,18 @@ def test_corpus(spark, seed):
     assert rows(join.members(documents(spark, texts))) == brute(texts)
 
 
+def test_near_copies_without_a_number(spark):
+    """Two numbered documents are linked only through rows without a number, two pairs of which have no other link."""
+    words = [f"n{i}" for i in range(60)]
+    middle, first, last = " ".join(words), " ".join(["x"] * 6 + words[6:]), " ".join(words[:-6] + ["y"] * 6)
+    other = [f"m{i}" for i in range(40)]
+    texts = [(2, first), (None, middle), (1, last), (None, middle), (None, " ".join(other)), (None, " ".join(other[1:])), (7, "some words that no other text has")]
+    want = brute(texts)
+    assert sorted(str(c) for i, _, c in want if i is None) == ["1", "1", "None", "None"]
+    assert rows(join.members(documents(spark, texts))) == want
+    assert sorted(str(r.doc_id) for r in join.keep_first(documents(spark, texts)).collect()) == ["1", "7", "None", "None", "None", "None"]
+
+
 def test_blocks_and_hot_shingles(spark, monkeypatch):
     """Lists cut into small blocks, and shingles dealt over tasks, lose no link."""
     monkeypatch.setattr(join, "BLOCK", 5)

@@ -345,10 +345,11 @@ def across(lists: DataFrame, classes: DataFrame, roots: DataFrame, once: bool) -
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``key, hashes`` of the wanted classes and maybe a few others, read again from
     one document each. ``wanted``: ``doc_id``. A bounded Bloom filter keeps the
-    other texts away from Python and from the shuffle."""
+    other texts away from Python and from the shuffle; it has no nulls, so all
+    texts without a ``doc_id`` are read."""
     blocks = bloom.blocks_for(wanted.count())
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), clean_text().alias("text"))
-    near = bloom.mark(plain, "doc_id", bloom.build(wanted, "doc_id", blocks), blocks, "hit").where("hit").select("text")
+    near = bloom.mark(plain, "doc_id", bloom.build(wanted, "doc_id", blocks), blocks, "hit").where("hit OR doc_id IS NULL").select("text")
 
     def read(batches):
         seen: set[bytes] = set()
