@@ -77,6 +77,21 @@ def test_recall_of_cells_at_the_threshold(spark):
     assert sum(r.n_links for r in got) >= 0.99 * 600
 
 
+def test_links_between_distant_centroids(spark):
+    """Two vectors at 35 and 55 degrees between orthogonal centroids have cosine 0.940."""
+    held = [(k, [np.cos(np.radians(g)), np.sin(np.radians(g))], 0) for k, g in enumerate((35, 55))]
+    classes = near.classes_of(frame(spark, held)).selectExpr("class", "label", "embedding", "1L AS weight")
+    found = near.links_of(near.assign(classes, {2: np.eye(2)})).collect()
+    assert sorted(r.n for r in found if r.linked is None) == [1, 1] and any(r.linked is not None for r in found)
+
+
+@pytest.mark.parametrize("d", [2, 3, 5])
+def test_vectors_of_few_dimensions(spark, d):
+    rnd = np.random.default_rng(d)
+    held = [(k, rnd.normal(size=d), int(k % 4)) for k in range(240)]
+    assert rows(near.dedup(frame(spark, held), cell_rows=8)) == rows_of(brute(held))
+
+
 def test_a_hot_vector(spark):
     """A third of all rows are one vector; they are one class and no pairs."""
     held = [(i, [1.0, 1.0, 0.0] if i % 3 == 0 else [1.0, float(i), 0.5], 0) for i in range(900)]

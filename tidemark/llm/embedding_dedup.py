@@ -1,9 +1,11 @@
 """Near-duplicate embeddings: spherical k-means cells, blocked cosine products.
 
 Equal vectors of a label form one class with a weight. Classes go to the cell of
-their nearest centroid, their home, and as guests to every cell whose centroid is
-nearer than the home's by less than ``MARGIN`` in cosine; two vectors that link
-then meet in the home of one of them. A cell is cut into blocks by a hash, and
+their nearest centroid, their home, and as guests to every cell c with
+``score(home) - score(c) <= |x - y| / 2 * |home - c|``, where ``|x - y|`` is the
+largest distance of two vectors that link. For such x and y with homes a and b,
+``(xa - xb) + (yb - ya) = (x - y)(a - b)``, so one of the two is within the bound:
+any two vectors that link meet in the home of one of them. A cell is cut into blocks by a hash, and
 each pair of blocks of a cell is one group with at most two blocks of vectors:
 within it cosines are one matrix product in double precision. Groups return the
 links of each class as a number and a star of what they connect, never all pairs.
@@ -30,7 +32,6 @@ SAMPLE = 20_000
 CELL_ROWS = 512
 MAX_CELLS = 4096
 BLOCK = 1024
-MARGIN = 0.2
 ITERATIONS = 12
 THRESHOLD = 0.93
 
@@ -85,9 +86,10 @@ def fit_cells(classes: DataFrame, cell_rows: int = CELL_ROWS, sample: int = SAMP
 ASSIGNED = "class binary, label string, weight bigint, embedding array<double>, home int, guests array<int>"
 
 
-def assign(classes: DataFrame, centers: dict[int, np.ndarray], margin: float = MARGIN) -> DataFrame:
+def assign(classes: DataFrame, centers: dict[int, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
     """Add the home cell and the cells where the class is a guest. Lengths beyond
     the sixteen most frequent ones have one cell, 0."""
+    half = 0.5 * float(np.sqrt(max(0.0, 2 - 2 * threshold) + 1e-12))
 
     def cells(batches):
         for batch in batches:
@@ -100,7 +102,8 @@ def assign(classes: DataFrame, centers: dict[int, np.ndarray], margin: float = M
                 flat = batch.column("embedding").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
                 score = unit(flat.reshape(-1, d)) @ centers[int(d)].T
                 home = score.argmax(axis=1)
-                near = score >= score.max(axis=1, keepdims=True) - margin
+                apart = np.sqrt(np.maximum(0.0, 2 - 2 * centers[int(d)][home] @ centers[int(d)].T) + 1e-12)
+                near = score.max(axis=1, keepdims=True) - score <= half * apart + 1e-9
                 near[np.arange(len(at)), home] = False
                 homes[at] = home
                 for i, row in zip(at.tolist(), near):
@@ -175,14 +178,14 @@ def links_of(assigned: DataFrame, threshold: float = THRESHOLD, block: int = BLO
     return _blocks(assigned, block).groupBy("label", "d", "cell", "i", "j").applyInArrow(compare, "class binary, linked binary, n bigint")
 
 
-def dedup(vectors: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, cell_rows: int = CELL_ROWS, block: int = BLOCK) -> DataFrame:
+def dedup(vectors: DataFrame, threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS, block: int = BLOCK) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``."""
     bounded_batches(vectors.sparkSession)
     members = staged(classes_of(vectors))
     classes = staged(
         members.groupBy("class").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"))
     )
-    assigned = staged(assign(classes, fit_cells(classes, cell_rows), margin))
+    assigned = staged(assign(classes, fit_cells(classes, cell_rows), threshold))
     found = staged(links_of(assigned, threshold, block))
     counts = found.where("linked IS NULL").groupBy("class").agg(F.sum("n").alias("n"))
     roots = staged(components(found.where("linked IS NOT NULL").select(F.col("class").alias("a"), F.col("linked").alias("b"))))
