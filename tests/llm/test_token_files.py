@@ -31,6 +31,22 @@ def test_odd_texts():
     assert [x.tolist() for x in files.encode_texts(texts, PATH)] == [ids_of(t) for t in texts]
 
 
+def test_added_tokens_are_recognised(spark):
+    """By the file as given, without any switch."""
+    given = Tokenizer.from_file(PATH)
+    texts = [
+        "a <|endoftext|> b", "<|startoftext|>0 A<|endoftext|>", "a  <|ENDOFTEXT|> 0 b", "x\x1cy <|endoftext|>", "<|endoftext|", "plain 0 Text",
+        "É <|startoftext|>\n\n<|endoftext|> é", "<|endoftext|>" * 3, "<| endoftext |>",
+    ]
+    want = [given.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] != ids_of(texts[0])
+    assert [x.tolist() for x in files.encode_texts(texts * 2, PATH, added=True)] == want * 2
+    folder = work_dir(spark, "tokens")
+    index = files.with_starts(staged(files.write(documents(spark, list(enumerate(texts))), folder, PATH)))
+    got = files.read(index, folder, files.ids_of, "ids array<bigint>").collect()
+    assert {r.doc_id: r.ids for r in got} == {i: ids + [1] for i, ids in enumerate(want)}
+
+
 def expected(texts):
     found, start = [], 0
     for i, text in sorted(texts, key=lambda r: (r[0] is not None, r[0])):

@@ -10,7 +10,9 @@ in bounded memory.
 
 Shards hold documents in ascending ``doc_id``; rows with the same ``doc_id`` stand
 side by side by a hash of their text, a null ``doc_id`` comes first. A null text
-is empty and has the end id only. An empty table writes no shard.
+is empty and has the end id only. An empty table writes no shard. Ids are those of
+the tokenizer file as given: where a text quotes an added token such as
+``<|endoftext|>``, it has that token's id.
 
 Files are written under a name of the attempt and then moved to their own name,
 so that a repeated task replaces a file by an equal one. The folder must be one
@@ -143,22 +145,33 @@ class _Chunks(dict):
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def _tokenizer(path: str, added: bool):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
+    made.encode_special_tokens = not added
     zero = made.encode("0", add_special_tokens=False).ids
-    return made, zero[0] if len(zero) == 1 else None, _Chunks()
+    contents = [t.content for t in made.get_added_tokens_decoder().values()] if added else []
+    # Their case may not matter to the tokenizer. The marks that they begin with are quickly looked for.
+    quoted = re.compile("|".join(map(re.escape, contents)), re.I)
+    marks = {re.match(r"[!-@\[-`{-~]*", c)[0] for c in contents}
 
+    def whole(text: str) -> bool:
+        return bool(ODD.search(text)) or any(m in text for m in marks) and bool(quoted.search(text))
 
-def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text by the tokenizers library. It drops white space and never
-    merges across it, so equal chunks between white space have equal ids and are
+    return made, zero[0] if len(zero) == 1 else None, whole, _Chunks()
+
+
+def encode_texts(texts: list[str], path: str, added: bool = False) -> list[np.ndarray]:
+    """Ids of each text by the tokenizers library. ``added``: tokens added to the
+    vocabulary are recognised in the text, as the library does unless told not to;
+    texts that may hold one are encoded whole. Otherwise they are text like any other.
+
+    The library drops white space and never merges across it, so equal chunks between white space have equal ids and are
     encoded once while they are remembered. New chunks are encoded in one text,
     with the digit 0, a token by itself, between them."""
-    tokenizer, zero, chunks = _tokenizer(path)
+    tokenizer, zero, whole, chunks = _tokenizer(path, added)
 
     def by_library(values: list[str]) -> list[bytes]:
         apart = [v for v in values if zero is None or "0" in v]
@@ -177,7 +190,7 @@ def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     out = []
     for at in range(0, len(texts), 256):
         batch = texts[at:at + 256]
-        split = [None if ODD.search(t) else (t.lower() if t.isascii() else t).split() for t in batch]
+        split = [None if whole(t) else (t.lower() if t.isascii() else t).split() for t in batch]
         forget = chunks.learn(set(chain.from_iterable(s for s in split if s)), by_library)
         for text, own in zip(batch, split):
             data = by_library([text])[0] if own is None else b"".join(map(chunks.__getitem__, own))
@@ -217,7 +230,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 1) -> DataFrame
                 sink = where.open_output_stream(own)
                 writer = ShardWriter(sink)
             counts = []
-            for ids in encode_texts(batch.column("text").to_pylist(), path):
+            for ids in encode_texts(batch.column("text").to_pylist(), path, added=True):
                 writer.append(np.append(ids, np.uint32(end_id)))
                 counts.append(len(ids) + 1)
             n = len(counts)
