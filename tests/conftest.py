@@ -6,6 +6,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
+from helpers import LINES  # noqa: E402
 from tidemark.session import build_session  # noqa: E402
 
 
@@ -17,19 +18,6 @@ def spark():
     session.stop()
 
 
-# The hand-made payload: a duplicate, a late row and two bad lines.
-LINES = [
-    "a|d|1472209316326|c1|1|1.5",
-    "a|d|1472209316326|c1|1|1.5",
-    "b|d|1472209317000|c1|2|2.5",
-    "c|d|1472209321000|c1|4|1",
-    "d|d|1472209331000|c1|8|1",
-    "z|d|1472209100000|c1|100|9",
-    "bad|line",
-    "e|d|1472209330500|c2|x|1",
-]
-
-
 @pytest.fixture(scope="session")
 def messages(spark):
     rows = [(line, 1472209320000 + i) for i, line in enumerate(LINES)]
@@ -49,7 +37,3 @@ def make_events(spark):
         return spark.createDataFrame(rows, EVENT_DDL)
 
     return build
-
-
-def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((v is not None, v) for v in r))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from tidemark.functions import timewin as tw
 from tidemark.functions.measures import CENTS, Fixed, PLAIN
 from tidemark.operators import aggregate, dedup, feed as feeds, numeric, reconcile, text

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from conftest import LINES, rows
+from helpers import LINES, rows
 from tidemark.functions import codec, timewin as tw
 from tidemark.session import session_conf
 

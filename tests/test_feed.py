@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from tidemark.functions import codec
 from tidemark.operators import feed as feeds
 

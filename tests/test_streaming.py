@@ -5,7 +5,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import LINES, rows
+from helpers import LINES, rows
 from tidemark.functions import timewin as tw
 from tidemark.functions.measures import CENTS
 from tidemark.operators import aggregate, feed as feeds, lateness
