@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from fixtures import TEXTS, documents, empty
+from corpus_fixtures import TEXTS, documents, empty
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tidemark.llm import byte_bpe

@@ -2,7 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from fixtures import rows
+from corpus_fixtures import rows
 from tidemark.llm import embedding_dedup as near
 from tidemark.llm.components import components
 

@@ -2,7 +2,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
-from fixtures import TEXTS, documents, empty, rows
+from corpus_fixtures import TEXTS, documents, empty, rows
 from tidemark.llm import exact_dedup
 
 

@@ -1,6 +1,6 @@
 import zlib
 
-from fixtures import TEXTS, documents, empty, rows
+from corpus_fixtures import TEXTS, documents, empty, rows
 from pyspark.sql import functions as F
 from tidemark.llm import language_id as lang
 from tidemark.llm.common import hashed_sample, table

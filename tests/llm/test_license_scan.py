@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from fixtures import LONG, TEXTS, documents, empty, rows
+from corpus_fixtures import LONG, TEXTS, documents, empty, rows
 from tidemark.llm import license_scan as scan
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

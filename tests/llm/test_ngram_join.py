@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from fixtures import TEXTS, documents, empty, rows
+from corpus_fixtures import TEXTS, documents, empty, rows
 from tidemark.llm import ngram_join as join
 
 

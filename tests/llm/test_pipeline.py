@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 import oracle
-from fixtures import documents, empty, rows
+from corpus_fixtures import documents, empty, rows
 from tidemark.llm import byte_bpe, queries
 
 SF = "/root/testdata/sf0.001"

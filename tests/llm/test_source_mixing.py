@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from fixtures import TEXTS, documents, empty
+from corpus_fixtures import TEXTS, documents, empty
 from pyspark.sql import functions as F
 from tidemark.llm import source_mixing as mixing
 from tidemark.llm.common import table

@@ -1,7 +1,7 @@
 import numpy as np
 import public_tokenizers
 import pytest
-from fixtures import TEXTS, documents, empty, rows
+from corpus_fixtures import TEXTS, documents, empty, rows
 from pyspark.sql import functions as F
 from tidemark.llm import token_counts as counts
 

@@ -1,4 +1,4 @@
-from fixtures import rows
+from corpus_fixtures import rows
 from pyspark.sql import functions as F
 from tidemark.llm import bloom, url_filter
 
