@@ -63,5 +63,58 @@ SELECT n.page_id, n.host, n.path, b.rule,
        l.canonical IS NOT NULL AS listed
 FROM named n LEFT JOIN best b ON n.page_id = b.page_id AND n.host = b.host AND n.path = b.path
 LEFT JOIN listed l ON n.canonical = l.canonical
+""",
+    # Buckets, two multinomials, integer weights and the threshold, as the operator has them.
+    "op13_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+tok AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+h AS (SELECT r, i, word, ('0x' || left(md5(word), 8))::BIGINT AS h FROM tok),
+grams AS (
+  SELECT r, h % 65536 AS g FROM h
+  UNION ALL
+  SELECT r, (h * 1000003 + next + 1) % 65536 FROM (SELECT r, h, lead(h) OVER (PARTITION BY r ORDER BY i) AS next FROM h) WHERE next IS NOT NULL
+),
+trusted AS (
+  SELECT doc_id, left(md5(doc_id::VARCHAR), 1) < '8' AS held FROM labels WHERE doc_id IS NOT NULL
+  GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1 AND max(coalesce(toxic, 1)) = 0
+),
+role AS (SELECT d.r, t.held FROM d JOIN trusted t USING (doc_id)),
+raw AS (SELECT g, count(*) AS n, count(*) FILTER (WHERE r IN (SELECT r FROM role WHERE NOT held)) AS t FROM grams GROUP BY g),
+totals AS (SELECT sum(n)::DOUBLE AS n, sum(t)::DOUBLE AS t FROM raw),
+weight AS (
+  SELECT g, CASE WHEN totals.t = 0 THEN 0 ELSE
+    round(1000000 * (ln((raw.t + 1) / (totals.t + 65536)) - ln((raw.n + 1) / (totals.n + 65536)))) END::BIGINT AS m
+  FROM raw, totals
+),
+score AS (SELECT r, floor(sum(m) / count(*)::DOUBLE)::BIGINT AS llr_micro FROM grams JOIN weight USING (g) GROUP BY r),
+windows AS (
+  SELECT r, i, list(word) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS win FROM tok
+),
+twice AS (SELECT r, win FROM windows WHERE len(win) = 8 GROUP BY r, win HAVING count(*) > 1),
+covered AS (
+  SELECT r, count(DISTINCT j) AS n_repeat_words
+  FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM windows JOIN twice USING (r, win)) GROUP BY r
+),
+lines AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+),
+base AS (
+  SELECT w.r, w.doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(llr_micro, 0) AS llr_micro
+  FROM w LEFT JOIN lines USING (r) LEFT JOIN covered USING (r) LEFT JOIN score USING (r)
+),
+failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
+held AS (
+  SELECT place, sum(n) OVER (ORDER BY place) - n AS below, sum(n) OVER () AS total
+  FROM (SELECT floor(llr_micro / 1000)::BIGINT AS place, count(*) AS n FROM failed
+        WHERE NOT base_failed AND r IN (SELECT r FROM role WHERE held) GROUP BY 1)
+),
+least AS (SELECT max(place) AS place FROM held WHERE below <= 0.001::DOUBLE * total)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (least.place IS NULL OR floor(llr_micro / 1000) >= least.place) AS kept, llr_micro
+FROM failed, least
 """,
 }

@@ -7,7 +7,7 @@ from typing import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, embedding_dedup, exact_dedup, language_id, license_scan, ngram_join, source_mixing, token_counts, token_files, url_filter
+from tidemark.llm import byte_bpe, embedding_dedup, exact_dedup, language_id, license_scan, ngram_join, quality_rules, source_mixing, token_counts, token_files, url_filter
 from tidemark.llm.common import table
 from tidemark.llm.oracles import ORACLES  # noqa: F401
 from tidemark.session import staged, work_dir
@@ -75,3 +75,8 @@ def op9_token_counts(spark, sf_dir):
 def op10_source_mixing(spark, sf_dir):
     labels = source_mixing.domains_of(table(spark, sf_dir, "labels"))
     return source_mixing.mix(table(spark, sf_dir, "documents"), labels)
+
+
+@query
+def op13_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
