@@ -1,0 +1,150 @@
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import pytest
+from corpus_fixtures import rows
+from tidemark.llm import prefix_trie as p
+
+DDL = "conv_id bigint, turn bigint, role string, text string, path string, skeleton int, depth int, first string"
+
+
+def frame(spark, turns):
+    return spark.createDataFrame([(*t, "x", 1, 2, "y") for t in turns], DDL)
+
+
+def unit(role, text):
+    text = (text or "").encode()
+    role = (role or "").encode()
+    return hashlib.sha256(str(len(role)).encode() + b":" + role + text).hexdigest()[:32], len(text)
+
+
+def conversations(turns):
+    own = defaultdict(list)
+    for c, turn, role, text in turns:
+        if c is not None:
+            own[c].append((turn is not None, turn or 0, unit(role, text), role or "", text or ""))
+    own = {c: [t[3:] for t in sorted(ts)] for c, ts in own.items()}
+    built = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 9
+        base = c - int(__import__("math").fmod(c, 5))
+        built[c] = own.get(base, [])[:h] + own[c][h:]
+    return built
+
+
+def brute(built):
+    members, ends = defaultdict(list), defaultdict(list)
+    for c, ts in built.items():
+        for d in range(len(ts) + 1):
+            members[tuple(ts[:d])].append(c)
+        ends[tuple(ts)].append(c)
+    children = defaultdict(list)
+    for k in members:
+        if k:
+            children[k[:-1]].append(k)
+
+    def below(k):
+        todo, leaves, saved = [k], 0, 0
+        while todo:
+            n = todo.pop()
+            todo += children[n]
+            leaves += not children[n]
+            saved += (len(members[n]) - 1) * len(n[-1][1].encode()) if n else 0
+        return leaves, saved
+
+    out = []
+    for k, m in members.items():
+        text = ",".join(map(str, sorted(ends[k])))
+        out.append((
+            min(m), len(k), min(members[k[:-1]]) if k else None, len(m), len(children[k]), *below(k),
+            hashlib.sha256(text.encode()).hexdigest(),
+        ))
+    return sorted(out, key=lambda r: tuple((v is not None, str(type(v)), v) for v in r))
+
+
+def check(spark, turns, **how):
+    found = p.trie(frame(spark, turns), **how)
+    assert found.columns == ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    assert rows(found) == brute(conversations(turns))
+
+
+def random_turns(n, seed=1, words=3):
+    rng = random.Random(seed)
+    return [
+        (c, t, rng.choice(["user", "assistant"]), f"{rng.randrange(words)}é")
+        for c in range(n) for t in range(rng.randrange(1, 7))
+    ]
+
+
+ODD = [
+    (1, None, "user", "first"), (1, 0, None, None), (1, 0, "user", ""), (1, 0, "user", ""), (1, 2, "us", "erx"), (1, 2, "user", "x"),
+    (None, 0, "user", "nobody"), (7, 0, "user", "own"), (-3, 1, "user", "minus"), (-3, 0, "a", "b"), (10, 5, "user", "z" * 100_000), (11, 5, "user", "z" * 100_000),
+    (12, 1, "user", "😀"), (13, 9_000_000_000, "user", "far"), (2**40, 0, "user", "big"), (2**40 + 1, 0, "user", "big"), (1, 0, "user", ""),
+]
+
+
+@pytest.mark.parametrize("shards", [1, 2, 7, 64])
+def test_odd_rows(spark, shards):
+    check(spark, ODD + random_turns(30), shards=shards)
+
+
+@pytest.mark.parametrize("shards", [1, 3, 16, 300])
+def test_many_conversations(spark, shards):
+    check(spark, random_turns(300, seed=shards), shards=shards)
+
+
+def test_turnless_conversations(spark):
+    """Their base is absent and their own turns are cut off."""
+    turns = [(c, 0, "user", "only") for c in range(1, 400) if c % 5]
+    assert any(not ts for ts in conversations(turns).values())
+    check(spark, turns, shards=5)
+
+
+@pytest.mark.parametrize("shards", [1, 9])
+def test_a_third_of_all_conversations_are_one(spark, shards, monkeypatch):
+    """The ids of the equal ones lie in several shards, and are joined in small pieces."""
+    monkeypatch.setattr(p, "PIECE", 40)
+    turns = random_turns(300) + [(1000 + c, t, "user", "hot") for c in range(0, 800) for t in range(12)]
+    check(spark, turns, shards=shards)
+
+
+def test_one_first_turn_for_all(spark):
+    turns = [(c, t, "user", "hello" if t == 0 else f"{c % 90} {t}") for c in range(400) for t in range(11)]
+    check(spark, turns, shards=6)
+
+
+def test_cut_splitters(spark, monkeypatch):
+    """Splitters of a single turn move the borders of shards and nothing else."""
+    monkeypatch.setattr(p, "SPLITTER_BYTES", 1)
+    check(spark, random_turns(200), shards=8)
+    turns = [(c, t, "user", "same" if t < 30 else str(c)) for c in range(100) for t in range(33)]
+    check(spark, turns, shards=8)
+
+
+def test_one_long_conversation(spark):
+    turns = [(5, t, "user", str(t % 70)) for t in range(300)] + random_turns(40)
+    check(spark, turns, shards=4)
+
+
+def test_every_shared_node_is_in_the_skeleton(spark):
+    """No other node may have members in two shards."""
+    built = conversations(random_turns(300))
+    paths = {c: b"".join(bytes.fromhex(h) + n.to_bytes(4, "big") for h, n in (unit(*t) for t in ts)) for c, ts in built.items()}
+    made = spark.createDataFrame([(c, bytearray(x)) for c, x in paths.items()], "conv_id bigint, path binary")
+    borders = p.splitters_of(made, 12, len(paths))
+    skeleton = p.Skeleton(borders)
+    import bisect
+    homes = defaultdict(set)
+    for c, x in paths.items():
+        for d in range(len(x) // p.UNIT + 1):
+            homes[x[:d * p.UNIT]].add(bisect.bisect_right(borders, (x, c)))
+    known = {b""} | {b[:d] for b, _ in borders for d in range(0, len(b) + 1, p.UNIT)}
+    assert {x for x, h in homes.items() if len(h) > 1} <= known
+    assert len(known) == len(skeleton.depth) and len(borders) > 5
+
+
+def test_empty(spark):
+    assert p.trie(frame(spark, [])).count() == 0
+    assert p.trie(frame(spark, [(None, 0, "user", "x")])).count() == 0

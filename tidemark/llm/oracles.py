@@ -116,5 +116,37 @@ least AS (SELECT max(place) AS place FROM held WHERE below <= 0.001::DOUBLE * to
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND (least.place IS NULL OR floor(llr_micro / 1000) >= least.place) AS kept, llr_micro
 FROM failed, least
+""",
+    # Every prefix of every rebuilt conversation; crc32 by its table of 256 remainders.
+    "op12_prefix_trie": r"""
+WITH t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS t
+), turns AS (
+  SELECT conv_id, list({'r': role, 'x': text} ORDER BY turn NULLS FIRST, left(sha256(strlen(role)::VARCHAR || ':' || role || text), 32), strlen(text)) AS ts
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+  GROUP BY conv_id
+), crc AS (
+  SELECT conv_id, ts, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: xor(a // 256, t.t[xor(a, b) % 256 + 1])), 4294967295::BIGINT) % 9 AS h
+  FROM turns, t
+), built AS (
+  SELECT c.conv_id AS c, list_concat(coalesce(b.ts[1:c.h], []), c.ts[c.h + 1:]) AS p
+  FROM crc c LEFT JOIN turns b ON b.conv_id = c.conv_id - c.conv_id % 5
+), pre AS (
+  SELECT c, len(p) AS n, d, p[1:d] AS k FROM (SELECT c, p, unnest(range(0, len(p) + 1)) AS d FROM built)
+), node AS (
+  SELECT k, d, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = n), '')) AS ends_sha256
+  FROM pre GROUP BY k, d
+), kids AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1, 2),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (k, d)),
+below AS (
+  SELECT k[1:a] AS k, a AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves,
+         sum(CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * strlen(k[d].x) END)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM full_node) GROUP BY 1, 2
+)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM full_node f JOIN below USING (k, d) LEFT JOIN node p ON p.d = f.d - 1 AND p.k = f.k[1:f.d - 1]
 """,
 }
