@@ -7,7 +7,7 @@ from typing import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, embedding_dedup, exact_dedup, language_id, license_scan, ngram_join, prefix_trie, quality_rules, source_mixing, token_counts, token_files, url_filter
+from tidemark.llm import byte_bpe, embedding_dedup, exact_dedup, language_id, license_scan, ngram_join, prefix_trie, quality_rules, source_mixing, token_alignment, token_counts, token_files, url_filter
 from tidemark.llm.common import table
 from tidemark.llm.oracles import ORACLES  # noqa: F401
 from tidemark.session import staged, work_dir
@@ -77,6 +77,12 @@ def op10_source_mixing(spark, sf_dir):
     return source_mixing.mix(table(spark, sf_dir, "documents"), labels)
 
 
+@query
+def op11_token_alignment(spark, sf_dir):
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align(table(spark, sf_dir, "documents"), *paths)
+
+
 @query
 def op12_prefix_trie(spark, sf_dir):
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
