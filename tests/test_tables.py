@@ -87,10 +87,10 @@ def test_writers_fill_their_own_columns(spark, tables):
 
 def test_later_batch_wins_and_a_repeated_batch_replaces_itself(spark, tables):
     for batch, value in ((0, 1), (1, 5), (1, 5)):
-        tables.write("agg_events", agg(spark, ("w", "d", "c", value, float(value))), "job", batch)
+        tables.write("agg_events", agg(spark, ("w", "d", "c", value, float(value))), "job", batch, run="r")
     assert tables.log("agg_events").count() == 2
     assert tables.read("agg_events").first().m1_sum_downstream == 5
-    tables.write("agg_events", agg(spark, ("w", "d", "c", 4, 4.0)), "job", 1)
+    tables.write("agg_events", agg(spark, ("w", "d", "c", 4, 4.0)), "job", 1, run="r")
     assert tables.read("agg_events").first().m1_sum_downstream == 4
 
 
@@ -105,13 +105,60 @@ def test_the_last_write_wins_whoever_wrote_it(spark, tables, order):
 
 
 def test_a_write_leaves_the_files_of_others_alone(spark, tables):
-    tables.write("debug", spark.createDataFrame([("1", "a")], schema.DEBUG), "t", 0)
+    tables.write("debug", spark.createDataFrame([("1", "a")], schema.DEBUG), "t", 0, run="r")
     before = {r.f for r in spark.read.parquet(f"{tables.path}/debug").select(F.input_file_name().alias("f")).collect()}
-    tables.write("debug", spark.createDataFrame([("1", "b")], schema.DEBUG), "t", 0)
+    tables.write("debug", spark.createDataFrame([("1", "b")], schema.DEBUG), "t", 0, run="r")
     assert tables.read("debug").first().message == "b" and tables.log("debug").count() == 1
     assert spark.read.parquet(*before).count() == 1
 
 
+def test_two_writes_of_a_writer_both_stay(spark, tables):
+    """A job that runs every night has no batch numbers."""
+    tables.write("agg_events", agg(spark, ("w1", "d", "c", 1, 1.0)), "job")
+    tables.write("agg_events", agg(spark, ("w2", "d", "c", 2, 2.0)), "job")
+    assert rows(tables.read("agg_events").select("window_time", "m1_sum_downstream")) == [("w1", 1), ("w2", 2)]
+
+
+def test_an_attempt_without_a_commit_is_not_seen(spark, tables, monkeypatch):
+    tables.write("debug", spark.createDataFrame([("1", "a")], schema.DEBUG), "t", 0, run="r")
+    with monkeypatch.context() as m:
+        m.setattr(tables.commits, "add", lambda *a: None)
+        tables.write("debug", spark.createDataFrame([("1", "lost"), ("2", "lost")], schema.DEBUG), "t", 1, run="r")
+    assert rows(tables.read("debug")) == [("1", "a")]
+    tables.write("debug", spark.createDataFrame([("2", "b")], schema.DEBUG), "t", 1, run="r")
+    assert rows(tables.read("debug")) == [("1", "a"), ("2", "b")]
+
+
+def test_one_commit_covers_several_tables(spark, tables):
+    debug = spark.createDataFrame([("1", "a")], schema.DEBUG)
+    tables.write_all({"debug": debug, "agg_events": agg(spark, ("w", "d", "c", 1, 1.0))}, "job", 3, run="r")
+    assert tables.commits.all().count() == 1
+    assert tables.read("debug").count() == tables.read("agg_events").count() == 1
+    tables.write_all({"debug": spark.createDataFrame([("2", "b")], schema.DEBUG)}, "job", 3, run="r")
+    assert rows(tables.read("debug")) == [("2", "b")] and tables.read("agg_events").count() == 1
+
+
+def test_order_is_that_of_the_commits(spark, tables):
+    """Two openers of one folder take numbers from one sequence."""
+    other = KeyedTables(spark, tables.path)
+    for i, t in enumerate([tables, tables, other, tables, other]):
+        t.write("debug", spark.createDataFrame([("1", str(i))], schema.DEBUG), "w")
+    assert [r.place for r in tables.commits.all().orderBy("place").collect()] == [1, 2, 3, 4, 5]
+    assert rows(other.read("debug")) == [("1", "4")]
+    tables.reset()
+    other.write("debug", spark.createDataFrame([("1", "new")], schema.DEBUG), "w")
+    assert [r.place for r in tables.commits.all().collect()] == [1] and rows(tables.read("debug")) == [("1", "new")]
+
+
+def test_a_damaged_commit_is_none(spark, tables):
+    tables.write("debug", spark.createDataFrame([("1", "a")], schema.DEBUG), "w")
+    folder = tables.path.removeprefix("file:")
+    with open(f"{folder}/_commits/000000000000002.json", "w") as half:
+        half.write('{"place": 2, "attempt": "x", "wri')
+    tables.write("debug", spark.createDataFrame([("2", "b")], schema.DEBUG), "w")
+    assert rows(tables.read("debug")) == [("1", "a"), ("2", "b")]
+
+
 def test_reset_and_drop(spark, tables):
     tables.write("debug", spark.createDataFrame([("1", "hello")], schema.DEBUG), "t")
     assert tables.read("debug").count() == 1

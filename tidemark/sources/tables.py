@@ -1,25 +1,24 @@
 """Keyed tables as append-only logs of parquet.
 
-A write appends its rows with the time at which it began; nothing is rewritten,
+A write appends its rows and then commits them (``commits``); nothing is rewritten,
 so a reader never meets a half-replaced table and a small batch stays small. Per
-key, or per key and column, the last write counts, whichever writer it came from.
+key, or per key and column, the last commit counts, whichever writer it came from.
 A micro-batch that is repeated after a failure is written again: of the attempts
-at one batch of a writer only the last is read.
+at one batch of a run only the last is read. Writes of different runs all stay.
 """
 
 from __future__ import annotations
 
-import time
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark import schema
 from tidemark.operators import upsert
+from tidemark.sources.commits import Commits
 
-_BOOKKEEPING = T.StructType([
-    T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType()), T.StructField("written", T.LongType()),
-])
+_ATTEMPT = T.StructField("attempt", T.StringType())
 
 
 class KeyedTables:
@@ -34,11 +33,12 @@ class KeyedTables:
         self.path = path.rstrip("/")
         self.tables = tables or schema.TABLES
         self.by_column = by_column
+        self.commits = Commits(spark, f"{self.path}/_commits")
 
     # -- table commands ------------------------------------------------------
 
     def _schema(self, name: str) -> T.StructType:
-        return T.StructType([*self.tables[name][0], *_BOOKKEEPING])
+        return T.StructType([*self.tables[name][0], _ATTEMPT])
 
     def _empty(self, name: str, mode: str) -> None:
         rows = self.spark.createDataFrame([], self._schema(name))
@@ -46,11 +46,13 @@ class KeyedTables:
 
     def init(self) -> None:
         """Create the tables that do not exist yet."""
+        self.commits.init()
         for name in self.tables:
             self._empty(name, "ignore")
 
     def reset(self) -> None:
         """Truncate all tables."""
+        self.commits.clear()
         for name in self.tables:
             self._empty(name, "overwrite")
 
@@ -61,21 +63,28 @@ class KeyedTables:
 
     # -- rows ----------------------------------------------------------------
 
-    def write(self, name: str, rows: DataFrame, writer: str, batch: int = 0) -> None:
-        """Upsert ``rows``; columns they lack are NULL. The partitions stay as the
-        query made them, each file in key order."""
-        full, key = self.tables[name]
-        checked = upsert.require_keys(rows, key)
-        typed = checked.select(
-            *[
-                (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                for f in full
-            ],
-            F.lit(writer).alias("writer"),
-            F.lit(batch).cast("bigint").alias("batch"),
-            F.lit(time.time_ns()).alias("written"),
-        )
-        typed.sortWithinPartitions(*key).write.mode("append").parquet(f"{self.path}/{name}")
+    def write(self, name: str, rows: DataFrame, writer: str, batch: int = 0, run: str | None = None) -> None:
+        """Upsert ``rows``; columns they lack are NULL. See ``write_all``."""
+        self.write_all({name: rows}, writer, batch, run)
+
+    def write_all(self, rows: dict[str, DataFrame], writer: str, batch: int = 0, run: str | None = None) -> None:
+        """Upsert rows of several tables under one commit: a reader sees all or none.
+
+        With ``run``, a batch that the run has committed before is replaced; without,
+        the write is a run of its own. The partitions stay as the query made them,
+        each file in key order."""
+        attempt = uuid.uuid4().hex
+        for name, frame in rows.items():
+            full, key = self.tables[name]
+            typed = upsert.require_keys(frame, key).select(
+                *[
+                    (F.col(f.name) if f.name in frame.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                    for f in full
+                ],
+                F.lit(attempt).alias("attempt"),
+            )
+            typed.sortWithinPartitions(*key).write.mode("append").parquet(f"{self.path}/{name}")
+        self.commits.add(list(rows), attempt, writer, run or attempt, batch)
 
     def _rows(self, name: str) -> DataFrame:
         try:
@@ -84,19 +93,17 @@ class KeyedTables:
             raise ValueError(f"table {name} does not exist; call init()") from error
 
     def log(self, name: str) -> DataFrame:
-        """All writes, with ``writer``, ``batch`` and ``written``, less attempts that
-        were repeated. The attempts are one short row per batch."""
-        rows = self._rows(name)
-        last = rows.groupBy("writer", "batch").agg(F.max("written").alias("written"))
-        return rows.join(last, ["writer", "batch", "written"], "left_semi")
+        """The rows of all writes that count, with ``writer``, ``run``, ``batch`` and
+        ``place``, the commit's place in the order of all."""
+        return self._rows(name).join(self.commits.of(name), "attempt").drop("attempt")
 
     def read(self, name: str) -> DataFrame:
-        """The current rows: the last write, per key and row or, for the tables in
+        """The current rows: the last commit, per key and row or, for the tables in
         ``by_column``, per key and column."""
         full, key = self.tables[name]
-        log = self.log(name).drop("batch", "writer")
+        log = self.log(name).drop("batch", "writer", "run")
         merge = upsert.merge_columns if name in self.by_column else upsert.latest
-        order = "written" if name in self.by_column else ["written"]
+        order = "place" if name in self.by_column else ["place"]
         return merge(log, key, order).select(*full.fieldNames())
 
     def counts(self) -> DataFrame:

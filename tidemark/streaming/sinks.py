@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import time
 from typing import Callable
 
@@ -11,6 +12,7 @@ from tidemark.functions import timewin as tw
 from tidemark.functions.measures import PLAIN
 from tidemark.operators import aggregate, dedup, reconcile
 from tidemark.session import session_conf
+from tidemark.sources.commits import checkpoint_run
 from tidemark.sources.tables import KeyedTables
 from tidemark.streaming import jobs
 
@@ -32,10 +34,10 @@ def stream_settings(spark: SparkSession, idle: bool = False, state_partitions: i
 
 def upsert_into(tables: KeyedTables, name: str, writer: str,
                 shape: Callable[[DataFrame], DataFrame] = lambda df: df):
-    """``foreachBatch`` function. A repeated batch replaces its own rows."""
+    """``foreachBatch`` function. A repeated batch of a run replaces its own rows."""
 
-    def write(rows: DataFrame, batch_id: int) -> None:
-        tables.write(name, shape(rows), writer, batch_id)
+    def write(rows: DataFrame, batch_id: int, run: str | None = None) -> None:
+        tables.write(name, shape(rows), writer, batch_id, run)
 
     return write
 
@@ -59,7 +61,7 @@ def microbatch_into(tables: KeyedTables, writer: str, measure=PLAIN,
         now = int(time.time() * 1000)
         return now - now % tw.WINDOW_MS
 
-    def write(messages: DataFrame, batch_id: int) -> None:
+    def write(messages: DataFrame, batch_id: int, run: str | None = None) -> None:
         at = F.lit((batch_time or clock)(batch_id))
         if slice_ms is not None:
             at = tw.floor_ms(F.col("send_ms"), slice_ms) + slice_ms
@@ -72,11 +74,26 @@ def microbatch_into(tables: KeyedTables, writer: str, measure=PLAIN,
             F.col("m1").alias("m1_sum"),
             measure.unpack(F.col("m2")).alias("m2_sum"),
         )
-        tables.write("agg_events", downstream(rows), writer, batch_id)
+        tables.write("agg_events", downstream(rows), writer, batch_id, run)
 
     return write
 
 
+def _of_run(query: DataFrame, checkpoint: str, write):
+    """A write function that takes a third argument is told the run, which Spark
+    keeps in the checkpoint: a restart goes on in it, a new checkpoint is a new one."""
+    if len(inspect.signature(write).parameters) < 3:
+        return write
+    known = []
+
+    def of_run(rows: DataFrame, batch_id: int) -> None:
+        if not known:
+            known.append(checkpoint_run(query.sparkSession, checkpoint))
+        write(rows, batch_id, known[0])
+
+    return of_run
+
+
 def run_available(query: DataFrame, mode: str, checkpoint: str, write) -> None:
     """Process what is there in micro-batches, then stop. The checkpoint lets
     the next call go on from there."""
@@ -84,7 +101,7 @@ def run_available(query: DataFrame, mode: str, checkpoint: str, write) -> None:
         query.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(write)
+        .foreachBatch(_of_run(query, checkpoint, write))
         .start()
     )
     running.awaitTermination()
@@ -95,7 +112,7 @@ def start(query: DataFrame, mode: str, checkpoint: str, write):
     return (
         query.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(write)
+        .foreachBatch(_of_run(query, checkpoint, write))
         .start()
     )
 
@@ -111,7 +128,7 @@ def run_forever(query: DataFrame, mode: str, checkpoint: str, write, every: str
         query.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(processingTime=every)
-        .foreachBatch(write)
+        .foreachBatch(_of_run(query, checkpoint, write))
         .start()
     )
 
