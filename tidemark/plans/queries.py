@@ -467,7 +467,7 @@ def _stream_sums(spark, sf_dir, job, mode: str) -> DataFrame:
     tables = _tables(spark)
     write = sinks.upsert_into(tables, "agg_events", "job", sinks.downstream)
     closing = scenarios.closing_message(spark) if mode == "append" else None
-    replay.replay(spark, messages, replay.SLICE_MS, job, mode, write, closing)
+    replay.replay(spark, messages, replay.SLICE_MS, job, mode, write, closing, rests=mode != "complete")
     return _stored(tables)
 
 
@@ -523,7 +523,7 @@ def stream_microbatch(spark, sf_dir):
     messages = feeds.to_payload(_feed(spark, sf_dir))
     tables = _tables(spark)
     write = sinks.microbatch_into(tables, "job", CENTS, slice_ms=replay.SLICE_MS)
-    replay.replay(spark, messages, replay.SLICE_MS, lambda stream: stream, "append", write)
+    replay.replay(spark, messages, replay.SLICE_MS, lambda stream: stream, "append", write, rests=False)
     return _stored(tables)
 
 
@@ -553,7 +553,7 @@ def dedup_within_watermark(spark, sf_dir):
         return jobs.first_within_watermark(events).drop("event_time", "arrival")
 
     replay.replay(
-        spark, messages, replay.SLICE_MS, job, "append", sinks.upsert_into(tables, "messages", "job")
+        spark, messages, replay.SLICE_MS, job, "append", sinks.upsert_into(tables, "messages", "job"), rests=False
     )
     return tables.log("messages").select(*EVENT_COLUMNS)
 
@@ -571,7 +571,7 @@ def wordcount_stream(spark, sf_dir):
     )
     tables = _tables(spark, tables={"words": (WORDS, ("word",))}, by_column=())
     replay.replay(
-        spark, lines, replay.SLICE_MS, jobs.word_count, "update", sinks.upsert_into(tables, "words", "job")
+        spark, lines, replay.SLICE_MS, jobs.word_count, "update", sinks.upsert_into(tables, "words", "job"), rests=False
     )
     return tables.read("words")
 

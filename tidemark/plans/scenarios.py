@@ -89,7 +89,7 @@ def run_stream_scenario(
     messages = feeds.to_payload(feed)
     if mode == "microbatch":
         write = sinks.microbatch_into(tables, mode, measure)
-        replay.replay(spark, messages, slice_ms, lambda stream: stream, "append", write)
+        replay.replay(spark, messages, slice_ms, lambda stream: stream, "append", write, rests=False)
     else:
         write = sinks.upsert_into(tables, "agg_events", mode, sinks.downstream)
         replay.replay(

@@ -1,20 +1,29 @@
-"""Replay of a feed as a stream: slices of arrival time delivered one after another."""
+"""Replay of a feed as a stream: slices of arrival time delivered one after another.
+
+The slices are written once, in parallel, as the same number of files each. The
+files' times follow the order of arrival, so Spark's own file source takes one
+slice as one micro-batch and stops when all are read.
+"""
 
 from __future__ import annotations
 
-import time
+import re
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark import schema
 from tidemark.functions import timewin as tw
 from tidemark.session import work_dir
 from tidemark.sources.stream import event_source
-from tidemark.streaming.sinks import start, stream_settings
+from tidemark.streaming.sinks import run_available, stream_settings
 
 # Arrival time that one delivery spans, whatever the size of the feed.
 SLICE_MS = 360_000
+# Messages of a file, about: a slice has as many files as its largest one needs.
+FILE_ROWS = 1_000_000
+# Time of the first file; the next delivery's is a second later.
+FIRST_MS = 1_000_000_000_000
 
 
 def with_slice(messages: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
@@ -22,21 +31,44 @@ def with_slice(messages: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
     return messages.withColumn("slice", tw.floor_ms(F.unix_millis("arrival"), slice_ms))
 
 
-IDLE = "Waiting for data to arrive"
+def deliver(messages: DataFrame, folder: str, slice_ms: int, rests: bool = True, file_rows: int = FILE_ROWS) -> int:
+    """Write ``messages`` (value, arrival) below ``folder`` for the file source; gives
+    the number of files that make one micro-batch.
+
+    With ``rests``, an empty delivery follows each slice. A stream judges late rows by
+    the watermark at the start of the micro-batch before; after a rest that is the
+    watermark of all slices before. Messages without an arrival time come first.
+    """
+    spark = messages.sparkSession
+    sliced = with_slice(messages.select("value", "arrival"), slice_ms)
+    most = sliced.groupBy("slice").count().agg(F.max("count")).first()[0] or 0
+    parts = max(1, -(-most // file_rows))
+    dealt = sliced.withColumn("part", F.pmod(F.xxhash64("value", "arrival"), F.lit(parts)))
+    dealt.repartition("slice", "part").write.partitionBy("slice", "part").parquet(f"{folder}/in")
+    spark.createDataFrame([], schema.PAYLOAD).coalesce(1).write.parquet(f"{folder}/empty")
 
+    def files_of(path: str) -> list[str]:
+        return spark.read.schema(schema.PAYLOAD).option("recursiveFileLookup", True).parquet(path).inputFiles()
 
-def settle(query, seconds: float = 600) -> None:
-    """Wait until all data are processed, and the batch without data that a risen
-    watermark asks for too. The first call may be answered by a look at the files
-    that began before the last of them was there; the second can't be. Only the
-    status tells that no batch without data is left."""
-    query.processAllAvailable()
-    query.processAllAvailable()
-    end = time.monotonic() + seconds
-    while query.isActive and query.status["message"] != IDLE:
-        if time.monotonic() > end:
-            raise TimeoutError("the query does not come to rest")
-        time.sleep(0.01)
+    slices: dict[int, list[str]] = {}
+    for file in files_of(f"{folder}/in"):
+        number = re.search(r"/slice=(-?\d+)/", file)
+        slices.setdefault(int(number[1]) if number else -(1 << 62), []).append(file)
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    empty = jvm.Path(files_of(f"{folder}/empty")[0])
+    system = empty.getFileSystem(conf)
+    fillers = 0
+    for number, at in enumerate(sorted(slices)):
+        own = slices[at]
+        for step, files in enumerate([own, []] if rests else [own]):
+            while len(files) < parts:
+                fillers += 1
+                files.append(f"{folder}/in/filler-{fillers:09d}.parquet")
+                jvm.FileUtil.copy(system, empty, system, jvm.Path(files[-1]), False, conf)
+            for file in files:
+                system.setTimes(jvm.Path(file), FIRST_MS + 1000 * (2 * number + step), -1)
+    return parts
 
 
 def replay(
@@ -47,29 +79,18 @@ def replay(
     mode: str,
     write,
     closing: DataFrame | None = None,
+    rests: bool = True,
 ) -> list[dict]:
-    """Deliver ``messages`` (value, arrival) in slices of ``slice_ms`` to one query.
+    """Run one query over ``messages`` (value, arrival), a micro-batch for each slice.
 
-    A delivery is one file, so a micro-batch never sees part of it, and the next
-    one waits until the query has settled: late rows are judged by all deliveries
-    before. ``closing`` is one more delivery, for events that push the watermark
-    past the last window. Returns the progress of the query.
+    ``closing`` holds messages that push the watermark past the last window. ``rests``
+    as in ``deliver``; a query without a watermark needs none. Returns the progress.
     """
     folder = work_dir(spark, "replay")
-    with_slice(messages, slice_ms).repartition("slice").write.partitionBy("slice").parquet(f"{folder}/staged")
-    full = T.StructType([*schema.PAYLOAD.fields, T.StructField("slice", T.LongType())])
-    staged = spark.read.schema(full).parquet(f"{folder}/staged")
-    slices = sorted(r[0] for r in staged.select("slice").distinct().collect())  # one number per slice
-    deliveries = [staged.filter(F.col("slice") == at).drop("slice") for at in slices]
     if closing is not None:
-        deliveries.append(closing)
-    spark.createDataFrame([], schema.PAYLOAD).write.parquet(f"{folder}/in")
+        messages = messages.select("value", "arrival").unionByName(closing.select("value", "arrival"))
+    files = deliver(messages, folder, slice_ms, rests)
+    options = {"maxFilesPerTrigger": str(files), "recursiveFileLookup": "true"}
     with stream_settings(spark):
-        query = start(job(event_source(spark, "parquet", path=f"{folder}/in")), mode, f"{folder}/checkpoint", write)
-        try:
-            for part in deliveries:
-                part.select("value", "arrival").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-                settle(query)
-            return query.recentProgress
-        finally:
-            query.stop()
+        stream = event_source(spark, "parquet", path=f"{folder}/in", options=options)
+        return run_available(job(stream), mode, f"{folder}/checkpoint", write)

@@ -29,6 +29,7 @@ def stream_settings(spark: SparkSession, idle: bool = False, state_partitions: i
         spark__sql__streaming__stateStore__providerClass=ROCKSDB,
         spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
         spark__sql__streaming__multipleWatermarkPolicy="max" if idle else "min",
+        spark__sql__streaming__numRecentProgressUpdates="1000",
     )
 
 
@@ -94,9 +95,9 @@ def _of_run(query: DataFrame, checkpoint: str, write):
     return of_run
 
 
-def run_available(query: DataFrame, mode: str, checkpoint: str, write) -> None:
+def run_available(query: DataFrame, mode: str, checkpoint: str, write) -> list:
     """Process what is there in micro-batches, then stop. The checkpoint lets
-    the next call go on from there."""
+    the next call go on from there. Returns the progress of the last thousand."""
     running = (
         query.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
@@ -105,16 +106,7 @@ def run_available(query: DataFrame, mode: str, checkpoint: str, write) -> None:
         .start()
     )
     running.awaitTermination()
-
-
-def start(query: DataFrame, mode: str, checkpoint: str, write):
-    """Start a query that takes what comes as soon as it comes."""
-    return (
-        query.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(_of_run(query, checkpoint, write))
-        .start()
-    )
+    return running.recentProgress
 
 
 def dropped_by_watermark(progress: list) -> int:
