@@ -128,3 +128,24 @@ def test_debug_rows_are_repeatable(messages):
     got = rows(aggregate.debug_rows(dedup.first_per_window(events)))
     assert len(got) == 5 and len({r[0] for r in got}) == 5
     assert got[0][0] == "windowed - a - 1472209320000"
+
+
+@pytest.mark.parametrize("size,slide", [(5000, 1000), (5000, 5000), (60_000, 1000), (5000, 2500)])
+def test_panes_equal_copies_in_every_window(make_events, size, slide):
+    """Copies whose device times differ overlap in part, also with two earlier ones around them."""
+    rng = random.Random(slide + size)
+    data = [
+        (f"m{rng.randrange(40)}", f"d{rng.randrange(2)}", rng.randrange(-20_000, 60_000), f"c{rng.randrange(2)}", rng.randrange(9), rng.randrange(400) / 4, rng.randrange(50))
+        for _ in range(400)
+    ]
+    events = make_events(data)
+    first = dedup.first_per_window(
+        events.select("message_id", "send_ms", "device_id", "category", "measure1", "measure2", "device_ms"), tw.to_timestamp(F.col("device_ms")), size, slide
+    )
+    assert rows(aggregate.pane_sums(events, size, slide, CENTS)) == rows(aggregate.window_sums(first, None, CENTS))
+
+
+def test_panes_with_missing_measures(make_events):
+    events = make_events([("a", "d", 1000, "c", None, 1.5, 1), ("b", "d", 3000, "c", 2, None, 2), ("c", "d", 90_000, "c", None, None, 3)])
+    first = dedup.first_per_window(events, tw.to_timestamp(F.col("device_ms")), 4000, 1000)
+    assert rows(aggregate.pane_sums(events, 4000, 1000, CENTS)) == rows(aggregate.window_sums(first, None, CENTS))

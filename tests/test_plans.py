@@ -107,3 +107,14 @@ def test_event_time_sums_read_the_feed_once(spark):
 def test_key_filter_reaches_the_stored_table(spark):
     plan = plan_of(REGISTRY["filter_sort_limit"](spark, SF))
     assert re.search(r"FileScan parquet [^\n]*DataFilters: \[[^\n]*category#\d+ = view", plan)
+
+
+@pytest.mark.parametrize("slide", [1000, 5000 // 50])
+def test_sliding_windows_shuffle_no_more_rows_than_the_feed(spark, feed, slide):
+    with session_conf(spark, spark__sql__adaptive__enabled="false"):
+        df = aggregate.sliding_sums(feed, slide_ms=slide, measure=CENTS)
+        df.collect()
+        steps = shuffled_rows(df)
+    n = feed.count()
+    assert len(steps) == 4 and max(steps[2:]) <= n and max(steps[:2]) <= 2 * n
+

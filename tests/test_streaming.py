@@ -13,7 +13,7 @@ from tidemark.plans import scenarios
 from tidemark.session import session_conf, work_dir
 from tidemark.sources.stream import event_sink, event_source
 from tidemark.sources.tables import KeyedTables
-from tidemark.streaming import jobs, replay, sinks
+from tidemark.streaming import jobs, replay, sinks, stateful
 
 A = "a|d|1472209316326|c1|1|1.5"
 # One file per micro-batch; the fourth holds only late rows.
@@ -316,3 +316,64 @@ def test_resumed_feed_equals_batch(spark):
         "window_time", "device_id", "category", "m1_sum_downstream", "m2_sum_downstream"
     )
     assert rows(got) == rows(want)
+
+
+def lines_at(spark, data):
+    return spark.createDataFrame(data, "value string, ms bigint").selectExpr("value", "timestamp_millis(ms) AS arrival")
+
+
+def test_a_slice_is_a_micro_batch_of_any_number_of_files(spark):
+    """Files of 3 messages: the largest slice needs four, and each slice gets as many."""
+    messages = lines_at(spark, [(str(i), 1000 * (i // 10)) for i in range(25)] + [("none", None)])
+    folder = work_dir(spark, "deliver")
+    files = replay.deliver(messages, folder, 1000, file_rows=3)
+    out = Collect()
+    options = {"maxFilesPerTrigger": str(files), "recursiveFileLookup": "true"}
+    with sinks.stream_settings(spark, state_partitions=2):
+        stream = event_source(spark, "parquet", path=f"{folder}/in", options=options)
+        progress = sinks.run_available(stream.select("value"), "append", work_dir(spark, "cp"), out)
+    assert files == 4
+    assert out.batches == [[("none",)], *[sorted((str(i),) for i in range(a, b)) for a, b in ((0, 10), (10, 20), (20, 25))]]
+    assert [p["numInputRows"] for p in progress if p["numInputRows"]] == [1, 10, 10, 5] and len(progress) >= 8
+
+
+def test_a_new_checkpoint_hides_nothing(spark, tmp_path):
+    """Batch numbers begin again with it; the rows of the old one stay."""
+    t = KeyedTables(spark, work_dir(spark, "again"))
+    t.init()
+    write = sinks.upsert_into(t, "agg_events", "job", sinks.downstream)
+    for name, files in (("one", FILES[:2]), ("two", FILES[2:3])):
+        write_files(f"{tmp_path}/{name}", files)
+        with sinks.stream_settings(spark, state_partitions=2):
+            job = jobs.window_sums(text_stream(spark, f"{tmp_path}/{name}"), emit="update")
+            sinks.run_available(job, "update", work_dir(spark, "cp"), write)
+    got = {r.window_time[-8:]: r.m1_sum_downstream for r in t.read("agg_events").collect()}
+    assert got == {"11:02:00": 1, "11:02:15": 16}
+    assert t.commits.all().select("run").distinct().count() == 2
+
+
+def test_late_rows_of_a_stream(spark, tmp_path):
+    write_files(f"{tmp_path}/in", FILES)
+    got = run(spark, f"{tmp_path}/in", lambda m: stateful.late_rows(jobs.watermarked(jobs.events_of(m))), "append")
+    assert [[(r[0], r[2], r[7], r[8]) for r in batch] for batch in got] == [
+        [("a", 1472209316326, 1472209320000, 1472209331000), ("z", 1472209316000, 1472209320000, 1472209331000)]
+    ]
+
+
+def test_a_later_copy_takes_back_the_earlier_one(spark):
+    t = KeyedTables(spark, work_dir(spark, "deltas"), tables=stateful.DELTAS, by_column=())
+    t.init()
+    messages = lines_at(spark, [
+        ("a|d|1000|c|1|1.5", 10), ("a|d|1000|c|2|1.5", 20), ("b|d|2000|c|10|0.25", 30),  # one slice: the last copy
+        ("a|d|1000|x|5|1.5", 1010), ("b|d|2000|c|10|0.25", 1020),  # a moves to x, b is repeated as it is
+        ("a|d|1000|x|7|2.0", 2010), ("z|d|100000|c|0|0.0", 2020),  # raises the watermark
+        ("a|d|1000|x|9|9.0", 3010),  # its window is closed
+    ])
+    job = lambda m: stateful.last_copy_deltas(jobs.events_of(m, 2), 50_000, CENTS)
+    replay.replay(spark, messages, 1000, job, "update", stateful.deltas_into(t, "job"))
+    first = "1970-01-01 00:00:05"
+    assert rows(stateful.versions(t, CENTS)) == [
+        (first, "d", "c", 1, 12, 1.75), (first, "d", "c", 2, 10, 0.25), (first, "d", "x", 1, 5, 1.5), (first, "d", "x", 2, 7, 2.0),
+        ("1970-01-01 00:01:45", "d", "c", 1, 0, 0.0),
+    ]
+

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import codec, timewin as tw
 from tidemark.functions.measures import PLAIN
@@ -143,13 +143,65 @@ def changelog_sums(feed: DataFrame, measure=PLAIN, size_ms: int = tw.WINDOW_MS)
 
 def sliding_sums(feed: DataFrame, size_ms: int = tw.WINDOW_MS, slide_ms: int = 1000,
                  measure=PLAIN) -> DataFrame:
-    """Overlapping windows of device time, first copy per message and window."""
+    """Overlapping windows of device time, first copy per message and window.
+
+    With exact sums of windows that begin every whole part of their length, no row
+    is multiplied: see ``pane_sums``. Otherwise each row goes to all its windows."""
+    if size_ms % slide_ms == 0 and measure.scale is not None:
+        return pane_sums(feed, size_ms, slide_ms, measure)
     first = dedup.first_per_window(
         _summed_columns(feed, "device_ms"), tw.to_timestamp(F.col("device_ms")), size_ms, slide_ms
     )
     return window_sums(first, None, measure)
 
 
+def pane_sums(feed: DataFrame, size_ms: int, slide_ms: int, measure) -> DataFrame:
+    """Sliding sums by panes of ``slide_ms``.
+
+    A copy counts in a range of windows: those that hold its time, less those of
+    earlier copies of the message, which cut it from either side and never split it.
+    It is added where the range begins and taken away behind its end; sums of such
+    steps per pane, and their running total per device and category, are the sums of
+    the windows. Only the last step makes a row for each window, which is the result.
+    """
+    span = size_ms // slide_ms
+    rows = _summed_columns(feed, "device_ms").withColumn("pane", F.floor(F.col("device_ms") / slide_ms).cast("bigint"))
+    first = dedup.first_of(rows, ["message_id", "pane"])
+    order = F.struct("send_ms", *KEYS, "measure1", "measure2", "device_ms")
+    near = Window.partitionBy("message_id").orderBy("pane")
+    told = first.withColumn("order", order)
+    found = told.withColumns({
+        "before": F.collect_list(F.struct("pane", "order")).over(near.rangeBetween(1 - span, -1)),
+        "after": F.collect_list(F.struct("pane", "order")).over(near.rangeBetween(1, span - 1)),
+    })
+
+    def earlier(side: str) -> Column:
+        return F.transform(F.filter(side, lambda c: c["order"] < F.col("order")), lambda c: c["pane"])
+
+    ranges = found.select(
+        *KEYS, F.col("measure1").alias("m1"), measure.pack(F.col("measure2")).alias("m2"),
+        F.greatest(F.col("pane") - span + 1, F.array_max(earlier("before")) + 1).alias("begin"),
+        F.least(F.col("pane"), F.array_min(earlier("after")) - span).alias("end"),
+    ).where("begin <= end")
+
+    def step(at: Column, sign: int) -> Column:
+        held = [(F.col(m).isNotNull().cast("bigint") * sign).alias(f"has_{m}") for m in ("m1", "m2")]
+        return F.struct(at.alias("at"), F.lit(sign).cast("bigint").alias("n"), *held, *[(F.col(m) * sign).alias(m) for m in ("m1", "m2")])
+
+    steps = ranges.select(*KEYS, F.explode(F.array(step(F.col("begin"), 1), step(F.col("end") + 1, -1))).alias("s")).select(*KEYS, "s.*")
+    names = ("n", "has_m1", "has_m2", "m1", "m2")
+    panes = steps.groupBy(*KEYS, "at").agg(*[F.sum(c).alias(c) for c in names])
+    upto = Window.partitionBy(*KEYS).orderBy("at")
+    running = panes.select(*KEYS, "at", F.lead("at").over(upto).alias("next"), *[F.sum(c).over(upto).alias(c) for c in names])
+    return running.where("n > 0").select(
+        *KEYS, F.explode(F.sequence(F.col("at"), F.col("next") - 1)).alias("start"),
+        F.when(F.col("has_m1") > 0, F.col("m1")).alias("m1"), F.when(F.col("has_m2") > 0, F.col("m2")).alias("m2"),
+    ).select(
+        tw.ms_text(F.col("start") * slide_ms + size_ms, fraction=True).alias("window_time"), *KEYS,
+        F.col("m1").alias("m1_sum"), measure.unpack(F.col("m2")).alias("m2_sum"),
+    )
+
+
 def debug_rows(windowed: DataFrame) -> DataFrame:
     """Every row of every window as (id, message); nothing is reduced.
 

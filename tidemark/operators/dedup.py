@@ -56,5 +56,10 @@ def first_per_id(df: DataFrame, arrival: str = "send_ms") -> DataFrame:
     return _keep(df, ["message_id"], arrival, last=False)
 
 
+def first_of(df: DataFrame, keys: list[str], arrival: str = "send_ms") -> DataFrame:
+    """First record per key."""
+    return _keep(df, keys, arrival, last=False)
+
+
 def distinct_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()

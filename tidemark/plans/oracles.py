@@ -339,4 +339,34 @@ ORACLES: dict[str, str] = {
     "dedup_within_watermark": f"WITH {FEED} SELECT DISTINCT {EVENT_COLUMNS} FROM feed",
     "wordcount_stream": WORD_COUNT,
     "stream_scenario_event": f"{STREAM_EVENT} SELECT * FROM wide ORDER BY device_id, category, window_time",
+    "stream_late_rows": f"""WITH {SLICED_ON_TIME}
+        SELECT message_id, send_ms, device_ms, (device_ms // 5000 + 1) * 5000 AS window_end_ms, wm_ms AS watermark_ms
+        FROM sliced JOIN wm USING (b) WHERE (device_ms // 5000 + 1) * 5000 <= wm_ms""",
+    # A later slice's copy takes back what the slice before had; copies of one slice don't meet.
+    "stream_retractions": f"""WITH {FEED},
+        arrived AS (
+          SELECT message_id, device_id, CASE WHEN patterncode = 're' AND s % 2 = 0 THEN 'corrected' ELSE category END AS category,
+                 CASE WHEN patterncode = 're' THEN measure1 + 1000 ELSE measure1 END AS m1,
+                 CAST(measure2 AS DECIMAL(18,2)) AS m2, send_ms, send_ms // 120000 AS b, (device_ms // 5000 + 1) * 5000 AS closes
+          FROM feed),
+        highest AS (
+          SELECT b, MAX(mx) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 300000 AS wm_ms
+          FROM (SELECT b, MAX(closes) AS mx FROM arrived GROUP BY 1)),
+        copies AS (
+          SELECT message_id, closes, b, ARG_MAX(device_id, send_ms) AS device_id, ARG_MAX(category, send_ms) AS category,
+                 ARG_MAX(m1, send_ms) AS m1, ARG_MAX(m2, send_ms) AS m2
+          FROM arrived JOIN highest USING (b) WHERE wm_ms IS NULL OR closes > wm_ms GROUP BY 1, 2, 3),
+        paired AS (
+          SELECT *, LAG(device_id) OVER o AS old_device, LAG(category) OVER o AS old_category, LAG(m1) OVER o AS old_m1, LAG(m2) OVER o AS old_m2
+          FROM copies WINDOW o AS (PARTITION BY message_id, closes ORDER BY b)),
+        changed AS (
+          SELECT * FROM paired WHERE old_device IS NULL OR (device_id, category, m1, m2) <> (old_device, old_category, old_m1, old_m2)),
+        steps AS (
+          SELECT closes, device_id, category, b, SUM(m1) AS m1, SUM(m2) AS m2
+          FROM (SELECT closes, device_id, category, b, m1, m2 FROM changed
+                UNION ALL SELECT closes, old_device, old_category, b, -old_m1, -old_m2 FROM changed WHERE old_device IS NOT NULL)
+          GROUP BY ALL)
+        SELECT {label("closes")} AS window_time, device_id, category, row_number() OVER so_far AS version,
+               CAST(SUM(m1) OVER so_far AS BIGINT) AS m1_sum, CAST(SUM(m2) OVER so_far AS DOUBLE) AS m2_sum
+        FROM steps WINDOW so_far AS (PARTITION BY closes, device_id, category ORDER BY b)""",
 }

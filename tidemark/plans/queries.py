@@ -19,7 +19,7 @@ from tidemark.operators import (
 from tidemark.plans import scenarios
 from tidemark.session import staged, work_dir
 from tidemark.sources.tables import KeyedTables
-from tidemark.streaming import jobs, replay, sinks
+from tidemark.streaming import jobs, replay, sinks, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -582,3 +582,43 @@ def stream_scenario_event(spark, sf_dir):
     return scenarios.run_stream_scenario(
         spark, tables, _feed(spark, sf_dir), replay.SLICE_MS, "event", CENTS
     )
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """What the event-time stream drops, from a query beside it."""
+    late = T.StructType.fromDDL(f"{stateful.LATE}, window_end_ms bigint, watermark_ms bigint")
+    tables = _tables(spark, tables={"late": (late, ("message_id", "send_ms"))}, by_column=())
+    job = lambda m: stateful.late_rows(jobs.watermarked(jobs.events_of(m, CENTS.scale)))
+    replay.replay(
+        spark, feeds.to_payload(_feed(spark, sf_dir)), replay.SLICE_MS, job, "append",
+        sinks.upsert_into(tables, "late", "job"),
+    )
+    return tables.log("late").select("message_id", "send_ms", "device_ms", "window_end_ms", "watermark_ms")
+
+
+# Slices short enough that many copies arrive in a later one than their original, and a delay
+# that some of them outlast.
+CORRECTION_SLICE_MS = 120_000
+CORRECTION_DELAY_MS = 300_000
+
+
+def corrected(feed: DataFrame) -> DataFrame:
+    """Repeats that correct their original: another measure, and every second time another category."""
+    again = F.col("patterncode") == "re"
+    return feed.withColumns({
+        "measure1": F.when(again, F.col("measure1") + 1000).otherwise(F.col("measure1")),
+        "category": F.when(again & (F.col("s") % 2 == 0), F.lit("corrected")).otherwise(F.col("category")),
+    })
+
+
+@query
+def stream_retractions(spark, sf_dir):
+    """Every version of every window when a copy replaces the one before it."""
+    tables = _tables(spark, tables=stateful.DELTAS, by_column=())
+    job = lambda m: stateful.last_copy_deltas(jobs.events_of(m, CENTS.scale), CORRECTION_DELAY_MS, CENTS)
+    replay.replay(
+        spark, feeds.to_payload(corrected(_feed(spark, sf_dir))), CORRECTION_SLICE_MS, job, "update",
+        stateful.deltas_into(tables, "job"),
+    )
+    return stateful.versions(tables, CENTS)
