@@ -369,4 +369,20 @@ ORACLES: dict[str, str] = {
         SELECT {label("closes")} AS window_time, device_id, category, row_number() OVER so_far AS version,
                CAST(SUM(m1) OVER so_far AS BIGINT) AS m1_sum, CAST(SUM(m2) OVER so_far AS DOUBLE) AS m2_sum
         FROM steps WINDOW so_far AS (PARTITION BY closes, device_id, category ORDER BY b)""",
+    "stream_outputs": f"""WITH {FEED},
+        sliced AS (SELECT feed.*, send_ms // {SLICE_MS} AS b FROM feed WHERE s % 40 >= 11),
+        wm AS (
+          SELECT b, MAX(mx) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1000 AS wm_ms
+          FROM (SELECT b, MAX(device_ms) AS mx FROM sliced GROUP BY 1)),
+        judged AS (
+          SELECT sliced.*, device_ms // 5000 AS w, wm_ms IS NULL OR (device_ms // 5000 + 1) * 5000 > wm_ms AS open FROM sliced JOIN wm USING (b)),
+        kept AS (
+          SELECT message_id, w, ANY_VALUE(device_id) AS device_id, ANY_VALUE(category) AS category, ANY_VALUE(measure1) AS measure1
+          FROM judged WHERE open GROUP BY 1, 2)
+        SELECT 'debug rows' AS output, COUNT(*) AS n, NULL::BIGINT AS m1_sum FROM kept
+        UNION ALL SELECT 'sums', COUNT(*), CAST(SUM(m1) AS BIGINT) FROM (SELECT SUM(measure1) AS m1 FROM kept GROUP BY w, device_id, category)
+        UNION ALL SELECT 'late', COUNT(*), CAST(SUM(measure1) AS BIGINT) FROM judged WHERE NOT open
+        UNION ALL SELECT CASE s % 40 WHEN 0 THEN 'too few fields' WHEN 1 THEN 'bad timestamp' WHEN 2 THEN 'bad measure1'
+                 WHEN 4 THEN 'empty value' WHEN 5 THEN 'empty message_id' WHEN 6 THEN 'empty device_id'
+                 WHEN 7 THEN 'empty category' ELSE 'bad measure2' END, COUNT(*), NULL FROM feed WHERE s % 40 < 11 GROUP BY 1""",
 }

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidemark import schema
 from tidemark.functions import codec, timewin as tw
@@ -19,7 +19,7 @@ from tidemark.operators import (
 from tidemark.plans import scenarios
 from tidemark.session import staged, work_dir
 from tidemark.sources.tables import KeyedTables
-from tidemark.streaming import jobs, replay, sinks, stateful
+from tidemark.streaming import jobs, outputs, replay, sinks, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,7 +76,7 @@ def parse_payload(spark, sf_dir):
     )
 
 
-def damaged(feed: DataFrame) -> DataFrame:
+def damaged(feed: DataFrame, *also: Column) -> DataFrame:
     """Payload lines with faults, as a broken device would send them."""
     line = codec.encode_events(feed)
     kind = F.col("s") % 40
@@ -93,7 +93,8 @@ def damaged(feed: DataFrame) -> DataFrame:
         .when(kind == 9, F.regexp_replace(line, r"\|[^|]*$", "|-Infinity"))
         .when(kind == 10, F.regexp_replace(line, r"\|[^|]*$", "|0.125"))
         .otherwise(line)
-        .alias("value")
+        .alias("value"),
+        *also,
     )
 
 
@@ -578,7 +579,7 @@ def wordcount_stream(spark, sf_dir):
 
 @query
 def stream_scenario_event(spark, sf_dir):
-    tables = KeyedTables(spark, work_dir(spark, "tables"))
+    tables = KeyedTables(spark, work_dir(spark, "tables"), outputs.TABLES)
     return scenarios.run_stream_scenario(
         spark, tables, _feed(spark, sf_dir), replay.SLICE_MS, "event", CENTS
     )
@@ -587,7 +588,7 @@ def stream_scenario_event(spark, sf_dir):
 @query
 def stream_late_rows(spark, sf_dir):
     """What the event-time stream drops, from a query beside it."""
-    late = T.StructType.fromDDL(f"{stateful.LATE}, window_end_ms bigint, watermark_ms bigint")
+    late = schema.of(f"{stateful.LATE}, window_end_ms bigint, watermark_ms bigint")
     tables = _tables(spark, tables={"late": (late, ("message_id", "send_ms"))}, by_column=())
     job = lambda m: stateful.late_rows(jobs.watermarked(jobs.events_of(m, CENTS.scale)))
     replay.replay(
@@ -622,3 +623,23 @@ def stream_retractions(spark, sf_dir):
         stateful.deltas_into(tables, "job"),
     )
     return stateful.versions(tables, CENTS)
+
+
+@query
+def stream_outputs(spark, sf_dir):
+    """A damaged feed through the job with several outputs: where its lines went. Lines that
+    went nowhere are repeats."""
+    tables = _tables(spark, tables=outputs.TABLES)
+    lines = damaged(_feed(spark, sf_dir), tw.to_timestamp(F.col("send_ms")).alias("arrival"))
+    replay.replay(
+        spark, lines, replay.SLICE_MS, lambda m: outputs.sorted_lines(m, measure=CENTS), "append",
+        outputs.outputs_into(tables, "job", CENTS),
+    )
+    nothing = F.lit(None).cast("bigint").alias("m1_sum")
+    one = F.count(F.lit(1)).alias("n")
+    return (
+        tables.log("debug").agg(one).select(F.lit("debug rows").alias("output"), "n", nothing)
+        .unionByName(outputs.stored_sums(tables, CENTS).agg(one, F.sum("m1_sum").alias("m1_sum")).select(F.lit("sums").alias("output"), "n", "m1_sum"))
+        .unionByName(tables.log("late_events").agg(one, F.sum("measure1").alias("m1_sum")).select(F.lit("late").alias("output"), "n", "m1_sum"))
+        .unionByName(tables.log("quarantine").groupBy(F.col("reason").alias("output")).agg(F.sum("n").alias("n")).select("output", "n", nothing))
+    )

@@ -9,7 +9,7 @@ from tidemark.functions.measures import PLAIN
 from tidemark.operators import aggregate, feed as feeds, lateness, reconcile
 from tidemark.session import staged
 from tidemark.sources.tables import KeyedTables
-from tidemark.streaming import jobs, replay, sinks
+from tidemark.streaming import jobs, outputs, replay, sinks
 
 MODES = ("event", "processing", "ingestion", "microbatch")
 
@@ -82,12 +82,18 @@ def run_stream_scenario(
     spark: SparkSession, tables: KeyedTables, feed: DataFrame, slice_ms: int, mode: str = "event",
     measure=PLAIN,
 ) -> DataFrame:
-    """The same with the job as a stream over the replayed feed."""
+    """The same with the job as a stream over the replayed feed. In event mode, for
+    which ``tables`` are those of ``outputs.TABLES``, one pass also stores the debug
+    rows, the late rows and the lines that can't be read."""
     tables.reset()
     feed = staged(feed)
     send(tables, feed, measure)
     messages = feeds.to_payload(feed)
-    if mode == "microbatch":
+    if mode == "event":
+        write = outputs.outputs_into(tables, mode, measure)
+        replay.replay(spark, messages, slice_ms, lambda stream: outputs.sorted_lines(stream, measure=measure), "append", write)
+        tables.write("agg_events", sinks.downstream(outputs.stored_sums(tables, measure)), mode)
+    elif mode == "microbatch":
         write = sinks.microbatch_into(tables, mode, measure)
         replay.replay(spark, messages, slice_ms, lambda stream: stream, "append", write, rests=False)
     else:

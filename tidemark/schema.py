@@ -56,3 +56,10 @@ TABLES = {
     "agg_events": (AGG_EVENTS, AGG_EVENTS_KEY),
     "debug": (DEBUG, DEBUG_KEY),
 }
+
+_KINDS = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "timestamp": T.TimestampType()}
+
+
+def of(text: str) -> T.StructType:
+    """A schema out of "name type, name type"; unlike Spark's own parser it needs no session."""
+    return _schema(*((name, _KINDS[kind]) for name, kind in (field.split() for field in text.split(", "))))
