@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from helpers import LINES, rows
 from tidemark.functions import timewin as tw
 from tidemark.functions.measures import CENTS
-from tidemark.operators import aggregate, feed as feeds, lateness
+from tidemark.operators import aggregate, custom, feed as feeds, lateness
 from tidemark.plans import scenarios
 from tidemark.session import session_conf, work_dir
 from tidemark.sources.stream import event_sink, event_source
 from tidemark.sources.tables import KeyedTables
-from tidemark.streaming import jobs, replay, sinks, stateful
+from tidemark.streaming import jobs, outputs, replay, sinks, stateful
 
 A = "a|d|1472209316326|c1|1|1.5"
 # One file per micro-batch; the fourth holds only late rows.
@@ -377,3 +377,34 @@ def test_a_later_copy_takes_back_the_earlier_one(spark):
         ("1970-01-01 00:01:45", "d", "c", 1, 0, 0.0),
     ]
 
+
+def test_every_line_goes_somewhere(spark):
+    """Two repeats, one late row, two bad lines of one text; each batch is one commit."""
+    t = KeyedTables(spark, work_dir(spark, "outputs"), outputs.TABLES)
+    t.init()
+    messages = lines_at(spark, [
+        (A, 10), (A, 20), ("bad|line", 30), ("bad|line", 30), ("b|d|1472209317000|c1|2|2.5", 40),
+        ("c|d|1472209331000|c1|4|1.25", 1010), (A, 1020), ("e|d|x|c2|1|1", 1030),
+        ("z|d|1472209316000|c1|100|9.0", 2010), (None, 2020),
+    ])
+    replay.replay(spark, messages, 1000, lambda m: outputs.sorted_lines(m, measure=CENTS), "append", outputs.outputs_into(t, "job", CENTS))
+    assert rows(outputs.stored_sums(t, CENTS)) == [
+        ("2016-08-26 11:02:00", "d", "c1", 3, 4.0), ("2016-08-26 11:02:15", "d", "c1", 4, 1.25)
+    ]
+    assert t.log("debug").count() == 3
+    assert [r.message_id for r in t.log("late_events").collect()] == ["z"]
+    assert rows(t.log("quarantine").select("reason", "value", "n")) == [
+        ("bad timestamp", "e|d|x|c2|1|1", 1), ("empty value", None, 1), ("too few fields", "bad|line", 2)
+    ]
+    commits = t.commits.all().collect()
+    assert all(set(c.tables) == {"increments", "debug", "late_events", "quarantine"} for c in commits)
+
+
+def test_own_aggregate_of_a_stream(spark, folder):
+    def job(stream):
+        first = jobs.first_seen(jobs.watermarked(jobs.events_of(stream)))
+        return custom.stream_aggregate_by(first.drop("event_time"), ["category"], custom.median_of("measure1"))
+
+    got = run(spark, folder, job, "append")
+    assert [r for batch in got for r in batch] == [("2016-08-26 11:02:00", "c1", 1, 1), ("2016-08-26 11:02:15", "c1", 4, 2)]
+

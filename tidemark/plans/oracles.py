@@ -385,4 +385,12 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT CASE s % 40 WHEN 0 THEN 'too few fields' WHEN 1 THEN 'bad timestamp' WHEN 2 THEN 'bad measure1'
                  WHEN 4 THEN 'empty value' WHEN 5 THEN 'empty message_id' WHEN 6 THEN 'empty device_id'
                  WHEN 7 THEN 'empty category' ELSE 'bad measure2' END, COUNT(*), NULL FROM feed WHERE s % 40 < 11 GROUP BY 1""",
+    "agg_own": f"""WITH {FEED}, rows AS ({first_per_window("feed", "device_ms")})
+        SELECT {label("(w + 1) * 5000")} AS window_time, device_id, category,
+               quantile_disc(measure1, 0.5) AS median, COUNT(*) AS n
+        FROM rows GROUP BY w, device_id, category""",
+    "stream_own": f"""WITH {SLICED_ON_TIME}, rows AS ({first_per_window("ontime", "device_ms")})
+        SELECT {label("(w + 1) * 5000")} AS window_time, device_id, category,
+               quantile_disc(measure1, 0.5) AS median, COUNT(*) AS n
+        FROM rows GROUP BY w, device_id, category""",
 }

@@ -14,7 +14,7 @@ from tidemark import schema
 from tidemark.functions import codec, timewin as tw
 from tidemark.functions.measures import CENTS
 from tidemark.operators import (
-    aggregate, dedup, feed as feeds, lateness, numeric, reconcile as recon, text, upsert,
+    aggregate, custom, dedup, feed as feeds, lateness, numeric, reconcile as recon, text, upsert,
 )
 from tidemark.plans import scenarios
 from tidemark.session import staged, work_dir
@@ -643,3 +643,30 @@ def stream_outputs(spark, sf_dir):
         .unionByName(tables.log("late_events").agg(one, F.sum("measure1").alias("m1_sum")).select(F.lit("late").alias("output"), "n", "m1_sum"))
         .unionByName(tables.log("quarantine").groupBy(F.col("reason").alias("output")).agg(F.sum("n").alias("n")).select("output", "n", nothing))
     )
+
+
+@query
+def agg_own(spark, sf_dir):
+    """An aggregator of the caller's own, the median, over the first copies per window."""
+    at = tw.to_timestamp(F.col("device_ms"))
+    first = _with_window_label(dedup.first_per_window(_dedup_input(spark, sf_dir), at))
+    return custom.aggregate_by(first, ["window_time", "device_id", "category"], custom.median_of("measure1"))
+
+
+MEDIANS = schema.of("window_time string, device_id string, category string, median bigint, n bigint")
+
+
+@query
+def stream_own(spark, sf_dir):
+    """The same as a stream: late rows are dropped, a window is put out when it closes."""
+    tables = _tables(spark, tables={"medians": (MEDIANS, recon.KEYS)}, by_column=())
+
+    def job(stream):
+        first = jobs.first_seen(jobs.watermarked(jobs.events_of(stream)))
+        return custom.stream_aggregate_by(first.drop("event_time"), ["device_id", "category"], custom.median_of("measure1"))
+
+    replay.replay(
+        spark, feeds.to_payload(_feed(spark, sf_dir)), replay.SLICE_MS, job, "append",
+        sinks.upsert_into(tables, "medians", "job"), scenarios.closing_message(spark),
+    )
+    return tables.log("medians").select("window_time", "device_id", "category", "median", "n")
