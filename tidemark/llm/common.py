@@ -12,6 +12,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that a frame doesn't have, whatever the case of its own."""
+    taken, name = {c.lower() for c in df.columns}, f"__{stem}"
+    while name in taken:
+        name += "_"
+    return name
+
+
+def all_columns(df: DataFrame) -> list[Column]:
+    """The columns of a frame by name, also where a name holds a dot or a backtick."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
+_TOOLS: dict = {}
+
+
+def tool(operator: str, key, make):
+    """What tasks of an operator need, made once in a Python worker. A worker that goes
+    on to another operator lets go of it, so it holds the tables of one at a time."""
+    if _TOOLS.get("operator") != operator:
+        _TOOLS.clear()
+        _TOOLS["operator"] = operator
+    if key not in _TOOLS:
+        _TOOLS[key] = make()
+    return _TOOLS[key]
+
+
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lower the session's Arrow batch size to ``rows`` if it is larger, so that
     long texts don't make a batch outgrow a Python worker."""

@@ -20,8 +20,8 @@ characters, as long as both vocabularies let no token cross such a place
 (``Pair.cuts``); else as a whole. Such a place is a cut, so equal pieces have equal
 groups and links, which a task works out once while it remembers them.
 
-Counts of links need two passes over the texts: one adds the pairs up, one looks
-them up. The ``PAIRS`` most frequent pairs at most are broadcast, 20 bytes each;
+Texts are read and encoded once; tokens are staged with each piece once in a block of
+documents, and looked up there when the pairs are counted. The ``PAIRS`` most frequent pairs at most are broadcast, 20 bytes each;
 links of rarer ones are joined by a shuffle, where no pair is frequent.
 
 A text that is null or empty, or whose tokens of A or B don't give back the bytes
@@ -38,7 +38,7 @@ import json
 import os
 import re
 from dataclasses import dataclass
-from typing import Iterable, Iterator
+from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,15 +46,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import bounded_batches, clean_text
-from tidemark.session import staged
+from tidemark.session import session_conf, staged
 
 #: Documents of more bytes are reduced over several tasks, in ranges of as many bytes.
 LONG = 1 << 15
 FAN = 16
 #: Pairs that are broadcast at most.
 PAIRS = 4_000_000
-#: Pieces that a task remembers, and their characters.
+#: Pieces that a task remembers, and their characters; those that are encoded in one text.
 _PIECES, _CHARS = 150_000, 8 << 20
+_TOGETHER = 100
 _SINGLE_SPACE = re.compile(r" (?<=\S )(?=\S)")
 
 
@@ -91,6 +92,8 @@ class Pair:
         ]
         self.length_a = np.array([len(t) for t in self.bytes_a], dtype=np.int64)
         self.length_b = np.array([len(t) for t in self.bytes_b], dtype=np.int64)
+        self._flat = [np.frombuffer(b"".join(t), dtype=np.uint8) for t in (self.bytes_a, self.bytes_b)]
+        self._first = [np.append(0, np.cumsum(n)) for n in (self.length_a, self.length_b)]
         with open(path_a, encoding="utf-8") as file:
             form = json.load(file)
         before = form.get("pre_tokenizer") or {}
@@ -104,13 +107,54 @@ class Pair:
         """Parts of a text that are encoded by themselves; a single space between two of them is dropped."""
         return _SINGLE_SPACE.split(text) if self.cuts else [text]
 
-    def encode(self, pieces: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """Ids of a space and each piece; None where they don't give back its bytes."""
-        found_a = self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)
-        for piece, a, b in zip(pieces, found_a, self.b.encode(pieces, num_threads=1)):
-            a, data = a.ids, b" " + piece.encode("utf-8")
-            whole = b"".join([self.bytes_a[i] for i in a]) == data == b"".join([self.bytes_b[i] for i in b])
-            yield (a, b) if whole else None
+    def _ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        found = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, dtype=np.int64) for e in found], [np.array(b, dtype=np.int64) for b in self.b.encode(texts, num_threads=1)]
+
+    def gives_back(self, ids: tuple[np.ndarray, np.ndarray], data: bytes) -> bool:
+        """Whether the tokens of both are these bytes."""
+        for flat, first, own in zip(self._flat, self._first, ids):
+            at, _ = _spans(first, own)
+            if len(at) != len(data) or flat[at].tobytes() != data:
+                return False
+        return True
+
+    def encode(self, pieces: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Ids of A and of B of all pieces that give back their bytes, one after
+        another; the number of tokens of each piece; and whether it does.
+
+        Pieces that neither begin nor end with white space are encoded many in one
+        text, with single spaces between them, where no token crosses."""
+        joined, single = [], []
+        for i, piece in enumerate(pieces):
+            (single if not self.cuts or piece[:1].isspace() or piece[-1:].isspace() else joined).append(i)
+        lengths = np.array([len(p) for p in pieces], dtype=np.int64) if all(map(str.isascii, pieces)) else np.array([len(p.encode("utf-8")) for p in pieces], dtype=np.int64)
+        counts, whole = np.zeros((len(pieces), 2), dtype=np.int64), np.zeros(len(pieces), dtype=bool)
+        parts: list[tuple[list[int], tuple[np.ndarray, np.ndarray]]] = []
+        blocks = [joined[k:k + _TOGETHER] for k in range(0, len(joined), _TOGETHER)]
+        for block, a, b in zip(blocks, *self._ids([" ".join([pieces[i] for i in block]) for block in blocks])):
+            ends = np.cumsum(lengths[block] + 1)
+            if self.gives_back((a, b), " ".join(["", *(pieces[i] for i in block)]).encode("utf-8")):
+                for side, (own, length) in enumerate(((a, self.length_a), (b, self.length_b))):
+                    counts[block, side] = np.diff(np.searchsorted(np.cumsum(length[own]), ends, side="right"), prepend=0)
+                whole[block] = True
+                parts.append((block, (a, b)))
+            else:
+                single += block
+        for i, a, b in zip(single, *self._ids([pieces[i] for i in single])):
+            if self.gives_back((a, b), b" " + pieces[i].encode("utf-8")):
+                counts[i], whole[i] = (len(a), len(b)), True
+                parts.append(([i], (a, b)))
+        order = np.array([i for block, _ in parts for i in block], dtype=np.int64)
+        ids = []
+        for side in (0, 1):
+            held = np.concatenate([p[1][side] for p in parts]) if parts else np.zeros(0, dtype=np.int64)
+            first = np.zeros(len(pieces) + 1, dtype=np.int64)
+            begins = np.cumsum(counts[order, side]) - counts[order, side]
+            first[order] = begins
+            at = np.repeat(first[:-1] - (np.cumsum(counts[:, side]) - counts[:, side]), counts[:, side]) + np.arange(counts[:, side].sum())
+            ids.append(held[at])
+        return ids, counts, whole
 
 
 @dataclass
@@ -127,13 +171,16 @@ class Tokens:
 
 
 def cuts_of(a: Tokens, b: Tokens) -> np.ndarray:
-    return np.intersect1d(a.ends, b.ends, assume_unique=True)
+    if not len(a.ends) or not len(b.ends):
+        return a.ends[:0]
+    return a.ends[b.ends[np.minimum(np.searchsorted(b.ends, a.ends), len(b.ends) - 1)] == a.ends]
 
 
 def links_of(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offset at which each overlap ends, and the ids of the two tokens that overlap.
     Between two neighbouring ends lies exactly one pair of tokens, and each pair once."""
-    ends = np.union1d(a.ends, b.ends)
+    ends = np.sort(np.concatenate([a.ends, b.ends]), kind="stable")
+    ends = ends[np.append(True, ends[1:] != ends[:-1])] if len(ends) else ends
     return ends, a.ids[np.searchsorted(a.ends, ends)], b.ids[np.searchsorted(b.ends, ends)]
 
 
@@ -177,78 +224,113 @@ def group_text(a: np.ndarray, b: np.ndarray) -> bytes:
     return f"{','.join(map(str, a.tolist()))}|{','.join(map(str, b.tolist()))};".encode()
 
 
+class _Numbers(dict):
+    """Numbers pieces as they come and lists the new ones."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.fresh.append(piece)
+        return number
+
+
+def _smallest(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
+class Table:
+    """Pieces with their tokens: groups, links and the text of the groups of each."""
+
+    def __init__(self, counts: np.ndarray, ids: list[np.ndarray], lengths: tuple[np.ndarray, np.ndarray], size_b: int):
+        self.ids = ids
+        self.tokens = [Tokens(own, np.cumsum(length[own])) for own, length in zip(ids, lengths)]
+        self.cuts = cuts_of(*self.tokens)
+        ends, linked_a, linked_b = links_of(*self.tokens)
+        self.pairs = linked_a * size_b + linked_b
+        self.first_id = [np.append(0, np.cumsum(counts[:, side])) for side in (0, 1)]
+        last = self.first_id[0][1:]
+        border = np.where(last > 0, self.tokens[0].ends[last - 1], 0) if len(ids[0]) else np.zeros(len(counts), dtype=np.int64)
+        self.last_group = np.searchsorted(self.cuts, border, side="right")
+        self.first = np.append(0, np.searchsorted(ends, border, side="right"))
+        #: Tokens of A, of B, groups, links, bytes.
+        self.sizes = np.column_stack([counts, np.diff(self.last_group, prepend=0), np.diff(self.first), np.diff(border, prepend=0)])
+
+    def texts(self, writer: "Writer") -> list[bytes]:
+        text, ends = writer.text(*self.tokens, self.cuts)
+        at = np.append(0, ends)[self.last_group].tolist()
+        return [text[i:j] for i, j in zip([0, *at], at)]
+
+    def links(self, pieces: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of pieces that occur so many times, and how often they are linked."""
+        at, counts = _spans(self.first, pieces)
+        pairs, group = np.unique(self.pairs[at], return_inverse=True)
+        return pairs, np.bincount(group, weights=np.repeat(times, counts), minlength=len(pairs)).astype(np.int64)
+
+    def all_ids(self, pieces: np.ndarray) -> list[np.ndarray]:
+        return [ids[_spans(first, pieces)[0]] for ids, first in zip(self.ids, self.first_id)]
+
+
 class Pieces:
-    """What a task remembers of the pieces: numbers of tokens, groups and links, the
-    text of the groups, the linked pairs."""
+    """What a task remembers of the pieces it has encoded, and how often they occurred."""
 
     def __init__(self, pair: Pair):
-        self.pair, self.writer = pair, Writer(len(pair.bytes_a), len(pair.bytes_b))
+        self.pair = pair
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.chars = 0
-        self.texts: list[bytes] = []
-        #: Tokens of A, of B, groups, links, bytes; and whether the piece's bytes come back.
-        self.sizes = np.zeros((0, 5), dtype=np.int64)
+        self.counts = np.zeros((0, 2), dtype=np.int64)
         self.whole = np.zeros(0, dtype=bool)
+        self.times = np.zeros(0, dtype=np.int64)
         self.ids = [np.zeros(0, dtype=np.int64)] * 2
-        self.pairs = np.zeros(0, dtype=np.int64)
-        #: Where the tokens of A, of B, and the links of each piece begin.
-        self.first_id = [np.zeros(1, dtype=np.int64)] * 2
-        self.first = np.zeros(1, dtype=np.int64)
+        self.first = [np.zeros(1, dtype=np.int64)] * 2
 
     @property
     def full(self) -> bool:
         return len(self.number) > _PIECES or self.chars > _CHARS
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encode those that are new and find their groups and links, all in one row of bytes."""
-        fresh = [p for p in pieces if p not in self.number]
+    def _learn(self) -> None:
+        fresh, self.number.fresh = self.number.fresh, []
         if not fresh:
             return
-        for piece in fresh:
-            self.number[piece] = len(self.number)
-            self.chars += len(piece)
-        found = list(self.pair.encode(fresh))
-        whole = np.array([f is not None for f in found])
-        count = np.array([(len(f[0]), len(f[1])) if f else (0, 0) for f in found], dtype=np.int64).reshape(-1, 2)
-        ids = [np.fromiter((i for f in found if f for i in f[side]), dtype=np.int64) for side in (0, 1)]
-        a = Tokens(ids[0], np.cumsum(self.pair.length_a[ids[0]]))
-        b = Tokens(ids[1], np.cumsum(self.pair.length_b[ids[1]]))
-        cuts = cuts_of(a, b)
-        ends, linked_a, linked_b = links_of(a, b)
-        text, text_ends = self.writer.text(a, b, cuts)
-        last = np.cumsum(count[:, 0])
-        border = np.where(last > 0, a.ends[last - 1], 0) if len(a.ends) else np.zeros(len(fresh), dtype=np.int64)
-        n_groups, n_links = np.searchsorted(cuts, border, side="right"), np.searchsorted(ends, border, side="right")
-        at = np.append(0, text_ends)[n_groups]
-        begin = np.append(0, at[:-1])
-        self.texts += [text[i:j] for i, j in zip(begin.tolist(), at.tolist())]
-        self.first_id = [np.append(f, f[-1] + np.cumsum(count[:, side])) for side, f in enumerate(self.first_id)]
+        self.chars += sum(map(len, fresh))
+        ids, counts, whole = self.pair.encode(fresh)
+        self.first = [np.append(f, f[-1] + np.cumsum(counts[:, side])) for side, f in enumerate(self.first)]
         self.ids = [np.concatenate([old, new]) for old, new in zip(self.ids, ids)]
-        sizes = np.column_stack([count, np.diff(n_groups, prepend=0), np.diff(n_links, prepend=0), np.diff(border, prepend=0)])
-        self.sizes = np.concatenate([self.sizes, sizes])
+        self.counts = np.concatenate([self.counts, counts])
         self.whole = np.concatenate([self.whole, whole])
-        self.first = np.concatenate([self.first, self.first[-1] + n_links])
-        self.pairs = np.concatenate([self.pairs, linked_a * len(self.pair.bytes_b) + linked_b])
+        self.times = np.concatenate([self.times, np.zeros(len(fresh), dtype=np.int64)])
 
-    def documents(self, texts: list[str]) -> Iterator[np.ndarray | None]:
+    def documents(self, texts: list[str]) -> list[np.ndarray | None]:
         """The pieces of each text; None where it has no tokens."""
-        split = [self.pair.pieces(t) if t else None for t in texts]
-        self.learn(dict.fromkeys(p for s in split if s for p in s))
-        for pieces in split:
-            own = np.fromiter(map(self.number.__getitem__, pieces), dtype=np.int64, count=len(pieces)) if pieces else None
-            yield own if own is not None and self.whole[own].all() else None
-
-    def links(self, pieces: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of pieces that occur so many times, and how often they are linked."""
-        at, counts = _spans(self.first, pieces)
-        pairs, group = np.unique(self.pairs[at], return_inverse=True)
-        return pairs, np.bincount(group, weights=np.repeat(times, counts), minlength=len(pairs)).astype(np.int64)
+        found = []
+        for text in texts:
+            pieces = self.pair.pieces(text) if text else None
+            found.append(np.array([*map(self.number.__getitem__, pieces)], dtype=np.int64) if pieces else None)
+        self._learn()
+        return [own if own is not None and self.whole[own].all() else None for own in found]
+
+    def block(self, documents: list[np.ndarray | None]) -> tuple[bytes, ...]:
+        """Documents and the tokens of just their pieces, as bytes (see ``BLOCKS``)."""
+        held = np.concatenate([np.zeros(0, dtype=np.int64), *(d for d in documents if d is not None)])
+        own, place, times = np.unique(held, return_inverse=True, return_counts=True)
+        self.times[own] += times
+        sizes = np.array([-1 if d is None else len(d) for d in documents], dtype=np.int32)
+        ids = [
+            i[_spans(f, own)[0]].astype(_smallest(len(t))).tobytes()
+            for i, f, t in zip(self.ids, self.first, (self.pair.bytes_a, self.pair.bytes_b))
+        ]
+        return sizes.tobytes(), place.astype(np.int32).tobytes(), self.counts[own].astype(np.int32).tobytes(), *ids
 
-    def all_ids(self, pieces: np.ndarray) -> list[np.ndarray]:
-        return [ids[_spans(first, pieces)[0]] for ids, first in zip(self.ids, self.first_id)]
+    def counted(self) -> tuple[bytes, bytes]:
+        """Linked pairs of all that occurred since the task last forgot, and how often."""
+        lengths = self.pair.length_a, self.pair.length_b
+        table = Table(self.counts, self.ids, lengths, len(self.pair.bytes_b))
+        seen = np.flatnonzero(self.times)
+        return tuple(v.tobytes() for v in table.links(seen, self.times[seen]))
 
 
 def _spans(first: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,32 +344,44 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), clean_text().alias("text"))
 
 
-def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """``pair, n``: links of each id pair; a pair is A's id times B's size and B's id.
-    A task adds up what it remembers before the shuffle."""
+BLOCKS = "doc_ids array<bigint>, sizes binary, pieces binary, counts binary, ids_a binary, ids_b binary, pairs binary, links binary"
+_BLOCK = [("doc_ids", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("sizes", "pieces", "counts", "ids_a", "ids_b", "pairs", "links"))]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, times = None, np.zeros(0, dtype=np.int64)
 
-        def counted() -> pa.RecordBatch:
-            seen = np.flatnonzero(times)
-            pairs, n = known.links(seen, times[seen])
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
+def encoded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """Rows of ``BLOCKS``, about a tenth of a megabyte for a hundred documents: some
+    documents, the pieces of each, and the tokens of these pieces; or linked pairs
+    and how often a task has seen them."""
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
         for batch in batches:
             known = known or Pieces(Pair(path_a, path_b))
+            rows = []
             if known.full:
-                yield counted()
+                rows.append((*[None] * 6, *known.counted()))
                 known.forget()
-                times = np.zeros(0, dtype=np.int64)
-            own = [p for p in known.documents(batch.column("text").to_pylist()) if p is not None]
-            added = np.bincount(np.concatenate(own), minlength=len(known.number)) if own else np.zeros(len(known.number), dtype=np.int64)
-            added[:len(times)] += times
-            times = added
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
+                block = known.block(known.documents(part.column("text").to_pylist()))
+                rows.append((part.column("doc_id").to_pylist(), *block, None, None))
+            yield _record(rows, _BLOCK)
         if known is not None:
-            yield counted()
+            yield _record([(*[None] * 6, *known.counted())], _BLOCK)
+
+    return _texts(docs).mapInArrow(encode, BLOCKS)
 
-    return _texts(docs).mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+
+def pair_counts(blocks: DataFrame) -> DataFrame:
+    """``pair, n``: links of each id pair; a pair is A's id times B's size and B's id."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pairs, links in zip(batch.column("pairs").to_pylist(), batch.column("links").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(_array(pairs)), pa.array(_array(links))], ["pair", "n"])
+
+    listed = blocks.where("pairs IS NOT NULL").select("pairs", "links").mapInArrow(spread, "pair bigint, n bigint")
+    return listed.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def with_best(pairs: DataFrame, size_b: int) -> DataFrame:
@@ -314,68 +408,65 @@ def frequent(pairs: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 FOUND = (
     "key bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, "
-    "groups_sha256 string, rare_pairs binary, rare_links binary, range int, a_ids binary, a_ends binary, b_ids binary, b_ends binary"
+    "groups_sha256 string, rare_pairs binary, rare_links binary, range int, a_ids binary, a_begin bigint, b_ids binary, b_begin bigint"
 )
 _KINDS = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "int": pa.int32()}
 _FIELDS = [(f.split()[0], _KINDS[f.split()[1]]) for f in FOUND.split(", ")]
 
 
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * len(_FIELDS)
-    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, _FIELDS)], [name for name, _ in _FIELDS])
+def _record(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
 
-def look_up(docs: DataFrame, path_a: str, path_b: str, table: tuple, long: int) -> DataFrame:
+def look_up(blocks: DataFrame, shared, long: int) -> DataFrame:
     """Rows of ``FOUND``: one for each document, whose hash is missing if it is long
-    and whose rare links aren't counted yet; and the ranges of long ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    and whose rare links aren't counted yet; and the ranges of long ones. ``shared``:
+    a broadcast of the frequent pairs and of the lengths of the tokens."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, counts, best = shared.value
-        key, known = TaskContext.get().partitionId() << 40, None
-        sums = np.zeros((0, 3), dtype=np.int64)
+        (pairs, counts, best), lengths = shared.value
+        sizes_of = [len(n) for n in lengths]
+        kinds = [_smallest(n) for n in sizes_of]
+        writer, key = Writer(*sizes_of), TaskContext.get().partitionId() << 40
         for batch in batches:
-            known = known or Pieces(Pair(path_a, path_b))
-            if known.full:
-                known.forget()
-                sums = np.zeros((0, 3), dtype=np.int64)
-            split = list(known.documents(batch.column("text").to_pylist()))
-            if len(sums) < len(known.number):
-                linked = known.pairs[known.first[len(sums)]:]
-                at, hit = _found_in(pairs, linked)
-                values = np.zeros((len(linked) + 1, 3), dtype=np.int64)
-                values[1:][hit, 0], values[1:][hit, 1], values[1:][~hit, 2] = best[at[hit]], counts[at[hit]], 1
-                running = np.cumsum(values, axis=0)
-                edge = known.first[len(sums):] - known.first[len(sums)]
-                sums = np.concatenate([sums, running[edge[1:]] - running[edge[:-1]]])
-            rows = []
-            for doc_id, pieces in zip(batch.column("doc_id").to_pylist(), split):
-                key += 1
-                if pieces is None:
-                    rows.append((key, doc_id, 0, 0, 0, 0, 0, 0, "", *[None] * 7))
-                    continue
-                n_best, count_sum, n_rare = sums[pieces].sum(axis=0).tolist()
-                *sizes, n_bytes = known.sizes[pieces].sum(axis=0).tolist()
-                head = (key, doc_id, *sizes, n_best, count_sum)
-                rare = (None, None)
-                if n_rare:
-                    own, times = np.unique(pieces, return_counts=True)
-                    found, n = known.links(own, times)
-                    miss = ~_found_in(pairs, found)[1]
-                    rare = (found[miss].tobytes(), n[miss].tobytes())
-                if n_bytes > long:
-                    rows.append((*head, None, *rare, *[None] * 5))
-                    for r in _ranges(known.pair, *known.all_ids(pieces), long):
-                        rows.append((key, *[None] * 10, *r))
-                        if len(rows) >= 100:
-                            yield _packed(rows)
-                            rows = []
-                else:
-                    text = b"".join([known.texts[p] for p in pieces.tolist()])
-                    rows.append((*head, hashlib.sha256(text[:-1]).hexdigest(), *rare, *[None] * 5))
-            yield _packed(rows)
-
-    return _texts(docs).mapInArrow(one, FOUND)
+            for row in batch.to_pylist():
+                ids = [np.frombuffer(row[f"ids_{side}"], dtype=kind).astype(np.int64) for side, kind in zip("ab", kinds)]
+                table = Table(np.frombuffer(row["counts"], dtype=np.int32).astype(np.int64).reshape(-1, 2), ids, lengths, sizes_of[1])
+                texts = table.texts(writer)
+                at, hit = _found_in(pairs, table.pairs)
+                running = np.zeros((len(at) + 1, 3), dtype=np.int64)
+                np.cumsum(np.where(hit, best[at] if len(pairs) else 0, 0), out=running[1:, 0])
+                np.cumsum(np.where(hit, counts[at] if len(pairs) else 0, 0), out=running[1:, 1])
+                np.cumsum(~hit, out=running[1:, 2])
+                sums = np.column_stack([table.sizes, np.diff(running[table.first], axis=0)])
+                place = np.frombuffer(row["pieces"], dtype=np.int32)
+                rows, begin = [], 0
+                for doc_id, size in zip(row["doc_ids"], np.frombuffer(row["sizes"], dtype=np.int32).tolist()):
+                    key += 1
+                    if size < 0:
+                        rows.append((key, doc_id, 0, 0, 0, 0, 0, 0, "", *[None] * 7))
+                        continue
+                    pieces, begin = place[begin:begin + size], begin + size
+                    *sizes, n_bytes, n_best, count_sum, n_rare = sums[pieces].sum(axis=0).tolist()
+                    head, rare = (key, doc_id, *sizes, n_best, count_sum), (None, None)
+                    if n_rare:
+                        found, n = table.links(*np.unique(pieces, return_counts=True))
+                        miss = ~_found_in(pairs, found)[1]
+                        rare = (found[miss].tobytes(), n[miss].tobytes())
+                    if n_bytes > long:
+                        rows.append((*head, None, *rare, *[None] * 5))
+                        for r in _ranges(lengths, table.all_ids(pieces), long):
+                            rows.append((key, *[None] * 10, *r))
+                            if len(rows) >= 100:
+                                yield _record(rows, _FIELDS)
+                                rows = []
+                    else:
+                        text = b"".join([texts[p] for p in pieces.tolist()])
+                        rows.append((*head, hashlib.sha256(text[:-1]).hexdigest(), *rare, *[None] * 5))
+                yield _record(rows, _FIELDS)
+
+    return blocks.where("doc_ids IS NOT NULL").drop("pairs", "links").mapInArrow(one, FOUND)
 
 
 def _found_in(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -386,12 +477,15 @@ def _found_in(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np
     return at, sorted_keys[at] == keys
 
 
-def _ranges(pair: Pair, ids_a: np.ndarray, ids_b: np.ndarray, size: int) -> Iterator[tuple]:
-    a = Tokens(ids_a, np.cumsum(pair.length_a[ids_a]))
-    b = Tokens(ids_b, np.cumsum(pair.length_b[ids_b]))
-    for number in range(-(-int(a.ends[-1]) // size)):
-        own = [t.part(number * size, (number + 1) * size) for t in (a, b)]
-        yield (number, *(v.tobytes() for t in own for v in (t.ids, t.ends)))
+def _ranges(lengths: tuple, ids: list[np.ndarray], size: int) -> Iterator[tuple]:
+    """The tokens that end in each range, and the offset at which its first one begins."""
+    ends = [np.cumsum(length[own]) for own, length in zip(ids, lengths)]
+    for number in range(-(-int(ends[0][-1]) // size)):
+        row = [number]
+        for own, end in zip(ids, ends):
+            i, j = np.searchsorted(end, [number * size, (number + 1) * size], side="right")
+            row += [own[i:j].astype(np.int32).tobytes(), int(end[i - 1]) if i else 0]
+        yield tuple(row)
 
 
 @dataclass
@@ -449,15 +543,17 @@ def _array(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=np.int64)
 
 
-def _leaves(ranges: DataFrame, size_a: int, size_b: int) -> DataFrame:
+def _leaves(ranges: DataFrame, shared) -> DataFrame:
     """Fragments of the ranges, and the pieces of text that are closed in them."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = Writer(size_a, size_b)
+        lengths = shared.value[1]
+        writer = Writer(*map(len, lengths))
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                a, b = (Tokens(_array(r[f"{s}_ids"]), _array(r[f"{s}_ends"])) for s in "ab")
+                ids = [np.frombuffer(r[f"{s}_ids"], dtype=np.int32).astype(np.int64) for s in "ab"]
+                a, b = (Tokens(i, r[f"{s}_begin"] + np.cumsum(n[i])) for s, i, n in zip("ab", ids, lengths))
                 fragment, closed = fragment_of(r["range"], a, b, writer)
                 rows.append(_row(r["key"], r["range"], fragment))
                 rows += [(r["key"], *[None] * 6, *c) for c in closed]
@@ -477,9 +573,9 @@ def _compose(table: pa.Table) -> pa.Table:
     return _level([_row(rows[0]["key"], rows[0]["at"] // FAN, whole), *out])
 
 
-def reduced(ranges: DataFrame, size_a: int, size_b: int) -> DataFrame:
+def reduced(ranges: DataFrame, shared) -> DataFrame:
     """``key, groups_sha256`` of long documents, from their ranges (staged)."""
-    level = staged(_leaves(ranges.repartition("key", "range"), size_a, size_b))
+    level = staged(_leaves(ranges.repartition("key", "range"), shared))
     texts = level.where("text IS NOT NULL").select("key", "range", "part", "text")
     most = ranges.agg(F.max("range")).first()[0] or 0
     while True:
@@ -541,10 +637,14 @@ def align(docs: DataFrame, path_a: str, path_b: str, pairs_limit: int = PAIRS, l
     spark = docs.sparkSession
     bounded_batches(spark, 500)
     tools = Pair(path_a, path_b)
-    size_a, size_b = len(tools.bytes_a), len(tools.bytes_b)
-    pairs = staged(with_best(staged(pair_counts(docs, path_a, path_b)), size_b))
-    *table, least = frequent(pairs, pairs_limit)
-    found = staged(look_up(docs, path_a, path_b, tuple(table), long))
+    lengths = tools.length_a, tools.length_b
+    blocks = staged(encoded(docs, path_a, path_b))
+    # A row of blocks holds many documents.
+    with session_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="4"):
+        pairs = staged(with_best(staged(pair_counts(blocks)), len(lengths[1])))
+        *table, least = frequent(pairs, pairs_limit)
+        shared = spark.sparkContext.broadcast((tuple(table), lengths))
+        found = staged(look_up(blocks, shared, long))
     rows = found.where("n_a IS NOT NULL").select(
         "key", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
     )
@@ -553,8 +653,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, pairs_limit: int = PAIRS, l
         rows = rows.join(more, "key", "left").withColumns({
             "n_best": F.col("n_best") + F.coalesce("more_best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("more_sum", F.lit(0)),
         }).drop("more_best", "more_sum")
-    ranges = found.where("range IS NOT NULL").select("key", "range", "a_ids", "a_ends", "b_ids", "b_ends")
-    hashes = reduced(ranges, size_a, size_b)
+    ranges = found.where("range IS NOT NULL").select("key", "range", "a_ids", "a_begin", "b_ids", "b_begin")
+    hashes = reduced(ranges, shared)
     short = rows.where("groups_sha256 IS NOT NULL")
     long_rows = rows.where("groups_sha256 IS NULL").drop("groups_sha256").join(hashes, "key").select(rows.columns)
     return short.unionByName(long_rows).drop("key")
