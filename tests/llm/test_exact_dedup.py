@@ -66,3 +66,13 @@ def test_main_path_is_native_and_winners_are_broadcast(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "BroadcastHashJoin" in plan
     assert rows(found)
+
+
+def test_clashing_column_names(spark):
+    names = ["__digest", "__first", "__hit", "__heavy", "__block", "__w0", "__words", "__group", "a.b", "c`d", "__HIT_"]
+    docs = documents(spark).selectExpr("*", *(f"doc_id AS `{n.replace('`', '``')}`" for n in names))
+    kept = exact_dedup.exact_dedup(docs)
+    assert kept.columns == docs.columns
+    assert rows(kept.select("doc_id", "text")) == rows(exact_dedup.exact_dedup(documents(spark)).select("doc_id", "text"))
+    assert all(r["__hit"] == r["doc_id"] for r in kept.collect())
+

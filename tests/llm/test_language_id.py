@@ -1,5 +1,8 @@
 import zlib
 
+import pytest
+import zstandard
+
 from corpus_fixtures import TEXTS, documents, empty, rows
 from pyspark.sql import functions as F
 from tidemark.llm import language_id as lang
@@ -58,3 +61,43 @@ def test_held_out_accuracy(spark):
     truth = docs.select("doc_id", "lang")
     right = found.where("held_out").join(truth.where("lang IS NOT NULL"), "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.avg(F.col("rejected").cast("int"))).first()
     assert right[0] > 0.95 and right[1] < 0.03
+
+
+def test_against_a_plain_loop(spark):
+    """Every piece of every text with every dictionary; also marks that are no letters."""
+    texts = TEXTS + [(40, "½ ²"), (41, "①② ٣"), (42, "ª"), (43, "the cat " * 3000), (44, "der hund und the cat"), (45, "_ 12 _")]
+    want = []
+    for doc_id, text in texts:
+        data = lang.letters_of(text)
+        if not any(c.isalpha() for c in text or ""):
+            want.append((doc_id, "und", 0.0))
+            continue
+        sizes = []
+        for name, words in sorted(MODEL.items()):
+            dictionary = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            dictionary.precompute_compress(level=lang.LEVEL)
+            packer = zstandard.ZstdCompressor(level=lang.LEVEL, dict_data=dictionary, write_content_size=False)
+            sizes.append((sum(len(packer.compress(data[i:i + lang.PIECE])) for i in range(0, len(data), lang.PIECE)), name))
+        sizes.sort()
+        want.append((doc_id, sizes[0][1], 1 - sizes[0][0] / sizes[1][0]))
+    got = lang.predict(documents(spark, texts), MODEL).select("doc_id", "lang_pred", "score")
+    assert rows(got) == sorted(want, key=lambda r: tuple((v is not None, str(type(v)), v) for v in r))
+
+
+def test_the_whole_sample_is_used(spark):
+    """Runs from anywhere in a text, and no byte of them is thrown away."""
+    docs = documents(spark, [(i, f"{'anfang ' * 400}{'mitte ' * 400}{'ende ' * 400}{i}") for i in range(300)])
+    model = lang.fit(docs.withColumn("lang", F.lit("de")))
+    assert len(model["de"]) > 150_000 and all(w in model["de"] for w in (b"anfang", b"mitte", b"ende"))
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(lang, "MAX_LANGUAGES", 1)
+    two = documents(spark, [(1, "a b"), (2, "c d")]).withColumn("lang", F.col("doc_id").cast("string"))
+    with pytest.raises(ValueError, match="languages"):
+        lang.fit(two)
+
+
+def test_clashing_column_names(spark):
+    docs = documents(spark).withColumns({"__language": F.lit(1), "a.b": F.lit(2)})
+    assert lang.keep_known(docs, MODEL).columns == docs.columns

@@ -131,3 +131,11 @@ def test_documents_that_stay(spark):
 def test_empty(spark):
     assert join.members(empty(spark)).count() == 0 == join.keep_first(empty(spark)).count()
     assert rows(join.members(documents(spark, [(1, None), (2, "")]))) == [(1, 0, 1), (2, 0, 2)]
+
+
+def test_clashing_column_names(spark):
+    docs = documents(spark).selectExpr("*", *(f"doc_id AS `{n}`" for n in ("__hit", "__block", "__words", "x.y")))
+    kept = join.keep_first(docs)
+    assert kept.columns == docs.columns and all(r["__hit"] == r["doc_id"] for r in kept.collect())
+    assert rows(kept.select("doc_id")) == rows(join.keep_first(documents(spark)).select("doc_id"))
+

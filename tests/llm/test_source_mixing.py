@@ -116,6 +116,21 @@ def test_unknown_target(spark):
     docs, labels = world(spark, 60)
     with pytest.raises(ValueError):
         mixing.mix(docs, labels, {"lunar": 1.0})
+    with pytest.raises(ValueError, match="lunar"):
+        mixing.mix(docs, labels, {"good": 0.9, "lunar": 0.1})
+
+
+def test_too_many_domains(spark, monkeypatch):
+    docs, labels = world(spark, 60)
+    monkeypatch.setattr(mixing, "MAX_DOMAINS", 2)
+    with pytest.raises(ValueError, match="domains"):
+        mixing.mix(docs, labels)
+
+
+def test_clashing_column_names(spark):
+    docs, labels = world(spark, 60)
+    odd = docs.withColumns({"__membership": F.lit(1), "__rate": F.lit(1), "a.b": F.lit(2)})
+    assert mixing.resample(odd, labels, {"good": 1.0}).columns == odd.columns
 
 
 def test_resample(spark):

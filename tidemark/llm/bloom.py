@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.common import free_name
+
 LANES = 8
 BITS_PER_KEY = 16
 MAX_BLOCKS = 1 << 17  # 9.4 MB, full at 4.2 million keys
@@ -46,11 +48,10 @@ def build(keys: DataFrame, key: str, blocks: int) -> DataFrame:
 def mark(df: DataFrame, key: str, filter_: DataFrame, blocks: int, into: str) -> DataFrame:
     """Add a boolean column: false means that the key is surely not in the filter.
     The filter is broadcast; it has ``MAX_BLOCKS`` rows at most."""
-    small = filter_.select(
-        F.col("block").alias("__block"), *(F.col(f"w{i}").alias(f"__w{i}") for i in range(LANES))
-    )
-    joined = df.withColumn("__block", _block(F.col(key), blocks)).join(F.broadcast(small), "__block", "left")
+    block, words = free_name(df, "block"), free_name(df, "words")
+    small = filter_.select(F.col("block").alias(block), F.struct(*(f"w{i}" for i in range(LANES))).alias(words))
+    joined = df.withColumn(block, _block(F.col(key), blocks)).join(F.broadcast(small), block, "left")
     hit = reduce(Column.__and__, (
-        F.col(f"__w{i}").bitwiseAND(_lane(F.col(key), i)) == _lane(F.col(key), i) for i in range(LANES)
+        F.col(words)[f"w{i}"].bitwiseAND(_lane(F.col(key), i)) == _lane(F.col(key), i) for i in range(LANES)
     ))
-    return joined.withColumn(into, F.coalesce(hit, F.lit(False))).drop("__block", *(f"__w{i}" for i in range(LANES)))
+    return joined.withColumn(into, F.coalesce(hit, F.lit(False))).drop(block, words)

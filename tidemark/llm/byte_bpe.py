@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.llm.common import bounded_batches, clean_text
+from tidemark.llm.common import bounded_batches, clean_text, tool
 
 PIECES = 150_000
 PIECE_CHARS = 64
@@ -41,9 +41,12 @@ PAIRS = 300_000
 ROOT = 0
 
 
-@lru_cache(maxsize=4)
 def load_ranks(path: str) -> dict[bytes, int]:
     """Lines of base64 bytes and rank."""
+    return tool("byte_bpe", ("ranks", path), lambda: _read_ranks(path))
+
+
+def _read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
@@ -230,9 +233,8 @@ def _splitter(pattern: str):
     return lambda text: full(text) if PLAIN.search(text) else plain(text)
 
 
-@lru_cache(maxsize=4)
 def _encoder(path: str, pattern: str):
-    return _splitter(pattern), _Pieces(Transducer(load_ranks(path)).encode)
+    return tool("byte_bpe", ("encoder", path, pattern), lambda: (_splitter(pattern), _Pieces(Transducer(load_ranks(path)).encode)))
 
 
 def encode_text(text: str, path: str, pattern: str) -> np.ndarray:
@@ -329,8 +331,11 @@ class StreamDecoder:
         return rest.decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
 def machine_of(path: str) -> Utf8Machine:
+    return tool("byte_bpe", ("machine", path), lambda: _machine(path))
+
+
+def _machine(path: str) -> Utf8Machine:
     ranks = load_ranks(path)
     tokens = [b""] * (max(ranks.values()) + 1)
     for token, number in ranks.items():

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm import bloom
-from tidemark.llm.common import clean_text
+from tidemark.llm.common import all_columns, clean_text, free_name
 from tidemark.session import staged
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -91,24 +91,19 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     documents that may have a few copies meet their group in a join."""
     _, heavy, light = groups(docs)
     blocks = bloom.blocks_for(light.count())
-    inner = docs.withColumn("__digest", digest_of()).join(
-        F.broadcast(heavy.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__first"), F.lit(True).alias("__heavy"))),
-        "__digest", "left",
+    digest, keep, hit, group = (free_name(docs, n) for n in ("digest", "first", "hit", "group"))
+    own = all_columns(docs)
+    inner = docs.withColumn(digest, digest_of()).join(
+        F.broadcast(heavy.select(F.col("digest").alias(digest), F.struct("keep_id").alias(keep))), digest, "left"
     )
-    marked = bloom.mark(inner, "__digest", bloom.build(light, "digest", blocks), blocks, "__hit")
-    is_heavy = F.col("__heavy").isNotNull()
-    single = marked.where(~is_heavy & ~F.col("__hit"))
-    first = marked.where(is_heavy & F.col("doc_id").eqNullSafe(F.col("__first")))
-    maybe = marked.where(~is_heavy & F.col("__hit")).drop("__first").join(
-        light.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__first"), F.lit(True).alias("__group")),
-        "__digest", "left",
+    marked = bloom.mark(inner, digest, bloom.build(light, "digest", blocks), blocks, hit)
+    is_heavy = F.col(keep).isNotNull()
+    single = marked.where(~is_heavy & ~F.col(hit))
+    first = marked.where(is_heavy & F.col("doc_id").eqNullSafe(F.col(keep)["keep_id"]))
+    maybe = marked.where(~is_heavy & F.col(hit)).join(
+        light.select(F.col("digest").alias(digest), F.struct("keep_id").alias(group)), digest, "left"
     )
-    alone = maybe.where(F.col("__group").isNull())
-    staying = maybe.where(F.col("__group").isNotNull() & F.col("doc_id").eqNullSafe(F.col("__first")))
-    chosen = first.select(*_plain(docs), "__digest").unionByName(staying.select(*_plain(docs), "__digest"))
-    once = chosen.dropDuplicates(["__digest"])
-    return single.select(*_plain(docs)).unionByName(alone.select(*_plain(docs))).unionByName(once.select(*_plain(docs)))
-
-
-def _plain(docs: DataFrame) -> list[Column]:
-    return [F.col(f"`{name}`") for name in docs.columns]
+    alone = maybe.where(F.col(group).isNull())
+    staying = maybe.where(F.col(group).isNotNull() & F.col("doc_id").eqNullSafe(F.col(group)["keep_id"]))
+    once = first.select(*own, digest).union(staying.select(*own, digest)).dropDuplicates([digest])
+    return single.select(*own).union(alone.select(*own)).union(once.select(*own))

@@ -7,8 +7,10 @@ best dictionary saves against the second best; where it is narrow the prediction
 is rejected.
 
 Dictionaries come from a bounded sample of labelled rows: ``SAMPLE_DOCS``
-documents of each language, chosen by a hash of ``doc_id``, ``SAMPLE_CHARS`` of
-each. Prediction reads whole texts and nothing but texts.
+documents of each language, chosen by a hash of ``doc_id``, of each a run of
+``SAMPLE_CHARS`` characters from a place that the hash names. All of the sample is
+used. More than ``MAX_LANGUAGES`` languages are an error. Prediction reads whole
+texts and nothing but texts. A letter is what Unicode calls one (category L).
 
 A null text or one without a letter is ``und``, score 0, rejected. Without any
 labelled row every text is ``und``. With one language only, it is predicted with
@@ -18,17 +20,15 @@ score 1. Ties go to the first language by name. Repeated rows are predicted alik
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.llm.common import bounded_batches, hashed_sample
+from tidemark.llm.common import bounded_batches, free_name, hashed_sample, tool
 
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 1200
-DICTIONARY_BYTES = 1 << 17
 MAX_LANGUAGES = 256
 PIECE = 4096
 LEVEL = 3
@@ -52,17 +52,22 @@ def fit(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS)
     """Dictionaries from rows with ``doc_id, text, lang``. At most ``MAX_LANGUAGES``
     languages and ``docs`` rows of each come to the driver."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
-        "doc_id", "lang", F.substring("text", 1, chars).alias("text")
+        "doc_id", "lang", F.expr(f"substring(text, int(1 + pmod(xxhash64(doc_id, 'place'), greatest(1, length(text) - {chars} + 1))), {chars})").alias("text")
     )
+    if rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     sample = hashed_sample(rows, "lang", docs, MAX_LANGUAGES, "doc_id", "text")
     found: dict[str, list[bytes]] = {}
     for row in sorted(sample.collect(), key=lambda r: (r.lang, r.sample_rank)):
         found.setdefault(row.lang, []).append(letters_of(row.text))
-    return {lang: b" ".join(dict.fromkeys(texts))[:DICTIONARY_BYTES] for lang, texts in sorted(found.items())}
+    return {lang: b" ".join(dict.fromkeys(texts)) for lang, texts in sorted(found.items())}
 
 
-@lru_cache(maxsize=2)
 def _compressors(model: tuple[tuple[str, bytes], ...]):
+    return tool("language_id", model, lambda: _packers(model))
+
+
+def _packers(model: tuple[tuple[str, bytes], ...]):
     made = []
     for lang, data in model:
         raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -74,7 +79,7 @@ def _compressors(model: tuple[tuple[str, bytes], ...]):
 
 def classify(text: str | None, model: tuple[tuple[str, bytes], ...]) -> tuple[str, float]:
     data = letters_of(text)
-    if not data or not model:
+    if not model or not any(map(str.isalpha, data.decode("utf-8"))):
         return UNKNOWN, 0.0
     pieces = [data[i:i + PIECE] for i in range(0, len(data), PIECE)]
     sizes = sorted((sum(len(pack(p)) for p in pieces), lang) for lang, pack in _compressors(model))
@@ -110,8 +115,9 @@ def predict(docs: DataFrame, model: dict[str, bytes]) -> DataFrame:
 def keep_known(docs: DataFrame, model: dict[str, bytes], narrow: float = NARROW) -> DataFrame:
     """The documents that are not rejected, with all their columns."""
     bounded_batches(docs.sparkSession)
-    marked = docs.withColumn("__language", predict_column("text", model))
-    return marked.where((F.col("__language.lang") != UNKNOWN) & (F.col("__language.score") >= narrow)).drop("__language")
+    name = free_name(docs, "language")
+    found = F.col(name)
+    return docs.withColumn(name, predict_column("text", model)).where((found["lang"] != UNKNOWN) & (found["score"] >= narrow)).drop(name)
 
 
 def learnable(docs: DataFrame) -> DataFrame:

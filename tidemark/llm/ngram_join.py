@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidemark.llm import bloom
-from tidemark.llm.common import bounded_batches, clean_text
+from tidemark.llm.common import all_columns, bounded_batches, clean_text, free_name
 from tidemark.llm.components import components
 from tidemark.session import staged
 
@@ -427,6 +427,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     without a ``doc_id`` stay, as do all rows that repeat one that stays."""
     going = staged(members(docs).where("doc_id <> component_id").select("doc_id").distinct())
     blocks = bloom.blocks_for(going.count())
-    marked = bloom.mark(docs, "doc_id", bloom.build(going, "doc_id", blocks), blocks, "__hit")
-    stay = marked.where("__hit").join(going, "doc_id", "left_anti").select(*docs.columns)
-    return marked.where("NOT __hit").select(*docs.columns).unionByName(stay)
+    hit, own = free_name(docs, "hit"), all_columns(docs)
+    marked = bloom.mark(docs, "doc_id", bloom.build(going, "doc_id", blocks), blocks, hit)
+    stay = marked.where(F.col(hit)).join(going, "doc_id", "left_anti").select(*own)
+    return marked.where(~F.col(hit)).select(*own).union(stay)

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.llm.common import bounded_batches, clean_text, hashed_sample
+from tidemark.llm.common import all_columns, bounded_batches, clean_text, free_name, hashed_sample
 from tidemark.llm.license_scan import WORD_BYTES
 from tidemark.session import staged
 
@@ -100,6 +100,8 @@ class Classifier:
 
 def fit(docs: DataFrame, labelled: DataFrame) -> Classifier | None:
     """``labelled``: ``doc_id, domain``. At most ``SAMPLE_DOCS`` rows of each domain come to the driver."""
+    if labelled.select("domain").where("domain IS NOT NULL").distinct().limit(MAX_DOMAINS + 1).count() > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} domains")
     chosen = hashed_sample(labelled.select("doc_id", "domain"), "domain", SAMPLE_DOCS, MAX_DOMAINS, "doc_id")
     # Ids of the sample: SAMPLE_DOCS * MAX_DOMAINS rows, some MB, at most.
     rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -272,10 +274,16 @@ def domains_of(labels: DataFrame) -> DataFrame:
 TARGETS = {"good": 0.94, "low": 0.05, "toxic": 0.01}
 
 
-def weights_of(model: Classifier, targets: dict[str, float]) -> np.ndarray:
+def weights_of(model: Classifier, targets: dict[str, float] | None) -> np.ndarray:
+    """Weights of the classifier's domains. A target that the caller names and no
+    label has is an error. Of the production targets, one without labels is left
+    out with a warning, as long as there is another."""
+    given, targets = targets is not None, targets or TARGETS
     strange = [d for d, w in targets.items() if w > 0 and d not in model.domains]
-    if strange and len(strange) == len([w for w in targets.values() if w > 0]):
+    if strange and (given or len(strange) == len([w for w in targets.values() if w > 0])):
         raise ValueError(f"no labelled row has a domain of {strange}")
+    if strange:
+        warnings.warn(f"no labelled row has a domain of {strange}; the other targets are kept in their proportions")
     held = np.array([targets.get(d, 0.0) for d in model.domains])
     return held / held.sum()
 
@@ -291,7 +299,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
             F.lit(1.0).alias("rate"),
         )
     members = staged(with_membership(plain, model).select("doc_id", "membership.*"))
-    solved = solve(members, weights_of(model, targets or TARGETS))
+    solved = solve(members, weights_of(model, targets))
     return members.select(
         "doc_id", "n_tokens", F.array(*map(F.lit, model.domains)).alias("domains"), "posterior",
         rate_column(F.col("posterior"), solved).alias("rate"),
@@ -304,9 +312,10 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | N
     model = fit(docs, labelled)
     if model is None:
         return docs
-    marked = with_membership(docs, model, "__membership")
-    members = staged(marked.select("__membership.*"))
-    solved = solve(members, weights_of(model, targets or TARGETS))
+    member, own = free_name(docs, "membership"), all_columns(docs)
+    marked = with_membership(docs, model, member)
+    members = staged(marked.select(F.col(member)["n_tokens"].alias("n_tokens"), F.col(member)["posterior"].alias("posterior")))
+    solved = solve(members, weights_of(model, targets))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    rate = rate_column(F.col("__membership.posterior"), solved)
-    return marked.withColumn("__rate", rate).where(F.col("__rate") > draw).drop("__rate", "__membership")
+    rate = rate_column(F.col(member)["posterior"], solved)
+    return marked.where(rate > draw).select(*own)

@@ -19,21 +19,23 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.llm.common import bounded_batches, clean_text
+from tidemark.llm.common import bounded_batches, clean_text, tool
 
 RULES = ("first", "last", "most", "share")
 LINES = re.compile(r"\n+")
 
 
-@lru_cache(maxsize=2)
 def _encoding(path: str, pattern: str):
+    return tool("token_counts", (path, pattern), lambda: _made_encoding(path, pattern))
+
+
+def _made_encoding(path: str, pattern: str):
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
     lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)

@@ -26,7 +26,6 @@ import re
 import struct
 import uuid
 import zlib
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -36,7 +35,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import bounded_batches, clean_text
+from tidemark.llm.common import bounded_batches, clean_text, tool
 
 FRAME_IDS = 1 << 14
 LEVEL = 3
@@ -144,8 +143,11 @@ class _Chunks(dict):
         return [c for c in fresh if len(c) > CHUNK_CHARS]
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str, added: bool):
+    return tool("token_files", (path, added), lambda: _made_tokenizer(path, added))
+
+
+def _made_tokenizer(path: str, added: bool):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
