@@ -118,3 +118,8 @@ def test_sliding_windows_shuffle_no_more_rows_than_the_feed(spark, feed, slide):
     n = feed.count()
     assert len(steps) == 4 and max(steps[2:]) <= n and max(steps[:2]) <= 2 * n
 
+
+def test_a_read_by_key_opens_one_bucket_and_exchanges_nothing(spark):
+    plan = plan_of(REGISTRY["key_lookup"](spark, SF))
+    assert "SelectedBucketsCount: 1 out of 16" in plan and "Exchange" not in plan
+

@@ -183,3 +183,21 @@ def test_stored_order(spark, tables):
 def test_count_tables(spark):
     got = count_tables({"a": spark.range(3), "b": spark.range(0)})
     assert rows(got) == [("a", 3), ("b", 0)]
+
+
+def test_layout_by_key(spark, tables):
+    """Every device in one file, files in key order, all rows there once."""
+    data = [(f"w{i % 7}", f"d{i % 5}", f"c{i}", i, 0.0) for i in range(60)]
+    for part in (data[:40], data[30:]):
+        tables.write("agg_events", agg(spark, *part).repartition(3), "job")
+    laid = tables.lay_out("agg_events", 4)
+    assert rows(laid) == rows(tables.read("agg_events")) and laid.count() == 60
+    stored = laid.withColumn("file", F.input_file_name()).collect()
+    homes = {}
+    for r in stored:
+        homes.setdefault(r.device_id, set()).add(r.file)
+    assert all(len(files) == 1 for files in homes.values()) and 1 < len({r.file for r in stored}) <= 4
+    for file in {r.file for r in stored}:
+        part = [tuple(r) for r in spark.read.parquet(file).select(*schema.AGG_EVENTS_KEY).collect()]
+        assert part == sorted(part)
+

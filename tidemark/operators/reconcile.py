@@ -47,8 +47,9 @@ def merge_sides(*sides: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def reconcile(feed: DataFrame, downstream_parts: DataFrame, measure=PLAIN) -> DataFrame:
-    """Both truths of a feed and the downstream sums, one wide row per key.
+def reconcile(feed: DataFrame, downstream_parts: DataFrame | None, measure=PLAIN) -> DataFrame:
+    """Both truths of a feed and the downstream sums, one wide row per key. Without
+    downstream sums, both truths.
 
     The events go into the grouping as they are, once per time basis, next to
     the packed partial sums of the stream job (``window``, device, category,
@@ -71,21 +72,26 @@ def reconcile(feed: DataFrame, downstream_parts: DataFrame, measure=PLAIN) -> Da
         tw.floor_ms(F.col("basis.ms")).alias("start_ms"),
         "device_id", "category", "m1", "m2",
     )
-    parts = downstream_parts.select(
-        F.lit("downstream").alias("side"),
-        F.unix_millis(F.col("window.start")).alias("start_ms"),
-        "device_id", "category", "m1", "m2",
-    )
+    sides = SIDES
+    if downstream_parts is None:
+        sides = tuple(side for side in SIDES if side in BASES)
+    else:
+        parts = downstream_parts.select(
+            F.lit("downstream").alias("side"),
+            F.unix_millis(F.col("window.start")).alias("start_ms"),
+            "device_id", "category", "m1", "m2",
+        )
+        truths = truths.unionByName(parts)
     sums = []
-    for side in SIDES:
+    for side in sides:
         mine = F.col("side") == side
         sums += [F.sum(F.when(mine, F.col(m))).alias(f"{m}_sum_{side}") for m in ("m1", "m2")]
-    wide = truths.unionByName(parts).groupBy("start_ms", "device_id", "category").agg(*sums)
+    wide = truths.groupBy("start_ms", "device_id", "category").agg(*sums)
     return wide.select(
         tw.label_end(F.col("start_ms")).alias("window_time"),
         "device_id", "category",
-        *[f"m1_sum_{side}" for side in SIDES],
-        *[measure.unpack(F.col(f"m2_sum_{side}")).alias(f"m2_sum_{side}") for side in SIDES],
+        *[f"m1_sum_{side}" for side in sides],
+        *[measure.unpack(F.col(f"m2_sum_{side}")).alias(f"m2_sum_{side}") for side in sides],
     )
 
 

@@ -393,4 +393,7 @@ ORACLES: dict[str, str] = {
         SELECT {label("(w + 1) * 5000")} AS window_time, device_id, category,
                quantile_disc(measure1, 0.5) AS median, COUNT(*) AS n
         FROM rows GROUP BY w, device_id, category""",
+    "key_lookup": f"""{EVENT}
+        SELECT device_id, category, COUNT(*) AS n_windows, CAST(SUM(m1_sum_downstream) AS BIGINT) AS m1_sum, MAX(window_time) AS last_window
+        FROM wide WHERE device_id = 'dev-1' GROUP BY 1, 2""",
 }

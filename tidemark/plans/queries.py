@@ -413,6 +413,17 @@ def filter_sort_limit(spark, sf_dir):
     )
 
 
+@query
+def key_lookup(spark, sf_dir):
+    """Sums of one device by category, from the table laid out by key: one bucket is read, nothing is exchanged."""
+    tables = _tables(spark)
+    tables.write("agg_events", _wide(_feed(spark, sf_dir)), "all")
+    mine = tables.lay_out("agg_events").filter(F.col("device_id") == "dev-1")
+    return mine.groupBy("device_id", "category").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.sum("m1_sum_downstream").alias("m1_sum"), F.max("window_time").alias("last_window")
+    )
+
+
 @query
 def limit_n(spark, sf_dir):
     """How many of any 100 rows of the stored debug table are there and are its rows."""
