@@ -16,8 +16,9 @@ that, as with targets out of reach. A run of ``STEPS`` steps that ends before wa
 
 Tokens are counted as words between white space unless a count is given. A null
 or empty text has no tokens and any posterior. Without labelled rows there are no
-domains and every rate is 1. A target for a domain that no label names is an
-error; a domain without a target has the target 0. Ties and repeated rows get equal
+domains and every rate is 1. A given target for a domain that no label names is an
+error, one of the production targets is left out with a warning; more than
+``MAX_DOMAINS`` domains are an error; a domain without a target has the target 0. Ties and repeated rows get equal
 rates, up to the last bits of doubles.
 """
 
