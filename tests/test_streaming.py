@@ -408,3 +408,14 @@ def test_own_aggregate_of_a_stream(spark, folder):
     got = run(spark, folder, job, "append")
     assert [r for batch in got for r in batch] == [("2016-08-26 11:02:00", "c1", 1, 1), ("2016-08-26 11:02:15", "c1", 4, 2)]
 
+
+def test_windows_of_the_clock_close_by_themselves(spark, folder):
+    """No event after them, no watermark: the timer closes the windows, and copies in one count once."""
+    out = Collect()
+    with sinks.stream_settings(spark, state_partitions=2):
+        stream = event_source(spark, "text", path=folder)
+        sinks.run_until_closed(stateful.processing_sums(jobs.events_of(stream)), "append", work_dir(spark, "cp"), out)
+    got = [r for batch in out.batches for r in batch]
+    assert sum(r[3] for r in got) == 1 + 4 + 16 + 100 + 32 and len({r[0] for r in got}) == 1
+    assert all(int(r[0][-2:]) % 5 == 0 for r in got)
+

@@ -396,4 +396,6 @@ ORACLES: dict[str, str] = {
     "key_lookup": f"""{EVENT}
         SELECT device_id, category, COUNT(*) AS n_windows, CAST(SUM(m1_sum_downstream) AS BIGINT) AS m1_sum, MAX(window_time) AS last_window
         FROM wide WHERE device_id = 'dev-1' GROUP BY 1, 2""",
+    "stream_processing_time": f"""WITH {FEED}
+        SELECT device_id, category, {M1} AS m1_sum, {M2} AS m2_sum FROM orig GROUP BY 1, 2""",
 }

@@ -18,6 +18,7 @@ from tidemark.operators import (
 )
 from tidemark.plans import scenarios
 from tidemark.session import staged, work_dir
+from tidemark.sources.stream import event_source
 from tidemark.sources.tables import KeyedTables
 from tidemark.streaming import jobs, outputs, replay, sinks, stateful
 
@@ -681,3 +682,20 @@ def stream_own(spark, sf_dir):
         sinks.upsert_into(tables, "medians", "job"), scenarios.closing_message(spark),
     )
     return tables.log("medians").select("window_time", "device_id", "category", "median", "n")
+
+
+@query
+def stream_processing_time(spark, sf_dir):
+    """Windows of the clock, closed by timers. What a window holds depends on the clock; all of them
+    together hold each original once."""
+    folder = work_dir(spark, "clock")
+    files = replay.deliver(feeds.to_payload(_originals(spark, sf_dir)), folder, replay.SLICE_MS, rests=False)
+    tables = _tables(spark, tables=stateful.DELTAS, by_column=())
+    options = {"maxFilesPerTrigger": str(files), "recursiveFileLookup": "true"}
+    with sinks.stream_settings(spark):
+        stream = event_source(spark, "parquet", path=f"{folder}/in", options=options)
+        sums = stateful.processing_sums(jobs.events_of(stream, CENTS.scale), CENTS)
+        sinks.run_until_closed(sums, "append", f"{folder}/checkpoint", stateful.parts_into(tables, "job"))
+    return tables.log("deltas").groupBy("device_id", "category").agg(
+        F.sum("m1").alias("m1_sum"), CENTS.unpack(F.sum("m2")).alias("m2_sum")
+    )

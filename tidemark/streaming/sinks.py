@@ -125,6 +125,26 @@ def run_forever(query: DataFrame, mode: str, checkpoint: str, write, every: str
     )
 
 
+def run_until_closed(query: DataFrame, mode: str, checkpoint: str, write, every: str = "1 second", seconds: float = 600) -> None:
+    """Run a query whose state is closed by the clock until all input is read and no
+    state is left."""
+    running = run_forever(query, mode, checkpoint, write, every)
+    end, begun = time.monotonic() + seconds, False
+    try:
+        while running.isActive and time.monotonic() < end:
+            progress = running.lastProgress
+            rows = progress["numInputRows"] if progress else 0
+            begun = begun or rows > 0
+            if begun and not rows and not sum(o["numRowsTotal"] for o in progress["stateOperators"]):
+                return
+            time.sleep(0.1)
+        if running.exception():
+            raise running.exception()
+        raise TimeoutError("the query's state is not closed")
+    finally:
+        running.stop()
+
+
 def print_stream(stream: DataFrame):
     """Print a stream, for instance the messages of a topic as they come."""
     return stream.writeStream.outputMode("append").format("console").option("truncate", False).start()

@@ -5,6 +5,7 @@ Both work on batches of rows in pandas, as Spark hands them to keyed state."""
 
 from __future__ import annotations
 
+import pickle
 from typing import Iterator
 
 import pandas as pd
@@ -45,6 +46,51 @@ def late_rows(events: DataFrame, size_ms: int = tw.WINDOW_MS) -> DataFrame:
     )
 
 
+# Parts that a device and category is split into, by message, so that a busy one isn't one task's.
+CLOCK_SALTS = 16
+
+
+def processing_sums(events: DataFrame, measure=PLAIN, size_ms: int = tw.WINDOW_MS) -> DataFrame:
+    """Sums per window of the time of processing, closed by a timer of the clock and not
+    by a watermark: a window is put out once its end has passed, also when nothing more
+    arrives. A message counts once in a window. For append mode.
+
+    Rows are parts of a window's sums, to be added up: each device and category is
+    split by message. The state holds one window's message ids.
+    """
+    keyed = events.select(
+        "message_id", "device_id", "category", "measure1", measure.pack(F.col("measure2")).cast("double").alias("m2"),
+        F.pmod(F.xxhash64("message_id"), F.lit(CLOCK_SALTS)).alias("salt"),
+    )
+    names = ["end_ms", "device_id", "category", "m1", "m2"]
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs()
+        end, ids, m1, m2 = (*state.get[:1], pickle.loads(state.get[1]), *state.get[2:]) if state.exists else (None, set(), 0, 0.0)
+        if end is not None and end <= now:
+            yield pd.DataFrame([(end, key[0], key[1], m1, m2)], columns=names)
+            state.remove()
+            end, ids, m1, m2 = None, set(), 0, 0.0
+        if state.hasTimedOut:
+            if end is not None:
+                state.setTimeoutDuration(end - now)
+            return
+        for part in parts:
+            for message, one, two in zip(part["message_id"], part["measure1"], part["m2"]):
+                if message not in ids:
+                    ids.add(message)
+                    m1, m2 = m1 + int(one), m2 + float(two)
+        end = end or now - now % size_ms + size_ms
+        state.update((end, pickle.dumps(ids), m1, m2))
+        state.setTimeoutDuration(end - now)
+
+    found = keyed.groupBy("device_id", "category", "salt").applyInPandasWithState(
+        step, "end_ms bigint, device_id string, category string, m1 bigint, m2 double",
+        "end_ms bigint, ids binary, m1 bigint, m2 double", "append", GroupStateTimeout.ProcessingTimeTimeout,
+    )
+    return found.select(tw.ms_text(F.col("end_ms")).alias("window_time"), "device_id", "category", "m1", "m2")
+
+
 DELTA = T.StructType([
     T.StructField("window_time", T.StringType()), T.StructField("device_id", T.StringType()),
     T.StructField("category", T.StringType()), T.StructField("m1", T.LongType()), T.StructField("m2", T.DoubleType()),
@@ -103,6 +149,16 @@ def deltas_into(tables, writer: str):
     return write
 
 
+def parts_into(tables, writer: str):
+    """``foreachBatch`` function: parts of window sums, added up per key."""
+
+    def write(rows: DataFrame, batch_id: int, run: str | None = None) -> None:
+        added = rows.groupBy(*reconcile.KEYS).agg(F.sum("m1").alias("m1"), F.sum("m2").alias("m2"))
+        tables.write("deltas", added, writer, batch_id, run)
+
+    return write
+
+
 def versions(tables, measure=PLAIN) -> DataFrame:
     """Every version of every sum, numbered, from the stored changes. A window's
     versions are as many as the micro-batches that changed it."""
