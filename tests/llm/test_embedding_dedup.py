@@ -3,6 +3,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from corpus_fixtures import rows
+from pyspark.sql import functions as F
 from tidemark.llm import embedding_dedup as near
 from tidemark.llm.components import components
 
@@ -54,7 +55,7 @@ def rows_of(found):
     return sorted(found, key=lambda r: tuple((v is not None, str(type(v)), v) for v in r))
 
 
-@pytest.mark.parametrize("block, cell_rows", [(1024, 512), (7, 20)])
+@pytest.mark.parametrize("block, cell_rows", [(1024, 512), (7, 20), (3, 90)])
 def test_clouds(spark, block, cell_rows):
     """Many cells, and cells of many blocks."""
     held = clouds(600, 40) + clouds(100, 100, seed=9, spread=1.0)
@@ -92,6 +93,33 @@ def test_vectors_of_few_dimensions(spark, d):
     assert rows(near.dedup(frame(spark, held), cell_rows=8)) == rows_of(brute(held))
 
 
+def test_connect():
+    rnd = np.random.default_rng(4)
+    a, b = rnd.integers(0, 300, size=(2, 200))
+    a, b = np.concatenate([a, np.arange(300, 399)]), np.concatenate([b, np.arange(301, 400)])
+    want = list(range(400))
+    for _ in range(400):
+        for x, y in zip(a.tolist(), b.tolist()):
+            want[x] = want[y] = min(want[x], want[y])
+    assert near.connect(400, a, b).tolist() == want
+    assert near.connect(2, a[:0], b[:0]).tolist() == [0, 1]
+
+
+def test_vectors_of_doubles(spark):
+    held = clouds(90, 6)
+    got = near.dedup(frame(spark, held).withColumn("embedding", F.col("embedding").cast("array<double>")))
+    assert rows(got) == rows_of(brute(held))
+
+
+def test_guests_meet_homes_only(spark):
+    """Of homes and guests, each group has one block of homes; guests alone make none."""
+    classes = near.classes_of(frame(spark, clouds(400, 20))).groupBy("class").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.lit(1).cast("bigint").alias("weight"))
+    groups = near._blocks(near.assign(classes, near.fit_cells(classes, 30)), 8).groupBy("label", "d", "cell", "i", "j")
+    found = groups.agg(F.sum(F.col("rows").cast("int")).alias("rows"), F.count("*").alias("n"), F.sum((~F.col("is_home")).cast("int")).alias("guests")).collect()
+    assert all(r.rows > 0 for r in found) and sum(r.guests for r in found) > 0
+    assert max(r.n for r in found) < 400 / 3
+
+
 def test_a_hot_vector(spark):
     """A third of all rows are one vector; they are one class and no pairs."""
     held = [(i, [1.0, 1.0, 0.0] if i % 3 == 0 else [1.0, float(i), 0.5], 0) for i in range(900)]

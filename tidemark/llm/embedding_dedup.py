@@ -5,10 +5,12 @@ their nearest centroid, their home, and as guests to every cell c with
 ``score(home) - score(c) <= |x - y| / 2 * |home - c|``, where ``|x - y|`` is the
 largest distance of two vectors that link. For such x and y with homes a and b,
 ``(xa - xb) + (yb - ya) = (x - y)(a - b)``, so one of the two is within the bound:
-any two vectors that link meet in the home of one of them. A cell is cut into blocks by a hash, and
-each pair of blocks of a cell is one group with at most two blocks of vectors:
-within it cosines are one matrix product in double precision. Groups return the
-links of each class as a number and a star of what they connect, never all pairs.
+any two vectors that link meet in the home of one of them. Guests of a cell don't
+compare among themselves: homes are cut into blocks by a hash, guests into blocks
+of their own, and a group is one block of homes with one more block, so it is
+bounded. Within it cosines are one matrix product in double precision, of homes
+with all. Groups return the links of each class as a number and a star of what
+they connect, never all pairs.
 
 Vectors compare only within a label that is not null, and only if equally long.
 Null and zero vectors, those with null or non-finite components, and rows with a
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.llm.common import bounded_batches
 from tidemark.llm.components import components
@@ -32,12 +34,22 @@ SAMPLE = 20_000
 CELL_ROWS = 512
 MAX_CELLS = 4096
 BLOCK = 1024
+#: Blocks of homes that make a block of guests.
+GUEST_BLOCKS = 4
+#: Numbers that the sample for the centroids may hold, whatever the length of its vectors.
+SAMPLE_VALUES = 1 << 23
 ITERATIONS = 12
 THRESHOLD = 0.93
 
 
-def unit(rows: list) -> np.ndarray:
-    x = np.array(rows, dtype=np.float64)
+def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    whole = vectors.combine_chunks()
+    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    x = rows.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -61,34 +73,37 @@ def _usable() -> Column:
 
 
 def classes_of(vectors: DataFrame) -> DataFrame:
-    """``vec_id, label, embedding, class`` of the vectors that can link."""
-    plain = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    """``vec_id, label, embedding, class`` of the vectors that can link. Floats stay
+    floats until a product is computed, which halves what is shuffled."""
+    kind = "float" if vectors.select("embedding").schema[0].dataType == T.ArrayType(T.FloatType()) else "double"
+    plain = vectors.select("vec_id", "label", F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     key = F.unhex(F.md5(F.concat_ws("|", F.col("label").cast("string"), F.col("embedding").cast("string"))))
     return plain.where(_usable()).withColumn("class", key)
 
 
 def fit_cells(classes: DataFrame, cell_rows: int = CELL_ROWS, sample: int = SAMPLE) -> dict[int, np.ndarray]:
-    """Centroids for each vector length, from at most ``sample`` classes by hash."""
+    """Centroids for each vector length, from at most ``sample`` classes and
+    ``SAMPLE_VALUES`` numbers by hash."""
     counts = classes.groupBy(F.size("embedding").alias("d")).agg(
         F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("labels")
     ).orderBy(F.desc("n")).limit(16).collect()
     found = {}
     for row in counts:
         cells = max(1, min(MAX_CELLS, row.n // (cell_rows * max(1, row.labels))))
-        share = min(1.0, 1.5 * sample / row.n)
+        most = max(1, min(sample, SAMPLE_VALUES // row.d))
+        share = min(1.0, 1.5 * most / row.n)
         place = F.pmod(F.xxhash64("class"), F.lit(1 << 30)) / float(1 << 30)
-        rows = classes.where((F.size("embedding") == row.d) & (place <= share)).select("class", "embedding").limit(2 * sample).collect()
-        rows = sorted(rows, key=lambda r: bytes(r["class"]))[:sample]
-        found[row.d] = spherical_kmeans(unit([r.embedding for r in rows]), cells) if rows else np.zeros((0, row.d))
+        picked = classes.where((F.size("embedding") == row.d) & (place <= share)).select("class", "embedding")
+        rows = picked.limit(2 * most).toArrow().sort_by("class").slice(0, most)
+        found[row.d] = spherical_kmeans(unit(matrix(rows.column("embedding"))), cells) if len(rows) else np.zeros((0, row.d))
     return found
 
 
-ASSIGNED = "class binary, label string, weight bigint, embedding array<double>, home int, guests array<int>"
-
-
 def assign(classes: DataFrame, centers: dict[int, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
     """Add the home cell and the cells where the class is a guest. Lengths beyond
     the sixteen most frequent ones have one cell, 0."""
+    kind = classes.select("embedding").schema[0].dataType.simpleString()
+    out = f"class binary, label string, weight bigint, embedding {kind}, home int, guests array<int>"
     half = 0.5 * float(np.sqrt(max(0.0, 2 - 2 * threshold) + 1e-12))
 
     def cells(batches):
@@ -113,32 +128,55 @@ def assign(classes: DataFrame, centers: dict[int, np.ndarray], threshold: float
                 ["class", "label", "weight", "embedding", "home", "guests"],
             )
 
-    return classes.select("class", F.col("label").cast("string"), "weight", "embedding").mapInArrow(cells, ASSIGNED)
+    return classes.select("class", F.col("label").cast("string"), "weight", "embedding").mapInArrow(cells, out)
 
 
 def _blocks(assigned: DataFrame, block: int) -> DataFrame:
-    """A row for each group that a class takes part in: ``label, d, cell, i, j``."""
-    home = assigned.withColumn("cell", F.col("home")).withColumn("is_home", F.lit(True))
-    guest = assigned.withColumn("cell", F.explode("guests")).withColumn("is_home", F.lit(False))
-    placed = home.unionByName(guest).withColumn("d", F.size("embedding"))
-    held = placed.groupBy("label", "d", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    cut = placed.join(held, ["label", "d", "cell"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks").cast("bigint")).cast("int"))
-    return cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "label", "d", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "class", "weight", "embedding", "home", "guests", "is_home",
+    """A row for each group that a class takes part in: ``label, d, cell, i, j``. Group
+    ``i, j`` has the homes of block i (``rows``) and, if j is another number, what
+    meets them there: a later block of homes, or guests. The first block of guests
+    is in the groups ``i, i``."""
+    sized = assigned.withColumn("d", F.size("embedding"))
+    places = sized.select("label", "d", F.col("home").alias("cell"), F.lit(1).alias("home"), F.lit(0).alias("guest")).unionByName(
+        sized.select("label", "d", F.explode("guests").alias("cell"), F.lit(0).alias("home"), F.lit(1).alias("guest"))
+    )
+    held = places.groupBy("label", "d", "cell").agg(
+        F.ceil(F.sum("home") / block).cast("int").alias("homes"),
+        F.greatest(F.lit(1), F.ceil(F.sum("guest") / (GUEST_BLOCKS * block))).cast("int").alias("visits"),
+    ).where("homes > 0")
+
+    def number(blocks: str) -> Column:
+        return F.pmod(F.xxhash64("class"), F.col(blocks).cast("bigint")).cast("int")
+
+    each = F.sequence(F.lit(0), F.col("homes") - 1)
+    later = F.when(F.col("visits") > 1, F.sequence(F.col("homes") + 1, F.col("homes") + F.col("visits") - 1)).otherwise(F.array().cast("array<int>"))
+    home = sized.withColumn("cell", F.col("home")).join(held, ["label", "d", "cell"]).withColumn("block", number("homes")).withColumn(
+        "other", F.explode(F.concat(each, later))
+    ).select(
+        "label", "d", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "weight", "embedding",
+        "home", "guests", F.lit(True).alias("is_home"), (F.col("block") <= F.col("other")).alias("rows"),
+    )
+    guest = sized.withColumn("cell", F.explode("guests")).join(held, ["label", "d", "cell"]).withColumn("block", number("visits")).withColumn(
+        "i", F.explode(each)
+    ).select(
+        "label", "d", "cell", "i", F.when(F.col("block") == 0, F.col("i")).otherwise(F.col("homes") + F.col("block")).alias("j"), "class", "weight", "embedding",
+        "home", F.lit(None).cast("array<int>").alias("guests"), F.lit(False).alias("is_home"), F.lit(False).alias("rows"),
     )
+    return home.unionByName(guest)
 
 
-def connect(links: np.ndarray) -> np.ndarray:
-    """Smallest index that each row of a symmetric matrix of links can reach."""
-    roots = np.arange(len(links))
-    while True:
-        reach = np.where(links, roots[None, :], len(links)).min(axis=1, initial=len(links))
-        moved = np.minimum(roots, reach)
-        moved = moved[moved]
-        if (moved == roots).all():
-            return roots
-        roots = moved
+def connect(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest of ``n`` indices that each one can reach by the pairs ``a, b``."""
+    roots = np.arange(n)
+    while len(a):
+        least = np.minimum(roots[a], roots[b])
+        np.minimum.at(roots, roots[a], least)
+        np.minimum.at(roots, roots[b], least)
+        while (roots[roots] != roots).any():
+            roots = roots[roots]
+        open_ = roots[a] != roots[b]
+        a, b = a[open_], b[open_]
+    return roots
 
 
 def links_of(assigned: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -146,33 +184,31 @@ def links_of(assigned: DataFrame, threshold: float = THRESHOLD, block: int = BLO
     a star of the classes that a group connects (``n`` null)."""
 
     def compare(table: pa.Table) -> pa.Table:
-        keys = table.column("class").to_pylist()
-        flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        x = unit(flat.reshape(len(keys), -1))
-        part = table.column("block").to_numpy()
-        home = table.column("home").to_numpy()
-        is_home = table.column("is_home").to_numpy()
-        weight = table.column("weight").to_numpy()
-        i, j, cell = table.column("i")[0].as_py(), table.column("j")[0].as_py(), table.column("cell")[0].as_py()
-        close = x @ x.T >= threshold
-        np.fill_diagonal(close, False)
-        if i != j:  # pairs within a block belong to the group of that block alone
-            close &= part[:, None] != part[None, :]
-        close &= is_home[:, None] | is_home[None, :]
-        counted = close.copy()
+        x = unit(matrix(table.column("embedding")))
+        is_home, own = table.column("is_home").to_numpy(), table.column("rows").to_numpy()
+        home, weight = table.column("home").to_numpy(), table.column("weight").to_numpy()
+        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        rows, cols = np.flatnonzero(own), np.arange(len(x)) if same else np.flatnonzero(~own)
+        r, c = np.nonzero(x[rows] @ x[cols].T >= threshold)
+        r, c = rows[r], cols[c]
+        once = ~own[c] | (r < c)
+        r, c = r[once], c[once]
         # A home and a guest meet again in the guest's home if the home is a guest there: each counts its own side.
-        rows, cols = np.nonzero(close & ~is_home[:, None])
-        if len(rows):
-            guests = table.column("guests").to_pylist()
-            counted[rows, cols] = [home[r] not in guests[c] for r, c in zip(rows, cols)]
-        n = counted @ weight
-        roots = connect(close)
+        lists = table.column("guests").combine_chunks()
+        held = np.repeat(np.arange(len(x)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        span = int(home.max(initial=0)) + 1
+        cells = lists.flatten().to_numpy(zero_copy_only=False)
+        guest_of = (held * span + cells)[cells < span]
+        both = is_home[c] | ~np.isin(r * span + home[c], guest_of)
+        n = np.bincount(r, weight[c], len(x)) + np.bincount(c[both], weight[r[both]], len(x))
+        roots = connect(len(x), r, c)
         ends = np.flatnonzero(n > 0)
         stars = np.flatnonzero(roots != np.arange(len(roots)))
+        keys = table.column("class").combine_chunks()
         return pa.table({
-            "class": pa.array([keys[k] for k in ends] + [keys[k] for k in stars], pa.binary()),
-            "linked": pa.array([None] * len(ends) + [keys[roots[k]] for k in stars], pa.binary()),
-            "n": pa.array(n[ends].tolist() + [None] * len(stars), pa.int64()),
+            "class": pa.concat_arrays([keys.take(pa.array(ends)), keys.take(pa.array(stars))]),
+            "linked": pa.concat_arrays([pa.nulls(len(ends), pa.binary()), keys.take(pa.array(roots[stars]))]),
+            "n": pa.concat_arrays([pa.array(n[ends].astype(np.int64)), pa.nulls(len(stars), pa.int64())]),
         })
 
     return _blocks(assigned, block).groupBy("label", "d", "cell", "i", "j").applyInArrow(compare, "class binary, linked binary, n bigint")
