@@ -96,6 +96,29 @@ def test_streaming_decode():
     assert machine.run(0, np.array([first])) > 0 and machine.run(0, np.array([RANKS[b"\xff"]])) == machine.BROKEN
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=30), st.integers(1, 5))
+def test_feeds_of_any_bytes(data, size):
+    """Whatever the feeds, the bytes are those of all ids, and the state is that of all bytes."""
+    machine = byte_bpe.machine_of(PATH)
+    ids = [RANKS[bytes([b])] for b in data] + ENCODING.encode_ordinary("é und 中")
+    decoder = byte_bpe.StreamDecoder(machine)
+    parts = [decoder.feed_bytes(ids[i:i + size]) for i in range(0, len(ids), size)]
+    whole = data + "é und 中".encode()
+    assert b"".join(parts) + decoder.rest() == whole
+    assert decoder.state == machine.over_bytes(0, whole) == machine.run(0, np.array(ids))
+
+
+def test_documents_are_decoded_in_feeds(spark):
+    texts = ["naïve – 😀😀 中文 ß" * 300, "", "plain words " * 9000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = byte_bpe.decode(byte_bpe.encode(docs, PATH, PATTERN), PATH).collect()
+    assert all(r.decoded.bytes == r.text.encode() and r.decoded.text for r in got)
+    assert max(len(r.ids) for r in got) > byte_bpe.FEED
+    broken = docs.limit(1).select(F.array(F.lit(RANKS[b"\xff"]), F.lit(RANKS[b"a"])).alias("ids"))
+    assert byte_bpe.decode(broken, PATH).first().decoded == (b"\xffa", False)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.binary(max_size=12))
 def test_machine_agrees_with_the_codec(data):

@@ -38,6 +38,8 @@ PIECES = 150_000
 PIECE_CHARS = 64
 STATES = 20_000
 PAIRS = 300_000
+#: Ids that the streaming decoder is fed at once.
+FEED = 1 << 14
 ROOT = 0
 
 
@@ -270,7 +272,7 @@ class Utf8Machine:
     BROKEN = -1
 
     def __init__(self, tokens: list[bytes]):
-        self.tokens = tokens
+        self.tokens, self.joined = tokens, pa.array(tokens, pa.binary())
         self.needs: list[tuple] = [()]
         self.numbers = {(): 0}
         self.known: dict[tuple[int, int], int] = {}
@@ -300,35 +302,58 @@ class Utf8Machine:
         return after
 
     def run(self, state: int, ids: np.ndarray) -> int:
-        """The state after more ids. Ids that are whole characters don't leave state 0."""
-        if state == 0 and self.whole[ids].all():
-            return 0
-        for token in ids.tolist():
-            state = self.over_token(state, token)
+        """The state after more ids. Ids that are whole characters don't leave state 0,
+        so only the stretches between them are stepped through."""
+        parts = np.flatnonzero(~self.whole[ids])
+        at = 0
+        while state != self.BROKEN:
+            if state == 0:
+                after = np.searchsorted(parts, at)
+                at = int(parts[after]) if after < len(parts) else len(ids)
+            if at == len(ids):
+                break
+            state = self.over_token(state, int(ids[at]))
+            at += 1
         return state
 
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        taken = self.joined.take(pa.array(ids))
+        offsets = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset:taken.offset + len(taken) + 1]
+        return taken.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes() if len(ids) else b""
+
 
 class StreamDecoder:
     """Feeds of ids to text: only whole characters come out; bytes that can't be
-    text come out as U+FFFD, unfinished ones do so at ``finish``."""
+    text come out as U+FFFD, unfinished ones do so at ``finish``. ``feed_bytes`` and
+    ``rest`` give the bytes as they are. ``state`` is 0 while all ids so far are whole
+    characters."""
 
     def __init__(self, machine: Utf8Machine):
-        self.machine, self.held = machine, b""
+        self.machine, self.held, self.state = machine, b"", 0
 
-    def feed(self, ids) -> str:
-        data = self.held + b"".join(map(self.machine.tokens.__getitem__, ids))
+    def feed_bytes(self, ids) -> bytes:
+        ids = np.asarray(ids, dtype=np.int64)
+        self.state = self.machine.run(self.state, ids)
+        data = self.held + self.machine.bytes_of(ids)
         cut = len(data)
-        for back in range(1, min(4, len(data)) + 1):
-            if data[-back] & 0xC0 != 0x80:
-                if self.machine.over_bytes(0, data[-back:]) > 0:
-                    cut = len(data) - back
-                break
+        if self.state:
+            for back in range(1, min(4, len(data)) + 1):
+                if data[-back] & 0xC0 != 0x80:
+                    if self.machine.over_bytes(0, data[-back:]) > 0:
+                        cut = len(data) - back
+                    break
         self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        return data[:cut]
 
-    def finish(self) -> str:
+    def feed(self, ids) -> str:
+        return self.feed_bytes(ids).decode("utf-8", "replace")
+
+    def rest(self) -> bytes:
         rest, self.held = self.held, b""
-        return rest.decode("utf-8", "replace")
+        return rest
+
+    def finish(self) -> str:
+        return self.rest().decode("utf-8", "replace")
 
 
 def machine_of(path: str) -> Utf8Machine:
@@ -353,9 +378,10 @@ def decode_column(ids: str | Column, path: str) -> Column:
         ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         out, good, at = [], [], 0
         for end in ends.tolist():
-            own = flat[at:end].astype(np.int64)
-            out.append(b"".join(map(machine.tokens.__getitem__, own.tolist())))
-            good.append(machine.run(0, own) == 0)
+            decoder = StreamDecoder(machine)
+            parts = [decoder.feed_bytes(flat[k:min(k + FEED, end)]) for k in range(at, end, FEED)]
+            out.append(b"".join([*parts, decoder.rest()]))
+            good.append(decoder.state == 0)
             at = end
         return pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.array(good, pa.bool_())], ["bytes", "text"])
 
