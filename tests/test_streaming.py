@@ -237,6 +237,50 @@ def test_idle_watermark_closes_the_last_window(spark, tmp_path):
     assert out.batches == [[(label, "d", "c", 7, 2.0)]]
 
 
+def device_lines(spark, held):
+    """Messages of one device: id, arrival and device time in milliseconds."""
+    return spark.createDataFrame([(f"{i}|d|{device}|c|1|1.0", at) for i, at, device in held], "value string, at long").select(
+        "value", tw.to_timestamp(F.col("at")).alias("arrival")
+    )
+
+
+def test_an_id_is_forgotten_after_the_delay(spark):
+    """A copy within the delay goes, one after it is let through, and the state holds the last ids only."""
+    start = 1_000_000
+    held = [("a", start + at, 0) for at in (0, 10_500, 40_000, 41_000)]
+    held += [(f"m{k}", start + 10_000 * k + 5, 0) for k in range(8) for _ in range(2)]
+    out = Collect()
+
+    def job(stream):
+        events = jobs.watermarked(jobs.by_delivery(jobs.events_of(stream), 10_000), 10_000)
+        return jobs.first_within_watermark(events, spread=False).select("message_id", F.unix_millis("event_time"))
+
+    progress = replay.replay(spark, device_lines(spark, held), 10_000, job, "append", out)
+    got = sorted(tuple(r) for batch in out.batches for r in batch)
+    assert got == sorted([("a", start), ("a", start + 40_000)] + [(f"m{k}", start + 10_000 * k) for k in range(8)])
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 4
+
+
+@pytest.mark.parametrize("beats", [True, False])
+def test_the_clock_of_a_replay_closes_windows(spark, beats):
+    """Slices 2 and 3 are silent. The clock makes ``late`` late and closes the last window."""
+    held = [("a", 1_000, 1_000), ("b", 12_000, 12_000), ("late", 41_000, 22_000), ("c", 42_000, 42_000)]
+    messages = device_lines(spark, held)
+    out = Collect()
+
+    def job(stream):
+        lines, clock = replay.clock_of(stream)
+        return jobs.sums_of(jobs.with_idle_watermark(spark, jobs.events_of(lines), clock=clock))
+
+    replay.replay(spark, replay.with_beats(messages, 10_000) if beats else messages, 10_000, job, "append", out, idle=True)
+    ends = sorted(r[0][-2:] for batch in out.batches for r in batch)
+    assert ends == (["05", "15", "45"] if beats else ["05", "15", "25"])
+
+
+def test_beats_of_nothing(spark):
+    assert replay.with_beats(device_lines(spark, [("a", 1, 1)]).where("value IS NULL"), 10).count() == 0
+
+
 def test_print_stream(spark, folder):
     query = sinks.print_stream(text_stream(spark, folder))
     query.processAllAvailable()

@@ -337,6 +337,25 @@ ORACLES: dict[str, str] = {
     "stream_debug_rows": f"""WITH {SLICED_ON_TIME}, rows AS ({first_per_window("ontime", "device_ms")})
         SELECT {DEBUG} FROM rows""",
     "dedup_within_watermark": f"WITH {FEED} SELECT DISTINCT {EVENT_COLUMNS} FROM feed",
+    # A slice's watermark is half a slice below the one before it; an id is kept for half a slice from its own.
+    "stream_dedup_bounded": f"""WITH RECURSIVE {FEED},
+        arrived AS (SELECT DISTINCT message_id, device_ms, device_id, category, measure1, send_ms // 120000 * 120000 AS slice_ms FROM feed),
+        seen AS (SELECT slice_ms, LAG(slice_ms) OVER (ORDER BY slice_ms) - 60000 AS wm_ms FROM (SELECT DISTINCT slice_ms FROM arrived)),
+        through AS (
+          SELECT message_id, MIN(slice_ms) AS slice_ms FROM arrived GROUP BY 1
+          UNION ALL
+          SELECT t.message_id, MIN(a.slice_ms) FROM through t JOIN arrived a USING (message_id) JOIN seen ON seen.slice_ms = a.slice_ms
+          WHERE seen.wm_ms >= t.slice_ms + 60000 GROUP BY 1)
+        SELECT message_id, device_ms, device_id, category, measure1, slice_ms FROM through JOIN arrived USING (message_id, slice_ms)""",
+    # The clock is at the end of each slice but a millisecond, six seconds ahead of its watermark.
+    "stream_idle": sums(FEED + """,
+        flow AS (SELECT feed.*, send_ms // 120000 AS b FROM feed WHERE (send_ms // 120000) % 4 <> 2),
+        wm AS (
+          SELECT b, CASE WHEN b > MIN(b) OVER () THEN GREATEST(
+                   MAX(mx) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1000, b * 120000 - 6001) END AS wm_ms
+          FROM (SELECT b, MAX(device_ms) AS mx FROM flow GROUP BY 1)),
+        ontime AS (SELECT f.* FROM flow f JOIN wm USING (b) WHERE wm_ms IS NULL OR (device_ms // 5000 + 1) * 5000 > wm_ms)""",
+        first_per_window("ontime", "device_ms")),
     "wordcount_stream": WORD_COUNT,
     "stream_scenario_event": f"{STREAM_EVENT} SELECT * FROM wide ORDER BY device_id, category, window_time",
     "stream_late_rows": f"""WITH {SLICED_ON_TIME}

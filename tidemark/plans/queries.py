@@ -571,6 +571,51 @@ def dedup_within_watermark(spark, sf_dir):
     return tables.log("messages").select(*EVENT_COLUMNS)
 
 
+# A delivery of two minutes, and a delay of half of one: a message id is forgotten after two.
+BOUNDED_SLICE_MS = 120_000
+LET_THROUGH = schema.of("message_id string, device_ms bigint, device_id string, category string, measure1 bigint, slice_ms bigint")
+
+
+@query
+def stream_dedup_bounded(spark, sf_dir):
+    """One row per message id for a fixed delay: what the stream remembers doesn't grow with the
+    feed, and a copy that comes after it is let through again."""
+    tables = _tables(spark, tables={"let_through": (LET_THROUGH, ("message_id", "slice_ms"))}, by_column=())
+
+    def job(stream):
+        events = jobs.watermarked(jobs.by_delivery(jobs.events_of(stream), BOUNDED_SLICE_MS), BOUNDED_SLICE_MS // 2)
+        return jobs.first_within_watermark(events, spread=False).select(
+            "message_id", "device_ms", "device_id", "category", "measure1", F.unix_millis("event_time").alias("slice_ms")
+        )
+
+    replay.replay(
+        spark, feeds.to_payload(_feed(spark, sf_dir)), BOUNDED_SLICE_MS, job, "append",
+        sinks.upsert_into(tables, "let_through", "job"),
+    )
+    return tables.log("let_through").select(*LET_THROUGH.names)
+
+
+PAUSE_SLICE_MS = 120_000
+
+
+@query
+def stream_idle(spark, sf_dir):
+    """A feed that is silent in every fourth slice and then ends: windows close, and rows become
+    late, by the clock of the replay. No message closes the last window."""
+    feed = _feed(spark, sf_dir).where(F.floor(F.col("send_ms") / PAUSE_SLICE_MS) % 4 != 2)
+    messages = replay.with_beats(feeds.to_payload(feed), PAUSE_SLICE_MS)
+    tables = _tables(spark)
+
+    def job(stream):
+        lines, clock = replay.clock_of(stream)
+        events = jobs.with_idle_watermark(spark, jobs.events_of(lines, CENTS.scale), clock=clock)
+        return jobs.sums_of(events, measure=CENTS)
+
+    write = sinks.upsert_into(tables, "agg_events", "job", sinks.downstream)
+    replay.replay(spark, messages, PAUSE_SLICE_MS, job, "append", write, idle=True)
+    return _stored(tables)
+
+
 # Documents arrive half a second apart, so a slice holds the same number in any table.
 DOC_MS = 500
 WORDS = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])

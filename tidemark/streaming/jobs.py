@@ -87,13 +87,28 @@ def first_seen(
     return salted.drop("_salt").dropDuplicates(["message_id", "window"])
 
 
-def first_within_watermark(events: DataFrame) -> DataFrame:
+def first_within_watermark(events: DataFrame, spread: bool = True) -> DataFrame:
     """One record per message id whatever its window, remembered for the
-    watermark delay. Make windows after it: it allows one event-time column."""
+    watermark delay. Make windows after it: it allows one event-time column.
+
+    A copy is let through again once the delay has passed since the one that was
+    let through last. ``spread`` splits a flooding id over salts first. Then a
+    dropped copy may be remembered under its salt, and later ones stay away for a
+    delay from it; without it the delay is exact, and one id one state partition.
+    """
+    if not spread:
+        return events.dropDuplicatesWithinWatermark(["message_id"])
     salted = _spread(events).dropDuplicatesWithinWatermark(["message_id", "_salt"])
     return salted.drop("_salt").dropDuplicatesWithinWatermark(["message_id"])
 
 
+def by_delivery(events: DataFrame, slice_ms: int) -> DataFrame:
+    """Set ``event_time`` to the start of the delivery that a message arrives in, so
+    that copies of one delivery have one time, whichever is read first."""
+    at = tw.floor_ms(F.unix_millis("arrival"), slice_ms)
+    return events.withColumn("event_time", tw.to_timestamp(at))
+
+
 def window_sums(
     messages: DataFrame,
     mode: str = "event",
@@ -147,21 +162,20 @@ def word_count(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def with_idle_watermark(
-    spark: SparkSession, events: DataFrame, delay_ms: int = 1000, idle_ms: int = 6000
+    spark: SparkSession, events: DataFrame, delay_ms: int = 1000, idle_ms: int = 6000, clock: DataFrame | None = None
 ) -> DataFrame:
-    """Let the watermark follow the clock when no events arrive, so the last
-    windows close: watermark = max(newest event - delay, now - idle).
+    """Let the watermark follow a clock when no events arrive, so the last
+    windows close: watermark = max(newest event - delay, clock - idle).
 
-    A heartbeat stream carries the clock and contributes no rows. Start the
-    query inside ``sinks.stream_settings(spark, idle=True)``. Only for live
-    timestamps: a replay of old data would be overtaken and dropped as late.
+    The clock is a heartbeat stream that contributes no rows. Start the query
+    inside ``sinks.stream_settings(spark, idle=True)``. By default it is the
+    machine's, for live timestamps only: a replay of old data would be overtaken and
+    dropped as late. ``clock``, a stream with a column ``timestamp``, is for those.
     """
+    if clock is None:
+        clock = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
     beat = (
-        spark.readStream.format("rate")
-        .option("rowsPerSecond", 1)
-        .option("numPartitions", 1)
-        .load()
-        .select(
+        clock.select(
             *[
                 (F.col("timestamp") if f.name == "event_time" else F.lit(None).cast(f.dataType)).alias(f.name)
                 for f in events.schema

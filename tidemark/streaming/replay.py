@@ -71,6 +71,20 @@ def deliver(messages: DataFrame, folder: str, slice_ms: int, rests: bool = True,
     return parts
 
 
+def with_beats(messages: DataFrame, slice_ms: int = SLICE_MS, after: int = 1) -> DataFrame:
+    """Add one message without a value at the end of each slice, with or without
+    messages of its own, and of ``after`` slices more: the clock of a replay."""
+    ends = with_slice(messages, slice_ms).agg(F.min("slice").alias("first"), F.max("slice").alias("last")).where("first IS NOT NULL")
+    slices = ends.select(F.explode(F.sequence("first", F.col("last") + after * slice_ms, F.lit(slice_ms))).alias("slice"))
+    beats = slices.select(F.lit(None).cast("string").alias("value"), tw.to_timestamp(F.col("slice") + slice_ms - 1).alias("arrival"))
+    return messages.select("value", "arrival").unionByName(beats)
+
+
+def clock_of(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The messages of a replay with beats, and its clock (``timestamp``)."""
+    return stream.where("value IS NOT NULL"), stream.where("value IS NULL").select(F.col("arrival").alias("timestamp"))
+
+
 def replay(
     spark: SparkSession,
     messages: DataFrame,
@@ -80,17 +94,19 @@ def replay(
     write,
     closing: DataFrame | None = None,
     rests: bool = True,
+    idle: bool = False,
 ) -> list[dict]:
     """Run one query over ``messages`` (value, arrival), a micro-batch for each slice.
 
     ``closing`` holds messages that push the watermark past the last window. ``rests``
-    as in ``deliver``; a query without a watermark needs none. Returns the progress.
+    as in ``deliver``; a query without a watermark needs none. ``idle``: of two
+    watermarks the later one counts. Returns the progress.
     """
     folder = work_dir(spark, "replay")
     if closing is not None:
         messages = messages.select("value", "arrival").unionByName(closing.select("value", "arrival"))
     files = deliver(messages, folder, slice_ms, rests)
     options = {"maxFilesPerTrigger": str(files), "recursiveFileLookup": "true"}
-    with stream_settings(spark):
+    with stream_settings(spark, idle):
         stream = event_source(spark, "parquet", path=f"{folder}/in", options=options)
         return run_available(job(stream), mode, f"{folder}/checkpoint", write)
