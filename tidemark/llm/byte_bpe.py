@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.llm.common import bounded_batches, clean_text, tool
 
-PIECES = 150_000
+PIECES = 300_000
 PIECE_CHARS = 64
 STATES = 20_000
 PAIRS = 300_000
