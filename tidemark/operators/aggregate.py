@@ -27,13 +27,14 @@ def _sums(measure) -> list[Column]:
     return [F.sum("measure1").alias("m1"), F.sum(measure.pack(F.col("measure2"))).alias("m2")]
 
 
-def labelled(sums: DataFrame, measure=PLAIN, label: str = "end") -> DataFrame:
+def labelled(sums: DataFrame, measure=PLAIN, label: str = "end", also: tuple[str, ...] = ()) -> DataFrame:
     """Window text label and unpacked sums."""
     return sums.select(
         tw.window_label(F.col("window"), label).alias("window_time"),
         *KEYS,
         F.col("m1").alias("m1_sum"),
         measure.unpack(F.col("m2")).alias("m2_sum"),
+        *also,
     )
 
 

@@ -475,26 +475,30 @@ def _stored(tables: KeyedTables) -> DataFrame:
     )
 
 
-def _stream_sums(spark, sf_dir, job, mode: str) -> DataFrame:
+def _marks(messages: DataFrame) -> DataFrame:
+    return jobs.marks_of(jobs.events_of(messages, CENTS.scale))
+
+
+def _stream_sums(spark, sf_dir, job, mode: str, marks=None, most: int = replay.DELIVERIES) -> DataFrame:
     messages = feeds.to_payload(_feed(spark, sf_dir))
     tables = _tables(spark)
     write = sinks.upsert_into(tables, "agg_events", "job", sinks.downstream)
     closing = scenarios.closing_message(spark) if mode == "append" else None
-    replay.replay(spark, messages, replay.SLICE_MS, job, mode, write, closing, rests=mode != "complete")
+    replay.replay(spark, messages, replay.SLICE_MS, job, mode, write, closing, rests=False, marks=marks, most=most)
     return _stored(tables)
 
 
 @query
 def stream_event_time(spark, sf_dir):
     """Append mode: each window once, when it closes."""
-    return _stream_sums(spark, sf_dir, lambda m: jobs.window_sums(m, measure=CENTS), "append")
+    return _stream_sums(spark, sf_dir, lambda m: jobs.window_sums(m, measure=CENTS), "append", _marks)
 
 
 @query
 def stream_event_time_update(spark, sf_dir):
     """Update mode with an upsert: every change of a window."""
     return _stream_sums(
-        spark, sf_dir, lambda m: jobs.window_sums(m, emit="update", measure=CENTS), "update"
+        spark, sf_dir, lambda m: jobs.window_sums(m, emit="update", measure=CENTS), "update", _marks
     )
 
 
@@ -505,22 +509,31 @@ def stream_ingestion_time(spark, sf_dir):
     )
 
 
+# Each micro-batch puts out all windows so far.
+COMPLETE_DELIVERIES = 8
+
+
 @query
 def stream_complete(spark, sf_dir):
-    return _stream_sums(spark, sf_dir, lambda m: jobs.complete_sums(m, CENTS), "complete")
+    return _stream_sums(spark, sf_dir, lambda m: jobs.complete_sums(m, CENTS), "complete", most=COMPLETE_DELIVERIES)
+
+
+CHANGES = schema.of("window_time string, device_id string, category string, slice bigint, m1_sum bigint, m2_sum double")
 
 
 @query
 def stream_changelog(spark, sf_dir):
     """Every version of every window that the job in update mode put out, numbered."""
-    tables = _tables(spark)
-    write = sinks.upsert_into(tables, "agg_events", "job", sinks.downstream)
-    job = lambda m: jobs.window_sums(m, emit="update", measure=CENTS)
-    replay.replay(spark, feeds.to_payload(_feed(spark, sf_dir)), replay.SLICE_MS, job, "update", write)
-    of_key = Window.partitionBy(*recon.KEYS).orderBy("batch")
-    return tables.log("agg_events").select(
+    tables = _tables(spark, tables={"changes": (CHANGES, (*recon.KEYS, "slice"))}, by_column=())
+    job = lambda m: jobs.window_sums(m, emit="update", measure=CENTS, by_slice=True)
+    replay.replay(
+        spark, feeds.to_payload(_feed(spark, sf_dir)), replay.SLICE_MS, job, "update",
+        sinks.upsert_into(tables, "changes", "job"), marks=_marks,
+    )
+    of_key = Window.partitionBy(*recon.KEYS).orderBy("slice")
+    return tables.read("changes").select(
         *recon.KEYS, F.row_number().over(of_key).cast("bigint").alias("version"),
-        F.col("m1_sum_downstream").alias("m1_sum"), F.col("m2_sum_downstream").alias("m2_sum"),
+        F.sum("m1_sum").over(of_key).alias("m1_sum"), CENTS.unpack(F.sum(CENTS.pack(F.col("m2_sum"))).over(of_key)).alias("m2_sum"),
     )
 
 
@@ -545,7 +558,7 @@ def stream_debug_rows(spark, sf_dir):
     messages = feeds.to_payload(_feed(spark, sf_dir))
     tables = _tables(spark)
     write = sinks.upsert_into(tables, "debug", "job")
-    replay.replay(spark, messages, replay.SLICE_MS, jobs.debug_rows, "append", write)
+    replay.replay(spark, messages, replay.SLICE_MS, jobs.debug_rows, "append", write, marks=_marks)
     return tables.log("debug").select("id", "message")
 
 
@@ -584,18 +597,23 @@ def stream_dedup_bounded(spark, sf_dir):
 
     def job(stream):
         events = jobs.watermarked(jobs.by_delivery(jobs.events_of(stream), BOUNDED_SLICE_MS), BOUNDED_SLICE_MS // 2)
-        return jobs.first_within_watermark(events, spread=False).select(
+        return jobs.first_within_watermark(events, spread=False, delay_ms=BOUNDED_SLICE_MS // 2).select(
             "message_id", "device_ms", "device_id", "category", "measure1", F.unix_millis("event_time").alias("slice_ms")
         )
 
+    def marks(stream):
+        return jobs.marks_of(jobs.by_delivery(jobs.events_of(stream), BOUNDED_SLICE_MS), BOUNDED_SLICE_MS // 2)
+
     replay.replay(
         spark, feeds.to_payload(_feed(spark, sf_dir)), BOUNDED_SLICE_MS, job, "append",
-        sinks.upsert_into(tables, "let_through", "job"),
+        sinks.upsert_into(tables, "let_through", "job"), marks=marks,
     )
     return tables.log("let_through").select(*LET_THROUGH.names)
 
 
 PAUSE_SLICE_MS = 120_000
+# How far the watermark of a clock is behind it, as in ``jobs.with_idle_watermark``.
+IDLE_MS = 6000
 
 
 @query
@@ -608,11 +626,16 @@ def stream_idle(spark, sf_dir):
 
     def job(stream):
         lines, clock = replay.clock_of(stream)
-        events = jobs.with_idle_watermark(spark, jobs.events_of(lines, CENTS.scale), clock=clock)
-        return jobs.sums_of(events, measure=CENTS)
+        events = jobs.on_time(jobs.events_of(lines, CENTS.scale))
+        return jobs.sums_of(jobs.with_idle_watermark(spark, events, clock=clock, idle_ms=IDLE_MS), measure=CENTS)
+
+    def marks(stream):
+        lines, clock = replay.clock_of(stream)
+        beats = clock.select(F.col("timestamp").alias("arrival"), F.col("timestamp").alias("event_time"))
+        return jobs.marks_of(jobs.events_of(lines, CENTS.scale)).unionByName(jobs.marks_of(beats, IDLE_MS))
 
     write = sinks.upsert_into(tables, "agg_events", "job", sinks.downstream)
-    replay.replay(spark, messages, PAUSE_SLICE_MS, job, "append", write, idle=True)
+    replay.replay(spark, messages, PAUSE_SLICE_MS, job, "append", write, idle=True, marks=marks)
     return _stored(tables)
 
 
@@ -650,7 +673,7 @@ def stream_late_rows(spark, sf_dir):
     job = lambda m: stateful.late_rows(jobs.watermarked(jobs.events_of(m, CENTS.scale)))
     replay.replay(
         spark, feeds.to_payload(_feed(spark, sf_dir)), replay.SLICE_MS, job, "append",
-        sinks.upsert_into(tables, "late", "job"),
+        sinks.upsert_into(tables, "late", "job"), marks=_marks,
     )
     return tables.log("late").select("message_id", "send_ms", "device_ms", "window_end_ms", "watermark_ms")
 
@@ -675,9 +698,12 @@ def stream_retractions(spark, sf_dir):
     """Every version of every window when a copy replaces the one before it."""
     tables = _tables(spark, tables=stateful.DELTAS, by_column=())
     job = lambda m: stateful.last_copy_deltas(jobs.events_of(m, CENTS.scale), CORRECTION_DELAY_MS, CENTS)
+    marks = lambda m: jobs.marks_of(
+        stateful.closes_of(jobs.events_of(m, CENTS.scale)).withColumn("event_time", F.col("closes")), CORRECTION_DELAY_MS
+    )
     replay.replay(
         spark, feeds.to_payload(corrected(_feed(spark, sf_dir))), CORRECTION_SLICE_MS, job, "update",
-        stateful.deltas_into(tables, "job"),
+        stateful.deltas_into(tables, "job"), marks=marks,
     )
     return stateful.versions(tables, CENTS)
 
@@ -690,7 +716,7 @@ def stream_outputs(spark, sf_dir):
     lines = damaged(_feed(spark, sf_dir), tw.to_timestamp(F.col("send_ms")).alias("arrival"))
     replay.replay(
         spark, lines, replay.SLICE_MS, lambda m: outputs.sorted_lines(m, measure=CENTS), "append",
-        outputs.outputs_into(tables, "job", CENTS),
+        outputs.outputs_into(tables, "job", CENTS), marks=_marks,
     )
     nothing = F.lit(None).cast("bigint").alias("m1_sum")
     one = F.count(F.lit(1)).alias("n")
@@ -719,12 +745,12 @@ def stream_own(spark, sf_dir):
     tables = _tables(spark, tables={"medians": (MEDIANS, recon.KEYS)}, by_column=())
 
     def job(stream):
-        first = jobs.first_seen(jobs.watermarked(jobs.events_of(stream)))
+        first = jobs.first_seen(jobs.watermarked(jobs.on_time(jobs.events_of(stream))))
         return custom.stream_aggregate_by(first.drop("event_time"), ["device_id", "category"], custom.median_of("measure1"))
 
     replay.replay(
         spark, feeds.to_payload(_feed(spark, sf_dir)), replay.SLICE_MS, job, "append",
-        sinks.upsert_into(tables, "medians", "job"), scenarios.closing_message(spark),
+        sinks.upsert_into(tables, "medians", "job"), scenarios.closing_message(spark), marks=_marks,
     )
     return tables.log("medians").select("window_time", "device_id", "category", "median", "n")
 
@@ -734,7 +760,7 @@ def stream_processing_time(spark, sf_dir):
     """Windows of the clock, closed by timers. What a window holds depends on the clock; all of them
     together hold each original once."""
     folder = work_dir(spark, "clock")
-    files = replay.deliver(feeds.to_payload(_originals(spark, sf_dir)), folder, replay.SLICE_MS, rests=False)
+    files = replay.deliver(feeds.to_payload(_originals(spark, sf_dir)), folder, replay.SLICE_MS, rests=False, most=replay.DELIVERIES)
     tables = _tables(spark, tables=stateful.DELTAS, by_column=())
     options = {"maxFilesPerTrigger": str(files), "recursiveFileLookup": "true"}
     with sinks.stream_settings(spark):

@@ -89,16 +89,18 @@ def run_stream_scenario(
     messages = feeds.to_payload(feed)
     if mode == "event":
         write = outputs.outputs_into(tables, mode, measure)
-        replay.replay(spark, messages, slice_ms, lambda stream: outputs.sorted_lines(stream, measure=measure), "append", write)
+        marks = lambda stream: jobs.marks_of(jobs.events_of(stream, measure.scale))
+        replay.replay(spark, messages, slice_ms, lambda stream: outputs.sorted_lines(stream, measure=measure), "append", write, marks=marks)
         tables.write("agg_events", sinks.downstream(outputs.stored_sums(tables, measure)), mode)
     elif mode == "microbatch":
         write = sinks.microbatch_into(tables, mode, measure)
-        replay.replay(spark, messages, slice_ms, lambda stream: stream, "append", write, rests=False)
+        # A slice is a batch here, so none share a delivery.
+        replay.replay(spark, messages, slice_ms, lambda stream: stream, "append", write, rests=False, most=1 << 62)
     else:
         write = sinks.upsert_into(tables, "agg_events", mode, sinks.downstream)
         replay.replay(
             spark, messages, slice_ms, lambda stream: jobs.window_sums(stream, mode, measure=measure),
-            "append", write, closing_message(spark),
+            "append", write, closing_message(spark), rests=False,
         )
     return reconcile.report(tables.read("agg_events"), measure)
 

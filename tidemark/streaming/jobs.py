@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import codec, timewin as tw
 from tidemark.functions.measures import PLAIN
-from tidemark.operators import aggregate, text
+from tidemark.operators import aggregate, lateness, text
+from tidemark.streaming import stateful
 
 TIME_MODES = ("event", "ingestion", "processing")
 
@@ -44,6 +45,22 @@ def watermarked(events: DataFrame, delay_ms: int = 1000) -> DataFrame:
     return events.withWatermark("event_time", tw.duration(delay_ms))
 
 
+def marks_of(events: DataFrame, delay_ms: int = 1000) -> DataFrame:
+    """What each event leaves behind for ``replay.slice_watermarks``: its time less the delay."""
+    return events.select("arrival", (F.unix_millis("event_time") - delay_ms).alias("mark"))
+
+
+def on_time(events: DataFrame, size_ms: int = tw.WINDOW_MS, slide_ms: int | None = None) -> DataFrame:
+    """The events whose window was open at the watermark of their slice. Those of a
+    stream that brings no such watermark all pass: Spark drops the late ones."""
+    if "watermark_ms" not in events.columns:
+        return events
+    if slide_ms not in (None, size_ms):
+        raise ValueError("late rows of sliding windows aren't judged by slice")
+    ends = tw.floor_ms(F.unix_millis("event_time"), size_ms) + size_ms
+    return events.where(~lateness.is_late(ends)).drop("watermark_ms")
+
+
 def one_per_window(
     events: DataFrame, size_ms: int = tw.WINDOW_MS, slide_ms: int | None = None, last: bool = False
 ) -> DataFrame:
@@ -87,7 +104,7 @@ def first_seen(
     return salted.drop("_salt").dropDuplicates(["message_id", "window"])
 
 
-def first_within_watermark(events: DataFrame, spread: bool = True) -> DataFrame:
+def first_within_watermark(events: DataFrame, spread: bool = True, delay_ms: int | None = None) -> DataFrame:
     """One record per message id whatever its window, remembered for the
     watermark delay. Make windows after it: it allows one event-time column.
 
@@ -95,7 +112,13 @@ def first_within_watermark(events: DataFrame, spread: bool = True) -> DataFrame:
     let through last. ``spread`` splits a flooding id over salts first. Then a
     dropped copy may be remembered under its salt, and later ones stay away for a
     delay from it; without it the delay is exact, and one id one state partition.
+
+    Messages that bring the watermark of their slice are judged by that, with ``delay_ms``.
     """
+    if "watermark_ms" in events.columns:
+        if delay_ms is None:
+            raise ValueError("the delay must be told for a stream judged by slice")
+        return stateful.first_within(events, delay_ms)
     if not spread:
         return events.dropDuplicatesWithinWatermark(["message_id"])
     salted = _spread(events).dropDuplicatesWithinWatermark(["message_id", "_salt"])
@@ -119,11 +142,20 @@ def window_sums(
     label: str = "end",
     size_ms: int = tw.WINDOW_MS,
     slide_ms: int | None = None,
+    by_slice: bool = False,
 ) -> DataFrame:
     """The main job. ``emit`` is the output mode it will run in: append emits a
-    window once it is closed, update emits each change and goes with an upsert."""
-    events = watermarked(with_time(events_of(messages, measure.scale), mode), delay_ms)
-    return sums_of(events, emit, deduplicate, measure, label, size_ms, slide_ms)
+    window once it is closed, update emits each change and goes with an upsert.
+
+    ``by_slice``, in update mode over messages that bring their slice: what each slice
+    adds to a window, with ``slice``. A micro-batch for each slice would put out their
+    running totals."""
+    events = on_time(with_time(events_of(messages, measure.scale), mode), size_ms, slide_ms)
+    if by_slice:
+        first = first_seen(watermarked(stateful.earliest_in_slices(events, size_ms), delay_ms), size_ms)
+        sums = aggregate.sum_by(first, ["window", "slice", *aggregate.KEYS], measure)
+        return aggregate.labelled(sums, measure, label, also=("slice",))
+    return sums_of(watermarked(events, delay_ms), emit, deduplicate, measure, label, size_ms, slide_ms)
 
 
 def sums_of(
@@ -152,7 +184,7 @@ def complete_sums(messages: DataFrame, measure=PLAIN) -> DataFrame:
 
 def debug_rows(messages: DataFrame, mode: str = "event", delay_ms: int = 1000) -> DataFrame:
     """Each deduplicated event with its window as debug text."""
-    events = watermarked(with_time(events_of(messages), mode), delay_ms)
+    events = watermarked(on_time(with_time(events_of(messages), mode)), delay_ms)
     return aggregate.debug_rows(first_seen(events))
 
 

@@ -35,10 +35,10 @@ def sorted_lines(messages: DataFrame, delay_ms: int = 1000, measure=PLAIN) -> Da
     watermark is that of the good events. For append mode."""
     good, bad = codec.split_valid(codec.parse_payload(messages, scale=measure.scale))
     events = jobs.watermarked(good, delay_ms)
-    kinds = {KEPT: jobs.first_seen(events), LATE: stateful.late_rows(events), BAD: bad_lines(messages, measure)}
+    kinds = {KEPT: jobs.first_seen(jobs.on_time(events)), LATE: stateful.late_rows(events), BAD: bad_lines(messages, measure)}
     rows = None
     for kind, frame in kinds.items():
-        own = frame.drop("event_time").withColumn("kind", F.lit(kind))
+        own = frame.drop("event_time", "slice").withColumn("kind", F.lit(kind))
         rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
     return rows
 

@@ -127,14 +127,16 @@ def run_forever(query: DataFrame, mode: str, checkpoint: str, write, every: str
 
 def run_until_closed(query: DataFrame, mode: str, checkpoint: str, write, every: str = "1 second", seconds: float = 600) -> None:
     """Run a query whose state is closed by the clock until all input is read and no
-    state is left."""
+    state is left. ``seconds`` is the time in which something must have been read."""
     running = run_forever(query, mode, checkpoint, write, every)
-    end, begun = time.monotonic() + seconds, False
+    end, begun, seen = time.monotonic() + seconds, False, None
     try:
         while running.isActive and time.monotonic() < end:
             progress = running.lastProgress
             rows = progress["numInputRows"] if progress else 0
             begun = begun or rows > 0
+            if rows and progress["batchId"] != seen:
+                end, seen = time.monotonic() + seconds, progress["batchId"]
             if begun and not rows and not sum(o["numRowsTotal"] for o in progress["stateOperators"]):
                 return
             time.sleep(0.1)
