@@ -51,3 +51,12 @@ def test_rows_leave_a_task_as_one_value_per_key(spark):
     df = spark.createDataFrame([("a", i) for i in range(1000)], "k string, x bigint").repartition(4)
     plan = custom.aggregate_by(df, ["k"], custom.median_of("x"))._jdf.queryExecution().toString()
     assert plan.count("FlatMapGroupsInArrow") >= 2 and "MapInArrow" in plan.replace("FlatMapGroupsInArrow", "")
+
+
+def test_rows_of_a_rare_key_are_taken_in_at_once(spark):
+    """Whatever number of tasks they come from; a key is frequent by the rows that a task looks at together."""
+    calls = custom.Aggregator(("x",), "calls bigint, n bigint", lambda: (0, 0), lambda v, r: (v[0] + 1, v[1] + len(r)),
+                              lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda v: v)
+    df = spark.createDataFrame([(f"k{i % 50}", i) for i in range(200)] + [("often", i) for i in range(100)], "k string, x bigint").repartition(4)
+    got = {r.k: (r.calls, r.n) for r in custom.aggregate_by(df, ["k"], calls).collect()}
+    assert got.pop("often") == (4, 100) and set(got.values()) == {(1, 4)} and len(got) == 50
