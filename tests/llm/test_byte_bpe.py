@@ -22,6 +22,16 @@ def test_any_text(text):
     assert byte_bpe.encode_text(text, PATH, PATTERN).tolist() == ENCODING.encode_ordinary(text)
 
 
+def test_characters_of_another_unicode_version():
+    """Letters and numbers that are too new for the public library are neither to it."""
+    young = [chr(c) for c in sorted(byte_bpe._stand_ins())]
+    rnd = random.Random(5)
+    texts = ["\U0003e964\ub000", "\U0003e964\ub000 \U00011de0\u0660's"]
+    texts += ["".join(rnd.choice([rnd.choice(young), *"a1 \ub000\u0660\U00020000'"]) for _ in range(12)) for _ in range(3000)]
+    for text in texts:
+        assert byte_bpe.encode_text(text, PATH, PATTERN).tolist() == ENCODING.encode_ordinary(text)
+
+
 @pytest.fixture(scope="module")
 def transducer():
     return byte_bpe.Transducer(RANKS)

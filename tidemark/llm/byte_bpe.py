@@ -24,12 +24,15 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from functools import lru_cache
 from itertools import chain
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.llm.common import bounded_batches, clean_text, tool
@@ -206,7 +209,7 @@ class _Pieces(dict):
         super().__init__()
         self.encode, self.limit, self.old = encode, limit, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str):
         ids = self.old.get(piece)
         if ids is None:
             ids = self.encode(piece.encode("utf-8"))
@@ -224,24 +227,58 @@ PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ɏ]")
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 
 
+#: What stands for a letter, a number and any other character that the two Unicode versions class differently.
+STAND_INS = ("\u01bb", "\u0660", "\ue000")
+
+
+@lru_cache(maxsize=1)
+def _stand_ins() -> dict[int, str]:
+    """The public library splits by the Unicode version that it was built with, which
+    may be another than this module's. Characters that only one of both takes for
+    letters or numbers, each with one of the class that the library gives it."""
+    young = "".join(c for c in map(chr, chain(range(0x250, 0xD800), range(0xE000, 0x110000))) if category(c) == "Cn")
+    ranks = {bytes([i]): i for i in range(256)}
+    theirs, ours = [], []
+    for kind in (r"\p{L}", r"\p{N}"):
+        found = tiktoken.Encoding("classes", pat_str=kind, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(young)
+        theirs.append(set(bytes(found).decode("utf-8")))
+        ours.append(set(regex.findall(kind, young)))
+    letter, number, other = STAND_INS
+    odd = (theirs[0] ^ ours[0]) | (theirs[1] ^ ours[1])
+    return {ord(c): letter if c in theirs[0] else number if c in theirs[1] else other for c in odd}
+
+
 @lru_cache(maxsize=4)
 def _splitter(pattern: str):
     """What cuts a text into pieces."""
-    full = regex.compile(pattern).findall
+    compiled = regex.compile(pattern)
+    full, stand_ins = compiled.findall, _stand_ins()
+    odd = re.compile("[\U00010000-\U0010ffff" + "".join(chr(c) for c in sorted(stand_ins) if c < 0x10000) + "]").search
+
+    def exact(text: str) -> list[str]:
+        if not odd(text):
+            return full(text)
+        return [text[m.start():m.end()] for m in compiled.finditer(text.translate(stand_ins))]
+
     classes = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{LETTERS}0-9]").replace(r"\p{L}", f"[{LETTERS}]").replace(r"\p{N}", "[0-9]")
     if "\\p" in classes or not set(re.findall(r"\\(.)", classes)) <= {"s", "S"}:
-        return full
+        return exact
     plain = re.compile(classes).findall
-    return lambda text: full(text) if PLAIN.search(text) else plain(text)
+    return lambda text: exact(text) if PLAIN.search(text) else plain(text)
 
 
 def _encoder(path: str, pattern: str):
-    return tool("byte_bpe", ("encoder", path, pattern), lambda: (_splitter(pattern), _Pieces(Transducer(load_ranks(path)).encode)))
+    def make():
+        encode = Transducer(load_ranks(path)).encode
+        # Ids are held as the bytes of 32-bit integers, which are joined at once.
+        return _splitter(pattern), _Pieces(lambda piece: array("i", encode(piece)).tobytes())
+
+    return tool("byte_bpe", ("encoder", path, pattern), make)
 
 
 def encode_text(text: str, path: str, pattern: str) -> np.ndarray:
     pieces_of, ids_of = _encoder(path, pattern)
-    return np.fromiter(chain.from_iterable(map(ids_of.__getitem__, pieces_of(text))), dtype=np.int32)
+    return np.frombuffer(b"".join(map(ids_of.__getitem__, pieces_of(text))), dtype=np.int32)
 
 
 def encode_column(text: str | Column, path: str, pattern: str) -> Column:
