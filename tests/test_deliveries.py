@@ -91,6 +91,23 @@ def test_an_id_is_forgotten_by_slice(spark, most):
     assert sorted(out) == sorted([("a", 0), ("a", 20_000), *[(f"m{k}", 10_000 * k) for k in range(6)]])
 
 
+def test_marks_take_one_micro_batch(spark, monkeypatch):
+    """The first stream, which notes watermarks, doesn't pay for each delivery again."""
+    run, seen = sinks.run_available, []
+    monkeypatch.setattr(replay, "run_available", lambda *args: seen.append(run(*args)) or seen[-1])
+    messages = lines_at(spark, [(f"m{i}|d|{1000 * i}|c|1|1.0", 1000 * i) for i in range(100)])
+    replay.replay(spark, messages, 1000, lambda m: m.select("slice"), "append", lambda df, _: df.count(), rests=False, marks=_marks)
+    assert [len(with_data(p)) for p in seen] == [1, replay.DELIVERIES] and replay.DELIVERIES <= 8
+
+
+def test_deliveries_hold_about_as_many_messages(spark, tmp_path):
+    """Cut by the counts of slices, a busy one among them."""
+    data = [(f"m{i}", 1000 * i) for i in range(40)] + [(f"b{i}", 5000) for i in range(40)] + [("none", None)]
+    parts = replay.deliver(lines_at(spark, data), f"{tmp_path}/f", 1000, rests=False, most=4)
+    held = spark.read.parquet(f"{tmp_path}/f/in").where("value IS NOT NULL").groupBy("delivery").count().collect()
+    assert parts >= 1 and 2 <= len(held) <= 4 and sum(r["count"] for r in held) == 81 and max(r["count"] for r in held) <= 41 + 81 // 4
+
+
 def test_late_by_slice_needs_tumbling_windows(spark):
     judged = lines_at(spark, [("a|d|0|c|1|1.0", 0)]).withColumn("watermark_ms", F.lit(0).cast("bigint"))
     with pytest.raises(ValueError):

@@ -510,7 +510,7 @@ def stream_ingestion_time(spark, sf_dir):
 
 
 # Each micro-batch puts out all windows so far.
-COMPLETE_DELIVERIES = 8
+COMPLETE_DELIVERIES = 4
 
 
 @query

@@ -28,8 +28,9 @@ SLICE_MS = 360_000
 # Messages of a file, about: a slice has as many files as its largest one needs.
 FILE_ROWS = 1_000_000
 # Deliveries of a feed that may share slices: this many at most, and more only for the
-# sake of memory, when they would hold more messages than this.
-DELIVERIES = 24
+# sake of memory, when they would hold more messages than this. Each costs a job's tasks
+# and commits, however few messages it holds.
+DELIVERIES = 8
 DELIVERY_ROWS = 4_000_000
 # A delivery of several slices is read by all cores, with no fewer messages a file than this.
 LEAST_ROWS = 2_000
@@ -44,11 +45,12 @@ def with_slice(messages: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
     return messages.withColumn("slice", tw.floor_ms(F.unix_millis("arrival"), slice_ms))
 
 
-def _delivery_of(sliced: DataFrame, deliveries: int) -> Column:
-    """The number of a message's delivery: runs of whole slices with about as many messages each."""
+def _delivery_of(counts: DataFrame, deliveries: int) -> Column:
+    """The number of a message's delivery: runs of whole slices with about as many messages
+    each. ``counts``: ``slice, count``, so that the messages aren't read once more."""
     shares = [i / deliveries for i in range(1, deliveries)]
-    found = sliced.agg(F.percentile_approx("slice", shares, 10_000)).first()[0] if shares else None
-    begins = sorted(set(found or []))
+    found = counts.agg(F.percentile("slice", shares, F.col("count"))).first()[0] if shares else None
+    begins = sorted({int(b) for b in found or []})
     if not begins:
         return F.lit(0).cast("bigint")
     past = F.filter(F.array(*[F.lit(b) for b in begins]), lambda b: b <= F.col("slice"))
@@ -70,13 +72,14 @@ def deliver(
     """
     spark = messages.sparkSession
     sliced = with_slice(messages.select("value", "arrival"), slice_ms)
-    found = sliced.groupBy("slice").count().agg(F.max("count"), F.count(F.lit(1)), F.sum("count")).first()
+    counts = staged(sliced.groupBy("slice").count())
+    found = counts.agg(F.max("count"), F.count(F.lit(1)), F.sum("count")).first()
     largest, n_slices, total = (v or 0 for v in found)
     delivery, parts = F.col("slice"), max(1, -(-largest // file_rows))
     if most is not None:
         deliveries = max(most, -(-total // DELIVERY_ROWS))
         if n_slices > deliveries:
-            delivery = _delivery_of(sliced.select("slice"), deliveries)
+            delivery = _delivery_of(counts, deliveries)
             largest += total // deliveries
         parts = max(-(-largest // file_rows), min(spark.sparkContext.defaultParallelism, largest // LEAST_ROWS), 1)
     dealt = sliced.select(
@@ -114,7 +117,8 @@ def slice_watermarks(
 ) -> DataFrame:
     """(slice, watermark_ms) from a stream of messages: the watermark when all slices
     before were read, NULL for the first. ``marks`` gives (arrival, mark): the watermark
-    that a message leaves behind. One short row a slice."""
+    that a message leaves behind. One short row a slice. It keeps no state and the slices
+    are put in order afterwards, so one micro-batch may hold all of them."""
 
     def note(rows: DataFrame, batch_id: int) -> None:
         rows.groupBy("batch").agg(F.max("mark").alias("high")).write.mode("overwrite").parquet(f"{folder}/marks/n={batch_id}")
@@ -177,9 +181,10 @@ def replay(
     if closing is not None:
         messages = messages.select("value", "arrival").unionByName(closing.select("value", "arrival"))
     files = deliver(messages, folder, slice_ms, rests, most=None if rests else most)
-    options = {"maxFilesPerTrigger": str(files), "recursiveFileLookup": "true"}
+    options = {"recursiveFileLookup": "true"}
     with stream_settings(spark, idle):
-        stream = event_source(spark, "parquet", path=f"{folder}/in", options=options)
+        stream = event_source(spark, "parquet", path=f"{folder}/in", options={**options, "maxFilesPerTrigger": str(files)})
         if marks is not None:
-            stream = judged(stream, slice_watermarks(stream, slice_ms, marks, folder), slice_ms)
+            whole = event_source(spark, "parquet", path=f"{folder}/in", options=options)
+            stream = judged(stream, slice_watermarks(whole, slice_ms, marks, folder), slice_ms)
         return run_available(job(stream), mode, f"{folder}/checkpoint", write)
