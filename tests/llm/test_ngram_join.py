@@ -139,3 +139,20 @@ def test_clashing_column_names(spark):
     assert kept.columns == docs.columns and all(r["__hit"] == r["doc_id"] for r in kept.collect())
     assert rows(kept.select("doc_id")) == rows(join.keep_first(documents(spark)).select("doc_id"))
 
+
+
+def test_sets_that_link_share_an_early_shingle_of_the_smaller():
+    """By which late rows of a list meet none that is as large or larger."""
+    rnd = np.random.default_rng(7)
+    common = np.zeros(1 << join.BUCKET_BITS, np.int64)
+    linked = 0
+    for _ in range(3000):
+        n = int(rnd.integers(1, 60))
+        base = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+        other = np.unique(np.append(base[rnd.random(len(base)) > rnd.choice([0, 0.05, 0.13])], rnd.integers(0, 1 << 63, int(rnd.integers(0, 2 + n // 5)), dtype=np.uint64)))
+        small, large = sorted((base, other), key=len)
+        if len(small) and join.linked(len(np.intersect1d(small, large)), len(small), len(large)):
+            linked += 1
+            own, theirs = join.prefix(small, common), join.prefix(large, common)
+            assert len(np.intersect1d(own[:join.early(len(small))], theirs))
+    assert linked > 1000

@@ -10,8 +10,9 @@ their whole sets. Two rounds keep the pairs few without losing a link:
 1. Each group meets the first and the next smaller group of its lists, and each
    member the first of its group. Verified links give components.
 2. Where a list holds several components, pairs across components that pass the
-   filters are verified: first one of any two components, then, with the components
-   that gives, all. Pairs within a component are connected already, so copies of
+   filters are verified: first one of any two components, the most promising, then,
+   with the components that gives, all. The smaller of two sets that link has a
+   shingle in common with the other among its first n - ceil(6n / 7) + 1. Pairs within a component are connected already, so copies of
    copies are never multiplied out.
 
 How common a shingle is comes from one count per bucket of hashes over all
@@ -81,6 +82,13 @@ def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return hashes[np.lexsort((hashes, common[bucket_of(hashes)]))[:size]] if n else hashes
 
 
+def early(n: int) -> int:
+    """How many shingles of the prefix of a set of n may be the first that it shares with
+    a set as large or larger: the two share no more than what follows in either, and sets
+    of n and m that link share NUMERATOR / (NUMERATOR + DENOMINATOR) of n + m at least."""
+    return n - -(-2 * NUMERATOR * n // (NUMERATOR + DENOMINATOR)) + 1
+
+
 def bitmap(hashes: np.ndarray, bits: int = BITMAP_BITS) -> bytes:
     """Parity of the shingles that fall on each bit: a set and another differ in at
     least as many shingles as their bitmaps do in bits."""
@@ -158,8 +166,9 @@ def _group_of(hashes: np.ndarray, own: np.ndarray) -> int:
 
 
 def lists_of(docs: DataFrame, common) -> DataFrame:
-    """``token, gid, key``: prefix shingles that two groups or more share, ``key``
-    null; and the group of each set, ``token`` null.
+    """``token, gid, late, key``: prefix shingles that two groups or more share, ``key``
+    null, and whether they come after the ``early`` ones of the set; and the group of
+    each set, ``token`` null.
 
     The one large shuffle of the join: 17 bytes for each prefix shingle. Rows come
     to a task in order of shingle, so it needs to hold only the last one to drop
@@ -170,7 +179,7 @@ def lists_of(docs: DataFrame, common) -> DataFrame:
     def post(batches):
         seen: set[bytes] = set()
         for batch in batches:
-            keys, groups, tokens, sizes = [], [], [], []
+            keys, groups, tokens, sizes, lates = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingles(text)
                 key = _key(hashes)
@@ -184,24 +193,25 @@ def lists_of(docs: DataFrame, common) -> DataFrame:
                 groups.append(_group_of(hashes, own))
                 tokens.append(own)
                 sizes.append(len(own))
+                lates.append(np.arange(len(own)) >= early(len(hashes)))
             if not keys:
                 continue
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(keys), pa.int64()), pa.array(groups, pa.int64()), pa.array(np.array(groups, np.int64).astype(np.int8)), pa.array(keys, pa.binary())],
-                ["token", "gid", "spread", "key"],
+                [pa.nulls(len(keys), pa.int64()), pa.array(groups, pa.int64()), pa.array(np.array(groups, np.int64).astype(np.int8)), pa.nulls(len(keys), pa.bool_()), pa.array(keys, pa.binary())],
+                ["token", "gid", "spread", "late", "key"],
             )
-            flat, owners = np.concatenate(tokens), np.repeat(np.array(groups, np.int64), sizes)
+            flat, owners, late = np.concatenate(tokens), np.repeat(np.array(groups, np.int64), sizes), np.concatenate(lates)
             spread = np.where(common.value[bucket_of(flat)] > hot, 1 + (owners & (SPREAD - 1)), 0).astype(np.int8)
             for at in range(0, len(flat), 1 << 16):
                 cut = slice(at, at + (1 << 16))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[cut].view(np.int64)), pa.array(owners[cut]), pa.array(spread[cut]), pa.nulls(len(flat[cut]), pa.binary())],
-                    ["token", "gid", "spread", "key"],
+                    [pa.array(flat[cut].view(np.int64)), pa.array(owners[cut]), pa.array(spread[cut]), pa.array(late[cut]), pa.nulls(len(flat[cut]), pa.binary())],
+                    ["token", "gid", "spread", "late", "key"],
                 )
 
     def shared(batches):
         token, sent = None, False  # the last row so far, and whether it is out
-        names = ["token", "gid", "key"]
+        names = ["token", "gid", "late", "key"]
         for batch in batches:
             grouped = pa.compute.is_null(batch.column("token"))
             if grouped.true_count:
@@ -209,28 +219,29 @@ def lists_of(docs: DataFrame, common) -> DataFrame:
                 batch = batch.filter(pa.compute.invert(grouped))
             if not batch.num_rows:
                 continue
-            tokens, groups, spread = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "gid", "spread"))
+            tokens, groups, spread, late = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "gid", "spread", "late"))
             if token is not None:
-                tokens, groups, spread = np.append(token, tokens), np.append(group, groups), np.append(dealt, spread)
+                tokens, groups, spread, late = np.append(token, tokens), np.append(group, groups), np.append(dealt, spread), np.append(after, late)
             same = tokens[1:] == tokens[:-1]
             keep = np.append(same, False) | np.append(False, same) | (spread > 0)
             last = bool(keep[-1])
             if token is not None and sent:
                 keep[0] = False
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(groups[keep]), pa.nulls(int(keep.sum()), pa.binary())], names)
-            token, group, dealt, sent = tokens[-1:], groups[-1:], spread[-1:], last
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(groups[keep]), pa.array(late[keep], pa.bool_()), pa.nulls(int(keep.sum()), pa.binary())], names)
+            token, group, dealt, after, sent = tokens[-1:], groups[-1:], spread[-1:], late[-1:], last
 
-    posted = docs.select(clean_text().alias("text")).mapInArrow(post, "token bigint, gid bigint, spread tinyint, key binary")
+    posted = docs.select(clean_text().alias("text")).mapInArrow(post, "token bigint, gid bigint, spread tinyint, late boolean, key binary")
     # Nulls would all go to one task, so rows of groups are dealt by the group.
     dealt_by = F.coalesce("token", "gid")
-    found = posted.repartition(dealt_by, "spread").sortWithinPartitions("token").mapInArrow(shared, "token bigint, gid bigint, key binary")
+    found = posted.repartition(dealt_by, "spread").sortWithinPartitions("token").mapInArrow(shared, "token bigint, gid bigint, late boolean, key binary")
     # Copies in different tasks gave equal rows.
     return found.distinct()
 
 
 def _cut(rows: DataFrame, by: str) -> DataFrame:
     """Add ``block`` and ``blocks`` to the rows of each token by a hash of a column."""
-    held = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    # Staged: few lists are that long, and once that is known the rows needn't be shuffled to meet them.
+    held = staged(rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1"))
     cut = rows.join(held, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     return cut.withColumn("block", F.pmod(F.xxhash64(by), F.col("blocks").cast("bigint")).cast("int"))
 
@@ -242,7 +253,7 @@ def _ordered(a: str, b: str) -> list:
 def first_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
     """Round 1: ``a, b`` keys of classes."""
     leaders = classes.groupBy("gid").agg(F.min("key").alias("leader"), F.min("n").alias("n"))
-    sized = _cut(lists.join(leaders, "gid"), "gid")
+    sized = _cut(lists, "gid").join(leaders, "gid")
     near = Window.partitionBy("token", "block").orderBy("n", "leader")
     stood = sized.select(
         "n", F.col("leader").alias("own"),
@@ -270,28 +281,50 @@ def passing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.where(may("wide_a", "wide_b", "n_a", "n_b")).select("a", "b")
 
 
-def across(lists: DataFrame, classes: DataFrame, roots: DataFrame, once: bool) -> DataFrame:
-    """Round 2: pairs of a list in different components that the filters don't rule
-    out. ``once``: a task gives one pair of any two components."""
-    placed = classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
-        "gid", "key", "n", F.coalesce("root", "key").alias("root")
+def placed(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``gid, key, n, bitmap, root`` of each class."""
+    return classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
+        "gid", "key", "n", "bitmap", F.coalesce("root", "key").alias("root")
     )
-    groups = classes.groupBy("gid").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("gid").alias("token"), "gid")
-    rows = lists.unionByName(groups).join(placed, "gid").select("token", "key", "n", "root")
-    short = rows.select("token", F.xxhash64("root").alias("root"))
-    mixed = short.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    cut = _cut(rows.join(mixed, "token"), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = cut.join(classes.select("key", "bitmap"), "key").select(
-        "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "key", "root", "bitmap"
+
+
+def mixed(lists: DataFrame, own: DataFrame) -> DataFrame:
+    """``token, gid, late, blocks``: the lists that hold several components, in blocks. A
+    list that holds one now always will, so the next step looks at these only.
+
+    Two sets that link have an early shingle of the smaller one in common, so late rows
+    stay only with an early one that is no larger and not too small."""
+    root = F.xxhash64("root")
+    held = own.groupBy("gid").agg(F.min("n").alias("n"), F.min(root).alias("lo"), F.max(root).alias("hi"), F.count(F.lit(1)).alias("m"))
+    sized = lists.select("token", "gid", "late").join(held, "gid")
+    of_early = F.when(~F.col("late"), F.col("n"))
+    several = sized.groupBy("token").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.ceil(F.sum("m") / BLOCK).cast("int").alias("blocks"),
+        F.min(of_early).alias("least"), F.max(of_early).alias("most"),
+    ).where("lo <> hi AND least IS NOT NULL").select("token", "blocks", "least", "most")
+    near = (F.col("n") >= F.col("least")) & (DENOMINATOR * F.col("most") >= NUMERATOR * F.col("n"))
+    rows = sized.select("token", "gid", "late", "n").join(several, "token").where(~F.col("late") | near)
+    return staged(rows.select("token", "gid", "late", "blocks"))
+
+
+def across(lists: DataFrame, own: DataFrame, once: bool) -> DataFrame:
+    """Round 2: pairs of a list in different components that the filters don't rule
+    out. ``once``: of any two components a task gives the most promising pair of those
+    that it holds at a time, and later ones only if they promise more.
+
+    ``lists`` as from ``mixed``, ``own`` as from ``placed``."""
+    cut = lists.join(own, "gid").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks").cast("bigint")).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "late", "key", "root", "bitmap"
     )
 
     def compare(batches):
-        seen: set[bytes] = set()
+        seen: dict[bytes, float] = {}
 
         def pairs_of(rows: pa.Table):
             """Rows of whole groups in order: each meets the one that stands d rows on, for all d."""
             size = rows.num_rows
-            token, i, j, block, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j", "block", "n"))
+            token, i, j, block, n, late = (rows.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j", "block", "n", "late"))
             key, root, maps = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint64).reshape(size, -1) for c in ("key", "root", "bitmap"))
             starts = np.append(True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
             begin = np.flatnonzero(starts)
@@ -305,23 +338,26 @@ def across(lists: DataFrame, classes: DataFrame, roots: DataFrame, once: bool) -
                 near = DENOMINATOR * n[x] >= NUMERATOR * n[y]  # rows of a group come by size
                 x = x[near]
                 y = x + d
-                meet = (root[x] != root[y]).any(axis=1) & ((i[x] == j[x]) | (block[x] != block[y]))
+                meet = (root[x] != root[y]).any(axis=1) & (late[x] == 0) & ((i[x] == j[x]) | (block[x] != block[y]))
                 a, b = x[meet], y[meet]
                 for at in range(0, len(a), 1 << 14):
                     p, q = a[at:at + (1 << 14)], b[at:at + (1 << 14)]
                     most = (n[p] + n[q] - np.bitwise_count(maps[p] ^ maps[q]).sum(axis=1).astype(np.int64)) // 2
-                    good = linked(most, n[p], n[q])
-                    for one, two in zip(p[good].tolist(), q[good].tolist()):
+                    good = np.flatnonzero(linked(most, n[p], n[q]))
+                    promise = most[good] / (n[p[good]] + n[q[good]] - most[good])
+                    for one, two, hope in zip(p[good].tolist(), q[good].tolist(), promise.tolist()):
                         pair = b"".join(sorted((key[one].tobytes(), key[two].tobytes())))
-                        known = b"".join(sorted((root[one].tobytes(), root[two].tobytes()))) if once else pair
-                        if known not in seen:
-                            if len(seen) >= REMEMBERED:
-                                seen.clear()
-                            seen.add(known)
-                            yield pair
+                        yield b"".join(sorted((root[one].tobytes(), root[two].tobytes()))) if once else pair, pair, hope if once else 0.0
 
         def sent(rows: pa.Table):
-            out = list(pairs_of(rows))
+            best: dict[bytes, tuple[float, bytes]] = {}
+            for known, pair, hope in pairs_of(rows):
+                if hope > best.get(known, (seen.get(known, -1.0),))[0]:
+                    best[known] = (hope, pair)
+            if len(seen) + len(best) > REMEMBERED:
+                seen.clear()
+            seen.update((known, hope) for known, (hope, _) in best.items())
+            out = [pair for _, pair in best.values()]
             return pa.RecordBatch.from_arrays([pa.array([p[:16] for p in out], pa.binary()), pa.array([p[16:] for p in out], pa.binary())], ["a", "b"])
 
         held: list[pa.RecordBatch] = []
@@ -395,17 +431,21 @@ def members(docs: DataFrame) -> DataFrame:
     common = spark.sparkContext.broadcast(bucket_counts(described))
     described = described.where("counts IS NULL").select("doc_id", "n", "key", "bitmap", "wide")
     posted = staged(lists_of(docs, common))
-    lists = posted.where("key IS NULL").select("token", "gid")
+    lists = posted.where("key IS NULL").select("token", "gid", "late")
     classes = staged(
         described.where("key IS NOT NULL").groupBy("key").agg(
             F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide")
         ).join(posted.where("key IS NOT NULL").select("key", "gid"), "key")
     )
-    one = staged(verified(staged(passing(first_pairs(lists, classes), classes)), docs, classes))
+    one = staged(verified(staged(passing(staged(first_pairs(lists, classes)), classes)), docs, classes))
     roots = components(one)
+    groups = classes.groupBy("gid").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("gid").alias("token"), "gid", F.lit(False).alias("late"))
+    left = lists.unionByName(groups)
     # First one pair of any two components, which joins most of those that belong together, then all that are left.
     for once in (True, False):
-        found = staged(verified(staged(passing(across(lists, classes, roots, once), classes)), docs, classes))
+        own = placed(classes, roots)
+        left = mixed(left, own)
+        found = staged(verified(staged(passing(staged(across(left, own, once)), classes)), docs, classes))
         if not found.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
     nodes = roots
