@@ -156,3 +156,22 @@ def test_sets_that_link_share_an_early_shingle_of_the_smaller():
             own, theirs = join.prefix(small, common), join.prefix(large, common)
             assert len(np.intersect1d(own[:join.early(len(small))], theirs))
     assert linked > 1000
+
+
+def test_copies_in_different_tasks_make_no_list(spark):
+    """A list is for shingles that two groups share; copies are one group wherever they are read."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    alone = [" ".join(rnd.sample(words, 60)) for _ in range(5)]
+    near = [" ".join([*words[:50], f"x{i}"]) for i in range(2)]
+    texts = [(i, t) for i, t in enumerate((alone + near) * 4)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(8)
+    common = spark.sparkContext.broadcast(join.bucket_counts(join.sketches(docs)))
+    got = join.lists_of(docs, common).collect()
+    listed = [(r.token, r.gid) for r in got if r.key is None]
+    named = [(r.gid, r.key) for r in got if r.key is not None]
+    assert len(named) == len(set(named)) == 7 and len(listed) == len(set(listed)) > 0
+    of = {}
+    for token, gid in listed:
+        of.setdefault(token, set()).add(gid)
+    assert all(len(gids) == 2 for gids in of.values())

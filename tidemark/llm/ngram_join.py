@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidemark.llm import bloom
-from tidemark.llm.common import all_columns, bounded_batches, clean_text, free_name
+from tidemark.llm.common import all_columns, bounded_batches, clean_text, free_name, let_go
 from tidemark.llm.components import components
 from tidemark.session import staged
 
@@ -122,6 +122,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     per task with ``counts``: shingles of its documents in each bucket, one MB."""
 
     def describe(batches):
+        let_go("ngram_join")
         total = np.zeros(1 << BUCKET_BITS, np.uint32)
         for batch in batches:
             found = [shingles(t) for t in batch.column("text").to_pylist()]
@@ -171,12 +172,13 @@ def lists_of(docs: DataFrame, common) -> DataFrame:
     each set, ``token`` null.
 
     The one large shuffle of the join: 17 bytes for each prefix shingle. Rows come
-    to a task in order of shingle, so it needs to hold only the last one to drop
-    those that no other row has. Shingles of a bucket with far more than its share
+    to a task in order of shingle and group, so it needs to hold only the last one to
+    drop those that no other group has. Shingles of a bucket with far more than its share
     are dealt out over ``SPREAD`` tasks and are not dropped."""
     hot = 8 * int(common.value.mean()) + HOT
 
     def post(batches):
+        let_go("ngram_join")
         seen: set[bytes] = set()
         for batch in batches:
             keys, groups, tokens, sizes, lates = [], [], [], [], []
@@ -210,18 +212,27 @@ def lists_of(docs: DataFrame, common) -> DataFrame:
                 )
 
     def shared(batches):
+        """Copies in different tasks gave equal rows, which stand together; one is left."""
         token, sent = None, False  # the last row so far, and whether it is out
+        before = None  # the last group and key
         names = ["token", "gid", "late", "key"]
         for batch in batches:
             grouped = pa.compute.is_null(batch.column("token"))
             if grouped.true_count:
-                yield batch.filter(grouped).select(names)
+                held = batch.filter(grouped)
+                own = list(zip(held.column("gid").to_pylist(), held.column("key").to_pylist()))
+                yield held.filter(pa.array([x != y for x, y in zip(own, [before, *own])])).select(names)
+                before = own[-1]
                 batch = batch.filter(pa.compute.invert(grouped))
             if not batch.num_rows:
                 continue
             tokens, groups, spread, late = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "gid", "spread", "late"))
             if token is not None:
                 tokens, groups, spread, late = np.append(token, tokens), np.append(group, groups), np.append(dealt, spread), np.append(after, late)
+            first = np.append(True, (tokens[1:] != tokens[:-1]) | (groups[1:] != groups[:-1]))
+            tokens, groups, spread, late = tokens[first], groups[first], spread[first], late[first]
+            if token is not None and len(tokens) == 1:
+                continue  # no other row than the last one
             same = tokens[1:] == tokens[:-1]
             keep = np.append(same, False) | np.append(False, same) | (spread > 0)
             last = bool(keep[-1])
@@ -233,9 +244,8 @@ def lists_of(docs: DataFrame, common) -> DataFrame:
     posted = docs.select(clean_text().alias("text")).mapInArrow(post, "token bigint, gid bigint, spread tinyint, late boolean, key binary")
     # Nulls would all go to one task, so rows of groups are dealt by the group.
     dealt_by = F.coalesce("token", "gid")
-    found = posted.repartition(dealt_by, "spread").sortWithinPartitions("token").mapInArrow(shared, "token bigint, gid bigint, late boolean, key binary")
-    # Copies in different tasks gave equal rows.
-    return found.distinct()
+    stood = posted.repartition(dealt_by, "spread").sortWithinPartitions("token", "gid", "late", "key")
+    return stood.mapInArrow(shared, "token bigint, gid bigint, late boolean, key binary")
 
 
 def _cut(rows: DataFrame, by: str) -> DataFrame:

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.llm.common import all_columns, bounded_batches, clean_text, free_name, hashed_sample
+from tidemark.llm.common import all_columns, bounded_batches, clean_text, free_name, hashed_sample, let_go
 from tidemark.llm.license_scan import WORD_BYTES
 from tidemark.session import staged
 
@@ -150,6 +150,7 @@ def posterior_column(text: Column, model: Classifier) -> Column:
 
     @F.arrow_udf(T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))]))
     def posteriors(texts: pa.Array) -> pa.Array:
+        let_go("source_mixing")
         counts, rows = [], []
         for at in range(0, len(texts), 64):
             read = [read_text(t) for t in texts[at:at + 64].to_pylist()]
