@@ -149,3 +149,14 @@ def test_held_out_accuracy(spark):
     best = F.element_at(F.array(*map(F.lit, model.domains)), F.expr("array_position(m.posterior, array_max(m.posterior))").cast("int"))
     found = mixing.with_membership(docs.select("doc_id", "text"), model, "m").join(labels.where("doc_id % 2 = 1"), "doc_id")
     assert found.agg(F.avg((best == F.col("domain")).cast("int"))).first()[0] > 0.85
+
+
+def test_drawing_takes_one_python_step(spark):
+    """A second Python step in a task takes a second worker, which stays beside the first in later stages."""
+    docs, labels = world(spark)
+    targets = {"good": 0.95, "low": 0.04, "toxic": 0.01}
+    drawn = mixing.resample(docs, labels, targets)
+    assert drawn._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    told = mixing.mix(docs, labels, targets).select("doc_id", "rate").join(docs, "doc_id").where(F.col("rate") > place)
+    assert {r.doc_id for r in drawn.collect()} == {r.doc_id for r in told.collect()}

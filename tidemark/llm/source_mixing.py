@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.llm.common import all_columns, bounded_batches, clean_text, free_name, hashed_sample, let_go
+from tidemark.llm.common import bounded_batches, clean_text, hashed_sample, let_go
 from tidemark.llm.license_scan import WORD_BYTES
 from tidemark.session import staged
 
@@ -145,22 +145,26 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Classifier | None:
     return Classifier(domains, chosen, made.mean, made.scale, weights, bias + prior - prior.mean())
 
 
+def read_texts(texts: pa.Array, model: Classifier) -> tuple[list[int], np.ndarray]:
+    """Tokens and posteriors of a batch of texts."""
+    let_go("source_mixing")
+    counts, rows = [], [np.zeros((0, len(model.domains)))]
+    for at in range(0, len(texts), 64):
+        read = [read_text(t) for t in texts[at:at + 64].to_pylist()]
+        counts += [n for n, _, _ in read]
+        rows.append(model.posterior(read))
+    return counts, np.concatenate(rows)
+
+
 def posterior_column(text: Column, model: Classifier) -> Column:
     """A struct ``n_tokens, posterior`` of a text."""
 
     @F.arrow_udf(T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))]))
     def posteriors(texts: pa.Array) -> pa.Array:
-        let_go("source_mixing")
-        counts, rows = [], []
-        for at in range(0, len(texts), 64):
-            read = [read_text(t) for t in texts[at:at + 64].to_pylist()]
-            counts += [n for n, _, _ in read]
-            rows.append(model.posterior(read))
-        k = len(model.domains)
-        values = np.concatenate(rows).ravel() if rows else np.zeros(0)
-        offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * k)
+        counts, found = read_texts(texts, model)
+        offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(model.domains))
         return pa.StructArray.from_arrays(
-            [pa.array(counts, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(values))], ["n_tokens", "posterior"]
+            [pa.array(counts, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], ["n_tokens", "posterior"]
         )
 
     return posteriors(text)
@@ -265,6 +269,17 @@ def rate_column(posterior: Column, mix: Mix) -> Column:
     return rates(posterior)
 
 
+def text_rate_column(text: Column, model: Classifier, mix: Mix) -> Column:
+    """The rate of a text, posterior and rate in one call: two Python steps in one task
+    would take a second worker, which then stays and takes its turn in later stages."""
+
+    @F.arrow_udf(T.DoubleType())
+    def rates(texts: pa.Array) -> pa.Array:
+        return pa.array(mix.rates(read_texts(texts, model)[1]))
+
+    return rates(text)
+
+
 def domains_of(labels: DataFrame) -> DataFrame:
     """The production domains from quality and toxicity labels."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("good")
@@ -314,10 +329,7 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | N
     model = fit(docs, labelled)
     if model is None:
         return docs
-    member, own = free_name(docs, "membership"), all_columns(docs)
-    marked = with_membership(docs, model, member)
-    members = staged(marked.select(F.col(member)["n_tokens"].alias("n_tokens"), F.col(member)["posterior"].alias("posterior")))
+    members = staged(with_membership(docs.select("text"), model).select("membership.*"))
     solved = solve(members, weights_of(model, targets))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    rate = rate_column(F.col(member)["posterior"], solved)
-    return marked.where(rate > draw).select(*own)
+    return docs.where(text_rate_column(clean_text(), model, solved) > draw)
