@@ -26,6 +26,30 @@ def test_any_text(text):
     assert files.encode_texts([text], PATH)[0].tolist() == ids_of(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aAbZz '.,-(_^`~<|>!0é\x7f"), max_size=60))
+def test_letters_and_signs(text):
+    assert files.encode_texts([text], PATH)[0].tolist() == ids_of(text)
+
+
+def test_plain_chunks_go_by_word(monkeypatch):
+    """Chunks of ASCII letters and signs aren't put into a text for the whole tokenizer, at four times the cost."""
+    made, *rest = files._made_tokenizer(PATH, False)
+
+    class Counting:
+        whole = []
+
+        def encode_batch_fast(self, texts, **options):
+            self.whole += texts
+            return made.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(files, "_tokenizer", lambda path, added: (Counting(), *rest))
+    texts = ["Plain words, (and) signs -- here! x_y", "don't a0", "-" * 50_000 + "é"]
+    assert [x.tolist() for x in files.encode_texts(texts[:1], PATH)] == [ids_of(texts[0])]
+    assert Counting.whole == ["x_y"]
+    assert [x.tolist() for x in files.encode_texts(texts, PATH)] == [ids_of(t) for t in texts]
+
+
 def test_odd_texts():
     texts = ["0 a 0", "a0b", "x\x1cy", "ΑΣ ΑΣ", "İ", "e\u0301 \u0301", "<|endoftext|>", "a" * 500, "\x85 \u2003", "it's 'S", "𝟘 ٠ 0"] * 2
     assert [x.tolist() for x in files.encode_texts(texts, PATH)] == [ids_of(t) for t in texts]

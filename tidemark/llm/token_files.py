@@ -26,6 +26,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -50,6 +51,11 @@ CHUNKS = 300_000
 CHUNK_CHARS = 64
 #: Characters that str.split takes for white space and the tokenizer doesn't.
 ODD = re.compile("[\x1c-\x1f]")
+#: Chunks that are encoded in one text; in a longer one each costs the library more.
+TOGETHER = 200
+#: Chunks that the usual tokenizer takes for at most three words: signs, letters, signs. No apostrophe, which may begin a contraction.
+SIGNS = "[!-&(-/:-@\\[-`{-~]"
+PLAIN = re.compile(f"({SIGNS}*+)([A-Za-z]*+)({SIGNS}*+)")
 
 
 class ShardWriter:
@@ -162,7 +168,17 @@ def _made_tokenizer(path: str, added: bool):
     def whole(text: str) -> bool:
         return bool(ODD.search(text)) or any(m in text for m in marks) and bool(quoted.search(text))
 
-    return made, zero[0] if len(zero) == 1 else None, whole, _Chunks()
+    def by_words(chunk: str) -> bytes:
+        """Ids of a plain chunk, word by word by the library's model."""
+        return array("I", [t.id for word in PLAIN.fullmatch(chunk).groups() if word for t in made.model.tokenize(word.lower())]).tobytes()
+
+    signs = "".join(re.findall(SIGNS, "".join(map(chr, range(33, 127)))))
+    shown = [a + "The" + b for a in ("", *signs) for b in ("", *signs)]
+    shown += [signs, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    plain = all(
+        array("I", e.ids).tobytes() == by_words(c) for c, e in zip(shown, made.encode_batch_fast(shown, add_special_tokens=False))
+    )
+    return made, zero[0] if len(zero) == 1 else None, whole, by_words if plain else None, _Chunks()
 
 
 def encode_texts(texts: list[str], path: str, added: bool = False) -> list[np.ndarray]:
@@ -171,29 +187,31 @@ def encode_texts(texts: list[str], path: str, added: bool = False) -> list[np.nd
     texts that may hold one are encoded whole. Otherwise they are text like any other.
 
     The library drops white space and never merges across it, so equal chunks between white space have equal ids and are
-    encoded once while they are remembered. New chunks are encoded in one text,
-    with the digit 0, a token by itself, between them."""
-    tokenizer, zero, whole, chunks = _tokenizer(path, added)
+    encoded once while they are remembered. New chunks of ASCII letters and signs are given to the library's
+    model word by word, if the tokenizer is seen to split them so when it is loaded; others are encoded
+    ``TOGETHER`` in one text, with the digit 0, a token by itself, between them."""
+    tokenizer, zero, whole, by_words, chunks = _tokenizer(path, added)
 
     def by_library(values: list[str]) -> list[bytes]:
-        apart = [v for v in values if zero is None or "0" in v]
-        found = {
-            v: np.array(e.ids, dtype="<u4").tobytes()
-            for v, e in zip(apart, tokenizer.encode_batch_fast(apart, add_special_tokens=False))
-        }
-        joined = [v for v in values if v not in found]
-        if joined:
-            ids = np.array(tokenizer.encode_batch_fast([" 0 ".join(joined)], add_special_tokens=False)[0].ids, dtype="<u4")
-            data, cuts = ids.tobytes(), 4 * np.flatnonzero(ids == zero)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(values, add_special_tokens=False)]
+
+    def of_chunks(values: list[str]) -> list[bytes]:
+        found = {v: by_words(v) for v in values if PLAIN.fullmatch(v)} if by_words else {}
+        apart = [v for v in values if v not in found and (zero is None or "0" in v)]
+        found.update(zip(apart, by_library(apart)))
+        rest = [v for v in values if v not in found]
+        joined = [rest[i:i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
+        for own, data in zip(joined, by_library([" 0 ".join(own) for own in joined])):
+            cuts = 4 * np.flatnonzero(np.frombuffer(data, dtype="<u4") == zero)
             starts, ends = [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)]
-            found.update((v, data[a:b]) for v, a, b in zip(joined, starts, ends, strict=True))
+            found.update((v, data[a:b]) for v, a, b in zip(own, starts, ends, strict=True))
         return [found[v] for v in values]
 
     out = []
     for at in range(0, len(texts), 256):
         batch = texts[at:at + 256]
         split = [None if whole(t) else (t.lower() if t.isascii() else t).split() for t in batch]
-        forget = chunks.learn(set(chain.from_iterable(s for s in split if s)), by_library)
+        forget = chunks.learn(set(chain.from_iterable(s for s in split if s)), of_chunks)
         for text, own in zip(batch, split):
             data = by_library([text])[0] if own is None else b"".join(map(chunks.__getitem__, own))
             out.append(np.frombuffer(data, dtype="<u4"))
